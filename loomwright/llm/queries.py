@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import quality_rules, token_count
+from loomwright.llm import quality_classifier, quality_rules, token_count, toxicity
 from loomwright.llm.common import Scratch, crc_mod, table
+from loomwright.llm.labelled import labelled_sample
 
 
 def _vocabulary() -> str:
@@ -15,6 +16,14 @@ def _vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = crc_mod(F.col("doc_id"), 5) == 0
+    sample, sizes = labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", ~held, toxicity.PER_CLASS)
+    scored = toxicity.score(docs, toxicity.train(sample, sizes))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_sentences", "n_offending")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     scored = quality_rules.score(docs, quality_rules.train(docs)).drop("text")
@@ -28,6 +37,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = crc_mod(F.col("doc_id"), 4) == 2
+    sample, sizes = labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", ~held, quality_classifier.PER_CLASS)
+    scored = quality_classifier.score(docs, quality_classifier.train(sample, sizes))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
