@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import decontamination, line_dedup, mixing, quality_classifier, quality_rules, token_count, toxicity
+from loomwright.llm import decontamination, line_dedup, mixing, quality_classifier, quality_rules, secret_scan, token_count, toxicity
 from loomwright.llm.common import Scratch, crc_mod, table
 from loomwright.llm.labelled import labelled_sample
 
@@ -43,6 +43,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.scan(docs, spans="found").drop("text")
+    base = F.filter("found", lambda s: s["kind"] < len(secret_scan.BASE))
+    counts = [F.size(F.filter(F.transform("found", lambda s: s["kind"]), lambda kind: kind == k)).cast("long").alias(f"n_{rule.kind}") for k, rule in enumerate(secret_scan.BASE)]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.span_text(base), 256).alias("base_sha256"), secret_scan.span_text(F.col("found")).alias("spans"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     cut = line_dedup.drop_boilerplate(docs, n_lines="n_lines", n_dropped="n_dropped")
