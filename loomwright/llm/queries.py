@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import decontamination, line_dedup, mixing, quality_classifier, quality_rules, secret_scan, token_count, toxicity
+from loomwright.llm import decontamination, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, token_count, toxicity
 from loomwright.llm.common import Scratch, crc_mod, table
 from loomwright.llm.labelled import labelled_sample
 
@@ -16,6 +16,10 @@ def _vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=2)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = crc_mod(F.col("doc_id"), 5) == 0
