@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import decontamination, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, token_count, toxicity
+from loomwright.llm import context_tree, decontamination, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, token_count, toxicity
 from loomwright.llm.common import Scratch, crc_mod, table
 from loomwright.llm.labelled import labelled_sample
 
@@ -55,6 +55,13 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secret_scan.span_text(base), 256).alias("base_sha256"), secret_scan.span_text(F.col("found")).alias("spans"))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = crc_mod(F.col("doc_id"), 5) == 1
+    scored = context_tree.score(docs, ~held)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     cut = line_dedup.drop_boilerplate(docs, n_lines="n_lines", n_dropped="n_dropped")
