@@ -1,17 +1,453 @@
-"""The named queries of the engine and their SQL counterparts."""
+"""The named queries of the engine over the driver's tables, and their SQL counterparts in `oracle`."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomwright.functions import text as T
+from loomwright.operators import code_chunks, code_parse, crawl, embed, index, markdown, rag, retrieve
+from loomwright.plans import fixtures
+from loomwright.plans.oracle import ORACLE
+from loomwright.schemas import EmbeddingSettings, RetrievalSettings
+from loomwright.session import scratch_root
+from loomwright.sources import files
+from loomwright.streaming import incremental
+
+SIZES = markdown.ChunkSizes(200, 1500)
+NOW = "2024-06-30 00:00:00"
+
+
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _long(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("long") for n in names})
+
+
+# --- markdown and code chunks
+
+
+def _turn_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """A markdown document a conversation: a second-level heading and the text of each turn."""
+    turns = _table(spark, sf, "conversations")
+    piece = F.concat(F.lit("## "), "role", F.lit(" "), F.col("turn").cast("string"), F.lit("\n\n"), F.coalesce("text", F.lit("")))
+    return turns.groupBy("conv_id").agg(rag.ordered_concat(piece, F.col("turn"), "\n\n").alias("content"))
+
+
+def md_sections(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _turn_documents(spark, sf).select("conv_id", F.explode(markdown.sections(F.col("content"))).alias("s")).select("conv_id", "s.*")
+    return _long(rows, "section_no", "level")
+
+
+def md_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    rows = markdown.chunk_documents(_turn_documents(spark, sf), source_id=None, sizes=markdown.ChunkSizes(10, 400))
+    return _long(rows.select("conv_id", "chunk_no", "content", "chunk_type", "heading", "start_index", "end_index", "chunk_id"), "chunk_no", "start_index", "end_index")
+
+
+def md_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    turns = _table(spark, sf, "conversations")
+    doc = F.concat(F.lit("Q "), F.col("turn").cast("string"), F.lit(" [code]"), F.coalesce("text", F.lit("")), F.lit("[/code] end"))
+    rows = turns.select("conv_id", "turn", F.posexplode(markdown.blocks(doc)).alias("block_no", "b")).select("conv_id", "turn", "block_no", "b.*")
+    return _long(rows, "block_no", "start_pos")
+
+
+def md_pack_multi(spark: SparkSession, sf: str) -> DataFrame:
+    turns = _table(spark, sf, "conversations")
+    piece = F.when(F.col("role") == "assistant", F.concat(F.lit("[code]"), "text", F.lit("[/code]"))).otherwise(F.col("text"))
+    docs = turns.groupBy("conv_id").agg(F.concat(F.lit("# Talk\n\n"), rag.ordered_concat(piece, F.col("turn"), "\n")).alias("content"))
+    rows = markdown.chunk_documents(docs, source_id=None, sizes=markdown.ChunkSizes(40, 300))
+    return _long(rows.select("conv_id", "chunk_no", "chunk_type", F.length("content").alias("size"), "start_index", "end_index"), "chunk_no", "size", "start_index", "end_index")
+
+
+def _document_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
+    return markdown.chunk_documents(docs.withColumn("source_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string"))), sizes=SIZES)
+
+
+def chunk_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _document_chunks(spark, sf)
+    return _long(rows.select("doc_id", "chunk_no", "chunk_type", "heading", F.length("content").alias("size"), F.sha2("content", 256).alias("content_hash")), "chunk_no", "size")
+
+
+def chunk_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return _document_chunks(spark, sf).select("doc_id", "chunk_id", markdown.is_valid(F.col("content"), F.col("chunk_type"), SIZES).alias("valid"))
+
+
+def chunk_estimate(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "documents").select("doc_id", markdown.estimate(F.col("text"), SIZES).alias("chunks"))
+
+
+def chunk_samples(spark: SparkSession, sf: str) -> DataFrame:
+    return markdown.samples(_document_chunks(spark, sf), ["doc_id", "chunk_no"], 3).drop("chunk_no")
+
+
+def chunk_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return markdown.chunk_stats(_document_chunks(spark, sf))
+
+
+def doc_stats(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select(F.concat("source", F.when(F.col("lang") == "en", ".md").otherwise(".tsx")).alias("path"), F.col("text").alias("content"))
+    return markdown.document_stats(docs)
+
+
+def merge_small(spark: SparkSession, sf: str) -> DataFrame:
+    turns = _table(spark, sf, "conversations").where(F.col("text").isNotNull())
+    chunk = F.struct(F.col("text").alias("content"), F.lit("text").alias("chunk_type"), F.col("role").alias("heading"), F.lit(0).alias("start_index"), F.col("turn").cast("int").alias("end_index"))
+    per = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", chunk.alias("c")))).alias("xs"))
+    rows = per.select("conv_id", F.posexplode(markdown.merge_small(F.transform("xs", lambda x: x["c"]), 600)).alias("no", "m"))
+    return _long(rows.select("conv_id", "no", "m.content", "m.heading", "m.end_index"), "no", "end_index")
+
+
+def code_lines_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"), F.lit("go").alias("language"))
+    rows = code_chunks.chunk_code(docs, language="language", most=500)
+    return _long(rows.select("doc_id", "chunk_no", "start_index", "end_index", F.sha2("content", 256).alias("content_hash")), "chunk_no", "start_index", "end_index")
+
+
+def code_fence_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    first = F.substring_index("text", "\n", 1)
+    docs = _table(spark, sf, "documents").select("doc_id", F.concat(F.lit("Intro here\n```python\n"), first, F.lit("\n```\nbetween\n```\nlast = 1\n```\nend")).alias("content"))
+    rows = code_chunks.chunk_code(docs, most=100_000_000)
+    return _long(rows.select("doc_id", "chunk_no", "content", "start_index", "end_index"), "chunk_no", "start_index", "end_index")
+
+
+def code_python_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    lines = F.size(F.split("text", "\n", -1))
+    docs = _table(spark, sf, "documents").select("doc_id", F.concat(F.lit("import os\n\ndef first(x):\n    '''"), "text", F.lit("'''\n    return x\n\nclass Second:\n    def third(self): pass\n")).alias("content"), lines.alias("n"))
+    rows = code_chunks.chunk_code(docs, extension=None, language=None)
+    return _long(rows.select("doc_id", "language", "chunk_no", "start_index", "end_index"), "chunk_no", "start_index", "end_index")
+
+
+def lang_detect(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    said = F.when(F.col("lang") == "de", ".TS").when(F.col("lang") == "fr", ".py").otherwise(".txt")
+    body = F.concat(F.when(F.col("lang") == "es", F.lit("const a = ")).otherwise(""), F.coalesce("text", F.lit("")))
+    return docs.select("doc_id", code_chunks.detect_language(body, said).alias("language"))
+
+
+def repo_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return _long(files.tree_stats(_table(spark, sf, "documents"), "lang", "n_chars"), "files", "bytes", "total_files", "total_bytes")
+
+
+# --- vectors and retrieval
+
+
+def _index(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors with the text and labels of their documents."""
+    vectors = _table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").cast("string").alias("label"))
+    docs = _table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("source").alias("title"), F.col("lang").alias("heading"), F.col("source").alias("domain"))
+    own = vectors.join(docs, "id")
+    return own.withColumns({"url": F.concat(F.lit("doc/"), F.col("id").cast("string")), "component": F.lit(None).cast("string"), "chunk_type": F.lit("text"), "meta": F.create_map(F.lit("label"), "label", F.lit("lang"), "heading")})
+
+
+def _queries(spark: SparkSession, sf: str) -> DataFrame:
+    """The stated query set of searches: ids divisible by 100."""
+    return _table(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+
+
+def _hits(spark: SparkSession, sf: str, **settings) -> DataFrame:
+    return retrieve.retrieve(_index(spark, sf), _queries(spark, sf), RetrievalSettings(**settings))
+
+
+def _six(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = _table(spark, sf, "embeddings")
+    one = vectors.where("vec_id = 0").select(F.lit(0).cast("long").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    hits = retrieve.with_score(retrieve.nearest(vectors, one, 5, key="vec_id"))
+    return _six(_long(hits, "rank"), "distance", "score").drop("query_id")
+
+
+def vector_topk_batch(spark: SparkSession, sf: str) -> DataFrame:
+    hits = retrieve.nearest(_table(spark, sf, "embeddings"), _queries(spark, sf), 5, key="vec_id")
+    return _six(_long(hits, "rank"), "distance")
+
+
+def vector_topk_cosine(spark: SparkSession, sf: str) -> DataFrame:
+    hits = retrieve.nearest(_table(spark, sf, "embeddings"), _queries(spark, sf), 5, metric="cosine", key="vec_id")
+    return _six(_long(hits, "rank"), "distance")
+
+
+def score_from_distance(spark: SparkSession, sf: str) -> DataFrame:
+    hits = _table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") == "R", None).otherwise(F.col("l_discount") * 30).alias("distance"))
+    return _six(_long(hits.withColumn("score", T.score_of(F.col("distance"))), "l_linenumber"), "score", "distance")
+
+
+def threshold_after_topk(spark: SparkSession, sf: str) -> DataFrame:
+    hits = retrieve.with_score(retrieve.nearest(_table(spark, sf, "embeddings"), _queries(spark, sf), 5, key="vec_id"))
+    return _six(_long(retrieve.over_threshold(hits, 0.35), "rank"), "distance", "score")
+
+
+def similarity_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    return _six(embed.similarity_matrix(_table(spark, sf, "embeddings")), "cosine")
+
+
+def similarity_01(spark: SparkSession, sf: str) -> DataFrame:
+    hits = retrieve.nearest(_table(spark, sf, "embeddings"), _queries(spark, sf), 10, metric="cosine", key="vec_id")
+    return _six(hits.select("query_id", "vec_id", ((1 - F.col("distance") + 1) / 2).alias("similarity")), "similarity")
+
+
+def embedding_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return _six(embed.stats(_table(spark, sf, "embeddings")), "mean_norm", "std_norm", "first_norm")
+
+
+def embedding_normalize(spark: SparkSession, sf: str) -> DataFrame:
+    scaled = _table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * F.col("label")).alias("v"))
+    unit = scaled.select("vec_id", T.normalized(F.col("v")).alias("u"))
+    return _six(unit.select("vec_id", T.norm(F.col("u")).alias("norm"), F.element_at("u", 1).alias("first")), "norm", "first")
+
+
+def embedding_preview(spark: SparkSession, sf: str) -> DataFrame:
+    return _six(embed.preview(_table(spark, sf, "embeddings")), "norm")
+
+
+def embed_documents(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    rows = embed.embed(docs, "text", settings=EmbeddingSettings(dimensions=256))
+    return rows.select("doc_id", F.size("embedding").cast("long").alias("dimensions"), F.round(T.norm(F.col("embedding")), 4).alias("norm"))
+
+
+def filter_eq_in(spark: SparkSession, sf: str) -> DataFrame:
+    return _index(spark, sf).where(retrieve.where({"domain": ["src1", "src2", "src3"], "heading": "en"})).select("id", "domain", "heading")
+
+
+def filter_op_tree(spark: SparkSession, sf: str) -> DataFrame:
+    tree = {"operator": "OR", "conditions": [{"field": "meta.domain", "operator": "==", "value": "src1"}, {"operator": "AND", "conditions": [{"field": "heading", "operator": "not in", "value": ["en", "de"]}, {"operator": "NOT", "conditions": [{"field": "label", "operator": ">=", "value": "5"}]}]}]}
+    return _index(spark, sf).where(retrieve.where_tree(tree)).select("id", "domain", "heading", F.element_at("meta", "label").alias("label"))
+
+
+def filter_post(spark: SparkSession, sf: str) -> DataFrame:
+    return _hits(spark, sf, top_k=10).where(retrieve.where_meta({"lang": "en", "missing": None}, F.col("meta"))).select("query_id", F.col("rank").cast("long").alias("rank"), "id")
+
+
+def jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    hits = _hits(spark, sf).select("query_id", "id", F.array_distinct(T.words(F.col("content"))).alias("w"))
+    other = hits.select("query_id", F.col("id").alias("other"), F.col("w").alias("v"))
+    pairs = hits.join(other, "query_id").where("id < other")
+    return _six(pairs.select("query_id", "id", "other", T.jaccard(F.col("w"), F.col("v")).alias("jaccard")), "jaccard")
+
+
+def diversity_rescore(spark: SparkSession, sf: str) -> DataFrame:
+    return _six(_long(_hits(spark, sf, diversity_factor=0.5).select("query_id", "id", "rank", "old_rank", "score"), "rank", "old_rank"), "score")
+
+
+def retrieval_envelope(spark: SparkSession, sf: str) -> DataFrame:
+    settings = RetrievalSettings(top_k=5, score_threshold=0.35)
+    own = _index(spark, sf)
+    return retrieve.envelope(retrieve.retrieve(own, _queries(spark, sf), settings), _queries(spark, sf), own, settings)
+
+
+def retrieval_display(spark: SparkSession, sf: str) -> DataFrame:
+    return _long(retrieve.display(_hits(spark, sf)), "rank")
+
+
+# --- answers
+
+
+def context_build(spark: SparkSession, sf: str) -> DataFrame:
+    return rag.context(_hits(spark, sf))
+
+
+def sources_format(spark: SparkSession, sf: str) -> DataFrame:
+    return _long(rag.sources(_hits(spark, sf)), "rank")
+
+
+def _questions(spark: SparkSession, sf: str) -> DataFrame:
+    return _queries(spark, sf).select("query_id", F.concat(F.lit("What is in document "), F.col("query_id").cast("string"), F.lit("?")).alias("question"))
+
+
+def prompt_build(spark: SparkSession, sf: str) -> DataFrame:
+    return rag.prompts(_hits(spark, sf), _questions(spark, sf))
+
+
+def answer_extractive(spark: SparkSession, sf: str) -> DataFrame:
+    hits, asked = _hits(spark, sf), _questions(spark, sf)
+    answers = rag.generate(rag.prompts(hits, asked).join(asked, "query_id"))
+    return rag.response_stats(answers, hits).join(answers.select("query_id", "answer", "error", "total_tokens"), "query_id")
+
+
+def chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    return rag.chat(_table(spark, sf, "conversations"))
+
+
+def token_estimate(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "conversations").select("conv_id", "turn", T.token_estimate(F.col("text")).alias("tokens"))
+
+
+def request_validation(spark: SparkSession, sf: str) -> DataFrame:
+    asked = _table(spark, sf, "conversations")
+    return asked.select("conv_id", "turn", rag.request_error(F.when(F.col("turn") == 1, F.lit(" \n")).otherwise(F.col("text")), F.col("turn") * 12).alias("error"))
+
+
+# --- crawl
+
+
+def page_meta(spark: SparkSession, sf: str) -> DataFrame:
+    pages = crawl.page_metadata(_table(spark, sf, "pages"), now=F.lit(NOW).cast("timestamp"))
+    return pages.select("page_id", "title", "domain", "path", "path_segment", F.sha2("html", 256).alias("content_hash"), F.md5("url").alias("file"))
+
+
+def page_links(spark: SparkSession, sf: str) -> DataFrame:
+    pages = crawl.page_metadata(_table(spark, sf, "pages"), now=F.lit(NOW).cast("timestamp"))
+    return pages.select("page_id", F.explode("links").alias("link")).where(crawl.allowed(F.col("link"), exclude=["*.pdf"]))
+
+
+def page_min_content(spark: SparkSession, sf: str) -> DataFrame:
+    pages = crawl.page_metadata(_table(spark, sf, "pages"), now=F.lit(NOW).cast("timestamp"))
+    return pages.where(F.length("markdown") >= 100).select("page_id", F.length("markdown").cast("long").alias("size"))
+
+
+def html_markdown(spark: SparkSession, sf: str) -> DataFrame:
+    return crawl.page_metadata(_table(spark, sf, "pages"), now=F.lit(NOW).cast("timestamp")).select("page_id", "markdown")
+
+
+def url_allow(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "pages").select("page_id", crawl.allowed(F.col("url"), include=["https://*/a*", "*[0-9].html*", "http*://m.*"], exclude=["*?utm*", "*#top"]).alias("allowed"))
+
+
+def _prior_state(spark: SparkSession, sf: str) -> DataFrame:
+    """A made-up state: a third of the pages are unknown, a third known, a third known with another hash; some are old."""
+    pages = _table(spark, sf, "pages")
+    hashed = F.when(F.col("page_id") % 3 == 1, F.sha2("html", 256)).otherwise("stale")
+    when = F.lit(NOW).cast("timestamp") - F.make_dt_interval((F.col("page_id") % 10).cast("int"))
+    return pages.where("page_id % 3 <> 0").select("url", hashed.alias("content_hash"), when.alias("last_crawled"), F.lit("old.md").alias("output_file"))
+
+
+def _hashed_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "pages").select("page_id", "url", F.sha2("html", 256).alias("content_hash"))
+
+
+def crawl_diff(spark: SparkSession, sf: str) -> DataFrame:
+    return crawl.due(_hashed_pages(spark, sf), _prior_state(spark, sf), F.lit(NOW).cast("timestamp"), 7).select("page_id", "reason")
+
+
+def state_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    now = F.lit(NOW).cast("timestamp")
+    stored = crawl.due(_hashed_pages(spark, sf), _prior_state(spark, sf), now, 7).where("reason <> 'unchanged'")
+    fresh = stored.select("url", "content_hash", now.alias("last_crawled"), F.concat(F.md5("url"), F.lit(".md")).alias("output_file"))
+    rows = crawl.upsert_state(_prior_state(spark, sf), fresh)
+    return rows.select("url", "content_hash", F.date_format("last_crawled", "yyyy-MM-dd").alias("crawled"), "output_file")
+
+
+def bfs_frontier(spark: SparkSession, sf: str) -> DataFrame:
+    pages = _table(spark, sf, "pages").select("page_id", "url")
+    targets = pages.select("url", F.explode(F.array(F.col("page_id") * 2 + 1, F.col("page_id") * 3 + 1)).alias("t"))
+    links = targets.join(pages.select(F.col("page_id").alias("t"), F.col("url").alias("target")), "t").select("url", "target")
+    return _long(crawl.reachable(links, pages.where("page_id = 0"), 3), "depth")
+
+
+# --- index, increments, code
+
+
+def _keyed(df: DataFrame, key: str, kind: str) -> DataFrame:
+    return df.where(F.col("text").isNotNull()).select(F.substring("text", 1, 4).alias("id"), F.lit(kind).alias("kind"), F.col(key).alias("number"))
+
+
+def _upserted(spark: SparkSession, sf: str, policy: str) -> DataFrame:
+    docs = _keyed(_table(spark, sf, "documents"), "doc_id", "document")
+    existing = docs.groupBy("id", "kind").agg(F.min("number").alias("number"))
+    return index.upsert(existing, _keyed(_table(spark, sf, "conversations"), "conv_id", "turn"), policy)
+
+
+def index_upsert_overwrite(spark: SparkSession, sf: str) -> DataFrame:
+    return _upserted(spark, sf, "overwrite")
+
+
+def index_upsert_skip(spark: SparkSession, sf: str) -> DataFrame:
+    return _upserted(spark, sf, "skip")
+
+
+def _prepared(rows: DataFrame) -> DataFrame:
+    return index.prepare(rows.select(F.col("text").alias("content"), F.array(F.lit(0.0).cast("float")).alias("embedding"), F.create_map(F.lit("domain"), "lang").alias("metadata")))
+
+
+def index_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Two collections under one path: each has its own rows, and writing one twice changes nothing."""
+    root = f"{scratch_root(spark)}/index-{uuid.uuid4().hex}"
+    rows = _prepared(_table(spark, sf, "documents"))
+    one, other = index.Collection(spark, root, "documents"), index.Collection(spark, root, "empty")
+    one.write(rows)
+    one.write(rows)
+    other.write(rows)
+    other.clear()
+    return one.read().groupBy("domain").agg(F.count("*").alias("stored")).withColumn("other", F.lit(other.stats()["document_count"]).cast("long"))
+
+
+def incremental_scan(spark: SparkSession, sf: str) -> DataFrame:
+    events = _table(spark, sf, "events")
+    middle = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz" if dict(events.dtypes)["ts"] == "timestamp_ntz" else "timestamp")
+    return events.where(F.col("ts") > middle).select("event_id", "user_id", "event_type")
+
+
+def stream_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as a stream of files into a collection; as the batch index has it."""
+    root = f"{scratch_root(spark)}/stream-{uuid.uuid4().hex}"
+    docs = _table(spark, sf, "documents")
+    path = f"{sf}/documents.parquet"
+    folder = path if not _is_file(spark, path) else f"{sf}/documents.parque[t]"
+    rows = spark.readStream.schema(docs.schema).parquet(folder)
+    own = index.Collection(spark, root, "documents")
+    incremental.index_stream(rows, _prepared, own, f"{root}/checkpoint").awaitTermination()
+    return own.read().select("id", "domain")
+
+
+def _is_file(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
+
+
+def _sources(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(fixtures.SOURCES, "path string, language string, content string")
+
+
+def code_entities(spark: SparkSession, sf: str) -> DataFrame:
+    rows = code_parse.entities(_sources(spark))
+    return _long(rows.select("path", "entity_no", "name", "entity_type", "start_line", "end_line", "signature", F.array_join("parameters", ",").alias("parameters"), F.array_join("methods", ",").alias("methods")), "entity_no", "start_line", "end_line")
+
+
+def code_imports(spark: SparkSession, sf: str) -> DataFrame:
+    return code_parse.imports(_sources(spark)).select("path", F.explode("imports").alias("statement"))
+
+
+def entity_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return _long(code_parse.entity_documents(code_parse.entities(_sources(spark))), "start_line", "end_line")
+
+
+def string_functions(spark: SparkSession, sf: str) -> DataFrame:
+    d = _table(spark, sf, "documents")
+    t = F.col("text")
+    return d.select(
+        "doc_id", T.capitalize(F.col("source")).alias("capital"), T.count_of(t, "th").alias("n_th"), T.truncate(t, 200).alias("cut"),
+        F.size(T.words(t)).cast("long").alias("n_words"), T.strip(F.concat(F.lit("\t "), F.col("source"), F.lit("\n"))).alias("stripped"), T.fixed(F.col("n_chars") / 7).alias("fixed"),
+    )
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbours of five vectors, their scores, and a context of their documents for each."""
+    vectors = _index(spark, sf)
+    asked = _table(spark, sf, "embeddings").where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    hits = retrieve.retrieve(vectors, asked, RetrievalSettings(top_k=3))
+    return hits.groupBy("query_id").agg(F.count("*").alias("hits"), F.round(F.max("score"), 6).alias("best")).join(rag.context(hits), "query_id")
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+_NAMES = (
+    "md_sections md_chunks md_blocks md_pack_multi chunk_fallback chunk_ids chunk_estimate chunk_samples chunk_stats doc_stats merge_small code_lines_chunks code_fence_chunks "
+    "code_python_chunks lang_detect repo_stats vector_topk vector_topk_batch vector_topk_cosine score_from_distance threshold_after_topk similarity_matrix similarity_01 embedding_stats "
+    "embedding_normalize embedding_preview embed_documents filter_eq_in filter_op_tree filter_post jaccard_pairs diversity_rescore retrieval_envelope retrieval_display context_build "
+    "sources_format prompt_build answer_extractive chat_format token_estimate request_validation page_meta page_links page_min_content html_markdown url_allow crawl_diff state_upsert "
+    "bfs_frontier index_upsert_overwrite index_upsert_skip index_stats incremental_scan stream_index code_entities code_imports entity_documents string_functions"
+).split()
 
 
 def queries() -> dict:
-    return {}
+    return {n: globals()[n] for n in _NAMES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)

@@ -23,3 +23,19 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(str(target))
         _SHIPPED.add(sc.applicationId)
     return spark
+
+
+_OWN: dict[str, str] = {}
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as `spark.checkpoint.dir` names it; a temporary one in local mode where it is unset."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="loomwright-")
+    return _OWN[app]
