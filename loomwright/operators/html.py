@@ -104,7 +104,9 @@ class _Page(HTMLParser):
 
     def markdown(self) -> str:
         text = next(("".join(p) for p in self.out.values() if "".join(p).strip()), "")
-        return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", re.sub(r"\n +", "\n", text))).strip()
+        parts = re.split(r"(\[code\]\n.*?\n\[/code\])", text, flags=re.DOTALL)
+        tidy = (p if i % 2 else re.sub(r"[ \t]+\n", "\n", re.sub(r"\n +", "\n", p)) for i, p in enumerate(parts))
+        return re.sub(r"\n{3,}", "\n\n", "".join(tidy)).strip()
 
 
 def parse(html: str, removed: tuple[str, ...] = REMOVED) -> _Page:

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from loomwright.functions import text as T
 from loomwright.schemas import HOT_KEYS, RetrievalSettings
@@ -69,6 +70,7 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, metric: str = "l2sq",
     total = queries.count()
     found = None
     kinds = dict(index.dtypes) | {query_key: dict(queries.dtypes)[query_key]}
+    query_type = to_arrow_type(queries.schema[query_key].dataType)
     schema = f"{query_key} {kinds[query_key]}, {key} {kinds[key]}, distance double"
     parts = max(1, -(-total // block))
     for part in range(parts):
@@ -97,7 +99,7 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, metric: str = "l2sq",
                     exact = ((q[row] - x[col]) ** 2).sum(1)
                 else:
                     exact = d[row, col]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[r] for r in row]), batch.column(0).take(pa.array(col)), pa.array(exact)], names=[query_key, key, "distance"])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[r] for r in row], query_type), batch.column(0).take(pa.array(col)), pa.array(exact)], names=[query_key, key, "distance"])
 
         one = index.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>")).mapInArrow(run, schema)
         found = one if found is None else found.unionByName(one)
