@@ -3,30 +3,12 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as `spark.checkpoint.dir` names it.
-
-    Only where it is unset, and only in local mode, a temporary folder stands in.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="loomwright-")
-    return _OWN[app]
-
+from loomwright.session import scratch_root
 
 class Scratch:
     """Written tables that cut lineage; a lost executor costs a reread, not a recomputation."""
@@ -66,3 +48,8 @@ def fresh(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def broadcast_if(df: DataFrame, most: int) -> DataFrame:
+    """A written table with a broadcast hint if it has at most `most` rows, else as it is, for Spark to shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -14,13 +14,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import Scratch, fresh
+from loomwright.llm.common import Scratch, broadcast_if, fresh
 
 WEIGHTS, SHARE, MOST, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, 17
 #: The budget that the dynamic programme fits exactly, in words; larger remainders are first brought down by whole documents.
 CAPACITY = 1 << 15
 #: Seeded hashes are ranked by their top bits first, so that no length is sorted whole in one task.
 BUCKET_BITS = 12
+#: Lengths of all sources whose cuts are broadcast, at about 60 bytes each; more are joined.
+BROADCAST_LENGTHS = 1 << 18
 
 
 def n_words(text: Column) -> Column:
@@ -106,12 +108,12 @@ def mix(docs: DataFrame, source: str = "source", size: str = "size", doc_id: str
     three result names are replaced; an empty table gives an empty one.
     """
     docs = docs.drop("source_size", "target", "copies")
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mix")
-    k = {c: fresh(docs, c) for c in ("mix_bucket", "mix_hash", "mix_base", "mix_extra", "mix_below", "mix_n", "m_source", "m_size", "m_bucket", "mix_rank")}
+    scratch = Scratch(docs.sparkSession, "mix")
+    key = fresh(docs, "mix_hash")
     order = F.xxhash64(F.col(doc_id), F.lit(seed))
-    keyed = docs.withColumns({k["mix_hash"]: order, k["mix_bucket"]: F.shiftright(order, 64 - BUCKET_BITS).cast("int")})
-    counts = scratch.keep(keyed.groupBy(F.col(source).alias("source"), F.col(size).alias("size"), F.col(k["mix_bucket"]).alias("bucket")).agg(F.count("*").alias("n")), "counts")
+    lean = scratch.keep(docs.select(F.col(source).alias("source"), F.col(size).alias("size"), order.alias("h")), "lean")
+    bucket = F.shiftright("h", 64 - BUCKET_BITS).cast("int")
+    counts = scratch.keep(lean.groupBy("source", "size", bucket.alias("bucket")).agg(F.count("*").alias("n")), "counts")
     by_source = targets(counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).cast("long").alias("source_size")), weights, share, most)
     by_length = counts.groupBy(F.col("source").alias("s"), "size").agg(F.sum("n").alias("n"))
     histogram = by_length.join(by_source, F.col("s").eqNullSafe(F.col("source"))).select("source", "size", "n", "source_size", "target")
@@ -123,18 +125,26 @@ def mix(docs: DataFrame, source: str = "source", size: str = "size", doc_id: str
         return rows[["source", "size", "source_size", "target"]].assign(base=base, extra=extra)
 
     kind = dict(docs.dtypes)[source]
-    plan = histogram.groupBy("source").applyInPandas(choose, f"source {kind}, size long, source_size long, target double, base int, extra long")
-    own = Window.partitionBy("source", "size").orderBy("bucket")
-    below = counts.withColumn("below", F.sum("n").over(own) - F.col("n"))
-    plan = plan.select(F.col("source").alias("p_source"), F.col("size").alias("p_size"), "source_size", "target", "base", "extra")
-    placed = below.join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size"))).select(
-        F.col("source").alias(k["m_source"]), F.col("size").alias(k["m_size"]), F.col("bucket").alias(k["m_bucket"]), F.col("n").alias(k["mix_n"]), F.col("below").alias(k["mix_below"]), F.col("base").alias(k["mix_base"]), F.col("extra").alias(k["mix_extra"]), "source_size", "target"
-    )
-    placed = scratch.keep(placed, "placed")
-    joined = keyed.join(placed, F.col(source).eqNullSafe(F.col(k["m_source"])) & (F.col(size) == F.col(k["m_size"])) & (F.col(k["mix_bucket"]) == F.col(k["m_bucket"])))
-    room = F.col(k["mix_extra"]) - F.col(k["mix_below"])
-    split = (room > 0) & (room < F.col(k["mix_n"]))
-    whole = joined.where(~split).withColumn("copies", F.col(k["mix_base"]) + F.when(room > 0, 1).otherwise(0))
-    rank = F.row_number().over(Window.partitionBy(k["m_source"], k["m_size"], k["m_bucket"]).orderBy(k["mix_hash"], doc_id))
-    partly = joined.where(split).withColumn(k["mix_rank"], rank).withColumn("copies", F.col(k["mix_base"]) + F.when(F.col(k["mix_rank"]) <= room, 1).otherwise(0)).drop(k["mix_rank"])
-    return whole.unionByName(partly).select(*docs.columns, "source_size", "target", "copies")
+    plan = scratch.keep(histogram.groupBy("source").applyInPandas(choose, f"source {kind}, size long, source_size long, target double, base int, extra long"), "plan")
+    # Of each length, the extra copies go to the smallest hashes: find the last one's, looking only into the bucket that has it.
+    named = plan.where("extra > 0").select(F.col("source").alias("p_source"), F.col("size").alias("p_size"), "extra")
+    upto = F.sum("n").over(Window.partitionBy("source", "size").orderBy("bucket"))
+    edge = counts.withColumn("upto", upto).join(named, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size"))).where("upto >= extra and upto - n < extra")
+    edge = edge.select(F.col("source").alias("e_source"), F.col("size").alias("e_size"), F.col("bucket").alias("e_bucket"), (F.col("extra") - F.col("upto") + F.col("n")).alias("need"))
+    inside = lean.join(edge, F.col("source").eqNullSafe(F.col("e_source")) & (F.col("size") == F.col("e_size")) & (bucket == F.col("e_bucket"))).select("source", "size", "h", "need")
+    values = inside.groupBy("source", "size", "need", "h").agg(F.count("*").alias("times"))  # equal ids have equal hashes
+    ranked = values.withColumn("upto", F.sum("times").over(Window.partitionBy("source", "size").orderBy("h")))
+    last = ranked.where("upto >= need and upto - times < need").select(F.col("source").alias("l_source"), F.col("size").alias("l_size"), F.col("h").alias("last"), (F.col("need") - F.col("upto") + F.col("times")).alias("take"), "times")
+    cuts = plan.join(last, F.col("source").eqNullSafe(F.col("l_source")) & (F.col("size") == F.col("l_size")), "left")
+    c = {x: fresh(docs, f"mix_{x}") for x in ("source", "size", "base", "last", "take", "times")}
+    cuts = scratch.keep(cuts.select("source_size", "target", *(F.col(x).alias(c[x]) for x in c)), "cuts")
+    keyed = docs.withColumn(key, order)
+    joined = keyed.join(broadcast_if(cuts, BROADCAST_LENGTHS), F.col(source).eqNullSafe(F.col(c["source"])) & (F.col(size) == F.col(c["size"])))
+    more = F.when(F.col(key) < F.col(c["last"]), 1).when((F.col(key) == F.col(c["last"])) & (F.col(c["take"]) == F.col(c["times"])), 1).otherwise(0)
+    out = joined.withColumn("copies", F.col(c["base"]) + more)
+    torn = (F.col(key) == F.col(c["last"])) & (F.col(c["take"]) < F.col(c["times"]))
+    if cuts.where(F.col(c["take"]) < F.col(c["times"])).limit(1).count():  # only some rows of one id are taken
+        rank = F.row_number().over(Window.partitionBy(c["source"], c["size"]).orderBy(key))
+        some = out.where(torn).withColumn("copies", F.col(c["base"]) + F.when(rank <= F.col(c["take"]), 1).otherwise(0))
+        out = out.where(~F.coalesce(torn, F.lit(False))).unionByName(some)
+    return out.select(*docs.columns, "source_size", "target", "copies")

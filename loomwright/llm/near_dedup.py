@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import Scratch
+from loomwright.llm.common import Scratch, fresh
 from loomwright.llm.components import components
 from loomwright.llm.vectext import NON_SPACE, U64, Words, as_bytes, blocks, fmix, pair_hash
 
@@ -217,3 +217,35 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     smallest = owned.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("least_id"))
     out = owned.join(smallest, "label", "left").select("doc_id", "n_shingles", F.coalesce("least_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _without(docs: DataFrame, gone: DataFrame, doc_id: str) -> DataFrame:
+    """docs whose id is not in `gone`, of which only those that a filter of 2**FILTER_BITS bits lets through are shuffled.
+
+    The filter is a table of at most 2**(FILTER_BITS - 6) words of 64 bits, whatever the corpus.
+    """
+    bit = F.shiftrightunsigned(F.xxhash64(F.col(doc_id)), 64 - FILTER_BITS)
+    word, mask = fresh(docs, "filter_word"), fresh(docs, "filter_mask")
+    table = gone.select(F.shiftright(bit, 6).alias(word), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64({doc_id}), {64 - FILTER_BITS}) & 63 as int))").alias(mask)).groupBy(word).agg(F.bit_or(mask).alias(mask))
+    own = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64({doc_id}), {64 - FILTER_BITS}) & 63 as int))")
+    told = docs.withColumn(word, F.shiftright(bit, 6)).join(F.broadcast(table), word, "left")
+    maybe = F.coalesce(F.col(mask).bitwiseAND(own) != 0, F.lit(False))
+    clear = told.where(~maybe).select(*docs.columns)
+    return clear.unionByName(told.where(maybe).join(gone, doc_id, "left_anti").select(*docs.columns))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The documents that stay: of each group the one with the smallest id, and all without an id.
+
+    Rows of equal id and text count once; rows of one id with different texts stay together.
+    """
+    scratch = Scratch(docs.sparkSession, "kept")
+    judged = scratch.keep(near_duplicates(docs, doc_id, text, **how), "judged").where(F.col("doc_id").isNotNull())
+    gone = scratch.keep(judged.where(~F.col("kept")).select(F.col("doc_id").alias(doc_id)).distinct(), "gone")
+    left = _without(docs, gone, doc_id)
+    twice = judged.where("kept").groupBy(F.col("doc_id").alias(doc_id)).agg(F.count("*").alias("rows")).where("rows > 1").select(doc_id)
+    if twice.limit(1).count():
+        own = fresh(docs, "text_key")
+        keyed = left.withColumn(own, F.xxhash64(F.col(text), F.lit(3)))
+        left = left.join(twice, doc_id, "left_anti").unionByName(keyed.join(twice, doc_id, "left_semi").dropDuplicates([doc_id, own]).drop(own))
+    return left.select(*docs.columns)
