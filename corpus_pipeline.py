@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm import decontamination, line_dedup, mixing, near_dedup, quality_rules
-from loomwright.llm.common import Scratch, fresh, table
+from loomwright.llm.common import Scratch, table
 from loomwright.session import ship
 
 #: No SQL states the perplexity bands, the minhash tables or the knapsack; tests compare run() with brute force.
@@ -35,15 +35,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the smallest id.  Equal rows count once; documents without an id stay."""
     ship(spark)
-    scratch = Scratch(spark, "stage-near")
-    judged = scratch.keep(near_dedup.near_duplicates(docs), "judged").where(F.col("doc_id").isNotNull())
-    left = docs.join(judged.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti")
-    twice = judged.where("kept").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
-    if twice.limit(1).count():
-        own = fresh(docs, "text_key")
-        keyed = left.withColumn(own, F.xxhash64("text", F.lit(3)))
-        left = left.join(twice, "doc_id", "left_anti").unionByName(keyed.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", own]).drop(own))
-    return left.select(*docs.columns)
+    return near_dedup.keep_one(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
