@@ -6,17 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, per_class: int) -> tuple[DataFrame, dict[int, int]]:
-    """(text, y) of at most `per_class` labelled documents of each class, and the number of labels of each class.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, per_class: int | tuple[int, int]) -> tuple[DataFrame, dict[int, int]]:
+    """(text, y) of at most `per_class` labelled documents of each class (or as many of class 0 and 1), and the number of labels of each class.
 
     `keep` is a condition on doc_id that a learnable row meets.  The rows with the
     smallest hashes of doc_id are taken, so reruns agree; a document with several
     labels has the largest; null labels and null ids teach nothing.  The chosen ids
-    number at most 2 * per_class, which bounds what is broadcast.
+    number at most the sum of both, which bounds what is broadcast.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & keep)
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    chosen = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
+    most = (per_class, per_class) if isinstance(per_class, int) else per_class
+    chosen = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[y]) for y in (0, 1)]
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))
     return docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "y"), sizes
