@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from loomwright.functions import text as T
 from loomwright.schemas import LLMSettings
 
-#: What the model is told around the excerpts.
-SYSTEM = "You are an expert assistant helping developers use Golden design system components and guidelines."
+#: What the model is told around the excerpts; the subject is whatever the documents are about.
+SYSTEM = "You are an expert assistant helping developers use {} components and guidelines."
+SUBJECT = "design system"
 INTRO = "Use the following documentation excerpts to answer my question. Each excerpt includes metadata about the source.\n\nContext:\n"
 INSTRUCTIONS = (
     "Instructions:\n"
@@ -41,13 +42,13 @@ def context(hits: DataFrame, most: int = 3, query_key: str = "query_id") -> Data
     return hits.where(F.col("rank") <= most).groupBy(query_key).agg(ordered_concat(F.concat(head, "content"), F.col("rank"), "\n\n").alias("context"))
 
 
-def prompts(hits: DataFrame, questions: DataFrame, query_key: str = "query_id") -> DataFrame:
+def prompts(hits: DataFrame, questions: DataFrame, query_key: str = "query_id", subject: str = SUBJECT) -> DataFrame:
     """(query_key, system, prompt) of every question; one without hits has no excerpts."""
     section = F.when(F.coalesce("heading", F.lit("")) != "", F.concat(F.lit("Section: "), "heading")).otherwise("")
     excerpt = F.concat(F.lit("\n---\nSource: "), F.coalesce("title", "url", F.lit("")), F.lit("\n"), section, F.lit("\n\n"), "content", F.lit("\n"))
     joined = hits.groupBy(query_key).agg(ordered_concat(excerpt, F.col("rank"), "").alias("excerpts"))
     whole = F.concat(F.lit(INTRO), F.coalesce("excerpts", F.lit("")), F.lit("\nQuestion: "), "question", F.lit("\n\n" + INSTRUCTIONS))
-    return questions.join(joined, query_key, "left").select(query_key, F.lit(SYSTEM).alias("system"), whole.alias("prompt"))
+    return questions.join(joined, query_key, "left").select(query_key, F.lit(SYSTEM.format(subject)).alias("system"), whole.alias("prompt"))
 
 
 def with_context(context_text: Column, question: Column) -> Column:
@@ -88,8 +89,8 @@ class Extractive:
 
 #: Models by name: functions of the settings that return an object with reply(system, prompt).
 MODELS: dict[str, Callable[[LLMSettings], object]] = {"extractive": Extractive}
-#: Context windows in tokens by the beginning of a model's name.
-CONTEXT_WINDOWS = {"claude": 200_000}
+#: Context windows in tokens by the beginning of a model's name; whoever registers a model adds its own.
+CONTEXT_WINDOWS: dict[str, int] = {}
 
 
 def model_info(settings: LLMSettings) -> dict:

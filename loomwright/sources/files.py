@@ -55,17 +55,18 @@ def markdown_directory(spark: SparkSession, path: str, recursive: bool = False)
     return parse_frontmatter(files.select(F.col("_metadata.file_path").alias("path"), "value"))
 
 
-def tsx_directory(spark: SparkSession, path: str) -> DataFrame:
-    """(path, metadata, content) of .tsx files with made-up metadata named after the file."""
+def tsx_directory(spark: SparkSession, path: str, domain: str = "components", framework: str = "React") -> DataFrame:
+    """(path, metadata, content) of .tsx files with made-up metadata named after the file, and the given domain and framework."""
     files = spark.read.option("pathGlobFilter", "*.tsx").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     stem = F.regexp_extract("path", r"([^/]+)\.tsx$", 1)
-    said = {"title": stem, "component": stem, "category": F.lit("Implementation"), "framework": F.lit("React"), "file_type": F.lit("tsx"), "domain": F.lit("golden.design")}
+    said = {"title": stem, "component": stem, "category": F.lit("Implementation"), "framework": F.lit(framework), "file_type": F.lit("tsx"), "domain": F.lit(domain)}
     return files.select("path", F.create_map(*(x for k, v in said.items() for x in (F.lit(k), v))).alias("metadata"), "content")
 
 
-def document_batch(spark: SparkSession, docs: str, components: str | None = None) -> DataFrame:
+def document_batch(spark: SparkSession, docs: str, components: str | None = None, domain: str = "components") -> DataFrame:
+    """The markdown files of one folder and the components of another."""
     found = markdown_directory(spark, docs)
-    return found.unionByName(tsx_directory(spark, components)) if components else found
+    return found.unionByName(tsx_directory(spark, components, domain)) if components else found
 
 
 def chunk_metadata(metadata: Column, chunk_type: Column, heading: Column, source: Column | None = None) -> Column:
