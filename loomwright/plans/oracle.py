@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from loomwright.operators.rag import INSTRUCTIONS, INTRO, SUBJECT, SYSTEM
+
 _STRIP = r"regexp_replace(regexp_replace({0}, '^\s+', ''), '\s+$', '')"
 _D2 = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: (CAST({0}[i] AS DOUBLE) - CAST({1}[i] AS DOUBLE)) * (CAST({0}[i] AS DOUBLE) - CAST({1}[i] AS DOUBLE))))"
 _DOT = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: CAST({0}[i] AS DOUBLE) * CAST({1}[i] AS DOUBLE)))"
@@ -46,7 +48,17 @@ ex AS (SELECT substr(text, 1, 4) AS id, 'document' AS kind, min(doc_id) AS numbe
 inc AS (SELECT substr(text, 1, 4) AS id, 'turn' AS kind, min(conv_id) AS number FROM conversations WHERE text IS NOT NULL GROUP BY 1, 2)
 """
 
+def _text(x: str) -> str:
+    """A string literal with line ends."""
+    return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
 ORACLE: dict[str, str] = {
+    "prompt_build": _with_hits(f"""
+        , x AS (SELECT query_id, string_agg(chr(10) || '---' || chr(10) || 'Source: ' || title || chr(10) || 'Section: ' || heading || chr(10) || chr(10) || content || chr(10), '' ORDER BY rank) AS excerpts FROM hits GROUP BY query_id)
+        SELECT qs.query_id, {_text(SYSTEM.format(SUBJECT))} AS system,
+          {_text(INTRO)} || coalesce(excerpts, '') || chr(10) || 'Question: What is in document ' || qs.query_id || '?' || chr(10) || chr(10) || {_text(INSTRUCTIONS)} AS prompt
+        FROM qs LEFT JOIN x ON qs.query_id = x.query_id"""),
     "md_sections": f"""
         SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS section_no, role || ' ' || turn AS heading, CAST(2 AS BIGINT) AS level, {_strip("coalesce(text, '')")} AS content FROM conversations""",
     "md_chunks": f"""

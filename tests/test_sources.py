@@ -1,4 +1,8 @@
+import pytest
+
+from loomwright.plans import fixtures
 from loomwright.sources import files
+from loomwright.sources.adapter import CodeTree, NotFound
 from loomwright.streaming import incremental
 
 
@@ -43,3 +47,18 @@ def test_changed_pages_stream(spark, tmp_path):
         stream = incremental.stream_files(spark, str(pages), "url string, html string, crawled_at timestamp")
         incremental.changed_pages(stream, lambda batch, n: seen.extend((r.url, r.html) for r in batch.collect()), str(tmp_path / "check")).awaitTermination()
     assert sorted(seen) == [("a", "1"), ("b", "1"), ("b", "2")]
+
+
+def test_adapter(spark, tmp_path):
+    (tmp_path / "a.py").write_text(fixtures.PYTHON)
+    (tmp_path / "b.js").write_text(fixtures.JAVASCRIPT)
+    (tmp_path / "c.py").write_text("def broken(:")
+    with CodeTree(spark, str(tmp_path)) as tree:
+        assert [r.source_id for r in tree.ids().collect()] == ["a.py", "b.js", "c.py"] and tree.ids(["python"], 1).count() == 1
+        assert tree.fetch("b.js").first().language == "javascript"
+        ids = [r.source_id for r in tree.entities().collect()]
+        assert len(ids) == len(set(ids)) == 7 and "a.py::total" in ids
+        with pytest.raises(NotFound):
+            tree.fetch("d.py")
+    with pytest.raises(NotFound), CodeTree(spark, str(tmp_path / "none")):
+        pass
