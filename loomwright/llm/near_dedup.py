@@ -214,6 +214,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         labels = components(links.unionByName(more), scratch, "second")
     owned = signed.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "n_shingles", F.coalesce("label", "cls").alias("label"))
     owned = scratch.keep(owned, "owned")
+    for done in ("signed", "reps", "members", "sets", "active", "links", "more"):
+        scratch.drop(done)
     smallest = owned.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("least_id"))
     out = owned.join(smallest, "label", "left").select("doc_id", "n_shingles", F.coalesce("least_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
