@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm.common import Scratch, fresh
@@ -34,7 +34,7 @@ ROWS, SIDE, SEED = 6, 12, 20240607
 SHINGLE, LEAST = 5, 80
 #: Set elements that a block holds, unless one set is larger.
 BLOCK_ELEMENTS = 1 << 19
-#: Bits of the filter that keeps texts out of the second pass which no bucket needs.
+#: Bits of the filters that keep texts out of second passes and shuffles which do not need them.
 FILTER_BITS = 22
 
 
@@ -103,33 +103,40 @@ def signatures(docs: DataFrame, doc_id: str, text: str, width: int, rows: int, s
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, cls long, halves array<long>")
 
 
-def _sets(docs: DataFrame, text: str, width: int, wanted: DataFrame) -> DataFrame:
-    """(cls, n, elements) of the classes in `wanted`, once each.
+def _told(docs: DataFrame, ids: DataFrame, doc_id: str) -> tuple[DataFrame, Column]:
+    """docs with two more columns, and whether a row's id may be among `ids`, one column of that name.
 
-    A filter of 2**FILTER_BITS bits goes to the executors; it lets some more classes through, which the join drops.
+    The test is a filter of 2**FILTER_BITS bits, broadcast as a table of at most
+    2**(FILTER_BITS - 6) words of 64 bits, whatever the corpus.
+    """
+    word, mask = fresh(docs, "filter_word"), fresh(docs, "filter_mask")
+    bit = F.shiftrightunsigned(F.xxhash64(F.col(doc_id)), 64 - FILTER_BITS)
+    own = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
+    table = ids.select(F.shiftright(bit, 6).alias(word), own.alias(mask)).groupBy(word).agg(F.bit_or(mask).alias(mask))
+    told = docs.withColumn(word, F.shiftright(bit, 6)).join(F.broadcast(table), word, "left")
+    return told, F.coalesce(F.col(mask).bitwiseAND(own) != 0, F.lit(False))
+
+
+def _sets(docs: DataFrame, doc_id: str, text: str, width: int, wanted: DataFrame) -> DataFrame:
+    """(cls, n, elements) of the classes in `wanted` (cls, doc), once each.
+
+    Only texts whose id may be a class's smallest, or who have none, are read again.
     """
-    bit = F.shiftright(F.col("cls"), 64 - FILTER_BITS).cast("int")
-    on = wanted.select(bit.alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64) + (1 << (FILTER_BITS - 1))
-    table = np.zeros(1 << FILTER_BITS, bool)
-    table[on] = True
-    held = docs.sparkSession.sparkContext.broadcast(np.packbits(table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        may = np.unpackbits(held.value).astype(bool)
         for batch in batches:
             for block in blocks(batch, "text"):
                 flat, starts = shingle_sets(*as_bytes(block.column(0)), width)
-                cls = class_ids(flat, starts).view(np.int64)
-                some = (np.diff(starts) > 0) & may[(cls >> (64 - FILTER_BITS)) + (1 << (FILTER_BITS - 1))]
-                keep = np.flatnonzero(some)
+                cls, size = class_ids(flat, starts).view(np.int64), np.diff(starts)
+                keep = np.flatnonzero(size)
                 keep = keep[np.unique(cls[keep], return_index=True)[1]]
-                size = np.diff(starts)[keep]
                 own = np.concatenate([flat[starts[i] : starts[i + 1]] for i in keep.tolist()]) if len(keep) else flat[:0]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(own.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(cls[keep]), pa.array(size), lists], names=["cls", "n", "elements"])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size[keep])]).astype(np.int32)), pa.array(own.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(cls[keep]), pa.array(size[keep]), lists], names=["cls", "n", "elements"])
 
-    every = docs.select(F.col(text).alias("text")).mapInArrow(run, "cls long, n long, elements array<long>")
-    return every.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
+    told, maybe = _told(docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")), wanted.select("doc"), "doc")
+    some = told.where(maybe | F.col("doc").isNull()).select("text").mapInArrow(run, "cls long, n long, elements array<long>")
+    return some.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
@@ -200,12 +207,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     scratch = Scratch(docs.sparkSession, "near")
     signed = scratch.keep(signatures(docs, doc_id, text, width, rows, side), "signed")
-    reps = scratch.keep(signed.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.first("n_shingles").alias("n"), F.first("halves").alias("halves")), "reps")
+    reps = scratch.keep(signed.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.first("n_shingles").alias("n"), F.first("halves").alias("halves"), F.min("doc_id").alias("doc")), "reps")
     keys = F.explode(F.array(*(F.xxhash64(F.lit(i * side + j), F.element_at("halves", i + 1), F.element_at("halves", side + j + 1)) for i in range(side) for j in range(side))))
     keyed = reps.select("cls", keys.alias("key"))
     leads = keyed.groupBy("key").agg(F.min("cls").alias("lead"), F.count("*").alias("many")).where("many > 1").drop("many")
     members = scratch.keep(keyed.join(leads, "key"), "members")
-    sets = scratch.keep(_sets(docs, text, width, members.select("cls").distinct()), "sets")
+    wanted = scratch.keep(reps.select("cls", "doc").join(members.select("cls"), "cls", "left_semi"), "wanted")
+    sets = scratch.keep(_sets(docs, doc_id, text, width, wanted), "sets")
     pairs = members.where(F.col("cls") != F.col("lead")).select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct()
     links = scratch.keep(_verify(pairs, sets, least), "links")
     labels = components(links, scratch, "first")
@@ -214,7 +222,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         labels = components(links.unionByName(more), scratch, "second")
     owned = signed.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "n_shingles", F.coalesce("label", "cls").alias("label"))
     owned = scratch.keep(owned, "owned")
-    for done in ("signed", "reps", "members", "sets", "active", "links", "more"):
+    for done in ("signed", "reps", "members", "wanted", "sets", "active", "links", "more"):
         scratch.drop(done)
     smallest = owned.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("least_id"))
     out = owned.join(smallest, "label", "left").select("doc_id", "n_shingles", F.coalesce("least_id", "doc_id").alias("component_id"))
@@ -222,18 +230,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def _without(docs: DataFrame, gone: DataFrame, doc_id: str) -> DataFrame:
-    """docs whose id is not in `gone`, of which only those that a filter of 2**FILTER_BITS bits lets through are shuffled.
-
-    The filter is a table of at most 2**(FILTER_BITS - 6) words of 64 bits, whatever the corpus.
-    """
-    bit = F.shiftrightunsigned(F.xxhash64(F.col(doc_id)), 64 - FILTER_BITS)
-    word, mask = fresh(docs, "filter_word"), fresh(docs, "filter_mask")
-    table = gone.select(F.shiftright(bit, 6).alias(word), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64({doc_id}), {64 - FILTER_BITS}) & 63 as int))").alias(mask)).groupBy(word).agg(F.bit_or(mask).alias(mask))
-    own = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64({doc_id}), {64 - FILTER_BITS}) & 63 as int))")
-    told = docs.withColumn(word, F.shiftright(bit, 6)).join(F.broadcast(table), word, "left")
-    maybe = F.coalesce(F.col(mask).bitwiseAND(own) != 0, F.lit(False))
-    clear = told.where(~maybe).select(*docs.columns)
-    return clear.unionByName(told.where(maybe).join(gone, doc_id, "left_anti").select(*docs.columns))
+    """docs whose id is not in `gone`; only those that may be in it are shuffled."""
+    told, maybe = _told(docs, gone, doc_id)
+    return told.where(~maybe).select(*docs.columns).unionByName(told.where(maybe).join(gone, doc_id, "left_anti").select(*docs.columns))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
