@@ -26,7 +26,7 @@ SIZE = 1 << (ORDER * BITS)
 #: Characters that count as symbols.
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 #: Half a band's width in deviations, what is added to it, and the least deviation; a mean over n n-grams deviates by about spread / sqrt(n).
-WIDTH, SLACK, LEAST_SPREAD = 5.5, 0.01, 0.5
+WIDTH, SLACK, LEAST_SPREAD = 3.0, 0.01, 0.5
 #: Log perplexities are counted in steps of 1/200 up to 20 and distances up to 100, so a language has at most 20,000 counts.
 STEPS, HIGHEST, FARTHEST = 200, 20.0, 100.0
 #: Bands are broadcast for up to so many languages and joined beyond.

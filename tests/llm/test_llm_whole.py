@@ -2,9 +2,10 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from loomwright.llm import context_tree
+from loomwright.llm import context_tree, mixing, near_dedup, queries
 from loomwright.llm.vectext import as_bytes
 
 
@@ -29,3 +30,13 @@ def test_every_context_scores(spark, monkeypatch):
         monkeypatch.setattr(context_tree, "TABLE", most, raising=False)
         got = {r.doc_id: r.score for r in context_tree.score(df, F.col("doc_id") < 12).collect()}
         assert np.allclose([got[i] for i in range(len(texts))], want, rtol=1e-5)
+
+
+def test_bands_reject_labelled_junk_in_each_language(spark):
+    sf = "/root/testdata/sf0.1"
+    judged = queries.op3_quality_rules(spark, sf).where("not base_failed").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    langs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
+    kept = {(r.lang, r.quality): r.share for r in judged.join(langs, "doc_id").groupBy("lang", "quality").agg(F.avg(F.col("kept").cast("int")).alias("share")).collect()}
+    assert all(kept[lang, 1] > 0.99 for lang in ("en", "de", "fr", "es"))
+    # Spanish varies most: the byte classes tell only its worst junk.
+    assert all(kept[lang, 0] < most for lang, most in (("en", 0.2), ("de", 0.45), ("fr", 0.45), ("es", 0.85)))
