@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from loomwright.llm.common import Scratch, broadcast_if, fresh
 
 WEIGHTS, SHARE, MOST, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, 17
-#: The budget that the dynamic programme fits exactly, in words; larger remainders are first brought down by whole documents.
+#: The budget that the dynamic programme fits exactly, in words; larger remainders are first brought down by whole documents, longer ones of which it fits in coarser units.
 CAPACITY = 1 << 15
 #: Seeded hashes are ranked by their top bits first, so that no length is sorted whole in one task.
 BUCKET_BITS = 12
@@ -59,6 +59,29 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return ranked.withColumn("target", F.least(F.lit(level) * F.col("weight"), cap))
 
 
+def _programme(sizes: np.ndarray, spare: np.ndarray, budget: int) -> np.ndarray:
+    """How many of each size to take, at most `spare`, so that their sum is the largest up to `budget`."""
+    take = np.zeros(len(sizes), np.int64)
+    mask, sums, chunks = (1 << (budget + 1)) - 1, 1, []
+    history = []
+    for i in np.flatnonzero((spare > 0) & (sizes <= budget)):
+        some, step = int(min(spare[i], budget // sizes[i])), 1
+        while some:  # binary parts of a bounded count
+            n = min(step, some)
+            history.append(sums)
+            chunks.append((i, n))
+            sums |= (sums << (n * int(sizes[i]))) & mask
+            some, step = some - n, step * 2
+        if sums >> budget:
+            break
+    best = sums.bit_length() - 1
+    for (i, n), earlier in zip(reversed(chunks), reversed(history)):
+        if not (earlier >> best) & 1:
+            take[i] += n
+            best -= n * int(sizes[i])
+    return take
+
+
 def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, capacity: int = CAPACITY) -> np.ndarray:
     """How many documents of each length to take, so that their words come as near `budget` as they can from below."""
     order = np.argsort(lengths)
@@ -69,32 +92,19 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, capacity:
     if total:
         take[usable] = np.minimum(counts, np.floor(counts * min(budget / total, 1.0)).astype(np.int64))[usable]
     left = budget - int((take * lengths).sum())
+    if left > capacity:  # lengths above the capacity are fitted by the programme too, in units that make it small enough
+        unit = -(-left // capacity)
+        take += _programme(-(-lengths // unit), np.where(lengths > capacity, counts - take, 0), left // unit)
+        left = budget - int((take * lengths).sum())
     for i in np.flatnonzero(usable)[::-1]:
         if left <= capacity:
             break
         spare, size = int(counts[i] - take[i]), int(lengths[i])
-        n = min(spare, -(-(left - capacity) // size) if size <= capacity else (left - capacity) // size)
+        n = min(spare, -(-(left - capacity) // size) if size <= capacity else left // size)
         take[i] += n
         left -= n * size
-    if 0 < left <= capacity:
-        kinds = [i for i in np.flatnonzero(usable & (lengths <= left)) if counts[i] > take[i]]
-        mask, sums, chunks = (1 << (left + 1)) - 1, 1, []
-        history = []
-        for i in kinds:
-            spare, step = int(min(counts[i] - take[i], left // lengths[i])), 1
-            while spare:  # binary parts of a bounded count
-                n = min(step, spare)
-                history.append(sums)
-                chunks.append((i, n))
-                sums |= (sums << (n * int(lengths[i]))) & mask
-                spare, step = spare - n, step * 2
-            if sums >> left:
-                break
-        best = sums.bit_length() - 1
-        for (i, n), earlier in zip(reversed(chunks), reversed(history)):
-            if not (earlier >> best) & 1:
-                take[i] += n
-                best -= n * int(lengths[i])
+    if 0 < left <= capacity:  # above it, all that could still be taken is longer than what is left
+        take += _programme(lengths, np.where(usable, counts - take, 0), left)
     out = np.zeros(len(take), np.int64)
     out[order] = take
     return out

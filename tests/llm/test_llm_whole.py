@@ -40,3 +40,19 @@ def test_bands_reject_labelled_junk_in_each_language(spark):
     assert all(kept[lang, 1] > 0.99 for lang in ("en", "de", "fr", "es"))
     # Spanish varies most: the byte classes tell only its worst junk.
     assert all(kept[lang, 0] < most for lang, most in (("en", 0.2), ("de", 0.45), ("fr", 0.45), ("es", 0.85)))
+
+
+def test_fit_of_long_documents():
+    def got(lengths, counts, budget):
+        take = mixing.fit_lengths(np.array(lengths), np.array(counts), budget)
+        assert (take >= 0).all() and (take <= counts).all()
+        return int((take * lengths).sum())
+
+    assert got([61_000, 60_000], [1, 1], 84_000) == 61_000
+    assert got([61_000, 55_000], [1, 2], 110_000) == 110_000
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        lengths = np.unique(rng.integers(1, 200_000, rng.integers(1, 9)))
+        counts = rng.integers(1, 4, len(lengths))
+        budget = int(rng.integers(0, (lengths * counts).sum() + 1))
+        assert 0 <= budget - got(lengths, counts, budget) < max(lengths.max(), 1)
