@@ -43,7 +43,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     words = Words(data, offsets, NON_SPACE, lower=True)
     h, first = words.hashes(), words.first
     grams = h.copy()
-    for k in range(1, width):
+    for k in range(1, min(width, len(h))):
         grams[: len(h) - k] = pair_hash(grams[: len(h) - k], h[k:])
     parts, sizes = [], []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):

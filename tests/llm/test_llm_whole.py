@@ -42,6 +42,15 @@ def test_bands_reject_labelled_junk_in_each_language(spark):
     assert all(kept[lang, 0] < most for lang, most in (("en", 0.2), ("de", 0.45), ("fr", 0.45), ("es", 0.85)))
 
 
+@pytest.mark.parametrize("text", ["two words", "three short words", "one", ""])
+def test_a_batch_of_one_short_text(spark, text):
+    both = near_dedup.shingle_sets(*as_bytes(pa.array([text, "here are more words than a shingle has"])), 5)
+    alone = near_dedup.shingle_sets(*as_bytes(pa.array([text])), 5)
+    assert np.array_equal(alone[0], both[0][: both[1][1]])
+    rows = near_dedup.near_duplicates(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.n_shingles, r.kept) for r in rows] == [(1, int(text != ""), True)]
+
+
 def test_fit_of_long_documents():
     def got(lengths, counts, budget):
         take = mixing.fit_lengths(np.array(lengths), np.array(counts), budget)
