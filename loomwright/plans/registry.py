@@ -115,6 +115,13 @@ def code_fence_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return _long(rows.select("doc_id", "chunk_no", "content", "start_index", "end_index"), "chunk_no", "start_index", "end_index")
 
 
+def code_fence_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line of each document in a fence, at the production chunk size; no SQL follows the cut fences."""
+    docs = _table(spark, sf, "documents").select("doc_id", F.concat(F.lit("Intro here\n```python\n"), "text", F.lit("\n```\nbetween\n```\nlast = 1\n```\nend")).alias("content"))
+    rows = code_chunks.chunk_code(docs)
+    return _long(rows.select("doc_id", "chunk_no", "content", "start_index", "end_index"), "chunk_no", "start_index", "end_index")
+
+
 def code_python_chunks(spark: SparkSession, sf: str) -> DataFrame:
     lines = F.size(F.split("text", "\n", -1))
     docs = _table(spark, sf, "documents").select("doc_id", F.concat(F.lit("import os\n\ndef first(x):\n    '''"), "text", F.lit("'''\n    return x\n\nclass Second:\n    def third(self): pass\n")).alias("content"), lines.alias("n"))
@@ -437,7 +444,7 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _NAMES = (
-    "md_sections md_chunks md_blocks md_pack_multi chunk_fallback chunk_ids chunk_estimate chunk_samples chunk_stats doc_stats merge_small code_lines_chunks code_fence_chunks "
+    "md_sections md_chunks md_blocks md_pack_multi chunk_fallback chunk_ids chunk_estimate chunk_samples chunk_stats doc_stats merge_small code_lines_chunks code_fence_chunks code_fence_whole "
     "code_python_chunks lang_detect repo_stats vector_topk vector_topk_batch vector_topk_cosine score_from_distance threshold_after_topk similarity_matrix similarity_01 embedding_stats "
     "embedding_normalize embedding_preview embed_documents filter_eq_in filter_op_tree filter_post jaccard_pairs diversity_rescore retrieval_envelope retrieval_display context_build "
     "sources_format prompt_build answer_extractive chat_format token_estimate request_validation page_meta page_links page_min_content html_markdown url_allow crawl_diff state_upsert "
