@@ -158,7 +158,7 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
 
 def kt_log(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """log of the Krichevsky-Trofimov probability of a zeros and b ones."""
-    return _log_gamma_half(a) + _log_gamma_half(b) - _log_gamma(a + b + 1) - np.log(np.pi)
+    return _log_gamma_half(a) + _log_gamma_half(b) - _log_gamma(a + b + 1.0) - np.log(np.pi)
 
 
 Level = tuple[np.ndarray, np.ndarray, np.ndarray]
