@@ -123,12 +123,76 @@ def test_quality_base(spark, texts):
         assert r.base_failed == (len(w) < 10 or 100 * len(hit) > 20 * len(w)) and not (r.base_failed and r.kept)
 
 
-def test_language_model_of_quality_sums_to_one(texts):
-    keys, _ = quality_rules.packed(*as_bytes(pa.array(list(texts.values()))))
-    seen, counts = np.unique(keys, return_counts=True)
-    model = quality_rules.KneserNey(seen, counts)
-    for context in (0, 5, 27 * 32 * 32 + 19 * 32 + 7, 31 * 32 * 32 + 31 * 32 + 30):
-        assert math.isclose(np.exp(model.log_prob(context * 32 + np.arange(32))).sum(), 1, rel_tol=1e-6)
+def _kneser_ney(rows, order):
+    """log p of each n-gram (language, context, code point) that occurs, by the definition: dictionaries, no joins."""
+
+    def discount(counts):
+        n1, n2, n3, n4 = (sum(c == k for c in counts.values()) for k in (1, 2, 3, 4))
+        if not (n1 and n2):
+            return lambda c: 0.5
+        y = n1 / (n1 + 2 * n2)
+        d = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 2 - y)
+        return lambda c: min(max(d[min(c, 3) - 1], 0.05), min(c, 3) - 0.05)
+
+    def model(counts, below):
+        cut, total, mass = discount(counts), Counter(), Counter()
+        for g, c in counts.items():
+            total[g[:-1]] += c
+            mass[g[:-1]] += cut(c)
+        return {g: (c - cut(c) + mass[g[:-1]] * below(g)) / total[g[:-1]] for g, c in counts.items()}
+
+    own = Counter()
+    for lang, text in rows:
+        points = [0] * (order - 1) + list(map(ord, text or ""))
+        own.update((lang, *points[k : k + order]) for k in range(len(points) - order + 1))
+    counts = {order: Counter()}
+    for g, c in own.items():
+        counts[order][g[1:]] += c
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    p = model(counts[1], lambda g: 1 / len(counts[1]))
+    sums = [sum(p.values())]
+    for k in range(2, order + 1):
+        p = model(counts[k], lambda g, low=p: low[g[1:]])
+    best = model(own, lambda g: p[g[1:]])
+    return {g: math.log(max(x, p[g[1:]])) for g, x in best.items()}, sums
+
+
+def test_perplexity_and_verdict_by_definition(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text")
+    odd = spark.createDataFrame([(-1, None, "aé\U0001f600 \u0000 ab"), (-2, None, None), (-3, "", "z"), (-4, "en", "")], "doc_id long, lang string, text string")
+    docs = docs.unionByName(odd)
+    rows = [(r.doc_id, r.lang, r.text) for r in docs.collect()]
+    p, sums = _kneser_ney([(lang, t) for _, lang, t in rows], quality_rules.ORDER)
+    assert math.isclose(sums[0], 1, rel_tol=1e-9)
+    want = {}
+    for i, lang, t in rows:
+        points = [0, 0, *map(ord, t or "")]
+        n = len(points) - 2
+        want[i] = (-sum(p[(lang, *points[k : k + 3])] for k in range(n)) / n if n else 0.0, n)
+    for table in (quality_rules.TABLE, 3000):  # one pass over the texts, and several
+        monkeypatch.setattr(quality_rules, "TABLE", table)
+        scored = Scratch(spark, "t").keep(quality_rules.score(docs, quality_rules.train(docs)), "scored")
+        got = {r.doc_id: r for r in quality_rules.verdict(scored).collect()}
+        for i, (nll, n) in want.items():
+            assert math.isclose(got[i].nll, nll, rel_tol=1e-5, abs_tol=1e-9) and got[i].n_grams == n
+    # The bands by sorting, to the fineness of the steps.
+    limits = {r.lang: r for r in quality_rules.bands(scored).collect()}
+    for lang in {lang for _, lang, _ in rows}:
+        own = sorted(want[i] for i, x, _ in rows if x == lang and want[i][1])
+        if len(own) < 9:
+            continue
+        mid = own[(len(own) - 1) // 2][0]
+        assert abs(limits[lang].mid - mid) <= 0.001
+        for side, got_side in ((1, limits[lang].above), (-1, limits[lang].below)):
+            far = sorted(side * (x - limits[lang].mid) * math.sqrt(n) for x, n in own if side * (x - limits[lang].mid) > 0)
+            assert math.isclose(got_side, max(1.4826 * far[(len(far) - 1) // 2], 0.5), rel_tol=0.011)
+    for i, lang, _ in rows:
+        nll, n = want[i]
+        if n and abs(nll - limits[lang].mid) > 1e-6:
+            reach = 3 * (limits[lang].above if nll > limits[lang].mid else limits[lang].below) / math.sqrt(n) + 0.01
+            off = abs(nll - limits[lang].mid)
+            assert abs(off - reach) < 1e-4 or got[i].kept == (not got[i].base_failed and off <= reach)
 
 
 def test_leaks_in_blocks(spark):

@@ -38,8 +38,7 @@ def test_bands_reject_labelled_junk_in_each_language(spark):
     langs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
     kept = {(r.lang, r.quality): r.share for r in judged.join(langs, "doc_id").groupBy("lang", "quality").agg(F.avg(F.col("kept").cast("int")).alias("share")).collect()}
     assert all(kept[lang, 1] > 0.99 for lang in ("en", "de", "fr", "es"))
-    # Spanish varies most: the byte classes tell only its worst junk.
-    assert all(kept[lang, 0] < most for lang, most in (("en", 0.2), ("de", 0.45), ("fr", 0.45), ("es", 0.85)))
+    assert all(kept[lang, 0] < most for lang, most in (("en", 0.2), ("de", 0.3), ("fr", 0.45), ("es", 0.5)))
 
 
 @pytest.mark.parametrize("text", ["two words", "three short words", "one", ""])
