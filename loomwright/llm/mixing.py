@@ -82,15 +82,13 @@ def _programme(sizes: np.ndarray, spare: np.ndarray, budget: int) -> np.ndarray:
     return take
 
 
-def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, capacity: int = CAPACITY) -> np.ndarray:
-    """How many documents of each length to take, so that their words come as near `budget` as they can from below."""
-    order = np.argsort(lengths)
-    lengths, counts = lengths[order].astype(np.int64), counts[order].astype(np.int64)
+def _fitted(lengths: np.ndarray, counts: np.ndarray, budget: int, aim: int, capacity: int) -> np.ndarray:
+    """Takes in proportion to `aim` words, and what is then left of the budget fitted by the programme."""
     usable = lengths > 0
     total = int((lengths * counts).sum())
     take = np.zeros(len(lengths), np.int64)
     if total:
-        take[usable] = np.minimum(counts, np.floor(counts * min(budget / total, 1.0)).astype(np.int64))[usable]
+        take[usable] = np.minimum(counts, np.floor(counts * min(aim / total, 1.0)).astype(np.int64))[usable]
     left = budget - int((take * lengths).sum())
     if left > capacity:  # lengths above the capacity are fitted by the programme too, in units that make it small enough
         unit = -(-left // capacity)
@@ -105,8 +103,27 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, capacity:
         left -= n * size
     if 0 < left <= capacity:  # above it, all that could still be taken is longer than what is left
         take += _programme(lengths, np.where(usable, counts - take, 0), left)
-    out = np.zeros(len(take), np.int64)
-    out[order] = take
+    return take
+
+
+def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, capacity: int = CAPACITY) -> np.ndarray:
+    """How many documents of each length to take, so that their words come as near `budget` as they can from below.
+
+    Lengths are taken in proportion.  Where the programme cannot spend all that is left, more and more of the proportional takes are
+    handed to it, up to all that `capacity` words hold: below that budget the sum is the largest there is.
+    """
+    order = np.argsort(lengths)
+    lengths, counts = lengths[order].astype(np.int64), counts[order].astype(np.int64)
+    best, short = np.zeros(len(lengths), np.int64), budget
+    for handed in (0, capacity // 64, capacity // 8, capacity):
+        take = _fitted(lengths, counts, budget, max(budget - handed, 0), capacity)
+        gap = budget - int((take * lengths).sum())
+        if gap < short or handed == 0:
+            best, short = take, gap
+        if not short or handed >= budget or short == budget - int((lengths * counts).sum()):
+            break
+    out = np.zeros(len(best), np.int64)
+    out[order] = best
     return out
 
 
@@ -115,7 +132,8 @@ def mix(docs: DataFrame, source: str = "source", size: str = "size", doc_id: str
 
     Sources may be null and form one of their own; ids may be null or repeat, and equal
     rows are interchangeable.  Sizes of 0 are never taken twice.  Columns of the
-    three result names are replaced; an empty table gives an empty one.
+    three result names are replaced; an empty table gives an empty one.  A source's plan is made from its distinct lengths alone, of
+    which there are no more than its longest document has words, about 20 bytes each.
     """
     docs = docs.drop("source_size", "target", "copies")
     scratch = Scratch(docs.sparkSession, "mix")
