@@ -18,6 +18,7 @@ others are joined.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,12 +37,17 @@ NEAR, WEIGHED, TABLE = 3, 1 << 16, 1 << 21
 HELD = 3 << 19
 #: Bytes of text that are worked on at once: a symbol takes about 60 bytes of arrays.
 PIECE = 1 << 20
+#: The end symbol among bytes.
+END_BYTE = 0xFF
 #: The end token's key among words.
 END = fmix(np.array([0x5EED], np.uint64)).view(np.int64)[0]
 
 
 def padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, row of each): every byte and the end symbol 0 with the DEPTH bytes before it, packed; texts start after DEPTH zeros."""
+    """(keys, row of each): every byte and the end symbol with the DEPTH bytes before it, packed; texts start after DEPTH zeros.
+
+    The end symbol is 0xFF, which UTF-8 never has, so a text's own bytes cannot end it.
+    """
     lens = np.diff(offsets)
     gap = DEPTH + 1
     out = np.zeros(len(data) + gap * len(lens) + DEPTH + 8, np.uint8)
@@ -49,9 +55,24 @@ def padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     out[np.arange(len(data)) + gap * row + DEPTH] = LOWER[data]
     n = len(data) + len(lens)
     symbol_row = np.repeat(np.arange(len(lens)), lens + 1)
-    first = np.arange(n) + DEPTH * symbol_row  # rows stand DEPTH + 1 zeros apart, the last of which is the end symbol
+    first = np.arange(n) + DEPTH * symbol_row  # rows stand DEPTH + 1 places apart, DEPTH zeros and before them the end symbol of the row before
     windows = np.ndarray((len(out) - 7,), ">u8", out, strides=(1,))  # eight bytes from every place on
-    return windows[first].astype(np.uint64) >> U64(64 - 8 * (DEPTH + 1)), symbol_row
+    keys = windows[first].astype(np.uint64) >> U64(64 - 8 * (DEPTH + 1))
+    keys[offsets[1:] + np.arange(len(lens))] |= U64(END_BYTE)
+    return keys, symbol_row
+
+
+def symbols(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """`padded`, in pieces of at most PIECE bytes where one text is longer."""
+    if len(offsets) != 2 or len(data) <= PIECE:
+        yield padded(data, offsets)
+        return
+    for at in range(0, len(data), PIECE):
+        start, end = max(at - DEPTH, 0), min(at + PIECE, len(data))
+        keys = padded(data[start:end], np.array([0, end - start]))[0][at - start :]
+        if end < len(data):
+            keys = keys[:-1]
+        yield keys, np.zeros(len(keys), np.int64)
 
 
 def _merge(parts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -85,15 +106,16 @@ def corpus_counts(docs: DataFrame, learn: Column, text: str = "text") -> DataFra
                 learns = block.column(1).to_numpy(zero_copy_only=False).astype(bool)
                 own = Words(data, offsets, NON_SPACE, lower=True)
                 words = np.append(own.hashes()[learns[own.rows()]], np.full(int(learns.sum()), END).view(np.uint64))
-                strings, of = padded(data, offsets)
-                seen = learns[of]
-                for kind, keys, taught in ((0, words, True), (1, strings[seen], True), (1, strings[~seen], False)):
-                    keys, times = np.unique(keys, return_counts=True)
-                    held[kind].append((keys, times * taught))
-                    if sum(len(k) for k, _ in held[kind]) > HELD:
-                        held[kind] = [_merge(held[kind])]
-                        if len(held[kind][0][0]) > HELD // 2:
-                            yield from out(kind)
+                del own
+                parts = itertools.chain([(0, words, None)], ((1, strings, learns[of]) for strings, of in symbols(data, offsets)))
+                for kind, strings, seen in parts:
+                    for keys, taught in ((strings, True),) if seen is None else ((strings[seen], True), (strings[~seen], False)):
+                        keys, times = np.unique(keys, return_counts=True)
+                        held[kind].append((keys, times * taught))
+                        if sum(len(k) for k, _ in held[kind]) > HELD:
+                            held[kind] = [_merge(held[kind])]
+                            if len(held[kind][0][0]) > HELD // 2:
+                                yield from out(kind)
         for kind in (0, 1):
             if held[kind]:
                 yield from out(kind)
@@ -332,9 +354,11 @@ def _tables(at: str, strings: list[np.ndarray], words: np.ndarray, gains: np.nda
 
 def _tree_score(table: Slots, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """What the strings that are in this part of the table add to each row's score."""
-    symbols, of = padded(data, offsets)
-    value, found = table.get(symbols)
-    return np.bincount(of[found], value[found], minlength=len(offsets) - 1).astype(np.float64) / np.log(10)
+    total = np.zeros(len(offsets) - 1)
+    for keys, of in symbols(data, offsets):
+        value, found = table.get(keys)
+        total += np.bincount(of[found], value[found], minlength=len(total))
+    return total / np.log(10)
 
 
 def _another_pass(scored: DataFrame, held: Broadcast, text: str, tree: str) -> DataFrame:

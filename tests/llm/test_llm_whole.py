@@ -1,11 +1,13 @@
 """Operators do the whole job: nothing is capped, cut off or left out by size."""
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomwright.llm import context_tree, mixing, near_dedup, queries
+from loomwright.llm import context_tree, mixing, near_dedup, quality_rules, queries
 from loomwright.llm.vectext import as_bytes
 
 
@@ -32,6 +34,35 @@ def test_every_context_scores(spark, monkeypatch):
         assert np.allclose([got[i] for i in range(len(texts))], want, rtol=1e-5)
 
 
+def test_language_model_query_by_one_tree(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    taught = np.array([zlib.crc32(str(r.doc_id).encode()) % 5 != 1 for r in rows])
+    want = _tree_scores([r.text for r in rows], taught)
+    got = {r.doc_id: r.score for r in queries.op7_language_model(spark, sf).collect()}
+    assert np.allclose([got[r.doc_id] for r in rows], want, rtol=1e-5)
+
+
+def test_no_byte_of_a_text_ends_it():
+    keys = context_tree.padded(*as_bytes(pa.array(["a\u0000b\u0000", "", None, "é"])))[0]
+    assert [int(k) & 255 for k in keys] == [97, 0, 98, 0, 255, 255, 255, 0xC3, 0xA9, 255]
+    assert [int(k) >> 8 & 255 for k in keys] == [0, 97, 0, 98, 0, 0, 0, 0, 0xC3, 0xA9]
+
+
+def test_one_long_text_in_pieces(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    text = " ".join("".join(chr(97 + k) for k in rng.integers(0, 9, rng.integers(1, 8))) for _ in range(9000)) + " é\U0001f600"
+    df = spark.createDataFrame([(1, text, "en"), (2, text[:40], "en")], "doc_id long, text string, lang string")
+    found = []
+    for piece in (1 << 20, 4099):
+        for module in (context_tree, quality_rules):
+            monkeypatch.setattr(module, "PIECE", piece)
+        scored = context_tree.score(df, F.col("doc_id") > 0).select("doc_id", "score", "base_score", "n_tokens")
+        both = scored.join(quality_rules.score(df, quality_rules.train(df)).select("doc_id", "nll", "n_grams", "n_repeat_words"), "doc_id")
+        found.append([[x for x in r] for r in both.orderBy("doc_id").collect()])
+    assert np.allclose(found[0], found[1], rtol=1e-6)
+
+
 def test_bands_reject_labelled_junk_in_each_language(spark):
     sf = "/root/testdata/sf0.1"
     judged = queries.op3_quality_rules(spark, sf).where("not base_failed").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
