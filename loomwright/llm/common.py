@@ -53,3 +53,30 @@ def fresh(df: DataFrame, stem: str) -> str:
 def broadcast_if(df: DataFrame, most: int) -> DataFrame:
     """A written table with a broadcast hint if it has at most `most` rows, else as it is, for Spark to shuffle."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+#: The most bits of a filter of ids; its table has a 64th as many rows of 16 bytes, and with more than an eighth as many ids it would let most through.
+FILTER_BITS = 27
+
+
+def may_hold(docs: DataFrame, ids: DataFrame, doc_id: str) -> tuple[DataFrame, Column]:
+    """docs with two more columns, and whether a row's id may be among `ids`, a written table with one column of that name.
+
+    The test is a bit filter, broadcast as a table of at most 2**(FILTER_BITS - 6) words; 16 to 32 bits an id, so that few others pass.
+    Ids beyond its bound are not filtered: every row may hold one of them.  A null id holds none.
+    """
+    n = ids.count()
+    if 8 * n > 1 << FILTER_BITS:
+        return docs, F.col(doc_id).isNotNull()
+    bits = min(max((32 * n).bit_length(), 8), FILTER_BITS)
+    word, mask = fresh(docs, "filter_word"), fresh(docs, "filter_mask")
+    bit = F.shiftrightunsigned(F.xxhash64(F.col(doc_id)), 64 - bits)
+    own = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
+    table = ids.select(F.shiftright(bit, 6).alias(word), own.alias(mask)).groupBy(word).agg(F.bit_or(mask).alias(mask))
+    told = docs.withColumn(word, F.shiftright(bit, 6)).join(F.broadcast(table), word, "left")
+    return told, F.col(doc_id).isNotNull() & F.coalesce(F.col(mask).bitwiseAND(own) != 0, F.lit(False))
+
+
+def let(value: Column, then) -> Column:
+    """then(value), with value evaluated once however often `then` reads it."""
+    return F.element_at(F.transform(F.array(value), then), 1)

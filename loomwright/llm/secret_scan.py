@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import Scratch, fresh
+from loomwright.llm.common import Scratch, fresh, let, may_hold
 from loomwright.llm.trigrams import ANY, Query, query
 
 
@@ -72,33 +72,48 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def _spans(rule: Rule, text: Column, number: int) -> Column:
-    """Array of (start, kind, end) of a rule's matches in code points, by the lengths of matches and of what lies between."""
-    pattern = F.lit(rule.pattern)
-    whole = F.regexp_extract_all(text, pattern, F.lit(0))
-    checked = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else whole
-    steps = F.zip_with(F.slice(F.split(text, rule.pattern, -1), 1, F.size(whole)), F.arrays_zip(whole.alias("m"), checked.alias("c")), lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m["m"]).alias("n"), (F.length(m["c"]) >= rule.least).alias("ok")))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    folded = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), none.alias("spans")),
-        lambda acc, s: F.struct((acc["at"] + s["gap"] + s["n"]).alias("at"), F.when(s["ok"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + s["gap"]).alias("start"), F.lit(number).alias("kind"), (acc["at"] + s["gap"] + s["n"]).alias("end"))))).otherwise(acc["spans"]).alias("spans")),
-    )
-    return folded["spans"]
+    """Array of (start, kind, end) of a rule's matches in code points, by the lengths of matches and of what lies between.
+
+    Positions are running sums, taken in runs of about the cube root of the matches and then over the runs, so
+    that no array grows match by match.
+    """
+    pattern, kind = F.lit(rule.pattern), "array<struct<start:int,kind:int,end:int>>"
+    checked = F.regexp_extract_all(text, pattern, F.lit(rule.group))
+
+    def steps(whole: Column) -> Column:
+        gaps = F.slice(F.split(text, rule.pattern, -1), 1, F.size(whole))
+        return F.zip_with(gaps, F.arrays_zip(whole.alias("m"), (checked if rule.group else whole).alias("c")), lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m["m"]).alias("n"), (F.length(m["c"]) >= rule.least).alias("ok")))
+
+    def add(acc: Column, s: Column) -> Column:
+        start, end = acc["at"] + s["gap"], acc["at"] + s["gap"] + s["n"]
+        return F.struct(end.alias("at"), F.when(s["ok"], F.concat(acc["spans"], F.array(F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"))))).otherwise(acc["spans"]).alias("spans"))
+
+    def runs(found: Column) -> Column:
+        n = F.ceil(F.cbrt(F.size(found))).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.size(found) - 1, n), lambda at: F.aggregate(F.slice(found, at + 1, n), F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans")), add))
+
+    def placed(done: Column) -> Column:
+        begins = F.aggregate(done, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("begins")), lambda acc, r: F.struct((acc["at"] + r["at"]).alias("at"), F.concat(acc["begins"], F.array(acc["at"])).alias("begins")))["begins"]
+        return F.flatten(F.zip_with(done, begins, lambda r, at: F.transform(r["spans"], lambda s: F.struct((s["start"] + at).alias("start"), s["kind"].alias("kind"), (s["end"] + at).alias("end")))))
+
+    return let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda whole: let(steps(whole), lambda found: F.when(F.size(found) > 0, let(runs(found), placed)).otherwise(F.array().cast(kind))))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", doc_id: str = "doc_id", spans: str = "secret_spans") -> DataFrame:
     """docs with `spans`: an array of (start, kind, end), by start and then by the rules' order; kind is a rule's number.
 
-    Null and empty texts have no spans.  Rows without an id are verified by every rule;
-    rows that share an id share its candidates, and each is verified on its own text.
-    A document's matches of a rule do not overlap; those of different rules may.
+    Null and empty texts have no spans; an empty table stays empty.  Rows without an id are verified by every rule;
+    rows that share an id share its candidates, and each is verified on its own text.  A document's matches of a rule do not
+    overlap; those of different rules may.  Only rows whose id may be a candidate's are shuffled.
     """
     docs = docs.drop(spans)
     scratch = Scratch(docs.sparkSession, "secrets")
     index = scratch.keep(postings(docs, rules, text, doc_id), "postings")
     key, bits = fresh(docs, "candidate_id"), fresh(docs, "candidate_rules")
-    found = candidates(index, rules).select(F.col("doc_id").alias(key), F.col("rules").alias(bits))
-    joined = docs.join(found, F.col(doc_id) == F.col(key), "left")
+    found = scratch.keep(candidates(index, rules).select(F.col("doc_id").alias(key), F.col("rules").alias(bits)), "candidates")
+    told, maybe = may_hold(docs, found.select(F.col(key).alias(doc_id)), doc_id)
+    far = told.where(maybe).select(*docs.columns).join(found, F.col(doc_id) == F.col(key), "left").drop(key)
+    joined = told.where(~maybe).select(*docs.columns, F.lit(0).cast("long").alias(bits)).unionByName(far)
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     each = []
     for number, rule in enumerate(rules):
@@ -106,7 +121,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", d
         if rule.query != ANY:
             may = may & (F.col(doc_id).isNull() | (F.coalesce(F.col(bits), F.lit(0)).bitwiseAND(F.lit(1 << number)) != 0))
         each.append(F.when(may & F.col(text).rlike(rule.pattern), _spans(rule, F.col(text), number)).otherwise(none))
-    return joined.withColumn(spans, F.array_sort(F.concat(*each))).drop(key, bits)
+    return joined.withColumn(spans, F.array_sort(F.concat(*each))).drop(bits)
 
 
 def span_text(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:

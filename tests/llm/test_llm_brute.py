@@ -1,6 +1,7 @@
 """Operators against brute force, SQL, exact round trips or held-out accuracy on the small tables."""
 
 import glob
+import hashlib
 import math
 import os
 import random
@@ -227,6 +228,22 @@ def test_secrets(spark, texts):
         assert found[i] == sorted((m.start(), k, m.end()) for k, (p, ok) in enumerate(base) for m in p.finditer(t or "") if ok(m)), (i, t)
 
 
+def test_secrets_of_every_kind_and_digests(spark, texts, tmp_path):
+    many = " ".join(f"{k:024x} AKIA{k:016d}é" for k in range(3000))
+    more = ["xoxb-0123456789ab " * 3 + "AIza" + "b" * 35, "eyJabcdefgh.ABCDEFGH_1.zzzzzzzz0 gho_" + "A1" * 18, "-----BEGIN PRIVATE KEY-----\ntoken=abcdef"]
+    rows = list(texts.items()) + [(10_000 + i, t) for i, t in enumerate([*TRICKY, many, *more])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rules = [(r.kind, re.compile(r.pattern if k else r.pattern.replace("(?i)(password|passwd|secret|token|api_?key)", "((?i:password|passwd|secret|token|api_?key))"), re.ASCII), r.group, r.least) for k, r in enumerate(secret_scan.RULES)]
+    want = {}
+    for i, t in rows:
+        found = sorted((m.start(), k, f"{kind}:{m.start()}:{m.end()}") for k, (kind, p, group, least) in enumerate(rules) for m in p.finditer(t or "") if len(m[group]) >= least)
+        base = [x for x in found if x[1] < 3]
+        want[i] = (*(sum(k == n for _, k, _ in base) for n in range(3)), hashlib.sha256(",".join(x[2] for x in base).encode()).hexdigest(), ",".join(x[2] for x in found))
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in queries.op6_secret_scan(spark, str(tmp_path)).collect()}
+    assert got == want and want[10_000 + len(TRICKY)][:3] == (0, 3000, 3000)
+    assert {x.split(":")[0] for v in want.values() for x in v[4].split(",") if x} == {r.kind for r in secret_scan.RULES}
+
+
 def test_trigram_queries_never_lose_a_match():
     rng = random.Random(2)
     for rule in secret_scan.RULES:
