@@ -1,16 +1,16 @@
 """MinHash near-duplicates with tensored banding.
 
-A text's set is its distinct word shingles.  Texts of equal sets form a class, and classes
-are what is compared.  Instead of ROWS * SIDE**2 minhashes for SIDE**2 tables,
+A text's set is its distinct word shingles.  Texts of equal sets, as two 64-bit sums of independent hashes and the size tell, form a
+class, and classes are what is compared.  Instead of ROWS * SIDE**2 minhashes for SIDE**2 tables,
 two collections of SIDE half keys of ROWS / 2 minhashes each are computed, and
 table (i, j) has the key (half i of the first, half j of the second): the number of
 minhashes falls from ROWS * SIDE**2 to ROWS * SIDE.  Candidates are verified on
 their full sets.
 
 Buckets are never expanded into all pairs.  First every member is verified against its
-bucket's smallest class.  What this leaves unlinked in a bucket is compared, block
-against block, by tasks that hold two bounded blocks of sets and return links only;
-members already linked with the bulk of their bucket are not compared among themselves.
+bucket's smallest class, whose set is dealt to as many tasks as it has members for.  What this leaves under different labels in a
+bucket is compared by tasks that hold one bounded block of the bucket's sets and stream through those that ask, which are the ones
+outside the bucket's largest label; they return links only.  Buckets of equal members are compared once.
 """
 
 from __future__ import annotations
@@ -18,12 +18,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import Scratch, fresh
+from loomwright.llm.common import Scratch, fresh, may_hold
 from loomwright.llm.components import components
 from loomwright.llm.vectext import NON_SPACE, U64, Words, as_bytes, blocks, fmix, pair_hash
 
@@ -34,8 +33,8 @@ ROWS, SIDE, SEED = 6, 12, 20240607
 SHINGLE, LEAST = 5, 80
 #: Set elements that a block holds, unless one set is larger.
 BLOCK_ELEMENTS = 1 << 19
-#: Bits of the filters that keep texts out of second passes and shuffles which do not need them.
-FILTER_BITS = 22
+#: Pairs of one lead that a task verifies, and shared elements that are counted at once.
+PAIRS, MATCHES = 1 << 11, 1 << 22
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,15 +60,17 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     return (np.concatenate(parts) if parts else h[:0]), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
-def class_ids(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """64-bit identity of each row's set, from its size and two sums of hashes; 0 stands for the empty set."""
+def class_ids(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit identity of each row's set as two numbers, each from the size and a sum of hashes of its own."""
     size = np.diff(starts)
     full = np.flatnonzero(size)
-    out = np.zeros(len(size), np.uint64)
-    if len(full):
-        at = starts[:-1][full]
-        out[full] = pair_hash(pair_hash(np.add.reduceat(fmix(flat ^ U64(0x5851F42D4C957F2D)), at), np.bitwise_xor.reduceat(flat, at)), size[full].astype(U64)) | U64(1)
-    return out
+    out = []
+    for salt in (U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)):
+        one = np.zeros(len(size), np.uint64)
+        if len(full):
+            one[full] = pair_hash(np.add.reduceat(fmix(flat ^ salt), starts[:-1][full]), size[full].astype(U64))
+        out.append(one.view(np.int64))
+    return out[0], out[1]
 
 
 def half_keys(flat: np.ndarray, starts: np.ndarray, rows: int, side: int, seed: int = SEED) -> np.ndarray:
@@ -87,38 +88,24 @@ def half_keys(flat: np.ndarray, starts: np.ndarray, rows: int, side: int, seed:
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, width: int, rows: int, side: int) -> DataFrame:
-    """(doc_id, n_shingles, cls, halves) of each document; cls and halves are null for an empty set."""
+    """(doc_id, n_shingles, one, two, halves) of each document; one and two are its class and null for an empty set, as halves is."""
     kind = dict(docs.dtypes)[doc_id]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch, "text"):
                 flat, starts = shingle_sets(*as_bytes(block.column(1)), width)
-                size, cls = np.diff(starts), class_ids(flat, starts)
+                size, (one, two) = np.diff(starts), class_ids(flat, starts)
                 halves = half_keys(flat, starts, rows, side)
                 lens = np.where(size > 0, 2 * side, 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.array(halves.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([block.column(0), pa.array(size), pa.array(cls.view(np.int64), mask=size == 0), lists], names=["doc_id", "n_shingles", "cls", "halves"])
-
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, cls long, halves array<long>")
-
+                yield pa.RecordBatch.from_arrays([block.column(0), pa.array(size), pa.array(one, mask=size == 0), pa.array(two, mask=size == 0), lists], names=["doc_id", "n_shingles", "one", "two", "halves"])
 
-def _told(docs: DataFrame, ids: DataFrame, doc_id: str) -> tuple[DataFrame, Column]:
-    """docs with two more columns, and whether a row's id may be among `ids`, one column of that name.
-
-    The test is a filter of 2**FILTER_BITS bits, broadcast as a table of at most
-    2**(FILTER_BITS - 6) words of 64 bits, whatever the corpus.
-    """
-    word, mask = fresh(docs, "filter_word"), fresh(docs, "filter_mask")
-    bit = F.shiftrightunsigned(F.xxhash64(F.col(doc_id)), 64 - FILTER_BITS)
-    own = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
-    table = ids.select(F.shiftright(bit, 6).alias(word), own.alias(mask)).groupBy(word).agg(F.bit_or(mask).alias(mask))
-    told = docs.withColumn(word, F.shiftright(bit, 6)).join(F.broadcast(table), word, "left")
-    return told, F.coalesce(F.col(mask).bitwiseAND(own) != 0, F.lit(False))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, one long, two long, halves array<long>")
 
 
 def _sets(docs: DataFrame, doc_id: str, text: str, width: int, wanted: DataFrame) -> DataFrame:
-    """(cls, n, elements) of the classes in `wanted` (cls, doc), once each.
+    """(cls, n, elements) of the classes in `wanted` (one, two, cls, doc), once each.
 
     Only texts whose id may be a class's smallest, or who have none, are read again.
     """
@@ -127,73 +114,103 @@ def _sets(docs: DataFrame, doc_id: str, text: str, width: int, wanted: DataFrame
         for batch in batches:
             for block in blocks(batch, "text"):
                 flat, starts = shingle_sets(*as_bytes(block.column(0)), width)
-                cls, size = class_ids(flat, starts).view(np.int64), np.diff(starts)
+                (one, two), size = class_ids(flat, starts), np.diff(starts)
                 keep = np.flatnonzero(size)
-                keep = keep[np.unique(cls[keep], return_index=True)[1]]
+                keep = keep[np.unique(np.stack([one[keep], two[keep]], 1), axis=0, return_index=True)[1]]
                 own = np.concatenate([flat[starts[i] : starts[i + 1]] for i in keep.tolist()]) if len(keep) else flat[:0]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size[keep])]).astype(np.int32)), pa.array(own.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(cls[keep]), pa.array(size[keep]), lists], names=["cls", "n", "elements"])
+                yield pa.RecordBatch.from_arrays([pa.array(one[keep]), pa.array(two[keep]), pa.array(size[keep]), lists], names=["one", "two", "n", "elements"])
 
-    told, maybe = _told(docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")), wanted.select("doc"), "doc")
-    some = told.where(maybe | F.col("doc").isNull()).select("text").mapInArrow(run, "cls long, n long, elements array<long>")
-    return some.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
+    told, maybe = may_hold(docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")), wanted.select("doc"), "doc")
+    some = told.where(maybe | F.col("doc").isNull()).select("text").mapInArrow(run, "one long, two long, n long, elements array<long>")
+    return some.join(wanted.select("one", "two", "cls"), ["one", "two"]).select("cls", "n", "elements").dropDuplicates(["cls"])
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """The pairs (a, b) that are links, by the full sets."""
-    a = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("elements").alias("ea"))
+def _verify(pairs: DataFrame, sets: DataFrame, least: int, most: int) -> DataFrame:
+    """The pairs (a, b) that are links, by the full sets; the set of an `a` with more than `most` pairs is dealt to several tasks."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
+    a = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("elements").alias("ea")).join(parts, "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     b = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("elements").alias("eb"))
-    sized = pairs.join(b, "b").join(a, "a").where(100 * F.least("na", "nb") >= least * F.greatest("na", "nb"))
+    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"))
+    sized = dealt.join(b, "b").join(a, ["a", "part"]).where(100 * F.least("na", "nb") >= least * F.greatest("na", "nb"))
     shared = F.size(F.array_intersect("ea", "eb")).cast("long")
     return sized.select("a", "b", "na", "nb", shared.alias("shared")).where(100 * F.col("shared") >= least * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
 
+class Block:
+    """The sets of a bucket's block, which others ask for links."""
+
+    def __init__(self, cls: np.ndarray, label: np.ndarray, sizes: np.ndarray, flat: np.ndarray):
+        owner = np.repeat(np.arange(len(cls)), sizes)
+        order = np.argsort(flat, kind="stable")
+        self.cls, self.label, self.sizes, self.flat, self.owner = cls, label, sizes, flat[order], owner[order]
+
+    def links(self, cls: np.ndarray, label: np.ndarray, sizes: np.ndarray, flat: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(asking class, class of the block) of links between different labels, one for each asking class and label."""
+        low = np.searchsorted(self.flat, flat, "left")
+        n = np.searchsorted(self.flat, flat, "right") - low
+        asker = np.repeat(np.arange(len(cls)), sizes)
+        matches = np.cumsum(np.bincount(asker, n, minlength=len(cls)))
+        starts, a, b, at = np.concatenate([[0], np.cumsum(sizes)]), [], [], 0
+        while at < len(cls):
+            upto = max(at + 1, int(np.searchsorted(matches, (matches[at - 1] if at else 0) + MATCHES, "right")))
+            part = slice(starts[at], starts[upto])
+            many = n[part]
+            place = np.repeat(low[part] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            pair, shared = np.unique(np.repeat(asker[part], many) * len(self.cls) + self.owner[place], return_counts=True)
+            x, y = pair // len(self.cls), pair % len(self.cls)
+            hit = (100 * shared >= least * (self.sizes[y] + sizes[x] - shared)) & (self.label[y] != label[x])
+            x, y = x[hit], y[hit]
+            once = np.unique(np.stack([x, self.label[y]], 1), axis=0, return_index=True)[1]
+            a.append(cls[x[once]])
+            b.append(self.cls[y[once]])
+            at = upto
+        return np.concatenate(a), np.concatenate(b)
+
+
 def _compare(least: int):
-    """Links between the two blocks of a group, in pandas: rows (cls, label, side, elements)."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        bulk = rows[rows["asks"] == 0].drop_duplicates("cls")
-        asking = rows[rows["asks"] == 1].drop_duplicates("cls")
-        if len(bulk) and len(asking):
-            sizes = bulk["elements"].map(len).to_numpy(np.int64)
-            owner = np.repeat(np.arange(len(bulk)), sizes)
-            flat = np.concatenate(bulk["elements"].to_list())
-            order = np.argsort(flat, kind="stable")
-            flat, owner = flat[order], owner[order]
-            cls, label = bulk["cls"].to_numpy(), bulk["label"].to_numpy()
-            for c, l, e in zip(asking["cls"].to_numpy(), asking["label"].to_numpy(), asking["elements"]):
-                low, high = np.searchsorted(flat, e, "left"), np.searchsorted(flat, e, "right")
-                n = high - low
-                at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                shared = np.bincount(owner[at], minlength=len(cls))
-                hit = (100 * shared >= least * (sizes + len(e) - shared)) & (label != l)
-                if hit.any():  # one link a label is enough to join it
-                    _, once = np.unique(label[hit], return_index=True)
-                    found += [(c, int(x)) for x in cls[hit][once]]
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+    """Links (a, b) from rows (key, x, asks, cls, label, elements), in this order: of each (key, x) first the block's, then the asking ones, which are streamed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, block = None, [], None
+        for batch in batches:
+            key, x, asks, cls, label = (batch.column(k).to_numpy() for k in range(5))
+            lists = batch.column(5)
+            cut, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+            edges = np.flatnonzero((key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for low, high in zip([0, *edges.tolist()], [*edges.tolist(), len(key)]):
+                if low == high:
+                    continue
+                rows = (cls[low:high], label[low:high], np.diff(cut[low : high + 1]), flat[cut[low] : cut[high]])
+                if (key[low], x[low]) != at:
+                    at, held, block = (key[low], x[low]), [], None
+                if not asks[low]:
+                    held.append(tuple(part.copy() for part in rows))
+                    continue
+                if held:
+                    block = Block(*(np.concatenate([h[k] for h in held]) for k in range(4)))
+                    held = []
+                if block is not None:
+                    a, b = block.links(*rows, least)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
 
 
-def _left_over(members: DataFrame, reps: DataFrame, sets: DataFrame, labels: DataFrame, side: int, least: int, scratch: Scratch) -> DataFrame:
+def _left_over(members: DataFrame, reps: DataFrame, sets: DataFrame, labels: DataFrame, least: int, scratch: Scratch) -> DataFrame:
     """Links (a, b) between classes of one bucket that are under different labels and were not compared with each other yet."""
     named = members.where(F.col("cls") != F.col("lead")).join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    open_keys = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    active = scratch.keep(named.join(open_keys, "key", "left_semi").select("cls", "label").distinct(), "active")
-    first = F.explode(F.array(*(F.xxhash64(F.lit(i), F.element_at("halves", i + 1)) for i in range(side))))
-    grouped = active.join(reps.select("cls", "n", "halves"), "cls").select("cls", "label", "n", first.alias("half"))
-    by_label = grouped.groupBy("half", "label").agg(F.count("*").alias("many"), F.sum("n").alias("elements"))
-    halves = by_label.groupBy("half").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("many", "label")).alias("bulk"), F.sum("elements").alias("elements"), F.sum("many").alias("many")).where("labels > 1")
-    rows = grouped.join(halves.select("half", "bulk", "elements", "many"), "half")
-    rows = rows.withColumn("parts", F.greatest(F.ceil(F.col("elements") / BLOCK_ELEMENTS), F.lit(1)).cast("int"))
-    part = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
-    every = F.sequence(F.lit(0), F.col("parts") - 1)
-    # Each class is in one block that is asked; those outside the bulk also ask every block.
-    asked = rows.select("half", "cls", "label", F.lit(0).alias("asks"), part.alias("x"), F.explode(every).alias("y"))
-    asks = rows.where(F.col("label") != F.col("bulk")).select("half", "cls", "label", F.lit(1).alias("asks"), F.explode(every).alias("x"), part.alias("y"))
-    placed = asked.unionByName(asks).join(sets.select("cls", "elements"), "cls")
-    return placed.groupBy("half", "x", "y").applyInPandas(_compare(least), "a long, b long").distinct()
+    open_keys = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("many"), F.bit_xor(F.xxhash64("cls")).alias("x1"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("x2")).where("low <> high")
+    once = open_keys.groupBy("many", "x1", "x2").agg(F.min("key").alias("key")).select("key")  # buckets of equal members are one
+    active = scratch.keep(named.join(once, "key", "left_semi").join(reps.select("cls", "n"), "cls").select("key", "cls", "label", "n"), "active")
+    by_label = active.groupBy("key", "label").agg(F.count("*").alias("many"), F.sum("n").alias("elements"))
+    buckets = by_label.groupBy("key").agg(F.max_by("label", F.struct("many", "label")).alias("bulk"), F.greatest(F.ceil(F.sum("elements") / BLOCK_ELEMENTS), F.lit(1)).cast("int").alias("parts"))
+    rows = active.join(buckets, "key")
+    # Each class is in one block that is asked; those outside the bulk ask every block.
+    asked = rows.select("key", F.pmod(F.xxhash64("cls"), "parts").cast("int").alias("x"), F.lit(0).alias("asks"), "cls", "label")
+    asks = rows.where(F.col("label") != F.col("bulk")).select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("x"), F.lit(1).alias("asks"), "cls", "label")
+    placed = asked.unionByName(asks).join(sets.select("cls", "elements"), "cls").select("key", "x", "asks", "cls", "label", "elements")
+    return placed.repartition("key", "x").sortWithinPartitions("key", "x", "asks", "cls").mapInArrow(_compare(least), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, least: int = LEAST, rows: int = ROWS, side: int = SIDE) -> DataFrame:
@@ -207,31 +224,37 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     scratch = Scratch(docs.sparkSession, "near")
     signed = scratch.keep(signatures(docs, doc_id, text, width, rows, side), "signed")
-    reps = scratch.keep(signed.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.first("n_shingles").alias("n"), F.first("halves").alias("halves"), F.min("doc_id").alias("doc")), "reps")
+    full = signed.where(F.col("one").isNotNull())
+    classes = full.groupBy("one", "two").agg(F.first("n_shingles").alias("n"), F.first("halves").alias("halves"), F.min("doc_id").alias("doc"))
+    reps = scratch.keep(classes.withColumn("cls", F.monotonically_increasing_id()), "reps")
     keys = F.explode(F.array(*(F.xxhash64(F.lit(i * side + j), F.element_at("halves", i + 1), F.element_at("halves", side + j + 1)) for i in range(side) for j in range(side))))
-    keyed = reps.select("cls", keys.alias("key"))
+    keyed = reps.select("cls", "halves").repartition("cls").select("cls", keys.alias("key"))
     leads = keyed.groupBy("key").agg(F.min("cls").alias("lead"), F.count("*").alias("many")).where("many > 1").drop("many")
     members = scratch.keep(keyed.join(leads, "key"), "members")
-    wanted = scratch.keep(reps.select("cls", "doc").join(members.select("cls"), "cls", "left_semi"), "wanted")
+    wanted = scratch.keep(reps.select("one", "two", "cls", "doc").join(members.select("cls"), "cls", "left_semi"), "wanted")
     sets = scratch.keep(_sets(docs, doc_id, text, width, wanted), "sets")
-    pairs = members.where(F.col("cls") != F.col("lead")).select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct()
-    links = scratch.keep(_verify(pairs, sets, least), "links")
+    pairs = scratch.keep(members.where(F.col("cls") != F.col("lead")).select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct(), "pairs")
+    links = scratch.keep(_verify(pairs, sets, least, PAIRS), "links")
     labels = components(links, scratch, "first")
-    more = scratch.keep(_left_over(members, reps, sets, labels, side, least, scratch), "more")
+    more = scratch.keep(_left_over(members, reps, sets, labels, least, scratch), "more")
     if more.limit(1).count():
         labels = components(links.unionByName(more), scratch, "second")
-    owned = signed.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "n_shingles", F.coalesce("label", "cls").alias("label"))
-    owned = scratch.keep(owned, "owned")
-    for done in ("signed", "reps", "members", "wanted", "sets", "active", "links", "more"):
+    # A component's smallest id from its classes' smallest, so that rows meet their class only.
+    linked = reps.select("cls", "doc").join(labels.select(F.col("node").alias("cls"), "label"), "cls")
+    smallest = linked.groupBy("label").agg(F.min("doc").alias("least_id"))
+    named = linked.join(smallest, "label").select("cls", "least_id")
+    of_class = reps.select("one", "two", "cls", "doc").join(named, "cls", "left").select(F.col("one").alias("class_one"), F.col("two").alias("class_two"), F.coalesce("least_id", "doc").alias("component_id"))
+    met = full.join(of_class, (F.col("one") == F.col("class_one")) & (F.col("two") == F.col("class_two"))).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    alone = signed.where(F.col("one").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = scratch.keep(met.unionByName(alone), "out")
+    for done in ("signed", "reps", "members", "wanted", "sets", "active", "pairs", "links", "more"):
         scratch.drop(done)
-    smallest = owned.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("least_id"))
-    out = owned.join(smallest, "label", "left").select("doc_id", "n_shingles", F.coalesce("least_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _without(docs: DataFrame, gone: DataFrame, doc_id: str) -> DataFrame:
     """docs whose id is not in `gone`; only those that may be in it are shuffled."""
-    told, maybe = _told(docs, gone, doc_id)
+    told, maybe = may_hold(docs, gone, doc_id)
     return told.where(~maybe).select(*docs.columns).unionByName(told.where(maybe).join(gone, doc_id, "left_anti").select(*docs.columns))
 
 
@@ -241,7 +264,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how)
     Rows of equal id and text count once; rows of one id with different texts stay together.
     """
     scratch = Scratch(docs.sparkSession, "kept")
-    judged = scratch.keep(near_duplicates(docs, doc_id, text, **how), "judged").where(F.col("doc_id").isNotNull())
+    judged = near_duplicates(docs, doc_id, text, **how).where(F.col("doc_id").isNotNull())
     gone = scratch.keep(judged.where(~F.col("kept")).select(F.col("doc_id").alias(doc_id)).distinct(), "gone")
     left = _without(docs, gone, doc_id)
     twice = judged.where("kept").groupBy(F.col("doc_id").alias(doc_id)).agg(F.count("*").alias("rows")).where("rows > 1").select(doc_id)

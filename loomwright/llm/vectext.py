@@ -48,7 +48,7 @@ def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8, offsets[-1] - offsets[0], offsets[0]), offsets - offsets[0]
 
 
-def blocks(batch: pa.RecordBatch, name: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def blocks(batch: pa.RecordBatch, name: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch cut between rows so that each piece holds about `most` bytes of text; one longer row stands alone."""
     if not batch.num_rows:
         return

@@ -78,7 +78,10 @@ def test_near_duplicates(spark, texts):
         assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows} == {(i, len(sets[i]), want[i], want[i] == i) for i in sets}
 
 
-def test_near_copies_in_one_group(spark):
+@pytest.mark.parametrize("block, pairs", [(near_dedup.BLOCK_ELEMENTS, near_dedup.PAIRS), (700, 5)])
+def test_near_copies_in_one_group(spark, monkeypatch, block, pairs):
+    monkeypatch.setattr(near_dedup, "BLOCK_ELEMENTS", block)
+    monkeypatch.setattr(near_dedup, "PAIRS", pairs)
     rng = random.Random(3)
     base = [f"w{i}" for i in range(120)]
     texts = {}
@@ -92,6 +95,19 @@ def test_near_copies_in_one_group(spark):
     assert got == _components(_sets(texts, 2))
 
 
+def test_links_of_a_block(monkeypatch):
+    rng = np.random.default_rng(11)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 60))) for _ in range(60)]
+    label = rng.integers(0, 9, 60)
+    for matches in (near_dedup.MATCHES, 10):
+        monkeypatch.setattr(near_dedup, "MATCHES", matches)
+        block = near_dedup.Block(np.arange(40), label[:40], np.array([len(x) for x in sets[:40]]), np.concatenate(sets[:40]))
+        a, b = block.links(np.arange(40, 60), label[40:], np.array([len(x) for x in sets[40:]]), np.concatenate(sets[40:]), 50)
+        want = {(i, label[k]) for i in range(40, 60) for k in range(40) if label[i] != label[k] and 2 * len(np.intersect1d(sets[i], sets[k])) >= len(np.union1d(sets[i], sets[k]))}
+        assert want and {(i, label[k]) for i, k in zip(a.tolist(), b.tolist())} == want and len(a) == len(want)
+        assert all(2 * len(np.intersect1d(sets[i], sets[k])) >= len(np.union1d(sets[i], sets[k])) for i, k in zip(a.tolist(), b.tolist()))
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.node: r.label for r in components(links, Scratch(spark, "t"), "c").collect()}
