@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from loomwright.llm.common import Scratch, fresh
 
 #: Share of a host's pages above which a line is boilerplate, and the fewest pages that a boilerplate line is on.
-RATIO, LEAST_PAGES = 0.1, 5
+RATIO, LEAST_PAGES = 0.015, 5
 #: Boilerplate lines of all hosts that are broadcast, at about 40 bytes each; more are joined.
 BROADCAST_LINES = 1 << 18
 

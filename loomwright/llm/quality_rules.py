@@ -217,6 +217,21 @@ def _interpolated(counts: DataFrame, sizes: list[int], low: DataFrame | None, ke
     return joined.select(*keys, "gram", "n", "below", ((F.col("n") - F.col("cut") + F.col("mass") * F.col("below")) / F.col("total")).alias("p"))
 
 
+def base_stats(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs without their text, with STATS; a null or empty text has 0 of each, repeated rows have equal ones, an empty table stays empty."""
+    rest = docs.drop(*STATS)
+    kept = [c for c in rest.columns if c != text]
+    schema = rest.select(*kept, *(F.lit(0).cast("long").alias(c) for c in STATS)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch, text, PIECE):
+                more = [pa.array(np.asarray(x, np.int64)) for x in text_stats(*as_bytes(block.column(block.schema.get_field_index(text))))]
+                yield pa.RecordBatch.from_arrays([*(block.column(block.schema.get_field_index(c)) for c in kept), *more], names=[*kept, *STATS])
+
+    return rest.mapInArrow(run, schema)
+
+
 @dataclass
 class Model:
     """(lang_key, gram, p) of every n-gram in a written table, p being a natural logarithm; their number, and p of n-grams that are not among them."""
