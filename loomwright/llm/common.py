@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.at = spark, f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
-        atexit.register(self.drop)
+        atexit.register(self._at_exit)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """`df` written as Parquet under the shared folder and read back."""
@@ -25,12 +27,14 @@ class Scratch:
 
     def drop(self, name: str | None = None) -> None:
         """Delete one table, or all of them."""
-        try:
-            sc = self.spark.sparkContext
-            path = sc._jvm.org.apache.hadoop.fs.Path(f"{self.at}/{name}" if name else self.at)
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-        except Exception:  # noqa: BLE001  the session may be gone already
-            pass
+        sc = self.spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(f"{self.at}/{name}" if name else self.at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+    def _at_exit(self) -> None:
+        if getattr(self.spark.sparkContext, "_jsc", None) is not None:  # a stopped session's shared folder is its cluster's to clear
+            with contextlib.suppress(ConnectionError, Py4JError):  # the JVM may have gone first
+                self.drop()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

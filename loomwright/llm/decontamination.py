@@ -24,6 +24,8 @@ from loomwright.llm.vectext import ALNUM, U64, Words, as_bytes, blocks, fmix, pa
 WINDOW = 10
 #: Windows broadcast at once: 80 bytes of word hashes each and their item ids, so about 50 MB.
 BLOCK = 1 << 18
+#: Slices of the items that hold one window.
+SLICES = 64
 #: Passes over the documents that may be chained in one stage.
 CHAIN = 3
 _FILTER = U64((1 << 20) - 1)
@@ -32,7 +34,8 @@ _FILTER = U64((1 << 20) - 1)
 def item_windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """(key, words, items): the distinct windows, their word hashes as bytes, and the sorted ids of the items that hold them.
 
-    Items without an id or without words have no window.
+    Items without an id or without words have no window.  A window has a row for each slice of the items that hold it, so that one
+    that all items share is no single array.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,7 +52,8 @@ def item_windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
 
     chosen = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), "text")
     each = chosen.mapInArrow(run, "item string, words binary")
-    return each.groupBy("words").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("key", F.xxhash64("words"))
+    sliced = each.withColumn("slice", F.pmod(F.xxhash64("item"), F.lit(SLICES)))
+    return sliced.groupBy("words", "slice").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("key", F.xxhash64("words", "slice")).drop("slice")
 
 
 class Probe:
@@ -122,12 +126,13 @@ def mark_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", prefix:
     """docs with `n_words`, `n_hit` and `items` (sorted ids of the items with an occurring window), named with `prefix`.
 
     Word classes and windows are those of the module.  Null and empty texts have no
-    words and no hits; repeated rows are marked each; other columns pass through.
+    words and no hits; repeated rows are marked each; other columns pass through; an empty table stays empty, and without windows
+    nothing is hit.  A block is `block` (window, item) pairs at most, on average.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "windows")
     windows = scratch.keep(item_windows(benchmark), "windows")
-    parts = -(-windows.count() // block) or 1
+    parts = -(-windows.agg(F.coalesce(F.sum(F.size("items")), F.lit(0))).first()[0] // block) or 1
     names = [prefix + c for c in ("n_words", "n_hit", "items")]
     docs = docs.drop(*names)
     places = fresh(docs, "hit_words")

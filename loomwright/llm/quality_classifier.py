@@ -23,6 +23,8 @@ BUCKETS = 1 << 18
 #: Labelled documents of each class that the fit reads at most.
 PER_CLASS = 6000
 COST, EPOCHS, SMOOTH = 1.0, 12, 1.0
+#: A round that moves no multiplier further ends the fit.
+SETTLED = 1e-3
 #: Byte classes of shapes: 0 lower-case, 1 capital, 2 digit, 3 sentence mark, 4 "!" or "?", 5 other symbol, 6 non-ASCII.
 _SHAPE = np.full(256, 5, np.uint64)
 _SHAPE[ord("a") : ord("z") + 1] = 0
@@ -76,7 +78,7 @@ def descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cos
                 b += step
                 moved = max(moved, abs(step))
                 alpha[i] = new
-        if moved < 1e-3:
+        if moved < SETTLED:
             break
     return w, b
 
@@ -117,14 +119,15 @@ class Model:
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> Model:
-    """Model of bucket lists; every fifth row is left out first, to fit the sigmoid."""
+    """Model of bucket lists.  Each half of the rows is left out once, and the margins that the other half's model gives it fit the sigmoid."""
 
     def svm(use: np.ndarray) -> Model:
         own = [rows[i] for i in use]
         ratio = log_count_ratio(np.concatenate(own), np.repeat(y[use] == 1, [len(x) for x in own]))
+        ratio = ratio.astype(np.float32)
         values = [ratio[x] / max(np.linalg.norm(ratio[x]), 1e-9) for x in own]
         w, b = descend(own, values, np.where(y[use] == 1, 1.0, -1.0), COST * weight[use])
-        return Model(ratio.astype(np.float32), w.astype(np.float32), float(b))
+        return Model(ratio, w.astype(np.float32), float(b))
 
     every = np.arange(len(y))
     margins = np.zeros(len(y))
@@ -139,7 +142,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> Model:
 
 
 def train(sample: DataFrame, sizes: dict[int, int]) -> Model:
-    """The model of a `labelled_sample`; classes weigh as in all labels.  Without enough labels of both classes every score is the share of label 1."""
+    """The model of a `labelled_sample`; classes weigh as in all labels.  With labels of one class only, or none, every score is the smoothed share of label 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,19 +155,19 @@ def train(sample: DataFrame, sizes: dict[int, int]) -> Model:
     got = sample.select("text", F.col("y").cast("int")).mapInArrow(run, "y int, buckets binary").toPandas()
     y = got["y"].to_numpy(np.int64)
     taken = np.bincount(y, minlength=2)
-    if min(taken) < 4:
+    if min(taken) < 1:
         share = (sizes.get(1, 0) + 1) / (sum(sizes.values()) + 2)
         return Model(np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32), 0.0, 1.0, float(np.log(share / (1 - share))))
     weight = np.array([sizes.get(0, 0) / taken[0], sizes.get(1, 0) / taken[1]])[y]
     order = np.lexsort((y, [hash(x) & 0xFFFF for x in map(len, got["buckets"])], [np.frombuffer(x, "<i4").sum() if len(x) else 0 for x in got["buckets"]]))
-    return fit([np.frombuffer(got["buckets"][i], "<i4").astype(np.int64) for i in order], y[order], (weight / weight.mean())[order])
+    return fit([np.frombuffer(got["buckets"][i], "<i4") for i in order], y[order], (weight / weight.mean())[order])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with `score`, the probability of label 1.
 
-    A null or empty text has no features and gets the bias's score.  A column named
-    score is replaced, others pass through; rows stay and nothing is shuffled.
+    A null or empty text has no features and gets the bias's score; repeated rows have equal scores; an empty table stays empty.  A
+    column named score is replaced, others pass through; rows stay and nothing is shuffled.
     """
     docs = docs.drop("score")
     schema = docs.select("*", F.lit(0.0).alias("score")).schema

@@ -84,7 +84,7 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", n_bytes: str =
 
     A null or empty text has 0 bytes and 0 tokens.  Other columns pass through,
     but ones named like the two results are replaced.  Repeated rows are counted
-    each.  Nothing is shuffled.  The vocabulary must be one whose tokens never
+    each; an empty table stays empty.  Nothing is shuffled.  The vocabulary must be one whose tokens never
     span white space (its normaliser drops it); `path` is read on the executors.
     """
     docs = docs.drop(n_bytes, n_tokens)

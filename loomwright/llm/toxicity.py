@@ -141,8 +141,8 @@ def train(sample: DataFrame, sizes: dict[int, int]) -> NoisyOr:
 def score(docs: DataFrame, model: NoisyOr, text: str = "text") -> DataFrame:
     """docs with `score` (noisy-or of the sentences), `n_sentences` and `n_offending` (sentences of 0.5 or more).
 
-    A null or empty text has no sentence and the score 0.  Columns of these names are
-    replaced, others pass through; rows stay as they are and nothing is shuffled.
+    A null or empty text has no sentence and the score 0; repeated rows have equal scores; an empty table stays empty.  Columns of
+    these names are replaced, others pass through; rows stay as they are and nothing is shuffled.
     """
     names = ["score", "n_sentences", "n_offending"]
     docs = docs.drop(*names)

@@ -17,10 +17,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomwright.llm import context_tree, decontamination, mixing, near_dedup, quality_rules, queries, secret_scan, trigrams
+from loomwright.llm import context_tree, decontamination, labelled, mixing, near_dedup, quality_classifier, quality_rules, queries, secret_scan, toxicity, trigrams
 from loomwright.llm.components import components
 from loomwright.llm.common import Scratch
-from loomwright.llm.vectext import NON_SPACE, Words, as_bytes
+from loomwright.llm.vectext import NON_SPACE, Words, as_bytes, hash_spans, pair_hash
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -124,6 +124,119 @@ def test_toxicity_and_quality_held_out(spark):
     assert rows == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in rows}
 
 
+def _noisy_or_by_hand(documents, y, weight):
+    """The documented fit, feature by feature: proximal Adam on the weighted log likelihood."""
+    in_docs = Counter(f for doc in documents for f in {f for s in doc for f in s})
+    kept = {f for f, n in in_docs.items() if n >= toxicity.LEAST_DOCS}
+    w, b, total = defaultdict(float), toxicity.START, sum(weight)
+    m, v = defaultdict(float), defaultdict(float)
+    penalty = min(toxicity.MOST, toxicity.SHARE * sum(y))
+    for step in range(1, toxicity.ROUNDS + 1):
+        slope = defaultdict(float)
+        for doc, label, share in zip(documents, y, weight):
+            p = [1 / (1 + math.exp(-min(max(b + sum(w[f] for f in s if f in kept), -30), 30))) for s in doc]
+            bag = min(max(1 - math.prod(1 - min(x, 1 - 1e-12) for x in p), 1e-6), 1 - 1e-9)
+            for s, x in zip(doc, p):
+                pull = share * ((1 - bag) / bag if label else -1) * x
+                slope["bias"] += pull / total
+                for f in s:
+                    if f in kept:
+                        slope[f] += pull / total
+        for f in [*kept, "bias"]:
+            m[f], v[f] = 0.9 * m[f] + 0.1 * slope[f], 0.99 * v[f] + 0.01 * slope[f] ** 2
+            scale = toxicity.RATE / (math.sqrt(v[f] / (1 - 0.99**step)) + 1e-6)
+            moved = (b if f == "bias" else w[f]) + m[f] / (1 - 0.9**step) * scale
+            if f == "bias":
+                b = moved
+            else:
+                w[f] = math.copysign(max(abs(moved) - scale * penalty / total, 0), moved)
+    return w, b
+
+
+def test_noisy_or_fit_and_places(spark):
+    rng = random.Random(5)
+    documents, y = [], []
+    for _ in range(24):
+        doc = [[rng.randrange(12) for _ in range(toxicity.WIDTH * rng.randint(1, 3))] for _ in range(rng.randint(1, 4))]
+        y.append(int(any(3 in s for s in doc)))
+        documents.append(doc)
+    weight = [1.0 + (i % 3) / 4 for i in range(24)]
+    w, b = _noisy_or_by_hand(documents, y, weight)
+    model = toxicity.fit([(np.array([f for s in d for f in s], "<i4"), np.array([len(s) for s in d], "<i4")) for d in documents], np.array(y), np.array(weight))
+    assert math.isclose(model.bias, b, rel_tol=1e-4, abs_tol=1e-4) and all(math.isclose(model.weights[f], w[f], rel_tol=1e-3, abs_tol=1e-4) for f in range(12)) and model.weights[3] > 0
+
+    def bucket(word, k=0):
+        raw = np.frombuffer(word.encode()[: k or None], np.uint8)
+        h = hash_spans(raw, np.array([0]), np.array([len(raw)]))
+        return int((pair_hash(h, np.array([k], np.uint64)) if k else h)[0]) & (toxicity.BUCKETS - 1)
+
+    weights = np.zeros(toxicity.BUCKETS, np.float32)
+    for word in ("vile", "awful"):
+        weights[bucket(word)] += 2.0
+        weights[bucket(word, 4)] += 0.5
+    model = toxicity.NoisyOr(weights, -1.5)
+    text = "é fine Vile day.  So\n\nawful? vile awful\U0001f600 vile! ok. "
+    want = []
+    for s in re.finditer(r"[^.!?\n]+", text):
+        words = list(re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", s[0]))
+        if words:
+            p = 1 / (1 + math.exp(1.5 - sum(2.5 if x[0].lower() in ("vile", "awful") else 0.5 if x[0].lower().startswith(("vile", "awfu")) else 0 for x in words)))
+            want.append((s.start() + words[0].start(), s.start() + words[-1].end(), p))
+    df = spark.createDataFrame([(4, "nothing here"), (5, text), (6, None)], "doc_id long, text string")
+    rows = toxicity.offending_sentences(df, model).collect()
+    assert [(r.doc_id, r.sentence_no, r.start, r.end, r.sentence) for r in rows] == [(5, n, x, e, text[x:e]) for n, (x, e, p) in enumerate(want) if p >= 0.5] and len(rows) >= 3
+    scores = {r.doc_id: (r.score, r.n_sentences, r.n_offending) for r in toxicity.score(df, model).collect()}
+    assert math.isclose(scores[5][0], 1 - math.prod(1 - p for _, _, p in want), rel_tol=1e-5) and scores[5][1:] == (len(want), len(rows)) and scores[6] == (0.0, 0, 0)
+
+
+def test_naive_bayes_ratios_and_dual_descent(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = [np.unique(rng.integers(0, 30, rng.integers(2, 12))) for _ in range(40)]
+    y = np.array([1 if (3 in r or 7 in r) else 0 for r in rows])
+    ratio = quality_classifier.log_count_ratio(np.concatenate(rows), np.repeat(y == 1, [len(r) for r in rows]))
+    p, q = Counter(), Counter()
+    for r, label in zip(rows, y):
+        (p if label else q).update(r.tolist())
+    n = quality_classifier.BUCKETS
+    assert all(math.isclose(ratio[f], math.log((1 + p[f]) / (n + sum(p.values()))) - math.log((1 + q[f]) / (n + sum(q.values()))), rel_tol=1e-9) for f in range(30))
+    # The dual by descent against projected gradient steps on the whole dual.
+    values = [ratio[r] / np.linalg.norm(ratio[r]) for r in rows]
+    x = np.zeros((40, 31))
+    for i, (r, v) in enumerate(zip(rows, values)):
+        x[i, r], x[i, 30] = v, 1.0
+    sign, cost = np.where(y == 1, 1.0, -1.0), np.full(40, 1.0)
+    gram = (sign[:, None] * x) @ (sign[:, None] * x).T
+    alpha = np.zeros(40)
+    for _ in range(40_000):
+        alpha = np.clip(alpha - (gram @ alpha - 1) / np.linalg.norm(gram, 2), 0, cost)
+    want = x.T @ (alpha * sign)
+    monkeypatch.setattr(quality_classifier, "EPOCHS", 4000)
+    monkeypatch.setattr(quality_classifier, "SETTLED", 1e-9)
+    w, b = quality_classifier.descend(rows, values, sign, cost)
+    assert np.allclose(w[:30], want[:30], atol=1e-4) and math.isclose(b, want[30], abs_tol=1e-4)
+    # Margins, and scores of texts by their features.
+    model = quality_classifier.Model(ratio.astype(np.float32), w.astype(np.float32), b, 1.7, 0.2)
+    margins = model.margins(np.repeat(np.arange(40), [len(r) for r in rows]), np.concatenate(rows), 40)
+    assert np.allclose(margins, x @ np.append(w[:30], b), atol=1e-5)
+    df = spark.createDataFrame([(1, "Some words, some WORDS here!"), (2, None), (3, "")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in quality_classifier.score(df, model).collect()}
+    buckets = quality_classifier.features(*as_bytes(pa.array(["Some words, some WORDS here!"])))[1]
+    one = float(ratio[buckets] @ w[buckets] / max(np.linalg.norm(ratio[buckets]), 1e-9) + b)
+    assert math.isclose(got[1], 1 / (1 + math.exp(-(1.7 * one + 0.2))), rel_tol=1e-5)
+    assert got[2] == got[3] and math.isclose(got[2], 1 / (1 + math.exp(-(1.7 * b + 0.2))), rel_tol=1e-6)
+
+
+def test_labelled_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i, "x" * (10 * i + 1)) for i in range(20)] + [(3, "other"), (3, "other"), (4, None), (None, "n")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(3, 1), (None, 1)], "doc_id long, y int")
+    sample, sizes = labelled.labelled_sample(docs, labels, "y", F.lit(True), 10, 400)
+    rows = sample.collect()
+    assert sizes == {0: 10, 1: 10} and len(rows) == len({r.text for r in rows})
+    assert all(0 < sum(len(r.text) for r in rows if r.y == k) <= 200 for k in (0, 1))
+    whole = labelled.labelled_sample(docs, labels, "y", F.lit(True), 10)[0].collect()
+    assert len(whole) == 20 and sum(r.text in ("other", "x" * 31) for r in whole) == 1
+
+
 def test_quality_base(spark, texts):
     got = {r.doc_id: r for r in queries.op3_quality_rules(spark, SF).collect()}
     for i, t in texts.items():
