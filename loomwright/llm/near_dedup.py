@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import Scratch, fresh, may_hold
+from loomwright.llm.common import Scratch, broadcast_if, fresh, may_hold
 from loomwright.llm.components import components
 from loomwright.llm.vectext import NON_SPACE, U64, Words, as_bytes, blocks, fmix, pair_hash
 
@@ -35,6 +35,8 @@ SHINGLE, LEAST = 5, 80
 BLOCK_ELEMENTS = 1 << 19
 #: Pairs of one lead that a task verifies, and shared elements that are counted at once.
 PAIRS, MATCHES = 1 << 11, 1 << 22
+#: Leads with more than PAIRS pairs that are broadcast, at 12 bytes each; more are joined.  Table keys that a task makes on average.
+LEADS, KEYED = 1 << 18, 1 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,12 +128,14 @@ def _sets(docs: DataFrame, doc_id: str, text: str, width: int, wanted: DataFrame
     return some.join(wanted.select("one", "two", "cls"), ["one", "two"]).select("cls", "n", "elements").dropDuplicates(["cls"])
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, least: int, most: int) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, least: int, most: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) that are links, by the full sets; the set of an `a` with more than `most` pairs is dealt to several tasks."""
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
-    a = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("elements").alias("ea")).join(parts, "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / most).cast("int").alias("parts")).where("parts > 1")
+    many = broadcast_if(scratch.keep(many, "many"), LEADS)
+    parts = F.coalesce("parts", F.lit(1))
+    a = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("elements").alias("ea")).join(many, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
     b = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("elements").alias("eb"))
-    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"))
+    dealt = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
     sized = dealt.join(b, "b").join(a, ["a", "part"]).where(100 * F.least("na", "nb") >= least * F.greatest("na", "nb"))
     shared = F.size(F.array_intersect("ea", "eb")).cast("long")
     return sized.select("a", "b", "na", "nb", shared.alias("shared")).where(100 * F.col("shared") >= least * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
@@ -228,13 +232,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = full.groupBy("one", "two").agg(F.first("n_shingles").alias("n"), F.first("halves").alias("halves"), F.min("doc_id").alias("doc"))
     reps = scratch.keep(classes.withColumn("cls", F.monotonically_increasing_id()), "reps")
     keys = F.explode(F.array(*(F.xxhash64(F.lit(i * side + j), F.element_at("halves", i + 1), F.element_at("halves", side + j + 1)) for i in range(side) for j in range(side))))
-    keyed = reps.select("cls", "halves").repartition("cls").select("cls", keys.alias("key"))
+    keyed = reps.select("cls", "halves").repartition(max(1, -(-reps.count() * side * side // KEYED)), "cls").select("cls", keys.alias("key"))
     leads = keyed.groupBy("key").agg(F.min("cls").alias("lead"), F.count("*").alias("many")).where("many > 1").drop("many")
     members = scratch.keep(keyed.join(leads, "key"), "members")
     wanted = scratch.keep(reps.select("one", "two", "cls", "doc").join(members.select("cls"), "cls", "left_semi"), "wanted")
     sets = scratch.keep(_sets(docs, doc_id, text, width, wanted), "sets")
     pairs = scratch.keep(members.where(F.col("cls") != F.col("lead")).select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct(), "pairs")
-    links = scratch.keep(_verify(pairs, sets, least, PAIRS), "links")
+    links = scratch.keep(_verify(pairs, sets, least, PAIRS, scratch), "links")
     labels = components(links, scratch, "first")
     more = scratch.keep(_left_over(members, reps, sets, labels, least, scratch), "more")
     if more.limit(1).count():
@@ -247,7 +251,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     met = full.join(of_class, (F.col("one") == F.col("class_one")) & (F.col("two") == F.col("class_two"))).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     alone = signed.where(F.col("one").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = scratch.keep(met.unionByName(alone), "out")
-    for done in ("signed", "reps", "members", "wanted", "sets", "active", "pairs", "links", "more"):
+    for done in ("signed", "reps", "members", "wanted", "sets", "active", "pairs", "many", "links", "more"):
         scratch.drop(done)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

@@ -295,13 +295,13 @@ def _add_up(table: tuple[np.ndarray, np.ndarray], block: pa.RecordBatch, text: s
     return total, found, every
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", prefix: str = "", lang: str = "lang") -> DataFrame:
-    """docs with STATS, `nll` (log perplexity) and `n_grams` (code points), all named with `prefix`; rows and columns pass through.
+def score(docs: DataFrame, model: Model, text: str = "text", prefix: str = "", lang: str = "lang", stats: bool = True) -> DataFrame:
+    """docs with STATS (unless `stats` is false), `nll` (log perplexity) and `n_grams` (code points), all named with `prefix`; rows and columns pass through.
 
     docs are those that the model was trained on; n-grams that it has not seen count as its rarest one.  A null or empty text has 0 of
     everything; repeated rows have equal results; an empty table stays empty.  Columns of the result names are replaced.
     """
-    names = [prefix + c for c in (*STATS, "nll", "n_grams")]
+    names = [prefix + c for c in (*(STATS if stats else ()), "nll", "n_grams")]
     docs = docs.drop(*names)
     spark, passes, scratch = docs.sparkSession, max(1, -(-model.n // TABLE)), Scratch(docs.sparkSession, "rules")
     known = fresh(docs, "n_known")
@@ -313,7 +313,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", prefix: str = "", l
         for batch in batches:
             for block in blocks(batch, text, PIECE):
                 total, found, every = _add_up(first.value, block, text, lang)
-                more = [pa.array(np.asarray(x, np.int64)) for x in text_stats(*as_bytes(block.column(block.schema.get_field_index(text))))]
+                more = [pa.array(np.asarray(x, np.int64)) for x in text_stats(*as_bytes(block.column(block.schema.get_field_index(text))))] if stats else []
                 yield pa.RecordBatch.from_arrays([*block.columns, *more, pa.array(total), pa.array(every), pa.array(found)], names=[*block.schema.names, *names, known])
 
     scored = docs.mapInArrow(run, schema)
@@ -387,7 +387,7 @@ def filter_quality(docs: DataFrame, text: str = "text", lang: str = "lang", widt
     """
     prefix = fresh(docs, "q_")
     model = train(docs, text, lang)
-    measured = score(docs.select(text, lang), model, text, prefix, lang).select(lang, prefix + "nll", prefix + "n_grams")
+    measured = score(docs.select(text, lang), model, text, prefix, lang, stats=False).select(lang, prefix + "nll", prefix + "n_grams")
     limits = bands(Scratch(docs.sparkSession, "quality").keep(measured, "measured"), lang, prefix + "nll", prefix + "n_grams")
     out = verdict(score(docs, model, text, prefix, lang), prefix, lang, limits, width)
     return out.where(F.col(prefix + "kept")).select(*docs.columns)
