@@ -13,7 +13,42 @@ _ENDS = r"(?U)^\s+|\s+$"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, _ENDS, "")
+    """text without white space at either end; only texts that have some are searched."""
+    ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
+    return F.when(ends.rlike(r"(?U)\s"), F.regexp_replace(text, _ENDS, "")).otherwise(text)
+
+
+def filled(text: Column) -> Column:
+    """Whether something is left when white space is stripped; null for a null text."""
+    return text.rlike(r"(?U)\S")
+
+
+def let(value: Column, then) -> Column:
+    """then(value), with value evaluated once however often `then` reads it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def offsets(lengths: Column) -> Column:
+    """Array of the sums of all lengths before each; null counts as 0.
+
+    Summed in runs of about the cube root of their number and then over the runs, so that no array grows element by element.
+    """
+    step = "array<int>"
+
+    def add(acc: Column, x: Column) -> Column:
+        return F.struct((acc["sum"] + F.coalesce(x, F.lit(0))).cast("int").alias("sum"), F.concat(acc["out"], F.array(acc["sum"])).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("sum"), F.array().cast(step).alias("out"))
+
+    def runs(xs: Column) -> Column:
+        n = F.ceil(F.cbrt(F.size(xs))).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.size(xs) - 1, n), lambda at: F.aggregate(F.slice(xs, at + 1, n), zero, add))
+
+    def placed(done: Column) -> Column:
+        begins = F.aggregate(F.transform(done, lambda r: r["sum"]), zero, add)["out"]
+        return F.flatten(F.zip_with(done, begins, lambda r, at: F.transform(r["out"], lambda x: x + at)))
+
+    return let(lengths, lambda xs: F.when(F.size(xs) > 0, let(runs(xs), placed)).otherwise(F.array().cast(step)))
 
 
 def words(text: Column) -> Column:

@@ -39,31 +39,32 @@ def detect_language(text: Column, extension: Column | None = None) -> Column:
     return F.coalesce(said, told)
 
 
-def lines_per_chunk(text: Column, most: int) -> Column:
-    """At least 10, else as many average lines as fit; 10 for a text without characters."""
-    lines = F.size(F.split(text, "\n", -1))
-    return F.greatest(F.lit(10), F.coalesce(F.floor(F.try_divide(F.lit(float(most)), F.length(text) / lines)), F.lit(10))).cast("int")
+def _lines_of(text: Column, lines: Column, most: int) -> Column:
+    """Lines of a chunk: at least 10, else as many average lines as fit; 10 for a text without characters."""
+    return F.greatest(F.lit(10), F.coalesce(F.floor(F.try_divide(F.lit(float(most)), F.length(text) / F.size(lines))), F.lit(10))).cast("int")
 
 
 def by_lines(text: Column, most: int) -> Column:
     """Runs of equally many lines with their line numbers; blank runs are dropped."""
-    lines, n = F.split(text, "\n", -1), lines_per_chunk(text, most)
-    starts = F.sequence(F.lit(0), F.size(lines) - 1, n)
-    made = F.transform(starts, lambda s: F.struct(F.array_join(F.slice(lines, s + 1, n), "\n").alias("content"), s.cast("int").alias("start_index"), F.least(s + n, F.size(lines)).cast("int").alias("end_index")))
-    return F.filter(made, lambda c: T.strip(c["content"]) != "").cast(PIECE)
+
+    def cut(lines: Column, n: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(lines) - 1, n)
+        made = F.transform(starts, lambda s: F.struct(F.array_join(F.slice(lines, s + 1, n), "\n").alias("content"), s.cast("int").alias("start_index"), F.least(s + n, F.size(lines)).cast("int").alias("end_index")))
+        return F.filter(made, lambda c: T.filled(c["content"])).cast(PIECE)
+
+    return T.let(F.split(text, "\n", -1), lambda lines: T.let(_lines_of(text, lines, most), lambda n: cut(lines, n)))
 
 
 def python_definitions(text: Column) -> Column:
     """A chunk from each line that begins `def ` or `class `, whatever its indent, to the next; offsets are line numbers."""
     pieces = F.split(text, r"(?U)\n(?=[^\S\n]*(?:def |class ))", -1)
-    zero = F.struct(F.lit(0).alias("line"), F.array().cast(PIECE).alias("out"))
 
-    def add(acc: Column, piece: Column) -> Column:
-        end = (acc["line"] + T.count_of(piece, "\n") + 1).cast("int")
-        chunk = F.struct(piece.alias("content"), acc["line"].alias("start_index"), end.alias("end_index"))
-        return F.struct(end.alias("line"), F.when(T.strip(piece) != "", F.concat(acc["out"], F.array(chunk))).otherwise(acc["out"]).cast(PIECE).alias("out"))
+    def placed(ps: Column) -> Column:
+        lines = F.transform(ps, lambda p: (T.count_of(p, "\n") + 1).cast("int"))
+        made = F.zip_with(F.zip_with(ps, lines, lambda p, n: F.struct(p.alias("p"), n.alias("n"))), T.offsets(lines), lambda p, at: F.struct(p["p"].alias("content"), at.alias("start_index"), (at + p["n"]).alias("end_index")))
+        return F.filter(made, lambda c: T.filled(c["content"])).cast(PIECE)
 
-    return F.aggregate(pieces, zero, add)["out"]
+    return T.let(pieces, placed)
 
 
 def fenced(text: Column, most: int) -> Column:
@@ -72,27 +73,32 @@ def fenced(text: Column, most: int) -> Column:
     A chunk above the greatest size is cut by lines, fenced again piece by piece, and loses the header.
     """
     whole, lang, code = (F.regexp_extract_all(text, F.lit(FENCE), F.lit(g)) for g in (0, 1, 2))
-    gaps = F.slice(F.split(text, FENCE, -1), 1, F.size(whole))
-    header = T.strip(F.try_element_at(gaps, F.lit(1)))
-    items = F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), lang.alias("lang"), code.alias("code"))
-    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast(PIECE).alias("out"))
+    items = F.arrays_zip(F.split(text, FENCE, -1).alias("gap"), whole.alias("whole"), lang.alias("lang"), code.alias("code"))
 
-    def add(acc: Column, m: Column) -> Column:
-        start = acc["at"] + F.length(m["gap"])
+    def chunk(m: Column, start: Column, i: Column) -> Column:
         end = start + F.length(m["whole"])
         name = F.when(m["lang"] == "", "unknown").otherwise(m["lang"])
-        body = T.strip(m["code"])
-        fence = F.concat(F.lit("```"), name, F.lit("\n"), body, F.lit("\n```"))
-        content = F.when((acc["i"] == 0) & (header != ""), F.concat(header, F.lit("\n\n"), fence)).otherwise(fence)
-        lines, n = F.split(body, "\n", -1), lines_per_chunk(body, most)
-        cut = F.transform(
-            F.sequence(F.lit(0), F.size(lines) - 1, n),
-            lambda s: F.struct(F.concat(F.lit("```"), name, F.lit("\n"), F.array_join(F.slice(lines, s + 1, n), "\n"), F.lit("\n```")).alias("content"), (start + s).cast("int").alias("start_index"), (start + F.least(s + n, F.size(lines))).cast("int").alias("end_index")),
-        )
-        one = F.array(F.struct(content.alias("content"), start.cast("int").alias("start_index"), end.cast("int").alias("end_index")))
-        return F.struct(end.cast("int").alias("at"), (acc["i"] + 1).alias("i"), F.concat(acc["out"], F.when(F.length(content) > most, cut.cast(PIECE)).otherwise(one.cast(PIECE))).alias("out"))
+        header = T.strip(m["gap"])
+
+        def of_body(body: Column) -> Column:
+            fence = F.concat(F.lit("```"), name, F.lit("\n"), body, F.lit("\n```"))
+            content = F.when((i == 0) & (header != ""), F.concat(header, F.lit("\n\n"), fence)).otherwise(fence)
+            one = F.array(F.struct(content.alias("content"), start.cast("int").alias("start_index"), end.cast("int").alias("end_index")))
+            cut = T.let(F.split(body, "\n", -1), lambda lines: T.let(_lines_of(body, lines, most), lambda n: F.transform(
+                F.sequence(F.lit(0), F.size(lines) - 1, n),
+                lambda s: F.struct(F.concat(F.lit("```"), name, F.lit("\n"), F.array_join(F.slice(lines, s + 1, n), "\n"), F.lit("\n```")).alias("content"), (start + s).cast("int").alias("start_index"), (start + F.least(s + n, F.size(lines))).cast("int").alias("end_index")),
+            )))
+            return F.when(F.length(content) > most, cut.cast(PIECE)).otherwise(one.cast(PIECE))
+
+        return T.let(T.strip(m["code"]), of_body)
+
+    def placed(ms: Column) -> Column:
+        at = T.offsets(F.transform(ms, lambda m: F.length(m["gap"]) + F.length(m["whole"])))
+        begun = F.zip_with(ms, at, lambda m, a: F.struct(m.alias("m"), (a + F.length(m["gap"])).alias("start")))
+        return F.flatten(F.transform(begun, lambda b, i: chunk(b["m"], b["start"], i)))
 
-    return F.aggregate(items, zero, add)["out"]
+    # What follows the last fence has no match beside it and is dropped.
+    return T.let(F.filter(items, lambda m: m["whole"].isNotNull()), placed)
 
 
 def _javascript(text: str) -> list[dict]:
@@ -131,13 +137,13 @@ def chunk_code(docs: DataFrame, content: str = "content", language: str | None =
     given = F.col(language) if language else F.lit(None).cast("string")
     known = F.when(given.isNull() | (given == "unknown"), detect_language(text, F.col(extension) if extension else None)).otherwise(given)
     others = [c for c in docs.columns if c not in (content, "language")]
-    docs = docs.where(text.isNotNull() & (T.strip(text) != "")).select(*others, text.alias("code_text"), known.alias("language"))
+    docs = docs.where(T.filled(text)).select(*others, text.alias("code_text"), known.alias("language"))
     is_fenced = F.col("code_text").rlike(r"(?U)```\w*\n")
     whole = F.array(F.struct(F.col("code_text").alias("content"), F.lit(0).alias("start_index"), F.length("code_text").alias("end_index"))).cast(PIECE)
     script = F.col("language").isin("javascript", "typescript")
     jvm = docs.where(is_fenced | ~script)
     found = F.when(is_fenced, fenced(F.col("code_text"), most)).when(F.col("language") == "python", python_definitions(F.col("code_text"))).otherwise(by_lines(F.col("code_text"), most))
-    jvm = jvm.withColumn("pieces", F.when((F.size(found) == 0) & (is_fenced | (F.col("language") == "python")), whole).otherwise(found))
+    jvm = jvm.withColumn("pieces", T.let(found, lambda f: F.when((F.size(f) == 0) & (is_fenced | (F.col("language") == "python")), whole).otherwise(f)))
     py = docs.where(~is_fenced & script).withColumn("pieces", javascript_definitions("code_text"))
     both = jvm.unionByName(py)
     return both.select(*others, "language", F.posexplode("pieces").alias("chunk_no", "piece")).select(*others, "language", "chunk_no", F.lit("code").alias("chunk_type"), "piece.*")

@@ -57,24 +57,22 @@ def sections(text: Column) -> Column:
 
 def blocks(content: Column) -> Column:
     """Array of (type, content, start_pos): stripped text and [code] blocks in order, empty ones left out; without any, the raw content as one text."""
-    inner = F.regexp_extract_all(content, F.lit(CODE), F.lit(1))
-    between = F.split(content, CODE, -1)
-    pairs = F.zip_with(between, inner, lambda t, c: F.struct(t.alias("t"), c.alias("c")))
-    mark = len("[code][/code]")
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<type:string,content:string,start_pos:int>>").alias("out"))
-
-    def add(acc: Column, p: Column) -> Column:
-        after = acc["at"] + F.length(p["t"])
-        end = after + F.coalesce(F.length(p["c"]) + mark, F.lit(0))
-        both = F.array(
-            F.struct(F.lit("text").alias("type"), T.strip(p["t"]).alias("content"), acc["at"].alias("start_pos")),
-            F.struct(F.lit("code").alias("type"), T.strip(F.coalesce(p["c"], F.lit(""))).alias("content"), after.alias("start_pos")),
+    kind, mark = "array<struct<type:string,content:string,start_pos:int>>", len("[code][/code]")
+    pairs = F.zip_with(F.split(content, CODE, -1), F.regexp_extract_all(content, F.lit(CODE), F.lit(1)), lambda t, c: F.struct(t.alias("t"), c.alias("c")))
+
+    def both(p: Column, at: Column) -> Column:
+        found = F.array(
+            F.struct(F.lit("text").alias("type"), T.strip(p["t"]).alias("content"), at.alias("start_pos")),
+            F.struct(F.lit("code").alias("type"), T.strip(F.coalesce(p["c"], F.lit(""))).alias("content"), (at + F.length(p["t"])).alias("start_pos")),
         )
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.filter(both, lambda b: b["content"] != "")).alias("out"))
+        return F.filter(found, lambda b: b["content"] != "").cast(kind)
+
+    def placed(ps: Column) -> Column:
+        lengths = F.transform(ps, lambda p: F.length(p["t"]) + F.coalesce(F.length(p["c"]) + mark, F.lit(0)))
+        return F.flatten(F.zip_with(ps, T.offsets(lengths), both))
 
-    found = F.aggregate(pairs, zero, add)["out"]
-    whole = F.array(F.struct(F.lit("text").alias("type"), content.alias("content"), F.lit(0).alias("start_pos")))
-    return F.when(F.size(found) > 0, found).otherwise(whole)
+    whole = F.array(F.struct(F.lit("text").alias("type"), content.alias("content"), F.lit(0).alias("start_pos"))).cast(kind)
+    return T.let(T.let(pairs, placed), lambda found: F.when(F.size(found) > 0, found).otherwise(whole))
 
 
 _PACKED = "array<struct<content:string,chunk_type:string,start_index:int,end_index:int>>"
@@ -125,12 +123,15 @@ def chunks(text: Column, sizes: ChunkSizes = ChunkSizes()) -> Column:
         F.filter(sections(text), lambda s: s["content"] != ""),
         lambda s: F.transform(pack(s, sizes), lambda c: F.struct(c["content"].alias("content"), c["chunk_type"].alias("chunk_type"), s["heading"].alias("heading"), c["start_index"].alias("start_index"), c["end_index"].alias("end_index"))),
     )
-    packed = F.flatten(per_section).cast(f"array<{CHUNK}>")
-    has_code = F.exists(blocks(text), lambda b: b["type"] == "code")
-    whole = F.array(F.struct(text.alias("content"), F.when(has_code, "code").otherwise("text").alias("chunk_type"), F.lit(None).cast("string").alias("heading"), F.lit(None).cast("int").alias("start_index"), F.lit(None).cast("int").alias("end_index")))
-    blank = text.isNull() | (T.strip(text) == "")
-    none = F.array().cast(f"array<{CHUNK}>")
-    return F.when(blank, none).when(F.size(packed) > 0, packed).when(F.length(T.strip(text)) >= sizes.least, whole.cast(f"array<{CHUNK}>")).otherwise(none)
+    kind = f"array<{CHUNK}>"
+
+    def whole(stripped: Column) -> Column:
+        has_code = F.exists(blocks(text), lambda b: b["type"] == "code")
+        one = F.array(F.struct(text.alias("content"), F.when(has_code, "code").otherwise("text").alias("chunk_type"), F.lit(None).cast("string").alias("heading"), F.lit(None).cast("int").alias("start_index"), F.lit(None).cast("int").alias("end_index"))).cast(kind)
+        return F.when(F.length(stripped) >= sizes.least, one).otherwise(F.array().cast(kind))
+
+    found = T.let(F.flatten(per_section).cast(kind), lambda packed: F.when(F.size(packed) > 0, packed).otherwise(T.let(T.strip(text), whole)))
+    return F.when(text.isNull(), F.array().cast(kind)).otherwise(found)
 
 
 def chunk_id(source_id: Column, start_index: Column) -> Column:
@@ -146,15 +147,17 @@ def chunk_documents(docs: DataFrame, content: str = "content", source_id: str |
 
 def merge_small(items: Column, most: int) -> Column:
     """Array of chunks with neighbouring text chunks joined while their lengths sum to at most `most`; the first one's heading and start stay."""
-    zero = F.array().cast(f"array<{CHUNK}>")
+    kind = f"array<{CHUNK}>"
 
     def add(acc: Column, chunk: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        fits = last.isNotNull() & (last["chunk_type"] == "text") & (chunk["chunk_type"] == "text") & (F.length(last["content"]) + F.length(chunk["content"]) <= most)
+        last = acc["last"]
+        fits = F.coalesce((last["chunk_type"] == "text") & (chunk["chunk_type"] == "text") & (F.length(last["content"]) + F.length(chunk["content"]) <= most), F.lit(False))
         joined = F.struct(F.concat(last["content"], F.lit("\n\n"), chunk["content"]).alias("content"), F.lit("text").alias("chunk_type"), last["heading"].alias("heading"), last["start_index"].alias("start_index"), chunk["end_index"].alias("end_index"))
-        return F.when(fits, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined.cast(CHUNK)))).otherwise(F.concat(acc, F.array(chunk.cast(CHUNK)))).cast(f"array<{CHUNK}>")
+        done = F.when(fits | last.isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(last)))
+        return F.struct(done.cast(kind).alias("done"), F.when(fits, joined.cast(CHUNK)).otherwise(chunk.cast(CHUNK)).alias("last"))
 
-    return F.aggregate(items, zero, add)
+    zero = F.struct(F.array().cast(kind).alias("done"), F.lit(None).cast(CHUNK).alias("last"))
+    return F.aggregate(items, zero, add, lambda acc: F.when(acc["last"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["last"]))).cast(kind))
 
 
 def is_valid(content: Column, chunk_type: Column, sizes: ChunkSizes) -> Column:
