@@ -25,10 +25,7 @@ def build(spark: SparkSession, docs: str, path: str, components: str | None = No
     chunks = markdown.chunk_documents(found, source_id="source", sizes=sizes)
     told = chunks.withColumn("metadata", files.chunk_metadata(F.col("metadata"), F.when(F.col("chunk_type") == "code", "code").otherwise("text"), F.col("heading"), F.col("source")))
     own = index.Collection(spark, path, collection)
-    rows = index.prepare(embed.embed(told))
-    handed = rows.count()
-    own._publish(index.upsert(own.read().limit(0), rows))
-    return handed
+    return own.replace(index.prepare(embed.embed(told)))
 
 
 def ask(spark: SparkSession, path: str, question: str, top_k: int = 5, domain: str | None = None, collection: str = "docs", answer: bool = True) -> tuple[DataFrame, DataFrame | None]:

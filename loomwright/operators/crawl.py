@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
@@ -46,9 +47,9 @@ def content_hash(text: Column, algorithm: str = "sha256") -> Column:
     return F.sha2(text, int(algorithm.removeprefix("sha")))
 
 
-def page_metadata(pages: DataFrame, url: str = "url", page: str = "html", now: Column | None = None) -> DataFrame:
-    """pages with title, metas, links, markdown, domain, path, path_segment and crawled_at."""
-    parts = pages.withColumn("parts", html.page_parts(url, page)).select(*pages.columns, "parts.*")
+def page_metadata(pages: DataFrame, url: str = "url", page: str = "html", now: Column | None = None, selectors: dict[str, str] | None = None, removed: tuple[str, ...] = html.REMOVED) -> DataFrame:
+    """pages with title, metas, links, markdown, domain, path, path_segment and crawled_at; `selectors` add to metas as html.page_parts says."""
+    parts = pages.withColumn("parts", html.page_parts(F.col(url), F.col(page), selectors, tuple(removed))).select(*pages.columns, "parts.*")
     path = T.url_path(F.col(url))
     return parts.withColumns({"domain": T.host(F.col(url)), "path": path, "path_segment": T.last_segment(path), "crawled_at": F.current_timestamp() if now is None else now})
 
@@ -72,10 +73,12 @@ def due(pages: DataFrame, state: DataFrame, now: Column, days: int = 7, enabled:
 
 
 def upsert_state(state: DataFrame, fresh: DataFrame) -> DataFrame:
-    """State after a crawl: a URL's fresh row replaces its old one, of several fresh ones the last crawled."""
+    """State after a crawl: a URL's fresh row replaces its old one, of several fresh ones the last crawled, of those the largest hash.
+
+    An aggregate, so that a URL with very many rows is combined before the shuffle.
+    """
     rows = state.withColumn("turn", F.lit(0)).unionByName(fresh.withColumn("turn", F.lit(1)))
-    latest = F.row_number().over(Window.partitionBy("url").orderBy(F.col("turn").desc(), F.col("last_crawled").desc(), F.col("content_hash")))
-    return rows.withColumn("latest", latest).where("latest = 1").drop("latest", "turn")
+    return rows.groupBy("url").agg(F.max_by(F.struct(*(c for c in state.columns)), F.struct("turn", "last_crawled", "content_hash")).alias("latest")).select("latest.*")
 
 
 def reachable(links: DataFrame, start: DataFrame, depth: int = 3, most: int | None = None, keep=None) -> DataFrame:
@@ -97,13 +100,50 @@ def reachable(links: DataFrame, start: DataFrame, depth: int = 3, most: int | No
     return seen
 
 
-def crawl(pages: DataFrame, state: DataFrame, now: Column, least_length: int = 100, days: int = 7) -> tuple[DataFrame, DataFrame]:
-    """(pages to store, state afterwards): parsed, long enough, due; state of other pages stays as it was."""
-    parsed = page_metadata(pages, now=now).where(F.length(T.strip(F.coalesce("markdown", F.lit("")))) >= least_length)
-    hashed = parsed.withColumn("content_hash", content_hash(F.col("markdown")))
-    stored = due(hashed, state, now, days).where("reason <> 'unchanged'")
+def crawl(pages: DataFrame, state: DataFrame, now: Column, least_length: int = 100, days: int = 7, enabled: bool = True, selectors: dict[str, str] | None = None, removed: tuple[str, ...] = html.REMOVED, algorithm: str = "sha256") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pages to store, state afterwards, links (url, target)) of fetched pages.
+
+    Stored are pages that are long enough and due; state of other pages stays as it was; links come from every page, short and
+    unchanged ones too, so that what they lead to is reached.
+    """
+    parsed = page_metadata(pages, now=now, selectors=selectors, removed=removed)
+    links = parsed.select("url", F.explode("links").alias("target"))
+    long_enough = parsed.where(F.length(T.strip(F.coalesce("markdown", F.lit("")))) >= least_length)
+    hashed = long_enough.withColumn("content_hash", content_hash(F.col("markdown"), algorithm))
+    stored = due(hashed, state, now, days, enabled).where("reason <> 'unchanged'")
     fresh = stored.select("url", "content_hash", now.cast("timestamp").alias("last_crawled"), F.concat(F.md5("url"), F.lit(".md")).alias("output_file"), F.map_filter(F.map_concat(F.col("metas"), F.create_map(F.lit("crawl_domain"), F.col("domain"))), lambda k, v: v.isNotNull()).alias("metadata"))
-    return stored, upsert_state(state, fresh)
+    return stored, upsert_state(state, fresh), links
+
+
+def crawl_sources(pages: DataFrame, sources: DataFrame, state: DataFrame, now: Column, keep: Callable[[DataFrame, str], DataFrame], **how) -> tuple[DataFrame, DataFrame, list[dict]]:
+    """(pages stored, with the source that reached them; state afterwards; a report a source) of a crawl of all sources over fetched pages.
+
+    A source takes the pages that its start URL reaches in max_depth steps over the links it allows.  `keep` writes a table under a
+    name and reads it back; a source that fails is reported with its error and leaves the others and the state as they are.
+    """
+    spark, stored, report = pages.sparkSession, None, []
+    for number, source in enumerate(sources.collect()):  # configuration: a row a source
+        try:
+            fits = allowed(F.col("target"), source["allowed_domains"] or [], source["url_patterns"] or [], source["exclude_patterns"] or [])
+            mine, after, links = crawl(pages, state, now, **how)
+            start = spark.createDataFrame([(source["start_url"],)], "url string")
+            reached = reachable(keep(links.where(fits), f"links{number}"), start, 3 if source["max_depth"] is None else source["max_depth"])
+            here = keep(pages.join(reached.select("url"), "url", "left_semi").select(*pages.columns), f"pages{number}")
+            mine, after, _ = crawl(here, state, now, **how)
+            one = keep(mine.withColumn("source", F.lit(source["name"])), f"stored{number}")
+            state = keep(after, f"state{number}")
+            stored = one if stored is None else stored.unionByName(one)
+            report.append({"source": source["name"], "pages": here.count(), "stored": one.count(), "error": None})
+        except Exception as e:  # noqa: BLE001  one source's failure is its own
+            report.append({"source": source["name"], "pages": 0, "stored": 0, "error": f"{type(e).__name__}: {e}"})
+    empty = crawl(pages.limit(0), state, now, **how)[0].withColumn("source", F.lit(""))
+    return empty if stored is None else stored, state, report
+
+
+def clear_state(spark: SparkSession, path: str) -> bool:
+    """Forget what was crawled; whether there was a state."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
@@ -118,11 +158,16 @@ def read_state(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: A crawl's settings where its file has none.
+SETTINGS = {"least_length": 100, "days": 7, "enabled": True, "algorithm": "sha256", "selectors": {}, "removed": html.REMOVED}
+
+
 class Sources:
-    """The crawl's sources: added or replaced by name, removed, listed."""
+    """The crawl's sources: added or replaced by name, removed, listed; and its settings."""
 
-    def __init__(self, rows: list[dict] | None = None):
+    def __init__(self, rows: list[dict] | None = None, settings: dict | None = None):
         self.rows = {r["name"]: r for r in rows or []}
+        self.settings = SETTINGS | (settings or {})
 
     def add(self, name: str, start_url: str, allowed_domains: list[str] | None = None, url_patterns: list[str] | None = None, exclude_patterns: list[str] | None = None, max_depth: int = 3) -> None:
         self.rows[name] = {"name": name, "start_url": start_url, "allowed_domains": allowed_domains or [], "url_patterns": url_patterns or [], "exclude_patterns": exclude_patterns or [], "max_depth": max_depth}
@@ -141,4 +186,23 @@ class Sources:
         with open(path, encoding="utf-8") as f:
             text = f.read()
         got = json.loads(text) if path.endswith(".json") else yaml.safe_load(text)
-        return cls((got or {}).get("sources", []))
+        got = got or {}
+        extraction, incremental = got.get("extraction") or {}, got.get("incremental") or {}
+        said = {
+            "least_length": extraction.get("min_content_length"), "removed": extraction.get("remove_elements"), "days": incremental.get("force_recrawl_after_days"),
+            "enabled": incremental.get("enabled"), "algorithm": incremental.get("hash_algorithm"), "selectors": (got.get("metadata") or {}).get("custom_extractors"),
+        }
+        return cls(got.get("sources") or [], {k: v for k, v in said.items() if v is not None})
+
+    def save(self, path: str) -> None:
+        """Write the sources back; the file's other settings stay."""
+        import yaml
+
+        try:
+            with open(path, encoding="utf-8") as f:
+                got = yaml.safe_load(f.read()) or {}
+        except FileNotFoundError:
+            got = {}
+        got["sources"] = list(self.rows.values())
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(json.dumps(got) if path.endswith(".json") else yaml.safe_dump(got, sort_keys=False))

@@ -11,7 +11,8 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from loomwright.functions.udf import arrow_function
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: The selectors whose elements are removed before the content is read.
@@ -28,8 +29,11 @@ def matches(tag: str, attrs: dict, selector: str) -> bool:
 
 
 class _Page(HTMLParser):
-    def __init__(self, removed: tuple[str, ...]):
+    def __init__(self, removed: tuple[str, ...], selectors: tuple[tuple[str, str], ...] = ()):
         super().__init__(convert_charrefs=True)
+        #: Texts of the first element of each selector, and the open ones as [key, depth of its tag, tag].
+        self.custom: dict[str, list[str]] = {}
+        self.selectors, self.open = selectors, []
         self.removed, self.title, self.metas, self.links = removed, None, {}, []
         self.skipping: list[str] = []
         self.in_title = False
@@ -53,6 +57,13 @@ class _Page(HTMLParser):
             self.links.append(attrs["href"])
         if tag == "title" and self.title is None:
             self.in_title, self.title = True, ""
+        for one in self.open:
+            one[1] += one[2] == tag and tag not in VOID
+        for key, selector in self.selectors:
+            if key not in self.custom and matches(tag, attrs, selector):
+                self.custom[key] = []
+                if tag not in VOID:
+                    self.open.append([key, 1, tag])
         if self.skipping:
             if tag == self.skipping[-1]:
                 self.skipping.append(tag)
@@ -81,6 +92,9 @@ class _Page(HTMLParser):
     def handle_endtag(self, tag):
         if tag == "title":
             self.in_title = False
+        for one in self.open:
+            one[1] -= one[2] == tag
+        self.open = [one for one in self.open if one[1]]
         if self.skipping:
             if tag == self.skipping[-1]:
                 self.skipping.pop()
@@ -99,6 +113,8 @@ class _Page(HTMLParser):
     def handle_data(self, data):
         if self.in_title:
             self.title += data
+        for key, *_ in self.open:
+            self.custom[key].append(data)
         if not self.skipping:
             self._emit(data if self.pre else re.sub(r"\s+", " ", data))
 
@@ -109,27 +125,37 @@ class _Page(HTMLParser):
         return re.sub(r"\n{3,}", "\n\n", "".join(tidy)).strip()
 
 
-def parse(html: str, removed: tuple[str, ...] = REMOVED) -> _Page:
-    page = _Page(removed)
+def parse(html: str, removed: tuple[str, ...] = REMOVED, selectors: tuple[tuple[str, str], ...] = ()) -> _Page:
+    page = _Page(removed, selectors)
     page.feed(html)
     page.close()
     return page
 
 
-@arrow_function("struct<title:string,metas:map<string,string>,links:array<string>,markdown:string>")
-def page_parts(urls: pd.Series, htmls: pd.Series) -> pd.DataFrame:
-    """Title, meta tags, distinct absolute links without fragment in order, and markdown; a null page has none of them."""
-    rows = []
-    for url, html in zip(urls, htmls):
-        if html is None:
-            rows.append((None, {}, [], None))
-            continue
-        page = parse(html)
-        links = []
-        for href in page.links:
-            try:
-                links.append(urljoin(url or "", href).split("#")[0])
-            except ValueError:
+def page_parts(urls: Column, htmls: Column, selectors: dict[str, str] | None = None, removed: tuple[str, ...] = REMOVED) -> Column:
+    """Title, meta tags, distinct absolute links without fragment in order, and markdown; a null page has none of them.
+
+    `selectors` name further metadata by the element whose stripped text they are: a tag, .class, #id or tag.class, the first that
+    matches; they replace a meta tag of the same name.
+    """
+    wanted = tuple((selectors or {}).items())
+
+    def run(url_series: pd.Series, html_series: pd.Series) -> pd.DataFrame:
+        rows = []
+        for url, html in zip(url_series, html_series):
+            if html is None:
+                rows.append((None, {}, [], None))
                 continue
-        rows.append((page.title.strip() if page.title is not None else None, page.metas, list(dict.fromkeys(links)), page.markdown()))
-    return pd.DataFrame(rows, columns=["title", "metas", "links", "markdown"])
+            page = parse(html, removed, wanted)
+            links = []
+            for href in page.links:
+                try:
+                    links.append(urljoin(url or "", href).split("#")[0])
+                except ValueError:
+                    continue
+            metas = page.metas | {key: "".join(parts).strip() for key, parts in page.custom.items()}
+            rows.append((page.title.strip() if page.title is not None else None, metas, list(dict.fromkeys(links)), page.markdown()))
+        return pd.DataFrame(rows, columns=["title", "metas", "links", "markdown"])
+
+    run.__annotations__ = {"url_series": pd.Series, "html_series": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(run, "struct<title:string,metas:map<string,string>,links:array<string>,markdown:string>")(urls, htmls)

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.schemas import HOT_KEYS, INDEX
@@ -39,19 +40,23 @@ def upsert(existing: DataFrame, incoming: DataFrame, policy: str = "overwrite",
     """Rows after writing `incoming`, one a key.
 
     overwrite: incoming rows win; skip: existing ones do; fail: a shared key raises.  Among
-    incoming rows of one key the one with the smallest columns stays.
+    incoming rows of one key the one with the smallest columns stays, which is an aggregate and needs no sort of a hot key.
     """
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {', '.join(POLICIES)}")
     if policy == "fail" and incoming.join(existing, key, "left_semi").limit(1).count():
         raise DuplicateError(f"some {key} exists already")
-    plain = [F.col(c).asc_nulls_first() for c, kind in incoming.dtypes if not kind.startswith("map")]
-    one = incoming.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*plain))).where("_n = 1").drop("_n")
+    plain = [c for c, kind in incoming.dtypes if not kind.startswith("map")]
+    one = incoming.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*incoming.columns), F.struct(*plain)).alias("_row")).select("_row.*")
     if policy == "skip":
         return existing.unionByName(one.join(existing, key, "left_anti").select(*existing.columns))
     return existing.join(one, key, "left_anti").select(*existing.columns).unionByName(one)
 
 
+class Conflict(RuntimeError):
+    """Raised when another writer published first."""
+
+
 class Collection:
     """A named collection under a path that all executors share."""
 
@@ -67,30 +72,93 @@ class Collection:
         return self.spark.read.text(f"{self.root}/CURRENT").first()[0] if fs.exists(at) else None
 
     def read(self) -> DataFrame:
-        version = self.version()
+        return self._of(self.version())
+
+    def _of(self, version: str | None) -> DataFrame:
         return self.spark.createDataFrame([], INDEX) if version is None else self.spark.read.schema(INDEX).parquet(f"{self.root}/{version}")
 
-    def _publish(self, rows: DataFrame) -> None:
+    def _publish(self, rows: DataFrame, base: str | None) -> None:
+        """Write a version that follows `base`, point to it, and delete the versions before `base`, which readers may still hold.
+
+        Only one writer can claim to follow a version: the others get a Conflict.
+        """
         version = f"v-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.root}/{version}")
-        fs, at = self._fs(f"{self.root}/CURRENT.{version}")
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        fs, claim = self._fs(f"{self.root}/AFTER.{base}")
+        try:
+            fs.create(claim, False).close()
+        except Py4JJavaError as e:
+            fs.delete(self._fs(f"{self.root}/{version}")[1], True)
+            if "AlreadyExists" in str(e.java_exception):
+                raise Conflict(f"another writer follows {base}") from None
+            raise
+        at = self._fs(f"{self.root}/CURRENT.{version}")[1]
         out = fs.create(at, True)
         out.write(bytearray(version.encode()))
         out.close()
-        context = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        options = self.spark.sparkContext._gateway.new_array(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(at, self._fs(f"{self.root}/CURRENT")[1], options)
-
-    def write(self, chunks: DataFrame, policy: str = "overwrite") -> int:
-        """Upsert prepared rows; returns how many were handed in, not how many are stored."""
-        handed = chunks.count()
-        self._publish(upsert(self.read(), chunks, policy))
-        return handed
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), conf).rename(at, self._fs(f"{self.root}/CURRENT")[1], options)
+        for found in fs.listStatus(self._fs(self.root)[1]):
+            name = found.getPath().getName()
+            if name.startswith(("v-", "AFTER.")) and name.removeprefix("AFTER.") not in (version, base, "None"):
+                fs.delete(found.getPath(), True)
+
+    def write(self, chunks: DataFrame, policy: str = "overwrite", tries: int = 5) -> int:
+        """Upsert prepared rows; returns how many were handed in, not how many are stored.
+
+        The rows are made once, as a staged table that is counted and merged; when another writer was first, they are merged with its version.
+        """
+        staged = f"{self.root}/STAGED.{uuid.uuid4().hex}"
+        chunks.write.parquet(staged)
+        try:
+            rows = self.spark.read.schema(chunks.schema).parquet(staged)
+            for turn in range(tries):
+                base = self.version()
+                try:
+                    self._publish(upsert(self._of(base), rows, policy), base)
+                    break
+                except Conflict:
+                    if turn + 1 == tries:
+                        raise
+            return rows.count()
+        finally:
+            fs, at = self._fs(staged)
+            fs.delete(at, True)
+
+    def replace(self, chunks: DataFrame) -> int:
+        """A new index of these rows alone; readers have the old one until it is whole.  Returns how many were handed in."""
+        staged = f"{self.root}/STAGED.{uuid.uuid4().hex}"
+        chunks.write.parquet(staged)
+        try:
+            rows = self.spark.read.schema(chunks.schema).parquet(staged)
+            self._publish(upsert(self._of(None), rows), self.version())
+            return rows.count()
+        finally:
+            fs, at = self._fs(staged)
+            fs.delete(at, True)
+
+    def release(self) -> None:
+        """Give up the claim of a writer that died before it published."""
+        fs, at = self._fs(f"{self.root}/AFTER.{self.version()}")
+        fs.delete(at, False)
+
+    def drop(self) -> None:
+        """Delete the collection and all its versions."""
+        fs, at = self._fs(self.root)
+        fs.delete(at, True)
 
     def clear(self) -> None:
-        self._publish(self.spark.createDataFrame([], INDEX))
+        self._publish(self.spark.createDataFrame([], INDEX), self.version())
 
     def stats(self) -> dict:
         n = self.read().count()
         return {"collection": self.name, "document_count": n, "has_documents": n > 0, "path": self.root}
+
+    def status(self) -> dict:
+        """stats, or what went wrong."""
+        try:
+            return {"status": "ready" if (found := self.stats())["has_documents"] else "empty", **found}
+        except Exception as e:  # noqa: BLE001  a status never fails
+            return {"status": "error", "collection": self.name, "error": f"{type(e).__name__}: {e}"}

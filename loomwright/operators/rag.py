@@ -43,11 +43,11 @@ def context(hits: DataFrame, most: int = 3, query_key: str = "query_id") -> Data
 
 
 def prompts(hits: DataFrame, questions: DataFrame, query_key: str = "query_id", subject: str = SUBJECT) -> DataFrame:
-    """(query_key, system, prompt) of every question; one without hits has no excerpts."""
+    """(query_key, system, prompt) of every question; one without hits has no excerpts, an excerpt without a title is named by its URL."""
     section = F.when(F.coalesce("heading", F.lit("")) != "", F.concat(F.lit("Section: "), "heading")).otherwise("")
-    excerpt = F.concat(F.lit("\n---\nSource: "), F.coalesce("title", "url", F.lit("")), F.lit("\n"), section, F.lit("\n\n"), "content", F.lit("\n"))
+    excerpt = F.concat(F.lit("\n---\nSource: "), F.coalesce(F.nullif("title", F.lit("")), "url", F.lit("")), F.lit("\n"), section, F.lit("\n\n"), "content", F.lit("\n"))
     joined = hits.groupBy(query_key).agg(ordered_concat(excerpt, F.col("rank"), "").alias("excerpts"))
-    whole = F.concat(F.lit(INTRO), F.coalesce("excerpts", F.lit("")), F.lit("\nQuestion: "), "question", F.lit("\n\n" + INSTRUCTIONS))
+    whole = F.concat(F.lit(INTRO), F.coalesce("excerpts", F.lit("")), F.lit("\n\nQuestion: "), "question", F.lit("\n\n" + INSTRUCTIONS))
     return questions.join(joined, query_key, "left").select(query_key, F.lit(SYSTEM.format(subject)).alias("system"), whole.alias("prompt"))
 
 

@@ -12,6 +12,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -21,6 +22,10 @@ from loomwright.schemas import HOT_KEYS, RetrievalSettings
 
 #: Query vectors that one pass over the index carries; more queries take more passes.
 QUERY_BLOCK = 4096
+#: Bound of a product's rounding error for each dimension, relative to the squared norms, and rows whose distances are computed again at once.
+ROUNDING, EXACT = 4e-16, 1 << 14
+#: Hits that are broadcast to meet their rows.
+HITS = 1 << 20
 
 
 def _value(field: str, columns: list[str]) -> Column:
@@ -60,9 +65,9 @@ def where_meta(filters: dict[str, Any], meta: Column) -> Column:
 def nearest(index: DataFrame, queries: DataFrame, k: int, metric: str = "l2sq", vector: str = "embedding", key: str = "id", query_key: str = "query_id", query_vector: str = "query_embedding", block: int = QUERY_BLOCK) -> DataFrame:
     """(query_key, rank, key, distance): each query's k nearest index rows, ties by key.
 
-    Exact.  Queries go to the index in blocks of checked size as one matrix; each Arrow batch of the index keeps its k best
-    rows a query by a matrix product, so what is shuffled is k rows a query and batch.
-    The distances of those are computed again in full precision.
+    Exact.  Queries go to the index in blocks of checked size as one matrix.  Each Arrow batch of the index finds the rows that may
+    be among a query's k best by a matrix product and the bounds of its rounding errors, computes their distances again from the
+    differences, and hands on the k best of them with ties by key; so k rows a query and batch are shuffled, whatever ties there are.
     """
     if metric not in ("l2sq", "cosine"):
         raise ValueError("metric must be l2sq or cosine")
@@ -92,13 +97,18 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, metric: str = "l2sq",
                     d = 1 - np.divide(product, lengths, out=np.zeros_like(product), where=lengths > 0)
                 else:
                     d = qq[:, None] + xx[None, :] - 2 * product
+                # The product's rounding error grows with the vectors' squares, not with their distance.
+                error = ROUNDING * x.shape[1] * (qq[:, None] + xx[None, :] if metric == "l2sq" else np.ones_like(d))
                 n = min(k, batch.num_rows)
-                edge = np.partition(d, n - 1, axis=1)[:, n - 1 : n]
-                row, col = np.nonzero(d <= edge + 1e-9)  # every row that ties with the k-th
-                if metric == "l2sq":
-                    exact = ((q[row] - x[col]) ** 2).sum(1)
-                else:
-                    exact = d[row, col]
+                edge = np.partition(d + error, n - 1, axis=1)[:, n - 1 : n]
+                row, col = np.nonzero(d - error <= edge)
+                exact = np.concatenate([((q[row[at : at + EXACT]] - x[col[at : at + EXACT]]) ** 2).sum(1) for at in range(0, len(row), EXACT)] or [d[row, col]]) if metric == "l2sq" else d[row, col]
+                place = np.empty(batch.num_rows, np.int64)
+                place[pc.sort_indices(batch.column(0), null_placement="at_start").to_numpy()] = np.arange(batch.num_rows)
+                order = np.lexsort((place[col], exact, row))
+                row, col, exact = row[order], col[order], exact[order]
+                best = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, col, exact = row[best], col[best], exact[best]
                 yield pa.RecordBatch.from_arrays([pa.array([ids[r] for r in row], query_type), batch.column(0).take(pa.array(col)), pa.array(exact)], names=[query_key, key, "distance"])
 
         one = index.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>")).mapInArrow(run, schema)
@@ -141,11 +151,23 @@ def retrieve(index: DataFrame, queries: DataFrame, settings: RetrievalSettings =
     """Hits of (query_id, query_embedding) queries with content and metadata, ranked."""
     kept = index.where(where(settings.filters))
     hits = with_score(nearest(kept, queries, settings.top_k, metric))
-    joined = hits.join(index.drop("embedding"), "id")
+    few = queries.limit(HITS // settings.top_k + 1).count() <= HITS // settings.top_k  # hits are at most top_k a query
+    joined = (F.broadcast(hits) if few else hits).join(index.drop("embedding"), "id")
     out = diversify(over_threshold(joined, settings.score_threshold), settings.diversity_factor)
     return rerank(out) if settings.rerank else out
 
 
+def query_error(vector: Column, dimensions: int) -> Column:
+    """Why a query cannot be answered, or null."""
+    return F.when(vector.isNull(), F.lit("query has no vector")).when(F.size(vector) != dimensions, F.format_string(f"query has %d dimensions, the index {dimensions}", F.size(vector)))
+
+
+def retrieve_batch(index: DataFrame, queries: DataFrame, dimensions: int, settings: RetrievalSettings = RetrievalSettings(), metric: str = "l2sq") -> tuple[DataFrame, DataFrame]:
+    """(hits of the queries that can be answered, (query_id, error) of the others); one bad query does not fail the rest."""
+    told = queries.withColumn("error", query_error(F.col("query_embedding"), dimensions))
+    return retrieve(index, told.where(F.col("error").isNull()).drop("error"), settings, metric), told.where(F.col("error").isNotNull()).select("query_id", "error")
+
+
 def envelope(hits: DataFrame, queries: DataFrame, index: DataFrame, settings: RetrievalSettings) -> DataFrame:
     """A row a query: how many rows the whole index has and how many hits remain."""
     n = hits.groupBy("query_id").agg(F.count("*").alias("filtered_count"))

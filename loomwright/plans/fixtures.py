@@ -44,3 +44,6 @@ export const block = z => {
 """
 
 SOURCES = [("src/store.py", "python", PYTHON), ("src/greet.js", "javascript", JAVASCRIPT), ("src/broken.py", "python", "def broken(:\n    pass"), ("src/Main.java", "java", "class Main {}")]
+
+#: Snippets whose own documentation is asked for.
+SNIPPETS = [("python", '"""Top."""\nx = 1'), ("python", "x = (1"), ("javascript", "/**\n * Up.\n */\nfunction f() {}"), ("javascript", "let y = 1;")]

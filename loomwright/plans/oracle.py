@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomwright.operators.rag import INSTRUCTIONS, INTRO, SUBJECT, SYSTEM
+from loomwright.plans.fixtures import JAVASCRIPT, PYTHON
 
 _STRIP = r"regexp_replace(regexp_replace({0}, '^\s+', ''), '\s+$', '')"
 _D2 = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: (CAST({0}[i] AS DOUBLE) - CAST({1}[i] AS DOUBLE)) * (CAST({0}[i] AS DOUBLE) - CAST({1}[i] AS DOUBLE))))"
@@ -44,8 +44,8 @@ pg AS (SELECT page_id, url, sha256(html) AS content_hash FROM pages),
 df AS (SELECT pg.*, CASE WHEN st.url IS NULL THEN 'new' WHEN TIMESTAMP '2024-06-30 00:00:00' - last_crawled > to_days(7) THEN 'stale' WHEN pg.content_hash <> st.content_hash THEN 'changed' ELSE 'unchanged' END AS reason FROM pg LEFT JOIN st ON pg.url = st.url)
 """
 _KEYS = """
-ex AS (SELECT substr(text, 1, 4) AS id, 'document' AS kind, min(doc_id) AS number FROM documents WHERE text IS NOT NULL GROUP BY 1, 2),
-inc AS (SELECT substr(text, 1, 4) AS id, 'turn' AS kind, min(conv_id) AS number FROM conversations WHERE text IS NOT NULL GROUP BY 1, 2)
+ex AS (SELECT doc_id AS id, 'document' AS kind, md5(text) AS digest FROM documents),
+inc AS (SELECT conv_id AS id, 'turn' AS kind, CASE WHEN count(*) > count(text) THEN NULL ELSE min(md5(text)) END AS digest FROM conversations GROUP BY conv_id)
 """
 
 def _text(x: str) -> str:
@@ -53,12 +53,37 @@ def _text(x: str) -> str:
     return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
 
+#: The prompt, written out: three parts of fixed text around the excerpts and the question.
+_PROMPTS = """
+x AS (SELECT query_id, count(*) AS n, string_agg(E'\\n---\\nSource: ' || title || E'\\nSection: ' || heading || E'\\n\\n' || content || E'\\n', '' ORDER BY rank) AS excerpts FROM hits GROUP BY query_id),
+prompts AS (SELECT qs.query_id, n, excerpts, 'What is in document ' || qs.query_id || '?' AS question,
+  'You are an expert assistant helping developers use design system components and guidelines.' AS system,
+  E'Use the following documentation excerpts to answer my question. Each excerpt includes metadata about the source.\\n\\nContext:\\n' || coalesce(excerpts, '') || E'\\n\\nQuestion: What is in document ' || qs.query_id
+  || E'?\\n\\nInstructions:\\n- Provide a clear, accurate answer based on the documentation above\\n- If referencing specific components or patterns, mention them by name\\n'
+  || E'- Include code examples from the documentation when relevant\\n- If the documentation doesn\\'t contain enough information, say so (i.e. say "I don\\'t know" as opposed to inferring)\\n'
+  || '- Cite sources by mentioning the component or page name' AS prompt FROM qs LEFT JOIN x ON qs.query_id = x.query_id)"""
+#: The article of a page as the documented markdown subset: the synthetic pages have headings, paragraphs, line ends and bold.
+_ARTICLE = r"""
+m0 AS (SELECT page_id, regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '\s+', ' ', 'g') AS a FROM pages),
+m1 AS (SELECT page_id, replace(replace(replace(replace(replace(replace(a, '<h1>', E'\n\n# '), '</h1>', E'\n\n'), '<p>', E'\n\n'), '</p>', E'\n\n'), '<br>', E'\n'), '<b>', '') AS a FROM m0),
+m2 AS (SELECT page_id, replace(replace(replace(replace(a, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS a FROM m1),
+m3 AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(a, '\n +', E'\n', 'g'), '[ \t]+\n', E'\n', 'g'), '\n{3,}', E'\n\n', 'g') AS a FROM m2),
+md AS (SELECT page_id, regexp_replace(regexp_replace(a, '^\s+', ''), '\s+$', '') AS markdown FROM m3)"""
+
+
+def _unescaped(x: str) -> str:
+    return f"replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+
+
 ORACLE: dict[str, str] = {
     "prompt_build": _with_hits(f"""
-        , x AS (SELECT query_id, string_agg(chr(10) || '---' || chr(10) || 'Source: ' || title || chr(10) || 'Section: ' || heading || chr(10) || chr(10) || content || chr(10), '' ORDER BY rank) AS excerpts FROM hits GROUP BY query_id)
-        SELECT qs.query_id, {_text(SYSTEM.format(SUBJECT))} AS system,
-          {_text(INTRO)} || coalesce(excerpts, '') || chr(10) || 'Question: What is in document ' || qs.query_id || '?' || chr(10) || chr(10) || {_text(INSTRUCTIONS)} AS prompt
-        FROM qs LEFT JOIN x ON qs.query_id = x.query_id"""),
+        , {_PROMPTS} SELECT query_id, system, prompt FROM prompts"""),
+    "answer_extractive": _with_hits(f"""
+        , {_PROMPTS},
+        b AS (SELECT *, {_strip("coalesce(excerpts, '')")} AS body FROM prompts),
+        t AS (SELECT *, CASE WHEN body = '' THEN 'I don''t know' ELSE substr(substr(body, 1, 8192), strpos(substr(body, 1, 8192), chr(10) || chr(10)) + 2, 400) END AS answer FROM b)
+        SELECT query_id, coalesce(n, 0) AS documents_retrieved, length(question) AS query_length, length(answer) AS answer_length, coalesce(n, 0) > 0 AS has_context, answer, CAST(NULL AS VARCHAR) AS error,
+          length(system || prompt) // 4 + length(answer) // 4 AS total_tokens FROM t"""),
     "md_sections": f"""
         SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS section_no, role || ' ' || turn AS heading, CAST(2 AS BIGINT) AS level, {_strip("coalesce(text, '')")} AS content FROM conversations""",
     "md_chunks": f"""
@@ -93,11 +118,96 @@ ORACLE: dict[str, str] = {
         p AS (SELECT doc_id, n, len(ls) AS total, unnest(range(0, len(ls), n)) AS s, ls FROM n),
         c AS (SELECT doc_id, s, least(s + n, total) AS e, array_to_string(ls[s + 1 : s + n], chr(10)) AS content FROM p)
         SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS chunk_no, s AS start_index, e AS end_index, sha256(content) AS content_hash FROM c WHERE trim(content, E' \\t\\r\\n') <> ''""",
+    "md_pack_multi": f"""
+        WITH RECURSIVE t AS (SELECT conv_id, turn, role = 'assistant' AS code, text FROM conversations WHERE text IS NOT NULL),
+        g AS (SELECT *, sum(CASE WHEN code THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS run FROM t),
+        b0 AS (SELECT conv_id, turn AS o, true AS code, {_strip("text")} AS content FROM g WHERE code
+               UNION ALL SELECT conv_id, min(turn), false, {_strip("string_agg(text, chr(10) ORDER BY turn)")} FROM g WHERE NOT code GROUP BY conv_id, run),
+        b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY o) AS i, CASE WHEN code THEN '```' || chr(10) || content || chr(10) || '```' ELSE content END AS piece FROM b0 WHERE content <> ''),
+        r AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, CAST(7 AS BIGINT) AS n, '# Talk' || chr(10) AS txt, false AS code, CAST(0 AS BIGINT) AS start, CAST(NULL AS VARCHAR) AS out, false AS out_code, CAST(0 AS BIGINT) AS out_start FROM b
+              UNION ALL SELECT b.conv_id, b.i, CASE WHEN r.n + length(b.content) > 300 THEN 7 ELSE r.n END + length(b.piece),
+                CASE WHEN r.n + length(b.content) > 300 THEN '# Talk' || chr(10) ELSE r.txt END || chr(10) || chr(10) || b.piece, (r.code AND r.n + length(b.content) <= 300) OR b.code,
+                CASE WHEN r.n + length(b.content) > 300 THEN r.start + length({_strip("r.txt")}) ELSE r.start END,
+                CASE WHEN r.n + length(b.content) > 300 THEN {_strip("r.txt")} END, r.code, r.start FROM r JOIN b ON b.conv_id = r.conv_id AND b.i = r.i + 1),
+        z AS (SELECT conv_id, i, out AS txt, out_code AS code, out_start AS start FROM r WHERE out IS NOT NULL
+              UNION ALL SELECT conv_id, i + 1, {_strip("txt")}, code, start FROM r WHERE (conv_id, i) IN (SELECT conv_id, max(i) FROM r GROUP BY conv_id))
+        SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY i) - 1 AS chunk_no, CASE WHEN code THEN 'code' ELSE 'text' END AS chunk_type, length(txt) AS size, start AS start_index, start + length(txt) AS end_index FROM z WHERE length(txt) >= 40""",
     "code_fence_chunks": f"""
-        WITH d AS (SELECT doc_id, string_split(text, chr(10))[1] AS l FROM documents WHERE text IS NOT NULL),
-        b AS (SELECT doc_id, l, {_strip("l")} AS s FROM d)
-        SELECT doc_id, CAST(0 AS BIGINT) AS chunk_no, 'Intro here' || chr(10) || chr(10) || '```python' || chr(10) || s || chr(10) || '```' AS content, CAST(11 AS BIGINT) AS start_index, 11 + 10 + length(l) + 4 AS end_index FROM b
-        UNION ALL SELECT doc_id, 1, '```unknown' || chr(10) || 'last = 1' || chr(10) || '```', 25 + length(l) + 9, 25 + length(l) + 9 + 16 FROM b""",
+        WITH b AS (SELECT doc_id, text, {_strip("text")} AS s FROM documents WHERE text IS NOT NULL),
+        w AS (SELECT *, 'Intro here' || chr(10) || chr(10) || '```python' || chr(10) || s || chr(10) || '```' AS whole, string_split(s, chr(10)) AS ls FROM b),
+        n AS (SELECT *, greatest(10, coalesce(CAST(floor(1500.0 / nullif(CAST(length(s) AS DOUBLE) / len(ls), 0)) AS BIGINT), 10)) AS n FROM w),
+        p AS (SELECT doc_id, ls, n, unnest(range(0, len(ls), n)) AS pos FROM n WHERE length(whole) > 1500),
+        c AS (SELECT doc_id, 0 AS pos, whole AS content, CAST(11 AS BIGINT) AS start_index, 11 + 10 + length(text) + 4 AS end_index FROM n WHERE length(whole) <= 1500
+              UNION ALL SELECT doc_id, pos, '```python' || chr(10) || array_to_string(ls[pos + 1 : pos + n], chr(10)) || chr(10) || '```', 11 + pos, 11 + least(pos + n, len(ls)) FROM p
+              UNION ALL SELECT doc_id, 1000000000, '```unknown' || chr(10) || 'last = 1' || chr(10) || '```', 25 + length(text) + 9, 25 + length(text) + 9 + 16 FROM b)
+        SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS chunk_no, content, start_index, end_index FROM c""",
+    "code_script_chunks": """
+        WITH d AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL)
+        SELECT doc_id, 'javascript' AS language, CAST(0 AS BIGINT) AS chunk_no, CAST(0 AS BIGINT) AS start_index, CAST(1 AS BIGINT) AS end_index FROM d
+        UNION ALL SELECT doc_id, 'javascript', 1, 1, n + 4 FROM d
+        UNION ALL SELECT doc_id, 'javascript', 2, n + 4, n + 6 FROM d
+        UNION ALL SELECT doc_id, 'javascript', 3, n + 6, n + 8 FROM d""",
+    "markdown_files": f"SELECT md5('doc/' || doc_id) || '.md' AS file, 'Document: ' || doc_id AS title, lang, sha256({_strip('text')}) AS content_hash FROM documents WHERE text IS NOT NULL",
+    "chunk_records": f"""
+        WITH d AS (SELECT doc_id, lang, source, {_strip("text")} AS s FROM documents WHERE text IS NOT NULL)
+        SELECT doc_id, doc_id || '.md_0' AS chunk_id, 'mixed' AS type, 'chunk_type=code;domain=' || lang || ';heading=' || source || ';source=' || doc_id || '.md' AS metadata,
+          length('## ' || source || chr(10)) + 2 + length('```' || chr(10) || 'x = 1' || chr(10) || '```') + CASE WHEN s = '' THEN 0 ELSE 2 + length(s) END AS size FROM d""",
+    "tree_documents": """
+        WITH f AS (SELECT * FROM (VALUES
+          ('src/store.py', 'store.py', 'python', '.py', PY), ('src/greet.js', 'greet.js', 'javascript', '.js', JS), ('src/broken.py', 'broken.py', 'python', '.py', E'def broken(:\\n    pass'),
+          ('src/Main.java', 'Main.java', 'java', '.java', 'class Main {}'), ('src/Card.tsx', 'Card.tsx', 'typescript', '.tsx', E'export const Card = () => null;\\n'), ('src/old.c', 'old.c', 'c', '.c', E'// caf\u00e9\\n')) AS t(source_id, title, language, extension, body))
+        SELECT source_id, title, language, 'codebase' AS source_type, 'markdown' AS format, extension, CAST(CASE WHEN title = 'old.c' THEN length(body) ELSE strlen(body) END AS BIGINT) AS size,
+          sha256('# ' || title || E'\\n\\n**File:** `' || source_id || E'`\\n**Language:** ' || language || E'\\n\\n```' || language || E'\\n' || body || E'\\n```\\n') AS content_hash FROM f""".replace("PY", _text(PYTHON)).replace("JS", _text(JAVASCRIPT)),
+    "tree_lookup": """
+        SELECT * FROM (VALUES ('fetch', 'src/store.py'), ('ids', 'src/Card.tsx'), ('component', 'category=Implementation;component=Card;domain=components;file_type=tsx;framework=React;title=Card')) AS t(way, source_id)""",
+    "code_docstrings": """
+        SELECT * FROM (VALUES ('src/store.py', 'total', 'Sum of two.'), ('src/store.py', 'Store', 'Keeps rows.'), ('src/greet.js', 'greet', E'/**\\n* Says hello.\\n*/'), ('src/broken.py', NULL, 'ParseError'),
+          ('snippet.python', 'python', 'Top.'), ('snippet.python', 'python', NULL), ('snippet.javascript', 'javascript', E'/**\\n* Up.\\n*/'), ('snippet.javascript', 'javascript', NULL)) AS t(path, name, doc)""",
+    "links_by_source": r"""
+        SELECT page_id, 'mobile' AS source FROM pages WHERE regexp_matches(url, '^http.*://m\.')
+        UNION ALL SELECT page_id, 'plain' FROM pages WHERE NOT contains(url, '?') AND NOT contains(url, '#')""",
+    "embed_errors": f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR text IS NULL OR {_strip('text')} = '' THEN 'text is blank' END AS error FROM documents",
+    "retrieve_errors": _with_hits("""
+        SELECT query_id, id, CAST(NULL AS VARCHAR) AS error FROM hits WHERE query_id % 300 = 200
+        UNION ALL SELECT query_id, -1, CASE WHEN query_id % 300 = 0 THEN 'query has 3 dimensions, the index 64' ELSE 'query has no vector' END FROM qs WHERE query_id % 300 <> 200""", 2),
+    "page_custom": f"""
+        SELECT page_id, trim({_unescaped("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")}) AS heading, trim({_unescaped("regexp_extract(html, '(?s)<div class=.ad.>(.*?)</div>', 1)")}) AS ad, CAST(NULL AS VARCHAR) AS "none" FROM pages""",
+    "crawl_reports": f"""
+        WITH RECURSIVE {_ARTICLE.strip()},
+        tall AS (SELECT page_id, length(markdown) >= 100 AS ok FROM md),
+        e AS (SELECT page_id AS a, 2 * page_id + k AS b FROM pages, (VALUES (1), (2)) AS v(k)),
+        x AS (SELECT CAST(0 AS BIGINT) AS id, 0 AS d UNION SELECT b, d + 1 FROM x JOIN e ON a = id WHERE d < 3),
+        y AS (SELECT CAST(1 AS BIGINT) AS id, 0 AS d UNION SELECT b, d + 1 FROM y JOIN e ON a = id WHERE d < 2 AND b % 10 <> 4),
+        dp AS (SELECT DISTINCT page_id, ok FROM x JOIN tall ON id = page_id),
+        ag AS (SELECT DISTINCT page_id, ok FROM y JOIN tall ON id = page_id),
+        st AS (SELECT page_id FROM dp WHERE ok UNION SELECT page_id FROM ag WHERE ok),
+        r AS (SELECT 'deep' AS source, (SELECT count(*) FROM dp) AS pages, (SELECT count(*) FROM dp WHERE ok) AS stored, CAST(NULL AS VARCHAR) AS error
+              UNION ALL SELECT 'broken', 0, 0, 'ConnectionError: unreachable'
+              UNION ALL SELECT 'again', (SELECT count(*) FROM ag), (SELECT count(*) FROM ag WHERE ok AND page_id NOT IN (SELECT page_id FROM dp WHERE ok)), NULL)
+        SELECT *, (SELECT count(*) FROM st) AS state FROM r""",
+    "page_links": r"""
+        WITH l AS (SELECT DISTINCT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages),
+        f AS (SELECT DISTINCT page_id, CASE WHEN starts_with(href, '/') THEN regexp_extract(url, '^[a-z]+://[^/?#]*') || href ELSE href END AS link FROM l)
+        SELECT * FROM f WHERE NOT regexp_matches(link, '\.pdf$')""",
+    "html_markdown": f"WITH {_ARTICLE} SELECT page_id, markdown FROM md",
+    "page_min_content": f"WITH {_ARTICLE} SELECT page_id, length(markdown) AS size FROM md WHERE length(markdown) >= 100",
+    "entity_documents": """
+        WITH e AS (SELECT * FROM (VALUES
+          ('src/store.py', 'total', 'function', 'def total(a, b) -> int', 'Sum of two.', ['a', 'b'], 'int', NULL, E'def total(a, b: int) -> int:\\n    \"\"\"Sum of two.\"\"\"\\n    return a + b', 'python', NULL, 5, 7),
+          ('src/store.py', 'Store', 'class', 'class Store(Base)', 'Keeps rows.', NULL, NULL, 'dataclass', E'class Store(Base):\\n    \"\"\"Keeps rows.\"\"\"\\n\\n    def put(self, key, value):\\n        return {key: value}\\n\\n    async def later(self):\\n        pass', 'python', 'put', 11, 18),
+          ('src/store.py', 'put', 'function', 'def put(self, key, value)', NULL, ['self', 'key', 'value'], NULL, NULL, E'    def put(self, key, value):\\n        return {key: value}', 'python', NULL, 14, 15),
+          ('src/greet.js', 'greet', 'function', 'export async function greet(name, times = 2)', E'/**\\n* Says hello.\\n*/', ['name', 'times'], NULL, NULL, E'export async function greet(name, times = 2) {\\n  const text = "}" + name;\\n  return text;\\n}', 'javascript', NULL, 7, 10),
+          ('src/greet.js', 'Counter', 'class', 'class Counter extends Base', NULL, NULL, NULL, NULL, E'class Counter extends Base {\\n  add(x) {\\n    return x;\\n  }\\n}', 'javascript', NULL, 12, 16),
+          ('src/greet.js', 'twice', 'function', 'const twice = (x, y) =>', NULL, ['x', 'y'], NULL, NULL, 'const twice = (x, y) => x * y;', 'javascript', NULL, 18, 18),
+          ('src/greet.js', 'block', 'function', 'export const block = (z) =>', NULL, ['z'], NULL, NULL, E'export const block = z => {\\n  return z;\\n};', 'javascript', NULL, 19, 21)
+        ) AS t(path, name, kind, signature, doc, params, returned, deco, body, lang, methods, a, b))
+        SELECT path || '::' || name AS source_id, upper(kind[1]) || kind[2:] || ': ' || name AS title,
+          '# ' || name || E'\\n\\n**Signature:** `' || signature || E'`\\n\\n' || CASE WHEN doc IS NULL THEN '' ELSE E'## Documentation\\n\\n' || doc || E'\\n\\n' END
+          || CASE WHEN params IS NULL THEN '' ELSE E'**Parameters:**\\n' || array_to_string(list_transform(params, lambda p: '- `' || p || '`'), E'\\n') || E'\\n\\n' END
+          || CASE WHEN returned IS NULL THEN '' ELSE '**Returns:** `' || returned || E'`\\n\\n' END || CASE WHEN deco IS NULL THEN '' ELSE E'**Decorators:**\\n- `@' || deco || E'`\\n\\n' END
+          || E'## Source Code\\n\\n```' || lang || E'\\n' || body || E'\\n```' AS content,
+          path AS file_path, lang AS programming_language, kind AS entity_type, name AS entity_name, signature, array_to_string(params, ',') AS parameters, returned AS return_type, deco AS decorators, CAST(NULL AS VARCHAR) AS parent_entity, methods,
+          doc IS NOT NULL AS has_docstring, CAST(a AS BIGINT) AS start_line, CAST(b AS BIGINT) AS end_line FROM e""",
     "code_python_chunks": """
         WITH d AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL)
         SELECT doc_id, 'python' AS language, CAST(0 AS BIGINT) AS chunk_no, CAST(0 AS BIGINT) AS start_index, CAST(2 AS BIGINT) AS end_index FROM d
@@ -132,7 +242,7 @@ ORACLE: dict[str, str] = {
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS rank FROM p) SELECT query_id, vec_id, round((c + 1) / 2, 6) AS similarity FROM r WHERE rank <= 10""",
     "embedding_stats": f"""
         WITH n AS (SELECT vec_id, len(embedding) AS d, sqrt({_DOT.format("embedding", "embedding")}) AS n FROM embeddings)
-        SELECT count(*) AS count, max(d) AS dimensions, round(avg(n), 6) AS mean_norm, round(stddev_pop(n), 6) AS std_norm, round(arg_min(n, vec_id), 6) AS first_norm FROM n""",
+        SELECT count(*) AS count, max(d) AS dimensions, round(avg(n), 6) AS mean_norm, round(stddev_pop(n), 6) AS std_norm, round(arg_min(n, vec_id), 6) AS first_norm, 'float32' AS dtype, CAST(NULL AS VARCHAR) AS model FROM n""",
     "embedding_normalize": f"""
         WITH n AS (SELECT vec_id, label, embedding[1] AS f, sqrt({_DOT.format("embedding", "embedding")}) AS n FROM embeddings)
         SELECT vec_id, CASE WHEN label = 0 THEN 0.0 ELSE 1.0 END AS norm, round(CASE WHEN label = 0 THEN 0.0 ELSE CAST(f AS DOUBLE) / n END, 6) + 0.0 AS first FROM n""",

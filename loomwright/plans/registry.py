@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +12,10 @@ from loomwright.functions import text as T
 from loomwright.operators import code_chunks, code_parse, crawl, embed, index, markdown, rag, retrieve
 from loomwright.plans import fixtures
 from loomwright.plans.oracle import ORACLE
-from loomwright.schemas import EmbeddingSettings, RetrievalSettings
+from loomwright.schemas import CRAWL_STATE, EmbeddingSettings, RetrievalSettings
 from loomwright.session import scratch_root
 from loomwright.sources import files
+from loomwright.sources.adapter import CodeTree
 from loomwright.streaming import incremental
 
 SIZES = markdown.ChunkSizes(200, 1500)
@@ -109,19 +111,19 @@ def code_lines_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def code_fence_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    first = F.substring_index("text", "\n", 1)
-    docs = _table(spark, sf, "documents").select("doc_id", F.concat(F.lit("Intro here\n```python\n"), first, F.lit("\n```\nbetween\n```\nlast = 1\n```\nend")).alias("content"))
-    rows = code_chunks.chunk_code(docs, most=100_000_000)
-    return _long(rows.select("doc_id", "chunk_no", "content", "start_index", "end_index"), "chunk_no", "start_index", "end_index")
-
-
-def code_fence_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """Every line of each document in a fence, at the production chunk size; no SQL follows the cut fences."""
+    """Every line of each document in a fence, at the production chunk size: fences above it are cut by lines."""
     docs = _table(spark, sf, "documents").select("doc_id", F.concat(F.lit("Intro here\n```python\n"), "text", F.lit("\n```\nbetween\n```\nlast = 1\n```\nend")).alias("content"))
     rows = code_chunks.chunk_code(docs)
     return _long(rows.select("doc_id", "chunk_no", "content", "start_index", "end_index"), "chunk_no", "start_index", "end_index")
 
 
+def code_script_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """JavaScript around each document, which is a block comment inside a function."""
+    docs = _table(spark, sf, "documents").where(F.col("text").isNotNull()).select("doc_id", F.lit("javascript").alias("language"), F.concat(F.lit("import x from 'x';\nfunction f() {\n  /* "), F.translate("text", "{}", "()"), F.lit(" */\n  function inner() {}\n}\nexport class B {\n}\nconst g = (y) => y;\n")).alias("content"))
+    rows = code_chunks.chunk_code(docs, language="language")
+    return _long(rows.select("doc_id", "language", "chunk_no", "start_index", "end_index"), "chunk_no", "start_index", "end_index")
+
+
 def code_python_chunks(spark: SparkSession, sf: str) -> DataFrame:
     lines = F.size(F.split("text", "\n", -1))
     docs = _table(spark, sf, "documents").select("doc_id", F.concat(F.lit("import os\n\ndef first(x):\n    '''"), "text", F.lit("'''\n    return x\n\nclass Second:\n    def third(self): pass\n")).alias("content"), lines.alias("n"))
@@ -197,7 +199,7 @@ def similarity_matrix(spark: SparkSession, sf: str) -> DataFrame:
 
 def similarity_01(spark: SparkSession, sf: str) -> DataFrame:
     hits = retrieve.nearest(_table(spark, sf, "embeddings"), _queries(spark, sf), 10, metric="cosine", key="vec_id")
-    return _six(hits.select("query_id", "vec_id", ((1 - F.col("distance") + 1) / 2).alias("similarity")), "similarity")
+    return _six(hits.join(_table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id").join(_queries(spark, sf), "query_id").select("query_id", "vec_id", T.similarity01(F.col("embedding"), F.col("query_embedding")).alias("similarity")), "similarity")
 
 
 def embedding_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -352,14 +354,11 @@ def bfs_frontier(spark: SparkSession, sf: str) -> DataFrame:
 # --- index, increments, code
 
 
-def _keyed(df: DataFrame, key: str, kind: str) -> DataFrame:
-    return df.where(F.col("text").isNotNull()).select(F.substring("text", 1, 4).alias("id"), F.lit(kind).alias("kind"), F.col(key).alias("number"))
-
-
 def _upserted(spark: SparkSession, sf: str, policy: str) -> DataFrame:
-    docs = _keyed(_table(spark, sf, "documents"), "doc_id", "document")
-    existing = docs.groupBy("id", "kind").agg(F.min("number").alias("number"))
-    return index.upsert(existing, _keyed(_table(spark, sf, "conversations"), "conv_id", "turn"), policy)
+    """Documents by id, and turns by conversation, of which many share one."""
+    docs = _table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit("document").alias("kind"), F.md5("text").alias("digest"))
+    turns = _table(spark, sf, "conversations").select(F.col("conv_id").alias("id"), F.lit("turn").alias("kind"), F.md5("text").alias("digest"))
+    return index.upsert(docs, turns, policy)
 
 
 def index_upsert_overwrite(spark: SparkSession, sf: str) -> DataFrame:
@@ -383,7 +382,10 @@ def index_stats(spark: SparkSession, sf: str) -> DataFrame:
     one.write(rows)
     other.write(rows)
     other.clear()
-    return one.read().groupBy("domain").agg(F.count("*").alias("stored")).withColumn("other", F.lit(other.stats()["document_count"]).cast("long"))
+    by = [(r["domain"], r["stored"], other.stats()["document_count"]) for r in one.read().groupBy("domain").agg(F.count("*").alias("stored")).collect()]  # a row a language
+    one.drop()
+    other.drop()
+    return spark.createDataFrame(by, "domain string, stored long, other long")
 
 
 def incremental_scan(spark: SparkSession, sf: str) -> DataFrame:
@@ -409,6 +411,115 @@ def _is_file(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
 
 
+def _folder(spark: SparkSession, tag: str) -> str:
+    """A new folder under the shared one, as a plain path: files are written there by name."""
+    return f"{scratch_root(spark).removeprefix('file://')}/{tag}-{uuid.uuid4().hex}"
+
+
+def markdown_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document written as a markdown file with frontmatter, and the folder read back: file name, metadata, content."""
+    at = _folder(spark, "markdown")
+    meta = F.create_map(F.lit("title"), F.concat(F.lit("Document: "), F.col("doc_id").cast("string")), F.lit("lang"), F.col("lang"))
+    pages = _table(spark, sf, "documents").where(F.col("text").isNotNull()).select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("url"), meta.alias("metadata"), F.col("text").alias("markdown"))
+    files.write_markdown(pages, at)
+    found = files.markdown_directory(spark, f"file://{at}")
+    return found.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.element_at("metadata", "title").alias("title"), F.element_at("metadata", "lang").alias("lang"), F.sha2("content", 256).alias("content_hash"))
+
+
+def chunk_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks as records: the document's metadata, then type, heading and file name, and the type as records name it."""
+    docs = _table(spark, sf, "documents").select("doc_id", F.concat(F.lit("## "), "source", F.lit("\n\n[code]x = 1[/code]\n"), "text").alias("content"), F.create_map(F.lit("domain"), "lang", F.lit("none"), F.lit(None)).alias("metadata"))
+    rows = markdown.chunk_documents(docs.withColumn("source", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))), source_id="source", sizes=markdown.ChunkSizes(10, 100_000_000))
+    told = rows.withColumn("metadata", files.chunk_metadata(F.col("metadata"), F.col("chunk_type"), F.col("heading"), F.col("source")))
+    return told.select("doc_id", "chunk_id", files.legacy_type(F.col("chunk_type")).alias("type"), F.array_join(F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("metadata"), F.length("content").cast("long").alias("size"))
+
+
+def _written(spark: SparkSession) -> str:
+    """The sample sources as a tree of files."""
+    at = _folder(spark, "tree")
+    for name, _, body in (*fixtures.SOURCES, ("src/Card.tsx", "typescript", "export const Card = () => null;\n"), ("build/out.js", "javascript", "x\n"), ("src/empty.py", "python", ""), ("notes.txt", "", "no code\n")):
+        target = Path(at) / name
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_text(body, encoding="utf-8")
+    (Path(at) / "src/old.c").write_bytes("// caf\u00e9\n".encode("latin-1"))
+    return f"file://{at}"
+
+
+def tree_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """A source tree: excluded, empty and other files left out, bytes that are not UTF-8 read as Latin-1, each file as a document."""
+    rows = CodeTree(spark, _written(spark), exclude=["build/*"]).documents()
+    return rows.select("source_id", "title", "language", "source_type", "format", "extension", F.col("size").cast("long").alias("size"), F.sha2("content", 256).alias("content_hash"))
+
+
+def tree_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """One document by id, the first ids of a language, and the components of a folder."""
+    at = _written(spark)
+    with CodeTree(spark, at, exclude=["build/*"]) as tree:
+        one = tree.fetch("src/store.py").select(F.lit("fetch").alias("way"), "source_id")
+        ids = tree.ids(["javascript", "typescript"], 1).select(F.lit("ids").alias("way"), "source_id")
+    components = files.tsx_directory(spark, f"{at}/src").select(F.lit("component").alias("way"), F.array_join(F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("source_id"))
+    return one.unionByName(ids).unionByName(components)
+
+
+def code_docstrings(spark: SparkSession, sf: str) -> DataFrame:
+    """Documentation of entities, and of snippets as such; a source that does not parse has its error."""
+    parsed = code_parse.parse(_sources(spark))
+    own = parsed.select("path", F.explode("entities").alias("e")).where("e.docstring is not null").select("path", F.col("e.name").alias("name"), F.col("e.docstring").alias("doc"))
+    failed = parsed.where(F.col("error").isNotNull()).select("path", F.lit(None).cast("string").alias("name"), F.substring_index("error", ":", 1).alias("doc"))
+    snippets = spark.createDataFrame([(f"snippet.{lang}", lang, code_parse.snippet_docstring(body, lang)) for lang, body in fixtures.SNIPPETS], "path string, name string, doc string")
+    return own.unionByName(failed).unionByName(snippets)
+
+
+def links_by_source(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page with each source whose domains and globs allow it."""
+    rows = crawl.Sources()
+    rows.add("mobile", "https://m.example.org/", url_patterns=["http*://m.*"])
+    rows.add("plain", "https://www.example.org/", exclude_patterns=["*[?]*", "*#*"])
+    return crawl.allowed_by(_table(spark, sf, "pages").select("page_id", "url"), rows.table(spark)).select("page_id", "source")
+
+
+def embed_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts that have no embedding of their own, and why; every third is blank here."""
+    docs = _table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.lit(" \u2003\n")).otherwise(F.col("text")).alias("text"))
+    return docs.select("doc_id", embed.blank_error(F.col("text")).alias("error"))
+
+
+def retrieve_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """A batch of queries some of which cannot be answered: hits of the others, and an error each."""
+    asked = _queries(spark, sf).withColumn("query_embedding", F.when(F.col("query_id") % 300 == 0, F.slice("query_embedding", 1, 3)).when(F.col("query_id") % 300 == 100, None).otherwise(F.col("query_embedding")))
+    hits, errors = retrieve.retrieve_batch(_index(spark, sf), asked, 64, RetrievalSettings(top_k=2))
+    return hits.select("query_id", "id", F.lit(None).cast("string").alias("error")).unionByName(errors.select("query_id", F.lit(-1).cast("long").alias("id"), "error"))
+
+
+def page_custom(spark: SparkSession, sf: str) -> DataFrame:
+    """Metadata by configured selectors."""
+    pages = crawl.page_metadata(_table(spark, sf, "pages"), now=F.lit(NOW).cast("timestamp"), selectors={"heading": "h1", "ad": "div.ad", "none": "#none"})
+    return pages.select("page_id", F.element_at("metas", "heading").alias("heading"), F.element_at("metas", "ad").alias("ad"), F.try_element_at("metas", F.lit("none")).alias("none"))
+
+
+def crawl_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """A crawl of three sources over pages that link to their children by number; one of them fails and leaves the others as they are."""
+    pages = _table(spark, sf, "pages")
+    child = F.concat(F.lit("<a href='p"), (2 * F.col("page_id") + F.lit(1)).cast("string"), F.lit("'>n</a><a href='p"), (2 * F.col("page_id") + F.lit(2)).cast("string"), F.lit("#top'>n</a>"), F.col("html"))
+    site = pages.select(F.concat(F.lit("https://site/p"), F.col("page_id").cast("string")).alias("url"), child.alias("html"))
+    rows = crawl.Sources()
+    rows.add("deep", "https://site/p0", ["site"], max_depth=3)
+    rows.add("broken", "https://site/p0", url_patterns=["*"], max_depth=2)
+    rows.add("again", "https://site/p1", ["site"], exclude_patterns=["*4"], max_depth=2)
+    root = f"{scratch_root(spark)}/crawl-{uuid.uuid4().hex}"
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        if name == "links1":
+            raise ConnectionError("unreachable")
+        df.write.parquet(f"{root}/{name}")
+        return spark.read.parquet(f"{root}/{name}")
+
+    state = spark.createDataFrame([], CRAWL_STATE)
+    stored, after, report = crawl.crawl_sources(site, rows.table(spark), state, F.lit(NOW).cast("timestamp"), keep)
+    told = spark.createDataFrame([(r["source"], r["pages"], r["stored"], r["error"]) for r in report], "source string, pages long, stored long, error string")
+    return told.withColumn("state", F.lit(after.count()))
+
+
 def _sources(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(fixtures.SOURCES, "path string, language string, content string")
 
@@ -444,11 +555,11 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _NAMES = (
-    "md_sections md_chunks md_blocks md_pack_multi chunk_fallback chunk_ids chunk_estimate chunk_samples chunk_stats doc_stats merge_small code_lines_chunks code_fence_chunks code_fence_whole "
+    "md_sections md_chunks md_blocks md_pack_multi chunk_fallback chunk_ids chunk_estimate chunk_samples chunk_stats doc_stats merge_small code_lines_chunks code_fence_chunks code_script_chunks "
     "code_python_chunks lang_detect repo_stats vector_topk vector_topk_batch vector_topk_cosine score_from_distance threshold_after_topk similarity_matrix similarity_01 embedding_stats "
     "embedding_normalize embedding_preview embed_documents filter_eq_in filter_op_tree filter_post jaccard_pairs diversity_rescore retrieval_envelope retrieval_display context_build "
     "sources_format prompt_build answer_extractive chat_format token_estimate request_validation page_meta page_links page_min_content html_markdown url_allow crawl_diff state_upsert "
-    "bfs_frontier index_upsert_overwrite index_upsert_skip index_stats incremental_scan stream_index code_entities code_imports entity_documents string_functions"
+    "bfs_frontier index_upsert_overwrite index_upsert_skip index_stats incremental_scan stream_index code_entities code_imports code_docstrings entity_documents markdown_files chunk_records tree_documents tree_lookup links_by_source embed_errors retrieve_errors page_custom crawl_reports string_functions"
 ).split()
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
 from loomwright.functions.udf import arrow_function
-from loomwright.schemas import META
+from loomwright.schemas import DOCUMENTS, META
 
 #: Languages of the code-tree source by extension.
 TREE_EXTENSIONS = {
@@ -50,7 +50,10 @@ def parse_frontmatter(files: DataFrame, value: str = "value") -> DataFrame:
 
 
 def markdown_directory(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """(path, metadata, content) of the .md files of a folder."""
+    """(path, metadata, content) of the .md files of a folder; a missing folder or file has none."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], DOCUMENTS)
     files = spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", str(recursive).lower()).text(path, wholetext=True)
     return parse_frontmatter(files.select(F.col("_metadata.file_path").alias("path"), "value"))
 
@@ -69,6 +72,11 @@ def document_batch(spark: SparkSession, docs: str, components: str | None = None
     return found.unionByName(tsx_directory(spark, components, domain)) if components else found
 
 
+def legacy_type(chunk_type: Column) -> Column:
+    """The chunk type as document chunks name it: code chunks are `mixed`, all others `text`."""
+    return F.when(chunk_type == "code", "mixed").otherwise("text")
+
+
 def chunk_metadata(metadata: Column, chunk_type: Column, heading: Column, source: Column | None = None) -> Column:
     """Metadata of a chunk: the document's, then type and heading and the file's name; nulls are left out."""
     more = [F.lit("chunk_type"), chunk_type, F.lit("heading"), heading] + ([F.lit("source"), source] if source is not None else [])

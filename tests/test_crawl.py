@@ -59,7 +59,27 @@ def test_crawl_end_to_end(spark):
     pages = spark.createDataFrame([("https://a/x", body), ("https://a/y", "<p>short</p>"), ("https://a/z", None)], "url string, html string")
     empty = spark.createDataFrame([], "url string, content_hash string, last_crawled timestamp, output_file string, metadata map<string,string>")
     now = F.lit("2024-06-10 00:00:00").cast("timestamp")
-    stored, state = crawl.crawl(pages, empty, now)
+    stored, state, _ = crawl.crawl(pages, empty, now)
     assert [r.url for r in stored.collect()] == ["https://a/x"]
-    again, _ = crawl.crawl(pages, state, now)
+    again, _, _ = crawl.crawl(pages, state, now)
     assert again.count() == 0
+
+
+def test_links_of_short_and_unchanged_pages_and_settings(spark, tmp_path):
+    body = "<h1>Big <i>one</i></h1><a href='/y#top'>y</a><p>" + "word " * 40 + "</p><aside>kept</aside>"
+    pages = spark.createDataFrame([("https://a/x", body), ("https://a/s", "<a href='z'>z</a>")], "url string, html string")
+    state = spark.createDataFrame([], "url string, content_hash string, last_crawled timestamp, output_file string, metadata map<string,string>")
+    now = F.lit("2024-06-10 00:00:00").cast("timestamp")
+    stored, state, links = crawl.crawl(pages, state, now, selectors={"top": "h1", "none": ".x"}, removed=("aside",))
+    row = stored.first()
+    assert row.metas["top"] == "Big one" and "none" not in row.metas and "kept" not in row.markdown
+    again, _, same = crawl.crawl(pages, state, now, removed=("aside",))
+    assert again.count() == 0 and sorted(map(tuple, links.collect())) == sorted(map(tuple, same.collect())) == [("https://a/s", "https://a/z"), ("https://a/x", "https://a/y")]
+    (tmp_path / "c.yaml").write_text("sources: []\nincremental: {force_recrawl_after_days: 3, hash_algorithm: md5}\nextraction: {min_content_length: 7}\nother: 1\n")
+    own = crawl.Sources.load(str(tmp_path / "c.yaml"))
+    assert own.settings["days"] == 3 and own.settings["algorithm"] == "md5" and own.settings["least_length"] == 7 and own.settings["enabled"]
+    own.add("x", "https://x")
+    own.save(str(tmp_path / "c.yaml"))
+    assert crawl.Sources.load(str(tmp_path / "c.yaml")).rows["x"]["max_depth"] == 3 and "other: 1" in (tmp_path / "c.yaml").read_text()
+    state.write.parquet(str(tmp_path / "state"))
+    assert crawl.clear_state(spark, str(tmp_path / "state")) and not crawl.clear_state(spark, str(tmp_path / "state")) and crawl.read_state(spark, str(tmp_path / "state")).count() == 0

@@ -105,3 +105,55 @@ def test_settings(monkeypatch):
         with pytest.raises(ValueError):
             bad()
     assert RetrievalSettings(filters={"a": 1}).with_call(3, {"b": 2}) == RetrievalSettings(top_k=3, filters={"a": 1, "b": 2})
+
+
+def test_nearest_of_far_vectors_and_of_ties(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=32) * 7000  # long vectors that differ by little: the product alone cannot rank them
+    close = base + rng.normal(size=(600, 32)) * 1e-3
+    same = np.repeat(close[:1], 300, axis=0)
+    vectors = np.concatenate([close, same])
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "id long, embedding array<double>").repartition(3)
+    asked = rows.where("id % 60 = 0").selectExpr("id AS query_id", "embedding AS query_embedding")
+    got = {}
+    for r in retrieve.nearest(rows, asked, 5).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.id))
+    for q, found in got.items():
+        d = ((vectors - vectors[q]) ** 2).sum(1)
+        assert [i for _, i in sorted(found)] == sorted(range(len(vectors)), key=lambda i: (d[i], i))[:5]
+
+
+def test_one_of_two_writers_tries_again(spark, tmp_path):
+    from loomwright.operators import index
+
+    def rows(*texts):
+        return index.prepare(spark.createDataFrame([(t, [1.0], {"domain": "d"}) for t in texts], "content string, embedding array<float>, metadata map<string,string>"))
+
+    own = index.Collection(spark, str(tmp_path), "c")
+    assert own.status()["status"] == "empty" and own.write(rows("a", "b")) == 2 and own.status()["status"] == "ready"
+    base = own.version()
+    own.write(rows("c"))
+    with pytest.raises(index.Conflict):  # a version that another has followed already
+        own._publish(rows("lost"), base)
+    assert sorted(r.content for r in own.read().collect()) == ["a", "b", "c"]
+    for k in range(3):
+        own.write(rows(f"d{k}"))
+    kept = [p.name for p in (tmp_path / "collection=c").iterdir()]
+    assert sum(n.startswith("v-") for n in kept) == 2 and not any(n.startswith("STAGED") for n in kept)
+    assert own.replace(rows("z", "z")) == 2 and [r.content for r in own.read().collect()] == ["z"]
+    own.drop()
+    assert own.version() is None
+
+
+def test_provider_with_dimensions_of_its_own(spark):
+    from loomwright.operators import embed
+    from loomwright.schemas import EmbeddingSettings
+
+    class Three:
+        def encode(self, texts):
+            return np.ones((len(texts), 3))
+
+    got = embed.encode_texts(["a", None, " ", "b"], EmbeddingSettings(dimensions=64, batch_size=1), Three())
+    assert got.shape == (4, 3) and got[1].sum() == 0 and np.isclose(np.linalg.norm(got[3]), 1)
+    rows = spark.createDataFrame([(2, "b"), (1, "a"), (3, "c")], "n long, content string")
+    assert [r.n for r in embed.embed_sample(rows, ["n"], 2).orderBy("n").collect()] == [1, 2]
