@@ -20,32 +20,52 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and their language's perplexity band."""
+    """Documents that pass the base rules and their language's perplexity band.
+
+    Null, empty and blank texts have too few words and go.  A text of any length is measured whole; repeated rows all stay or all go;
+    a null language has a band of its own; null ids play no part; an empty table stays empty; other columns pass through.
+    """
     ship(spark)
     return quality_rules.filter_quality(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their source's boilerplate lines; n_chars follows the text."""
+    """Documents without their source's boilerplate lines; n_chars follows the text.
+
+    Every row stays: a null text is null, one that loses all its lines is empty.  A null source is a source; repeated rows count as pages
+    each and lose the same lines; an empty table stays empty; other columns pass through.
+    """
     ship(spark)
     cut = line_dedup.drop_boilerplate(docs)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else cut.select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id.  Equal rows count once; documents without an id stay."""
+    """One document of each group: the one with the smallest id.
+
+    Texts without words are in no group and stay.  Equal rows count once; rows of one id with different texts stay together; documents
+    without an id stay; an empty table stays empty; other columns pass through.
+    """
     ship(spark)
     return near_dedup.keep_one(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Documents in which no window of a benchmark item occurs.
+
+    Texts without words hold none and stay, as all do if the benchmark is empty; its null ids and texts have no window.  Repeated rows fare
+    alike; null ids play no part; an empty table stays empty; other columns pass through.
+    """
     ship(spark)
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with `size` in words and `copies`."""
+    """Documents that the mix takes, with `size` in words and `copies`.
+
+    A text without words has size 0 and is taken only where its source is taken whole.  A null source is one of its own, the last; equal
+    rows are interchangeable; an empty table stays empty; other columns pass through.
+    """
     ship(spark)
     mixed = mixing.mix(docs.withColumn("size", mixing.n_words(F.col("text"))))
     return mixed.where("copies > 0").select(*docs.columns, "size", "target", "copies")
