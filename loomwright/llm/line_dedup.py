@@ -45,7 +45,7 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio
 def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, doc_id: str = "doc_id", n_lines: str | None = None, n_dropped: str | None = None, most: int = BROADCAST_LINES) -> DataFrame:
     """docs with boilerplate lines cut from `text`; with names for them, also the counts of lines and of dropped lines.
 
-    A null text stays null and has no lines; an empty one has one blank line.  A null
+    An empty table stays empty.  A null text stays null and has no lines; an empty one has one blank line.  A null
     host is a host of its own.  Repeated rows count as pages each and lose the same lines.  A page
     may lose all its lines and stays, with an empty text.  Up to `most` boilerplate lines are broadcast by
     host and texts are not shuffled; beyond, texts meet their cuts by host and id.  Which lines go depends on

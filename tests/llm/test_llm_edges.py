@@ -101,6 +101,24 @@ def test_classifiers(spark, docs):
     assert toxicity.offending_sentences(docs, toxicity.NoisyOr(__import__("numpy").zeros(toxicity.BUCKETS, "f4"), 3.0)).where("doc_id = 3").count() == 0
 
 
+def test_values_of_odd_rows(docs):
+    """Long, null, odd and repeated rows by hand."""
+    stats = {(r.doc_id, r.text): r for r in quality_rules.base_stats(docs.select("doc_id", "text").withColumn("text", F.col("text")).select("doc_id", "text", F.col("text").alias("copy"))).withColumnRenamed("copy", "text").collect()}
+    long_row = stats[6, LONG]
+    assert (long_row.n_words, long_row.word_chars, long_row.n_symbols, long_row.n_dup_lines) == (30_004, 30_000 * 4 + 5 + 1 + 12 + 5000, 0, 0) and long_row.n_repeat_words == 30_000
+    assert tuple(stats[None, None][c] for c in quality_rules.STATS) == (0,) * 5 and stats[-9, "\u0000 odd \x1f bytes \U0001f600 end"].n_words == 6
+    scored = {(r.doc_id, r.n_tokens): r for r in context_tree.score(docs.select("doc_id", "text"), F.col("doc_id") > 0).collect()}
+    assert (6, 30_005) in scored and (-9, 7) in scored and (None, 1) in scored and scored[3, 1].score == scored[None, 1].score == scored[4, 1].score
+    spans = {(r.doc_id, len(r.text or "")): [(s.start, s.kind, s.end) for s in r.secret_spans] for r in secret_scan.scan(docs.select("doc_id", "text")).collect()}
+    assert spans[6, len(LONG)] == [(150_000, 0, 150_020)] and spans[None, 0] == [] and spans[-9, len(ROWS[-1][1])] == []
+    near = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs.select("doc_id", "text"), width=2).collect()}
+    assert {(6, 5, 6, True), (None, 0, None, True), (-9, 5, -9, True), (4, 0, 4, True), (5, 0, 5, True)} <= near
+    tokens = {(r.doc_id, r.n_bytes) for r in token_count.count_tokens(docs.select("doc_id", "text"), _vocabulary()).collect()}
+    assert {(6, len(LONG.encode())), (None, 0), (-9, 22)} <= tokens
+    cut = line_dedup.drop_boilerplate(docs.select("doc_id", "text", "source"), ratio=0.3, least_pages=2).collect()
+    assert sum(r.doc_id is None and r.text is None for r in cut) == 1 and sum(r.doc_id == 6 and r.text == LONG for r in cut) == 1
+
+
 @pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES])
 def test_stages(spark, docs, stage, tmp_path, bench):
     bench.write.parquet(str(tmp_path / "benchmark.parquet"))
