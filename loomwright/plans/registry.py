@@ -13,7 +13,7 @@ from loomwright.operators import code_chunks, code_parse, crawl, embed, index, m
 from loomwright.plans import fixtures
 from loomwright.plans.oracle import ORACLE
 from loomwright.schemas import CRAWL_STATE, EmbeddingSettings, RetrievalSettings
-from loomwright.session import scratch_root
+from loomwright.session import scratch_root, spread
 from loomwright.sources import files
 from loomwright.sources.adapter import CodeTree
 from loomwright.streaming import incremental
@@ -26,6 +26,11 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf: str, name: str = "documents") -> DataFrame:
+    """A table whose rows take long to work on."""
+    return spread(_table(spark, sf, name))
+
+
 def _long(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("long") for n in names})
 
@@ -66,7 +71,7 @@ def md_pack_multi(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _document_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
+    docs = _texts(spark, sf).select("doc_id", F.col("text").alias("content"))
     return markdown.chunk_documents(docs.withColumn("source_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string"))), sizes=SIZES)
 
 
@@ -105,28 +110,28 @@ def merge_small(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def code_lines_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"), F.lit("go").alias("language"))
+    docs = _texts(spark, sf).select("doc_id", F.col("text").alias("content"), F.lit("go").alias("language"))
     rows = code_chunks.chunk_code(docs, language="language", most=500)
     return _long(rows.select("doc_id", "chunk_no", "start_index", "end_index", F.sha2("content", 256).alias("content_hash")), "chunk_no", "start_index", "end_index")
 
 
 def code_fence_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Every line of each document in a fence, at the production chunk size: fences above it are cut by lines."""
-    docs = _table(spark, sf, "documents").select("doc_id", F.concat(F.lit("Intro here\n```python\n"), "text", F.lit("\n```\nbetween\n```\nlast = 1\n```\nend")).alias("content"))
+    docs = _texts(spark, sf).select("doc_id", F.concat(F.lit("Intro here\n```python\n"), "text", F.lit("\n```\nbetween\n```\nlast = 1\n```\nend")).alias("content"))
     rows = code_chunks.chunk_code(docs)
     return _long(rows.select("doc_id", "chunk_no", "content", "start_index", "end_index"), "chunk_no", "start_index", "end_index")
 
 
 def code_script_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """JavaScript around each document, which is a block comment inside a function."""
-    docs = _table(spark, sf, "documents").where(F.col("text").isNotNull()).select("doc_id", F.lit("javascript").alias("language"), F.concat(F.lit("import x from 'x';\nfunction f() {\n  /* "), F.translate("text", "{}", "()"), F.lit(" */\n  function inner() {}\n}\nexport class B {\n}\nconst g = (y) => y;\n")).alias("content"))
+    docs = _texts(spark, sf).where(F.col("text").isNotNull()).select("doc_id", F.lit("javascript").alias("language"), F.concat(F.lit("import x from 'x';\nfunction f() {\n  /* "), F.translate("text", "{}", "()"), F.lit(" */\n  function inner() {}\n}\nexport class B {\n}\nconst g = (y) => y;\n")).alias("content"))
     rows = code_chunks.chunk_code(docs, language="language")
     return _long(rows.select("doc_id", "language", "chunk_no", "start_index", "end_index"), "chunk_no", "start_index", "end_index")
 
 
 def code_python_chunks(spark: SparkSession, sf: str) -> DataFrame:
     lines = F.size(F.split("text", "\n", -1))
-    docs = _table(spark, sf, "documents").select("doc_id", F.concat(F.lit("import os\n\ndef first(x):\n    '''"), "text", F.lit("'''\n    return x\n\nclass Second:\n    def third(self): pass\n")).alias("content"), lines.alias("n"))
+    docs = _texts(spark, sf).select("doc_id", F.concat(F.lit("import os\n\ndef first(x):\n    '''"), "text", F.lit("'''\n    return x\n\nclass Second:\n    def third(self): pass\n")).alias("content"), lines.alias("n"))
     rows = code_chunks.chunk_code(docs, extension=None, language=None)
     return _long(rows.select("doc_id", "language", "chunk_no", "start_index", "end_index"), "chunk_no", "start_index", "end_index")
 
@@ -217,7 +222,7 @@ def embedding_preview(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def embed_documents(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    docs = _texts(spark, sf).select("doc_id", "text")
     rows = embed.embed(docs, "text", settings=EmbeddingSettings(dimensions=256))
     return rows.select("doc_id", F.size("embedding").cast("long").alias("dimensions"), F.round(T.norm(F.col("embedding")), 4).alias("norm"))
 
@@ -298,22 +303,22 @@ def request_validation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_meta(spark: SparkSession, sf: str) -> DataFrame:
-    pages = crawl.page_metadata(_table(spark, sf, "pages"), now=F.lit(NOW).cast("timestamp"))
+    pages = crawl.page_metadata(_texts(spark, sf, "pages"), now=F.lit(NOW).cast("timestamp"))
     return pages.select("page_id", "title", "domain", "path", "path_segment", F.sha2("html", 256).alias("content_hash"), F.md5("url").alias("file"))
 
 
 def page_links(spark: SparkSession, sf: str) -> DataFrame:
-    pages = crawl.page_metadata(_table(spark, sf, "pages"), now=F.lit(NOW).cast("timestamp"))
+    pages = crawl.page_metadata(_texts(spark, sf, "pages"), now=F.lit(NOW).cast("timestamp"))
     return pages.select("page_id", F.explode("links").alias("link")).where(crawl.allowed(F.col("link"), exclude=["*.pdf"]))
 
 
 def page_min_content(spark: SparkSession, sf: str) -> DataFrame:
-    pages = crawl.page_metadata(_table(spark, sf, "pages"), now=F.lit(NOW).cast("timestamp"))
+    pages = crawl.page_metadata(_texts(spark, sf, "pages"), now=F.lit(NOW).cast("timestamp"))
     return pages.where(F.length("markdown") >= 100).select("page_id", F.length("markdown").cast("long").alias("size"))
 
 
 def html_markdown(spark: SparkSession, sf: str) -> DataFrame:
-    return crawl.page_metadata(_table(spark, sf, "pages"), now=F.lit(NOW).cast("timestamp")).select("page_id", "markdown")
+    return crawl.page_metadata(_texts(spark, sf, "pages"), now=F.lit(NOW).cast("timestamp")).select("page_id", "markdown")
 
 
 def url_allow(spark: SparkSession, sf: str) -> DataFrame:
@@ -376,7 +381,7 @@ def _prepared(rows: DataFrame) -> DataFrame:
 def index_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Two collections under one path: each has its own rows, and writing one twice changes nothing."""
     root = f"{scratch_root(spark)}/index-{uuid.uuid4().hex}"
-    rows = _prepared(_table(spark, sf, "documents"))
+    rows = _prepared(_texts(spark, sf))
     one, other = index.Collection(spark, root, "documents"), index.Collection(spark, root, "empty")
     one.write(rows)
     one.write(rows)
@@ -420,7 +425,7 @@ def markdown_files(spark: SparkSession, sf: str) -> DataFrame:
     """Every document written as a markdown file with frontmatter, and the folder read back: file name, metadata, content."""
     at = _folder(spark, "markdown")
     meta = F.create_map(F.lit("title"), F.concat(F.lit("Document: "), F.col("doc_id").cast("string")), F.lit("lang"), F.col("lang"))
-    pages = _table(spark, sf, "documents").where(F.col("text").isNotNull()).select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("url"), meta.alias("metadata"), F.col("text").alias("markdown"))
+    pages = _texts(spark, sf).where(F.col("text").isNotNull()).select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("url"), meta.alias("metadata"), F.col("text").alias("markdown"))
     files.write_markdown(pages, at)
     found = files.markdown_directory(spark, f"file://{at}")
     return found.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.element_at("metadata", "title").alias("title"), F.element_at("metadata", "lang").alias("lang"), F.sha2("content", 256).alias("content_hash"))
@@ -428,7 +433,7 @@ def markdown_files(spark: SparkSession, sf: str) -> DataFrame:
 
 def chunk_records(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks as records: the document's metadata, then type, heading and file name, and the type as records name it."""
-    docs = _table(spark, sf, "documents").select("doc_id", F.concat(F.lit("## "), "source", F.lit("\n\n[code]x = 1[/code]\n"), "text").alias("content"), F.create_map(F.lit("domain"), "lang", F.lit("none"), F.lit(None)).alias("metadata"))
+    docs = _texts(spark, sf).select("doc_id", F.concat(F.lit("## "), "source", F.lit("\n\n[code]x = 1[/code]\n"), "text").alias("content"), F.create_map(F.lit("domain"), "lang", F.lit("none"), F.lit(None)).alias("metadata"))
     rows = markdown.chunk_documents(docs.withColumn("source", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))), source_id="source", sizes=markdown.ChunkSizes(10, 100_000_000))
     told = rows.withColumn("metadata", files.chunk_metadata(F.col("metadata"), F.col("chunk_type"), F.col("heading"), F.col("source")))
     return told.select("doc_id", "chunk_id", files.legacy_type(F.col("chunk_type")).alias("type"), F.array_join(F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("metadata"), F.length("content").cast("long").alias("size"))
@@ -493,7 +498,7 @@ def retrieve_errors(spark: SparkSession, sf: str) -> DataFrame:
 
 def page_custom(spark: SparkSession, sf: str) -> DataFrame:
     """Metadata by configured selectors."""
-    pages = crawl.page_metadata(_table(spark, sf, "pages"), now=F.lit(NOW).cast("timestamp"), selectors={"heading": "h1", "ad": "div.ad", "none": "#none"})
+    pages = crawl.page_metadata(_texts(spark, sf, "pages"), now=F.lit(NOW).cast("timestamp"), selectors={"heading": "h1", "ad": "div.ad", "none": "#none"})
     return pages.select("page_id", F.element_at("metas", "heading").alias("heading"), F.element_at("metas", "ad").alias("ad"), F.try_element_at("metas", F.lit("none")).alias("none"))
 
 
@@ -538,7 +543,7 @@ def entity_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def string_functions(spark: SparkSession, sf: str) -> DataFrame:
-    d = _table(spark, sf, "documents")
+    d = _texts(spark, sf)
     t = F.col("text")
     return d.select(
         "doc_id", T.capitalize(F.col("source")).alias("capital"), T.count_of(t, "th").alias("n_th"), T.truncate(t, 200).alias("cut"),

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -25,6 +25,19 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Tables of at most so many bytes may be dealt to all cores.
+SMALL = 32 << 20
+
+
+def spread(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """df dealt to all cores if its files are small: one row group is one task, however many cores there are.
+
+    Larger tables have row groups enough and are left as they are, so what is shuffled is bounded by `most`.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= most else df
+
+
 _OWN: dict[str, str] = {}
 
 
