@@ -36,7 +36,7 @@ NEAR, WEIGHED, TABLE = 3, 1 << 16, 1 << 21
 #: Partial counts that a task holds before it hands them on.
 HELD = 3 << 19
 #: Bytes of text that are worked on at once: a symbol takes about 60 bytes of arrays.
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: The end symbol among bytes.
 END_BYTE = 0xFF
 #: The end token's key among words.

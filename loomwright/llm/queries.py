@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomwright.llm import context_tree, decontamination, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, token_count, toxicity
 from loomwright.llm.common import Scratch, crc_mod, table
 from loomwright.llm.labelled import labelled_sample
+from loomwright.session import spread
 
 
 def _vocabulary() -> str:
@@ -16,12 +17,16 @@ def _vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select(*columns))
+
+
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=2)
+    return near_dedup.near_duplicates(_documents(spark, sf_dir, "doc_id", "text"), width=2)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir, "doc_id", "text")
     held = crc_mod(F.col("doc_id"), 5) == 0
     sample, sizes = labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", ~held, toxicity.PER_CLASS)
     scored = toxicity.score(docs, toxicity.train(sample, sizes))
@@ -29,26 +34,26 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    docs = _documents(spark, sf_dir, "doc_id", "lang", "text")
     scored = quality_rules.score(docs, quality_rules.train(docs)).drop("text")
     judged = quality_rules.verdict(Scratch(spark, "op3").keep(scored, "scored"))
     return judged.select("doc_id", *quality_rules.STATS, "base_failed", "kept", F.round(F.exp("nll"), 3).alias("perplexity"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir, "doc_id", "text")
     marked = decontamination.mark_hits(docs, table(spark, sf_dir, "benchmark").select("item_id", "text")).drop("text")
     return marked.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir, "doc_id", "text")
     counted = token_count.count_tokens(docs, _vocabulary())
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir, "doc_id", "text")
     found = secret_scan.scan(docs, spans="found").drop("text")
     base = F.filter("found", lambda s: s["kind"] < len(secret_scan.BASE))
     counts = [F.size(F.filter(F.transform("found", lambda s: s["kind"]), lambda kind: kind == k)).cast("long").alias(f"n_{rule.kind}") for k, rule in enumerate(secret_scan.BASE)]
@@ -56,26 +61,26 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir, "doc_id", "text")
     held = crc_mod(F.col("doc_id"), 5) == 1
     scored = context_tree.score(docs, ~held)
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = _documents(spark, sf_dir, "doc_id", "source", "text")
     cut = line_dedup.drop_boilerplate(docs, n_lines="n_lines", n_dropped="n_dropped")
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
+    docs = _documents(spark, sf_dir, "doc_id", "source", "text").select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
     mixed = mixing.mix(Scratch(spark, "op9").keep(docs, "sizes"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir, "doc_id", "text")
     held = crc_mod(F.col("doc_id"), 4) == 2
     sample, sizes = labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", ~held, quality_classifier.PER_CLASS)
     scored = quality_classifier.score(docs, quality_classifier.train(sample, sizes))
@@ -84,7 +89,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base columns of op3_quality_rules, which SQL can state."""
-    return quality_rules.base_stats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return quality_rules.base_stats(_documents(spark, sf_dir, "doc_id", "text"))
 
 
 def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:

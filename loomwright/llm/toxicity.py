@@ -89,19 +89,32 @@ def fit(documents: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: n
         done += len(lens)
     index, owner, rows = np.concatenate(parts), np.concatenate(owners), np.repeat(np.arange(len(y)), sentences_of)
     del parts, owners
-    pieces = [slice(at, at + PIECE) for at in range(0, len(index), PIECE)]
+    # By feature, so that a feature's sentences lie together: those of weight 0 add nothing, and a feature's pull is one sum.
+    order = np.argsort(index, kind="stable")
+    many = np.bincount(index, minlength=len(frequent))
+    owner, starts = owner[order], np.concatenate([[0], np.cumsum(many)])
+    del index, order
+    cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, starts[-1], PIECE)), len(frequent)))
+    pieces = [(low, high) for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist()) if starts[high] > starts[low]]
     w, b, total = np.zeros(len(frequent)), START, weight.sum()
     penalty = min(MOST, SHARE * (y == 1).sum())
     m, v = np.zeros(len(frequent) + 1), np.zeros(len(frequent) + 1)
     for step in range(1, ROUNDS + 1):
         z = np.full(done, b)
-        for part in pieces:
-            np.add.at(z, owner[part], w[index[part]])
+        used = np.flatnonzero(w)
+        if len(used):
+            lens = many[used]
+            place = np.repeat(starts[used] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
+            z += np.bincount(owner[place], np.repeat(w[used], lens), minlength=done)
         z = np.clip(z, -30, 30)
         p = 1 / (1 + np.exp(-z))
         bag = np.clip(_bag(np.log1p(-np.minimum(p, 1 - 1e-12)), rows, len(y)), 1e-6, 1 - 1e-9)
         pull = (weight * np.where(y == 1, (1 - bag) / bag, -1.0))[rows] * p
-        slope = np.append(sum((np.bincount(index[part], pull[owner[part]], minlength=len(frequent)) for part in pieces), np.zeros(len(frequent))), pull.sum()) / total
+        slope = np.zeros(len(frequent) + 1)
+        for low, high in pieces:
+            slope[low:high] = np.add.reduceat(pull[owner[starts[low] : starts[high]]], starts[low:high] - starts[low])
+        slope[-1] = pull.sum()
+        slope /= total
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope * slope
         scale = RATE / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
         move = m / (1 - 0.9**step) * scale
