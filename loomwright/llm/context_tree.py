@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm.common import Scratch, fresh
-from loomwright.llm.vectext import LOWER, NON_SPACE, U64, Words, as_bytes, blocks, fmix
+from loomwright.llm.vectext import LOWER, NON_SPACE, U64, Words, as_bytes, blocks, fmix, lean
 
 DEPTH, FREQUENT = 5, 1 << 21
 #: Bytes by which strings are dealt out, strings that a task weighs on average, and strings that a pass over the texts looks up.
@@ -120,7 +120,7 @@ def corpus_counts(docs: DataFrame, learn: Column, text: str = "text") -> DataFra
             if held[kind]:
                 yield from out(kind)
 
-    return docs.select(F.col(text), F.coalesce(learn, F.lit(False)).alias("learns")).mapInArrow(run, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text), F.coalesce(learn, F.lit(False)).alias("learns")).mapInArrow(lean(run), "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 class Slots:
@@ -317,7 +317,7 @@ def probabilities(strings: DataFrame, total: int) -> DataFrame:
         weighted = weigh(levels, NEAR)[0]
         yield from _pieces({"node": levels[0][0].view(np.int64), "zero": levels[0][1], "one": levels[0][2], "weighted": weighted})
 
-    node, zero, one, weighted = _columns(dealt.mapInArrow(roots, "node long, zero double, one double, weighted double"))
+    node, zero, one, weighted = _columns(dealt.mapInArrow(lean(roots), "node long, zero double, one double, weighted double"))
     order = np.argsort(node)
     levels, weighted = [(node.view(np.uint64)[order], zero[order], one[order])], weighted[order]
     for d in range(NEAR - 1, -1, -1):
@@ -337,7 +337,7 @@ def probabilities(strings: DataFrame, total: int) -> DataFrame:
             lower = [Slots(x[0], p) for x, p in zip(levels, mixed(levels, stop, parents, gathered[at], weight[at])[0])]
             yield from _pieces({"key": keys.view(np.int64), "p": walk([*upper, *lower], keys).astype(np.float32)})
 
-    return dealt.mapInArrow(leaves, "key long, p float")
+    return dealt.mapInArrow(lean(leaves), "key long, p float")
 
 
 #: The worker's part of the table and frequent words, by the pass that they belong to.
@@ -369,7 +369,7 @@ def _another_pass(scored: DataFrame, held: Broadcast, text: str, tree: str) -> D
                 more = _tree_score(_tables(*held.value)[0], *as_bytes(block.column(block.schema.get_field_index(text))))
                 yield block.set_column(at, block.schema.field(at), pa.array(block.column(at).to_numpy() + more))
 
-    return scored.mapInArrow(run, scored.schema)
+    return scored.mapInArrow(lean(run), scored.schema)
 
 
 def score(docs: DataFrame, learn: Column, text: str = "text") -> DataFrame:
@@ -432,7 +432,7 @@ def score(docs: DataFrame, learn: Column, text: str = "text") -> DataFrame:
                 }
                 yield pa.RecordBatch.from_arrays([more.get(name, block.column(i)) for i, name in enumerate(block.schema.names)], names=block.schema.names)
 
-    scored = shaped.mapInArrow(run, shaped.schema)
+    scored = shaped.mapInArrow(lean(run), shaped.schema)
     for k in range(1, passes):  # the rest of the table, part by part
         scored = scratch.keep(scored, f"pass{k}")
         if k > 1:

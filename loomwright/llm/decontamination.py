@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm.common import Scratch, fresh
-from loomwright.llm.vectext import ALNUM, U64, Words, as_bytes, blocks, fmix, pair_hash
+from loomwright.llm.vectext import ALNUM, U64, Words, as_bytes, blocks, fmix, lean, pair_hash
 
 WINDOW = 10
 #: Windows broadcast at once: 80 bytes of word hashes each and their item ids, so about 50 MB.
@@ -51,7 +51,7 @@ def item_windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([block.column(0).take(pa.array(np.repeat(row, n))), pa.array(out, pa.binary())], names=["item", "words"])
 
     chosen = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), "text")
-    each = chosen.mapInArrow(run, "item string, words binary")
+    each = chosen.mapInArrow(lean(run), "item string, words binary")
     sliced = each.withColumn("slice", F.pmod(F.xxhash64("item"), F.lit(SLICES)))
     return sliced.groupBy("words", "slice").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("key", F.xxhash64("words", "slice")).drop("slice")
 
@@ -118,7 +118,7 @@ def _word_counts(docs: DataFrame, words: np.ndarray, text: str) -> dict[int, int
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["word", "n"])
 
-    rows = docs.select(text).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.select(text).mapInArrow(lean(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
     return dict(zip(words[rows["word"].to_numpy(np.int64)].tolist(), rows["n"].tolist()))
 
 
@@ -150,7 +150,7 @@ def mark_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", prefix:
                 for piece in blocks(batch, text):
                     yield _mark(piece, probe.value, text, places, names)
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(lean(run), schema)
         if part % CHAIN == CHAIN - 1 and part + 1 < parts:
             out = scratch.keep(out, f"pass{part}")
     return out.drop(places)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from loomwright.llm.common import Scratch, broadcast_if, fresh, may_hold
 from loomwright.llm.components import components
-from loomwright.llm.vectext import NON_SPACE, U64, Words, as_bytes, blocks, fmix, pair_hash
+from loomwright.llm.vectext import NON_SPACE, U64, Words, as_bytes, blocks, fmix, lean, pair_hash
 
 #: Minhashes in a table's key, and half keys in a collection.  A pair of similarity s shares a table
 #: with probability (1 - (1 - s**(ROWS/2))**SIDE)**2: 0.9996 at 0.8, 0.00014 at 0.1.
@@ -34,7 +34,7 @@ SHINGLE, LEAST = 5, 80
 #: Set elements that a block holds, unless one set is larger.
 BLOCK_ELEMENTS = 1 << 19
 #: Pairs of one lead that a task verifies, and shared elements that are counted at once.
-PAIRS, MATCHES = 1 << 11, 1 << 22
+PAIRS, MATCHES = 1 << 11, 1 << 19
 #: Leads with more than PAIRS pairs that are broadcast, at 12 bytes each; more are joined.  Table keys that a task makes on average.
 LEADS, KEYED = 1 << 18, 1 << 20
 
@@ -103,7 +103,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, width: int, rows: int, s
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.array(halves.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([block.column(0), pa.array(size), pa.array(one, mask=size == 0), pa.array(two, mask=size == 0), lists], names=["doc_id", "n_shingles", "one", "two", "halves"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, one long, two long, halves array<long>")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), f"doc_id {kind}, n_shingles long, one long, two long, halves array<long>")
 
 
 def _sets(docs: DataFrame, doc_id: str, text: str, width: int, wanted: DataFrame) -> DataFrame:
@@ -124,7 +124,7 @@ def _sets(docs: DataFrame, doc_id: str, text: str, width: int, wanted: DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(one[keep]), pa.array(two[keep]), pa.array(size[keep]), lists], names=["one", "two", "n", "elements"])
 
     told, maybe = may_hold(docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")), wanted.select("doc"), "doc")
-    some = told.where(maybe | F.col("doc").isNull()).select("text").mapInArrow(run, "one long, two long, n long, elements array<long>")
+    some = told.where(maybe | F.col("doc").isNull()).select("text").mapInArrow(lean(run), "one long, two long, n long, elements array<long>")
     return some.join(wanted.select("one", "two", "cls"), ["one", "two"]).select("cls", "n", "elements").dropDuplicates(["cls"])
 
 
@@ -214,7 +214,7 @@ def _left_over(members: DataFrame, reps: DataFrame, sets: DataFrame, labels: Dat
     asked = rows.select("key", F.pmod(F.xxhash64("cls"), "parts").cast("int").alias("x"), F.lit(0).alias("asks"), "cls", "label")
     asks = rows.where(F.col("label") != F.col("bulk")).select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("x"), F.lit(1).alias("asks"), "cls", "label")
     placed = asked.unionByName(asks).join(sets.select("cls", "elements"), "cls").select("key", "x", "asks", "cls", "label", "elements")
-    return placed.repartition("key", "x").sortWithinPartitions("key", "x", "asks", "cls").mapInArrow(_compare(least), "a long, b long").distinct()
+    return placed.repartition("key", "x").sortWithinPartitions("key", "x", "asks", "cls").mapInArrow(lean(_compare(least)), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, least: int = LEAST, rows: int = ROWS, side: int = SIDE) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.vectext import NON_SPACE, Words, as_bytes, blocks, pair_hash
+from loomwright.llm.vectext import NON_SPACE, Words, as_bytes, blocks, lean, pair_hash
 
 BUCKETS = 1 << 18
 #: Labelled documents of each class that the fit reads at most.
@@ -152,7 +152,7 @@ def train(sample: DataFrame, sizes: dict[int, int]) -> Model:
                 one = buckets.astype("<i4")
                 yield pa.RecordBatch.from_arrays([block.column(1), pa.array([one[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], names=["y", "buckets"])
 
-    got = sample.select("text", F.col("y").cast("int")).mapInArrow(run, "y int, buckets binary").toPandas()
+    got = sample.select("text", F.col("y").cast("int")).mapInArrow(lean(run), "y int, buckets binary").toPandas()
     y = got["y"].to_numpy(np.int64)
     taken = np.bincount(y, minlength=2)
     if min(taken) < 1:
@@ -179,4 +179,4 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 rows, buckets = features(*as_bytes(block.column(block.schema.get_field_index(text))))
                 yield pa.RecordBatch.from_arrays([*block.columns, pa.array(held.value.scores(rows, buckets, block.num_rows))], names=[*block.schema.names, "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.llm.common import Scratch, broadcast_if, fresh
-from loomwright.llm.vectext import NON_SPACE, U64, Words, as_bytes, blocks, fmix, hash_spans, pair_hash, windows
+from loomwright.llm.vectext import NON_SPACE, U64, Words, as_bytes, blocks, fmix, hash_spans, lean, pair_hash, windows
 
 #: Code points of an n-gram and bits of each; three pack into 63 bits.
 ORDER, BITS = 3, 21
@@ -188,7 +188,7 @@ def ngram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Dat
         for k in list(held):
             yield from out(k)
 
-    return docs.select(F.col(text), F.col(lang)).mapInArrow(run, "lang_key long, gram long, n long").groupBy("lang_key", "gram").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text), F.col(lang)).mapInArrow(lean(run), "lang_key long, gram long, n long").groupBy("lang_key", "gram").agg(F.sum("n").alias("n"))
 
 
 def discounts(n1: float, n2: float, n3: float, n4: float) -> tuple[float, float, float]:
@@ -229,7 +229,7 @@ def base_stats(docs: DataFrame, text: str = "text") -> DataFrame:
                 more = [pa.array(np.asarray(x, np.int64)) for x in text_stats(*as_bytes(block.column(block.schema.get_field_index(text))))]
                 yield pa.RecordBatch.from_arrays([*(block.column(block.schema.get_field_index(c)) for c in kept), *more], names=[*kept, *STATS])
 
-    return rest.mapInArrow(run, schema)
+    return rest.mapInArrow(lean(run), schema)
 
 
 @dataclass
@@ -316,7 +316,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", prefix: str = "", l
                 more = [pa.array(np.asarray(x, np.int64)) for x in text_stats(*as_bytes(block.column(block.schema.get_field_index(text))))] if stats else []
                 yield pa.RecordBatch.from_arrays([*block.columns, *more, pa.array(total), pa.array(every), pa.array(found)], names=[*block.schema.names, *names, known])
 
-    scored = docs.mapInArrow(run, schema)
+    scored = docs.mapInArrow(lean(run), schema)
     for k in range(1, passes):  # the rest of the table, part by part
         scored = scratch.keep(scored, f"pass{k}")
         if k > 1:
@@ -333,7 +333,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", prefix: str = "", l
                         block = block.set_column(at, block.schema.field(at), pa.array(block.column(at).to_numpy() + x))
                     yield block
 
-        scored = scored.mapInArrow(another, scored.schema)
+        scored = scored.mapInArrow(lean(another), scored.schema)
     nll, n = F.col(prefix + "nll"), F.col(prefix + "n_grams")
     mean = F.when(n > 0, -(nll + (n - F.col(known)) * F.lit(model.unseen)) / n).otherwise(0.0)
     return scored.withColumn(prefix + "nll", mean).drop(known)

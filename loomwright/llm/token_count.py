@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.vectext import NON_SPACE, Words, as_bytes, blocks, hash_spans
+from loomwright.llm.vectext import NON_SPACE, Words, as_bytes, blocks, hash_spans, lean
 
 #: Bytes of pieces that one encoder call gets.
 BATCH_BYTES = 1 << 20
@@ -100,4 +100,4 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", n_bytes: str =
                 tokens = sums[words.first[1:]] - sums[words.first[:-1]]
                 yield pa.RecordBatch.from_arrays([*block.columns, pa.array(np.diff(offsets)), pa.array(tokens)], names=[*block.schema.names, n_bytes, n_tokens])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)

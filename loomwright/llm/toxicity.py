@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.vectext import ALNUM, Words, as_bytes, blocks, hash_spans, pair_hash
+from loomwright.llm.vectext import ALNUM, Words, as_bytes, blocks, hash_spans, lean, pair_hash
 
 BUCKETS = 1 << 20
 #: Labelled documents that the fit reads at most: not toxic, toxic.
@@ -140,7 +140,7 @@ def train(sample: DataFrame, sizes: dict[int, int]) -> NoisyOr:
                     names=["y", "buckets", "lens"],
                 )
 
-    rows = sample.select("text", F.col("y").cast("int")).mapInArrow(run, "y int, buckets binary, lens binary").toPandas()
+    rows = sample.select("text", F.col("y").cast("int")).mapInArrow(lean(run), "y int, buckets binary, lens binary").toPandas()
     y = rows["y"].to_numpy(np.int64)
     if len(set(y.tolist())) < 2:
         return NoisyOr(np.zeros(BUCKETS, np.float32), START)
@@ -171,7 +171,7 @@ def score(docs: DataFrame, model: NoisyOr, text: str = "text") -> DataFrame:
                 more = [_bag(np.log1p(-p), rows, n), np.bincount(rows, minlength=n), np.bincount(rows[p >= 0.5], minlength=n)]
                 yield pa.RecordBatch.from_arrays([*block.columns, *map(pa.array, more)], names=[*block.schema.names, *names])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def offending_sentences(docs: DataFrame, model: NoisyOr, least: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -197,4 +197,4 @@ def offending_sentences(docs: DataFrame, model: NoisyOr, least: float = 0.5, doc
                 )
 
     kind = dict(chosen.dtypes)["doc_id"]
-    return chosen.mapInArrow(run, f"doc_id {kind}, sentence_no long, start long, end long, score double, sentence string")
+    return chosen.mapInArrow(lean(run), f"doc_id {kind}, sentence_no long, start long, end long, score double, sentence string")
