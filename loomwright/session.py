@@ -10,10 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
+#: Bytes of an Arrow batch beside Spark's own bound in rows, which says nothing of long texts.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send the package's source to the executors, once an application; they need no path of the driver's."""
+    """Send the package's source to the executors, once an application; they need no path of the driver's.
+
+    The session's Arrow batches are bounded by BATCH_BYTES unless a lower bound is set.
+    """
     sc = spark.sparkContext
+    if int(spark.conf.get(BATCH_KEY).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
     if sc.applicationId not in _SHIPPED:
         root = Path(__file__).resolve().parent
         target = Path(tempfile.mkdtemp(prefix="loomwright-src-")) / f"{root.name}.zip"
