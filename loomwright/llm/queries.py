@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import context_tree, decontamination, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, token_count, toxicity
+from loomwright.llm import context_tree, decontamination, divergence, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, token_count, toxicity
 from loomwright.llm.common import Scratch, crc_mod, table
 from loomwright.llm.labelled import labelled_sample
 from loomwright.session import spread
@@ -87,6 +87,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_documents(spark, sf_dir, "lang", "source", "text"))
+
+
 def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base columns of op3_quality_rules, which SQL can state."""
     return quality_rules.base_stats(_documents(spark, sf_dir, "doc_id", "text"))
@@ -241,5 +245,26 @@ SELECT source, source_size, CAST(weight AS DOUBLE) AS weight, round(least((SELEC
 """
 
 
+OP11_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS MATERIALIZED (SELECT row, lang, source, unnest(w) AS term FROM d),
+k AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 30),
+l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+-- Every group and language with every kept term of the language.
+p AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.total + 5 * l.v) AS p,
+                          1 + (1000000000::HUGEINT * (k.n + 5)) // (l.total + 5 * l.v) AS q
+                   FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+a AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(s.value, 0) AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+      LEFT JOIN s ON s.lang = x.lang AND s.source = x.source AND s.item = y.source
+      UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM a)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": OP1_SQL, "op3_quality_rules": OP3_SQL, "op4_decontamination": OP4_SQL, "op6_secret_scan": _op6_sql(), "op8_line_dedup": OP8_SQL, "quality_base": QUALITY_BASE_SQL, "mix_targets": MIX_TARGETS_SQL}
+    return {"op1_near_dedup": OP1_SQL, "op3_quality_rules": OP3_SQL, "op4_decontamination": OP4_SQL, "op6_secret_scan": _op6_sql(), "op8_line_dedup": OP8_SQL, "op11_divergence": OP11_SQL, "quality_base": QUALITY_BASE_SQL, "mix_targets": MIX_TARGETS_SQL}
