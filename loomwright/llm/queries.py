@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import context_tree, decontamination, divergence, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, token_count, toxicity
+from loomwright.llm import collocations, context_tree, decontamination, divergence, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, token_count, toxicity
 from loomwright.llm.common import Scratch, crc_mod, table
 from loomwright.llm.labelled import labelled_sample
 from loomwright.session import spread
@@ -91,6 +91,10 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_documents(spark, sf_dir, "lang", "source", "text"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_documents(spark, sf_dir, "lang", "text"))
+
+
 def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base columns of op3_quality_rules, which SQL can state."""
     return quality_rules.base_stats(_documents(spark, sf_dir, "doc_id", "text"))
@@ -266,5 +270,21 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS IN
 """
 
 
+OP12_SQL = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {_AZ}), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+f AS MATERIALIZED (SELECT lang, g, len(g) AS k, count(*) AS n
+      FROM (SELECT lang, w[i : i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS s(k) WHERE len(w) >= k)) GROUP BY lang, g HAVING count(*) >= 10),
+c AS (SELECT x.lang, x.g, x.k, x.n AS a, cut, l.n AS l, r.n AS r, (1000000::HUGEINT * x.n * x.n) // (l.n::HUGEINT * r.n) AS score
+      FROM (SELECT *, unnest(range(1, k)) AS cut FROM f WHERE k > 1) x JOIN f l ON l.lang = x.lang AND l.g = x.g[1 : cut] JOIN f r ON r.lang = x.lang AND r.g = x.g[cut + 1 :]),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+o AS (SELECT lang, g[i : i + 1] AS g, max(n) AS around FROM (SELECT lang, g, n, unnest([1, 2]) AS i FROM f WHERE k = 3) GROUP BY ALL),
+d AS (SELECT b.*, array_to_string(b.g, ' ') AS phrase FROM b LEFT JOIN o ON o.lang = b.lang AND o.g = b.g WHERE around IS NULL OR 100 * around < 50 * a),
+q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM d)
+SELECT q.lang, rank, phrase, a, l, r, CAST(t.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM q JOIN t USING (lang) WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": OP1_SQL, "op3_quality_rules": OP3_SQL, "op4_decontamination": OP4_SQL, "op6_secret_scan": _op6_sql(), "op8_line_dedup": OP8_SQL, "op11_divergence": OP11_SQL, "quality_base": QUALITY_BASE_SQL, "mix_targets": MIX_TARGETS_SQL}
+    return {"op1_near_dedup": OP1_SQL, "op3_quality_rules": OP3_SQL, "op4_decontamination": OP4_SQL, "op6_secret_scan": _op6_sql(), "op8_line_dedup": OP8_SQL, "op11_divergence": OP11_SQL, "op12_collocations": OP12_SQL, "quality_base": QUALITY_BASE_SQL, "mix_targets": MIX_TARGETS_SQL}
