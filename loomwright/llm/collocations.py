@@ -15,20 +15,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.llm.common import Scratch
 from loomwright.llm.vectext import U64, as_bytes, blocks, byte_table, lean, pair_hash
-from loomwright.llm.word_blocks import Coded, edges, flat, joined, key_hashes, lists, n_buckets, result, row_codes, split, strings, sums, whole
+from loomwright.llm.word_blocks import Coded, edges, flat, gather, key_hashes, lists, n_buckets, result, row_codes, spaced, split, strings, sums, whole
 
 #: Bytes that part pieces, and those of words.
 BREAKS = byte_table((0x0A, 0x0D), *((ord(c), ord(c)) for c in ".,;:!?"))
 WORDS = ~(BREAKS | byte_table((0x20, 0x20), (0x09, 0x09)))
 LONGEST, LEAST, TOP = 3, 10, 2000
 #: Bytes of text of a shard, and candidates of a language that a task ranks before the last ranking.
-SHARD, RANKED = 8 << 20, 1 << 20
+SHARD, RANKED = 4 << 20, 1 << 20
 
 
 def suffix_array(ids: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -37,14 +36,15 @@ def suffix_array(ids: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]
     Ranks by the first h ids give ranks by the first 2h; the last step overlaps where `longest` is no power of two.
     """
     n, ranks, h = len(ids), {1: np.r_[ids, np.zeros(longest, np.int64)]}, 1
-    order = np.argsort(ids, kind="stable")
+    order = np.argsort(ids) if longest == 1 else ids
     while h < longest:
         step = min(h, longest - h)
         rank = ranks[h]
         key = rank[:n] * (int(rank.max(initial=0)) + 1) + rank[step : n + step]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         dense = np.zeros(n + longest, np.int64)
-        dense[order] = np.cumsum(np.r_[False, key[order][1:] != key[order][:-1]])[:n] + 1
+        key = key[order]
+        dense[order] = np.cumsum(np.r_[False, key[1:] != key[:-1]])[:n] + 1
         h += step
         ranks[h] = dense
     common, left, right = np.zeros(n, np.int64), order[:-1].copy(), order[1:].copy()
@@ -89,8 +89,7 @@ def _shard(lang: pa.Array, text: pa.Array, n_buckets: int, longest: int) -> pa.R
     lang_of_word = group[words.rows()]
     hashes = key_hashes(words.names)[words.codes]
     # Words one after another with a space behind each, so that a phrase is a stretch of bytes.
-    spaced, at = np.full(len(words.bytes) + len(words.lens), 32, np.uint8), words.ends + np.arange(len(words.ends))
-    spaced[np.arange(len(words.bytes)) + np.repeat(np.arange(len(words.lens)), words.lens)] = words.bytes
+    text, at = spaced(strings(words.bytes, words.ends), 32)
     first, length, count, bucket = [], [], [], []
     for k, word, n in phrase_counts(words, lang_of_word, longest):
         h = hashes[word]
@@ -99,13 +98,14 @@ def _shard(lang: pa.Array, text: pa.Array, n_buckets: int, longest: int) -> pa.R
         first.append(word), length.append(np.full(len(word), k)), count.append(n), bucket.append((h % U64(n_buckets)).astype(np.int64))
     first, length, count, bucket = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (first, length, count, bucket))
     slot = lang_of_word[first] * n_buckets + bucket
-    order = np.argsort(slot, kind="stable")
+    order = np.argsort(slot.astype(np.uint16) if slot.max(initial=0) < 1 << 16 else slot, kind="stable")  # few slots sort by digits
     slot, first, length, count = slot[order], first[order], length[order], count[order]
-    begin, size = at[first], at[first + length] - 1 - at[first]
+    size = at[first + length] - at[first]
     offsets = np.r_[0, np.cumsum(size)]
-    phrases = strings(spaced[np.repeat(begin - offsets[:-1], size) + np.arange(offsets[-1])], offsets)
+    phrases = gather(text, at[first], size)
+    phrases[offsets[1:] - 1] = 10
     start = edges(slot)
-    return pa.RecordBatch.from_arrays([langs.take(pa.array(slot[start] // n_buckets)), pa.array(slot[start] % n_buckets), joined(phrases, start), lists(start, count)], ["lang", "bucket", "phrases", "n"])
+    return pa.RecordBatch.from_arrays([langs.take(pa.array(slot[start] // n_buckets)), pa.array(slot[start] % n_buckets), strings(phrases, offsets[np.r_[start, len(first)]]), lists(start, count)], ["lang", "bucket", "phrases", "n"])
 
 
 def _sharding(n_buckets: int, longest: int):

@@ -32,7 +32,7 @@ from loomwright.llm.word_blocks import Coded, edges, flat, joined, key_hashes, l
 LETTERS = byte_table((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 LEAST_DOCS, TOP = 30, 50
 #: Bytes of text that are counted at once, and postings that are paired at once.
-BLOCK, POSTINGS = 8 << 20, 1 << 18
+BLOCK, POSTINGS = 4 << 20, 1 << 18
 
 
 def _count_block(lang: pa.Array, source: pa.Array, text: pa.Array, n_buckets: int) -> pa.RecordBatch:

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from loomwright.llm.vectext import Words, as_bytes, hash_spans
 
 #: Bytes of text in all blocks together for each bucket; a bucket's keys then take some tens of MB.
-BUCKET = 4 << 20
+BUCKET = 2 << 20
+#: Bytes that are gathered at once.
+GATHER = 1 << 19
 
 
 class Coded(Words):
@@ -67,13 +69,34 @@ def n_buckets(docs: DataFrame, text: str) -> int:
     return 1 + docs.select(F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0))).first()[0] // BUCKET
 
 
+def gather(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of stretches of `data` one after another; indices are made for some stretches at a time."""
+    offsets = np.r_[0, np.cumsum(size)]
+    out, at = np.empty(offsets[-1], data.dtype), 0
+    while at < len(size):
+        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + GATHER, "right")) - 1)
+        part = slice(offsets[at], offsets[stop])
+        out[part] = data[np.repeat(begin[at:stop] - offsets[at:stop], size[at:stop]) + np.arange(part.start, part.stop)]
+        at = stop
+    return out
+
+
+def spaced(keys: pa.Array, by: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all keys with the byte `by` behind each, and where each begins."""
+    data, offsets = as_bytes(keys)
+    if not len(data):
+        return np.full(len(keys), by, np.uint8), np.arange(len(keys) + 1)
+    begin = offsets + np.arange(len(offsets))
+    # A key and the byte after it, which is the next key's; the last key has none.
+    out = gather(np.r_[data, np.uint8(by)], offsets[:-1], np.diff(offsets) + 1)
+    out[begin[1:] - 1] = by
+    return out, begin
+
+
 def joined(keys: pa.Array, start: np.ndarray) -> pa.Array:
     """One string for each stretch of keys that begins at `start`, every key followed by a line end, which no key holds."""
-    data, offsets = as_bytes(keys)
-    out = np.full(len(data) + len(keys), 10, np.uint8)
-    out[np.arange(len(data)) + np.repeat(np.arange(len(keys)), np.diff(offsets))] = data
-    at = np.r_[start, len(keys)]
-    return strings(out, offsets[at] + at)
+    data, begin = spaced(keys, 10)
+    return strings(data, begin[np.r_[start, len(keys)]])
 
 
 def split(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
