@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import collocations, context_tree, decontamination, divergence, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, token_count, toxicity
+from loomwright.llm import collocations, context_tree, decontamination, divergence, line_dedup, main_text, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, token_count, toxicity
 from loomwright.llm.common import Scratch, crc_mod, table
 from loomwright.llm.labelled import labelled_sample
 from loomwright.session import spread
@@ -95,6 +95,11 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_documents(spark, sf_dir, "lang", "text"))
 
 
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return main_text.extract(pages, main_text.default_model()).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base columns of op3_quality_rules, which SQL can state."""
     return quality_rules.base_stats(_documents(spark, sf_dir, "doc_id", "text"))
@@ -286,5 +291,14 @@ SELECT q.lang, rank, phrase, a, l, r, CAST(t.n AS BIGINT) AS n, CAST(score AS BI
 """
 
 
+#: The given pages hold their main text in one article of h1, p, b and br, which is what the model has to find by itself.
+OP13_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') AS a FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(a, '</?(p|h1|br)>', ' ', 'g'), '<[^>]*>', '', 'g') AS b FROM a),
+c AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, '&lt;', '<', 'g'), '&gt;', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g') AS c FROM b)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM (SELECT page_id, url, trim(regexp_replace(c, '\s+', ' ', 'g')) AS text FROM c)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": OP1_SQL, "op3_quality_rules": OP3_SQL, "op4_decontamination": OP4_SQL, "op6_secret_scan": _op6_sql(), "op8_line_dedup": OP8_SQL, "op11_divergence": OP11_SQL, "op12_collocations": OP12_SQL, "quality_base": QUALITY_BASE_SQL, "mix_targets": MIX_TARGETS_SQL}
+    return {"op1_near_dedup": OP1_SQL, "op3_quality_rules": OP3_SQL, "op4_decontamination": OP4_SQL, "op6_secret_scan": _op6_sql(), "op8_line_dedup": OP8_SQL, "op11_divergence": OP11_SQL, "op12_collocations": OP12_SQL, "op13_main_text": OP13_SQL, "quality_base": QUALITY_BASE_SQL, "mix_targets": MIX_TARGETS_SQL}
