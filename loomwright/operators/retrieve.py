@@ -62,56 +62,95 @@ def where_meta(filters: dict[str, Any], meta: Column) -> Column:
     return reduce(lambda a, b: a & b, (F.try_element_at(meta, F.lit(k)).eqNullSafe(F.lit(v)) for k, v in filters.items()), F.lit(True))
 
 
+def vector_error(vector: Column, dimensions: int) -> Column:
+    """Why a vector cannot be measured against those of `dimensions`, or null."""
+    why = F.when(vector.isNull(), F.lit("no vector")).when(F.size(vector) != dimensions, F.format_string(f"%d dimensions where the others have {dimensions}", F.size(vector)))
+    return why.when(F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit("elements that are no finite numbers"))
+
+
+def sound(rows: DataFrame, vector: str, dimensions: int) -> DataFrame:
+    """rows whose vector can be measured; one of other dimensions fails the job, others that cannot are left out, as `vector_error` tells."""
+    v = F.col(vector)
+    size = F.when(F.size(v) == dimensions, True).otherwise(F.raise_error(F.format_string(f"a vector has %d dimensions, the queries {dimensions}", F.size(v))).cast("boolean"))
+    return rows.where(v.isNotNull() & F.when(v.isNotNull(), size) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """The sound vectors of a batch as rows."""
+    return np.array(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
+
+
+def best_of(q: np.ndarray, x: np.ndarray, keys: pa.Array, k: int, metric: str = "l2sq") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance) of each query's k best rows, ties by key.
+
+    A matrix product and the bounds of its rounding errors tell which rows may be among them; their distances are computed again from the differences.
+    """
+    qq, xx, product = (q * q).sum(1), (x * x).sum(1), q @ x.T
+    if metric == "cosine":
+        lengths = np.sqrt(qq)[:, None] * np.sqrt(xx)[None, :]
+        d = 1 - np.divide(product, lengths, out=np.zeros_like(product), where=lengths > 0)
+    else:
+        d = qq[:, None] + xx[None, :] - 2 * product
+    # The product's rounding error grows with the vectors' squares, not with their distance.
+    error = ROUNDING * x.shape[1] * (qq[:, None] + xx[None, :] if metric == "l2sq" else np.ones_like(d))
+    n = min(k, len(x))
+    edge = np.partition(d + error, n - 1, axis=1)[:, n - 1 : n]
+    row, col = np.nonzero(d - error <= edge)
+    exact = np.concatenate([((q[row[at : at + EXACT]] - x[col[at : at + EXACT]]) ** 2).sum(1) for at in range(0, len(row), EXACT)] or [d[row, col]]) if metric == "l2sq" else d[row, col]
+    place = np.empty(len(x), np.int64)
+    place[pc.sort_indices(keys, null_placement="at_start").to_numpy()] = np.arange(len(x))
+    order = np.lexsort((place[col], exact, row))
+    row, col, exact = row[order], col[order], exact[order]
+    best = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[best], col[best], exact[best]
+
+
+def query_matrix(rows: list) -> tuple[list, np.ndarray]:
+    """Ids and vectors of collected queries; ValueError where vectors differ in dimensions or are no finite numbers."""
+    sizes = {len(r[1]) for r in rows}
+    if len(sizes) > 1:
+        raise ValueError(f"queries differ in dimensions: {sorted(sizes)}")
+    q = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
+    if not np.isfinite(q).all():
+        raise ValueError("a query has elements that are no finite numbers")
+    return [r[0] for r in rows], q
+
+
 def nearest(index: DataFrame, queries: DataFrame, k: int, metric: str = "l2sq", vector: str = "embedding", key: str = "id", query_key: str = "query_id", query_vector: str = "query_embedding", block: int = QUERY_BLOCK) -> DataFrame:
     """(query_key, rank, key, distance): each query's k nearest index rows, ties by key.
 
-    Exact.  Queries go to the index in blocks of checked size as one matrix.  Each Arrow batch of the index finds the rows that may
-    be among a query's k best by a matrix product and the bounds of its rounding errors, computes their distances again from the
-    differences, and hands on the k best of them with ties by key; so k rows a query and batch are shuffled, whatever ties there are.
+    Exact.  Queries go to the index in blocks of checked size as one matrix.  Each Arrow batch of the index hands on the k best of its rows
+    for each query, with ties by key; so k rows a query and batch are shuffled, whatever ties there are.
+
+    Queries without a vector have no neighbours, and index rows without one or with null, NaN or infinite elements are nobody's; `vector_error` finds
+    them.  Queries of different dimensions or with such elements raise ValueError, and an index row of other dimensions fails the job.
     """
     if metric not in ("l2sq", "cosine"):
         raise ValueError("metric must be l2sq or cosine")
     spark = index.sparkSession
-    total = queries.count()
+    asked = queries.where(F.col(query_vector).isNotNull())
+    total, sizes = asked.agg(F.count("*"), F.collect_set(F.size(query_vector))).first()
+    if len(sizes) > 1:
+        raise ValueError(f"queries differ in dimensions: {sorted(sizes)}")
     found = None
     kinds = dict(index.dtypes) | {query_key: dict(queries.dtypes)[query_key]}
     query_type = to_arrow_type(queries.schema[query_key].dataType)
     schema = f"{query_key} {kinds[query_key]}, {key} {kinds[key]}, distance double"
     parts = max(1, -(-total // block))
+    rows = sound(index, vector, sizes[0]) if sizes else index.limit(0)
     for part in range(parts):
-        own = queries.where(F.pmod(F.xxhash64(query_key), F.lit(parts)) == part).select(query_key, query_vector).where(F.col(query_vector).isNotNull()).collect()  # about `block` rows
-        held = spark.sparkContext.broadcast(([r[0] for r in own], np.array([r[1] for r in own], np.float64)))
+        own = asked.where(F.pmod(F.xxhash64(query_key), F.lit(parts)) == part).select(query_key, query_vector).collect()  # about `block` rows
+        held = spark.sparkContext.broadcast(query_matrix(own))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             ids, q = held.value
-            if not len(ids):
-                return
-            qq = (q * q).sum(1)
             for batch in batches:
-                if not batch.num_rows:
+                if not batch.num_rows or not len(ids):
                     continue
-                x = np.array(batch.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, -1)
-                xx, product = (x * x).sum(1), q @ x.T
-                if metric == "cosine":
-                    lengths = np.sqrt(qq)[:, None] * np.sqrt(xx)[None, :]
-                    d = 1 - np.divide(product, lengths, out=np.zeros_like(product), where=lengths > 0)
-                else:
-                    d = qq[:, None] + xx[None, :] - 2 * product
-                # The product's rounding error grows with the vectors' squares, not with their distance.
-                error = ROUNDING * x.shape[1] * (qq[:, None] + xx[None, :] if metric == "l2sq" else np.ones_like(d))
-                n = min(k, batch.num_rows)
-                edge = np.partition(d + error, n - 1, axis=1)[:, n - 1 : n]
-                row, col = np.nonzero(d - error <= edge)
-                exact = np.concatenate([((q[row[at : at + EXACT]] - x[col[at : at + EXACT]]) ** 2).sum(1) for at in range(0, len(row), EXACT)] or [d[row, col]]) if metric == "l2sq" else d[row, col]
-                place = np.empty(batch.num_rows, np.int64)
-                place[pc.sort_indices(batch.column(0), null_placement="at_start").to_numpy()] = np.arange(batch.num_rows)
-                order = np.lexsort((place[col], exact, row))
-                row, col, exact = row[order], col[order], exact[order]
-                best = np.arange(len(row)) - np.searchsorted(row, row) < k
-                row, col, exact = row[best], col[best], exact[best]
+                row, col, exact = best_of(q, matrix(batch.column(1)), batch.column(0), k, metric)
                 yield pa.RecordBatch.from_arrays([pa.array([ids[r] for r in row], query_type), batch.column(0).take(pa.array(col)), pa.array(exact)], names=[query_key, key, "distance"])
 
-        one = index.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>")).mapInArrow(run, schema)
+        one = rows.select(key, F.col(vector).cast("array<double>")).mapInArrow(run, schema)
         found = one if found is None else found.unionByName(one)
     rank = F.row_number().over(Window.partitionBy(query_key).orderBy("distance", key))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select(query_key, "rank", key, "distance")

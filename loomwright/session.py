@@ -17,10 +17,12 @@ BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 def ship(spark: SparkSession) -> SparkSession:
     """Send the package's source to the executors, once an application; they need no path of the driver's.
 
-    The session's Arrow batches are bounded by BATCH_BYTES unless a lower bound is set.
+    The session's Arrow batches are bounded by BATCH_BYTES unless it sets a lower bound: one batch of whole texts has to fit beside a
+    worker's own memory.  No other setting of the session is touched.
     """
     sc = spark.sparkContext
-    if int(spark.conf.get(BATCH_KEY).rstrip("bB")) > BATCH_BYTES:
+    bound = sc._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_KEY))  # 64m, 1g and the like
+    if not 0 < bound <= BATCH_BYTES:
         spark.conf.set(BATCH_KEY, BATCH_BYTES)
     if sc.applicationId not in _SHIPPED:
         root = Path(__file__).resolve().parent
