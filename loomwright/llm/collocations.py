@@ -26,8 +26,8 @@ from loomwright.llm.word_blocks import Coded, edges, flat, gather, key_hashes, l
 BREAKS = byte_table((0x0A, 0x0D), *((ord(c), ord(c)) for c in ".,;:!?"))
 WORDS = ~(BREAKS | byte_table((0x20, 0x20), (0x09, 0x09)))
 LONGEST, LEAST, TOP = 3, 10, 2000
-#: Bytes of text of a shard, and candidates of a language that a task ranks before the last ranking.
-SHARD, RANKED = 4 << 20, 1 << 20
+#: Bytes of text of a shard, and in all for each bucket of phrases; candidates of a language that a task ranks before the last ranking.
+SHARD, BUCKET, RANKED = 4 << 20, 2 << 20, 1 << 20
 
 
 def suffix_array(ids: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +139,7 @@ def _merging(least: int):
 def counts(docs: DataFrame, lang: str = "lang", text: str = "text", longest: int = LONGEST, least: int = LEAST) -> DataFrame:
     """(lang, words, phrase, n) of every phrase of up to `longest` words with at least `least` occurrences; rows of 0 words add up to the language's words."""
     named = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    buckets = n_buckets(named, "text")
+    buckets = n_buckets(named, "text", BUCKET)
     shards = named.mapInArrow(_sharding(buckets, longest), "lang string, bucket long, phrases string, n array<long>")
     return shards.groupBy("lang", "bucket").applyInArrow(_merging(least), "lang string, words int, phrase string, n long")
 

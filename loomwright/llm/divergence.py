@@ -31,29 +31,34 @@ from loomwright.llm.word_blocks import Coded, edges, flat, joined, key_hashes, l
 #: Terms `[^\x00-\x40\x5B-\x60\x7B-\x7F]+`.
 LETTERS = byte_table((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 LEAST_DOCS, TOP = 30, 50
-#: Bytes of text that are counted at once, and postings that are paired at once.
-BLOCK, POSTINGS = 4 << 20, 1 << 18
+#: Bytes of text that are counted at once, and in all for each bucket of terms; postings that are paired at once.
+BLOCK, BUCKET, POSTINGS = 4 << 20, 8 << 20, 1 << 18
 
 
 def _count_block(lang: pa.Array, source: pa.Array, text: pa.Array, n_buckets: int) -> pa.RecordBatch:
-    """Packed rows (lang, bucket, source, terms, n, docs) of a block; bucket -1 names its groups."""
+    """Packed rows (lang, bucket, sources, terms, at, n, docs) of a block, `at` being a place in `sources`; bucket -1 names a language's sources alone."""
     group, (langs, sources) = row_codes(lang, source)
+    lang_of = row_codes(langs)[0]  # groups stand in the order of languages
+    first = edges(lang_of)
     words = Coded(text, LETTERS)
-    size = max(len(words.names), 1)
+    size, groups = max(len(words.names), 1), len(langs)
     by_doc, n = np.unique(words.rows() * size + words.codes, return_counts=True)
-    term = by_doc % size
+    term, group = by_doc % size, group[by_doc // size]
     bucket = (key_hashes(words.names) % U64(n_buckets)).astype(np.int64)
-    key = (group[by_doc // size] * n_buckets + bucket[term]) * size + term
-    order = np.argsort(key, kind="stable")
+    key = ((lang_of[group] * n_buckets + bucket[term]) * size + term) * groups + group
+    order = np.argsort(key)
     key, n = key[order], n[order]
     one = edges(key)
     docs, key, n = np.diff(np.r_[one, len(key)]), key[one], np.add.reduceat(n, one) if len(one) else n
-    start = edges(key // size)
-    slot, nil = key[start] // size, np.zeros(len(langs), np.int64)
-    group = pa.array(np.r_[slot // n_buckets, np.arange(len(langs))])
-    terms = joined(words.names.take(pa.array(key % size)), np.r_[start, nil + len(key)])
-    counts = [lists(np.r_[start, nil + len(key)], x) for x in (n, docs)]
-    return pa.RecordBatch.from_arrays([langs.take(group), pa.array(np.r_[slot % n_buckets, nil - 1]), sources.take(group), terms, *counts], ["lang", "bucket", "source", "terms", "n", "docs"])
+    start = edges(key // groups // size)
+    slot = key[start] // groups // size
+    row_lang, none = np.r_[slot // n_buckets, np.arange(len(first))], np.full(len(first), len(key))
+    start = np.r_[start, none]
+    terms = joined(words.names.take(pa.array(key // groups % size)), start)
+    group = key % groups
+    named = pa.array([list(x) for x in np.split(np.array(sources.to_pylist(), object), first[1:])], pa.list_(pa.string())).take(pa.array(row_lang))
+    counts = [lists(start, x) for x in (group - first[lang_of[group]], n, docs)]
+    return pa.RecordBatch.from_arrays([langs.take(pa.array(first[row_lang])), pa.array(np.r_[slot % n_buckets, np.full(len(first), -1)]), named, terms, *counts], ["lang", "bucket", "sources", "terms", "at", "n", "docs"])
 
 
 def _counting(n_buckets: int):
@@ -69,15 +74,17 @@ def _counting(n_buckets: int):
 def _merging(least_docs: int):
     def run(rows: pa.Table) -> pa.Table:
         """(lang, source, term, n, lang_n) of a bucket's terms of enough documents; of bucket -1, its groups without terms."""
-        source, (sources,) = row_codes(whole(rows["source"]))
+        names = rows["sources"].combine_chunks()
+        source, (sources,) = row_codes(names.flatten())
         if rows["bucket"][0].as_py() < 0:
             term, source, n, names = np.zeros(len(sources), np.int64), np.arange(len(sources)), np.zeros(len(sources), np.int64), pa.array([""], pa.large_string())
         else:
             keys, each = split(whole(rows["terms"]))
+            offset = names.offsets.to_numpy()[:-1] - names.offsets[0].as_py()
             coded = keys.dictionary_encode()
             names, term = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             kept = (sums(term, flat(rows["docs"]), len(names)) >= least_docs)[term]
-            key, inverse = np.unique(term[kept] * len(sources) + np.repeat(source, each)[kept], return_inverse=True)
+            key, inverse = np.unique(term[kept] * len(sources) + source[np.repeat(offset, each) + flat(rows["at"])][kept], return_inverse=True)
             n, term, source = sums(inverse, flat(rows["n"])[kept], len(key)), key // len(sources), key % len(sources)
         return result({"lang": pa.repeat(rows["lang"][0], len(n)), "source": sources.take(pa.array(source)), "term": names.take(pa.array(term)), "n": pa.array(n), "lang_n": pa.array(sums(term, n, len(names))[term])})
 
@@ -125,8 +132,8 @@ class Audit:
     def __init__(self, docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", least_docs: int = LEAST_DOCS):
         self.scratch = Scratch(docs.sparkSession, "divergence")
         named = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))))
-        buckets = n_buckets(named, "text")
-        counted = named.mapInArrow(_counting(buckets), "lang string, bucket long, source string, terms string, n array<long>, docs array<long>")
+        buckets = n_buckets(named, "text", BUCKET)
+        counted = named.mapInArrow(_counting(buckets), "lang string, bucket long, sources array<string>, terms string, at array<long>, n array<long>, docs array<long>")
         kept = counted.groupBy("lang", "bucket").applyInArrow(_merging(least_docs), "lang string, source string, term string, n long, lang_n long")
         kept = self.scratch.keep(kept, "kept")
         groups = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count_if(F.col("term") != "").alias("n_terms"))

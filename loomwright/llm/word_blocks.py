@@ -2,7 +2,7 @@
 
 Codes and keys are exact: equal ones mean equal words, whatever their hashes.  A packed row holds all keys that a block counts for
 one (group, bucket), joined by line ends, so a shuffle carries few rows, and a bucket, which takes its keys by hash, is merged
-by one task with a bounded share of them.
+by one task with a bounded share of them.  Rows are at most a block's keys, and far fewer while buckets hold many of them.
 """
 
 from __future__ import annotations
@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 from loomwright.llm.vectext import Words, as_bytes, hash_spans
 
-#: Bytes of text in all blocks together for each bucket; a bucket's keys then take some tens of MB.
-BUCKET = 2 << 20
 #: Bytes that are gathered at once.
 GATHER = 1 << 19
 
@@ -64,9 +62,9 @@ def key_hashes(keys: pa.Array) -> np.ndarray:
     return hash_spans(data, offsets[:-1], np.diff(offsets))
 
 
-def n_buckets(docs: DataFrame, text: str) -> int:
-    """How many buckets the counts of these texts take."""
-    return 1 + docs.select(F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0))).first()[0] // BUCKET
+def n_buckets(docs: DataFrame, text: str, size: int) -> int:
+    """How many buckets the counts of these texts take, with one for each `size` bytes of text."""
+    return 1 + docs.select(F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0))).first()[0] // size
 
 
 def gather(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:

@@ -77,7 +77,7 @@ def test_audit_by_brute_force(spark, docs, monkeypatch):
     rows = [(i, " ".join(rng.choice(words[: rng.choice((5, 60, 300))]) for _ in range(rng.randint(0, 90))), rng.choice(("en", "de", None)), rng.choice("stuvw"), 0) for i in range(120)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     # Small blocks, several buckets and slots, and few terms a round.
-    monkeypatch.setattr(word_blocks, "BUCKET", 1000)
+    monkeypatch.setattr(divergence, "BUCKET", 1000)
     monkeypatch.setattr(divergence, "POSTINGS", 100)
     for top in (1, 3, 50):
         assert _rows(divergence.audit(df, least_docs=2, top=top)) == _audit(rows, 2, top)
@@ -121,7 +121,7 @@ def test_collocations_by_brute_force(spark, docs, monkeypatch):
     words = ["".join(rng.choice("abcé") for _ in range(rng.randint(1, 2))) for _ in range(14)]
     rows = [(i, "".join(rng.choice(words) + rng.choice(("  ", " ", " ", "\t", ", ", ".")) for _ in range(rng.randint(0, 60))), rng.choice(("en", "de", None)), "s", 0) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
-    monkeypatch.setattr(word_blocks, "BUCKET", 500)
+    monkeypatch.setattr(collocations, "BUCKET", 500)
     monkeypatch.setattr(word_blocks, "GATHER", 7)
     monkeypatch.setattr(collocations, "RANKED", 20)
     for longest, top in ((2, 5), (3, 2000), (4, 30), (5, 2000)):
@@ -131,10 +131,10 @@ def test_collocations_by_brute_force(spark, docs, monkeypatch):
 def test_suffix_arrays_sort_by_the_first_words():
     rng = np.random.default_rng(2)
     for longest in range(1, 8):
-        ids = rng.integers(0, 3, 200)
+        ids = np.r_[rng.integers(0, 3, 200), 0]
         order, common = collocations.suffix_array(ids, longest)
-        first = [tuple(ids[i : i + longest]) for i in order]
-        assert sorted(order) == list(range(200)) and first == sorted(first)
+        first = [tuple(np.r_[ids, np.zeros(longest, int)][i : i + longest]) for i in order]
+        assert sorted(order) == list(range(201)) and first == sorted(first)
         for a, b, n in zip(first, first[1:], common[1:]):
             same = next((k for k in range(longest) if a[k : k + 1] != b[k : k + 1]), longest)
             assert n == min(same, longest)
