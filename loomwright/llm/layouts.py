@@ -111,7 +111,7 @@ class _Maker:
 
     def boxed(self, kind: str, inside: str, tags: tuple[str, ...]) -> str:
         tag = self.rng.choice(tags)
-        named = tag == "div" or self.rng.random() < 0.5
+        named = tag in ("div", "section", "ul") or self.rng.random() < 0.5
         return f"<{tag}{self.attrs(kind) if named else ''}>{inside}</{tag}>"
 
     def prose(self, least: int = 1, most: int = 3) -> str:
@@ -179,8 +179,10 @@ class _Maker:
             return f"<p>{self.own(self.sentences())}</p>"
         if p < 0.62:  # a paragraph that is not closed
             return f"<p>{'<b>' if r.random() < 0.7 else ''}{self.own(self.sentences())}{'<br>' if r.random() < 0.7 else ''}"
-        if p < 0.67:
-            return f"<p>{self.own(self.words(1, 2).capitalize() + '.')}</p>"
+        if p < 0.65:
+            return f"<p>{self.own(self.words(1, 5).capitalize() + '.')}</p>"
+        if p < 0.67:  # words that elsewhere tell a purpose
+            return f"<p>{self.own(r.choice([c for cues in _CUES.values() for c in cues]) + r.choice(('', ' ' + self.sentences(1, 2))))}</p>"
         if p < 0.75:
             return f"<{(t := r.choice(('h2', 'h3', 'h4')))}>{self.own(self.words(1, 7).capitalize())}</{t}>"
         if p < 0.81:
@@ -205,11 +207,11 @@ class _Maker:
         if r.random() < 0.85:
             h = f"<{(t := r.choice(('h1', 'h1', 'h1', 'h2')))}{self.attrs('main') if r.random() < 0.2 else ''}>{self.own(headline)}</{t}>"
             out.append(f"<header>{h}</header>" if r.random() < 0.1 else h)
-        breaks = r.choice((0, 0, 0, 0.06, 0.12))
+        breaks = r.choice((0, 0, 0.1, 0.2, 0.4))
         for k in range(r.choice((1, 1, 2, 3, 5, 8, 13, 25))):
             out.append(self.part())
             if r.random() < breaks:
-                out.append(r.choice((self.ad, self.form, self.share, self.side, self.notice, lambda: f"<script>var p='<p>{self.words(3, 9)}</p>';</script>", self.nav))())
+                out.append(r.choice((self.ad, self.ad, self.form, self.share, self.side, self.notice, lambda: f"<script>var p='<p>{self.words(3, 9)}</p>';</script>", self.nav))())
         if r.random() < 0.15:
             out.append(r.choice((self.share, self.side, self.nav, self.form, self.ad))())
         if r.random() < 0.12:

@@ -16,16 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.dom_blocks import Page, read
+from loomwright.llm.dom_blocks import Block, Page, read
 from loomwright.llm.layouts import labelled_pages
 from loomwright.llm.vectext import blocks, lean
 
 #: Labelled pages that the default model is trained on, their seed, rounds of training, and pages a feature has to be on.
-PAGES, SEED, ROUNDS, LEAST = 1500, 20, 120, 3
+PAGES, SEED, ROUNDS, LEAST = 2000, 20, 150, 3
 #: Strength of the regularisation, a share of the squared weights for each page.
-DECAY = 0.01
-#: Kinds of steps from a block to the next: within one element, to one that is nested alike, or elsewhere.
-STEPS = 3
+DECAY = 0.003
+#: Kinds of steps from a block to the next: within one element, to an element of the same marks beside it, to another one beside it, or elsewhere.
+STEPS = 4
 
 
 def _size(n: int, *bounds: int) -> int:
@@ -58,10 +58,14 @@ def features(page: Page) -> Iterator[list[str]]:
         yield found
 
 
+def _outside(block: Block) -> tuple[str, ...]:
+    return block.around[: len(block.around) - len(block.own)]
+
+
 def steps(page: Page) -> np.ndarray:
     """The kind of the step into each block but the first."""
     pairs = zip(page.blocks, page.blocks[1:])
-    return np.array([0 if a.element == b.element else 1 if a.around[: -len(a.own) or None] == b.around[: -len(b.own) or None] else 2 for a, b in pairs], np.int64)
+    return np.array([0 if a.element == b.element else 3 if _outside(a) != _outside(b) else 1 if a.own == b.own else 2 for a, b in pairs], np.int64)
 
 
 def labels(page: Page, text: str) -> np.ndarray:
