@@ -36,18 +36,27 @@ def prepare(chunks: DataFrame, content: str = "content", embedding: str = "embed
     return shaped.select(document_id(F.col("content"), F.col("meta")).alias("id"), "content", "embedding", *hot, "meta")
 
 
+def check_policy(policy: str) -> None:
+    if policy not in POLICIES:
+        raise ValueError(f"policy must be one of {', '.join(POLICIES)}")
+
+
+def one_a_key(incoming: DataFrame, key: str = "id") -> DataFrame:
+    """Of the rows of each key the one with the smallest columns; an aggregate, which needs no sort of a hot key."""
+    plain = [c for c, kind in incoming.dtypes if not kind.startswith("map")]
+    return incoming.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*incoming.columns), F.struct(*plain)).alias("_row")).select("_row.*")
+
+
 def upsert(existing: DataFrame, incoming: DataFrame, policy: str = "overwrite", key: str = "id") -> DataFrame:
     """Rows after writing `incoming`, one a key.
 
     overwrite: incoming rows win; skip: existing ones do; fail: a shared key raises.  Among
     incoming rows of one key the one with the smallest columns stays, which is an aggregate and needs no sort of a hot key.
     """
-    if policy not in POLICIES:
-        raise ValueError(f"policy must be one of {', '.join(POLICIES)}")
+    check_policy(policy)
     if policy == "fail" and incoming.join(existing, key, "left_semi").limit(1).count():
         raise DuplicateError(f"some {key} exists already")
-    plain = [c for c, kind in incoming.dtypes if not kind.startswith("map")]
-    one = incoming.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*incoming.columns), F.struct(*plain)).alias("_row")).select("_row.*")
+    one = one_a_key(incoming, key)
     if policy == "skip":
         return existing.unionByName(one.join(existing, key, "left_anti").select(*existing.columns))
     return existing.join(one, key, "left_anti").select(*existing.columns).unionByName(one)
@@ -84,6 +93,15 @@ class Collection:
         """
         version = f"v-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.root}/{version}")
+        self._point(version, base)
+        fs, _ = self._fs(self.root)
+        for found in fs.listStatus(self._fs(self.root)[1]):
+            name = found.getPath().getName()
+            if name.startswith(("v-", "AFTER.")) and name.removeprefix("AFTER.") not in (version, base, "None"):
+                fs.delete(found.getPath(), True)
+
+    def _point(self, version: str, base: str | None) -> None:
+        """Make `version`, a file or folder that is written, the current one if nothing else follows `base`; else delete it and raise Conflict."""
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         fs, claim = self._fs(f"{self.root}/AFTER.{base}")
         try:
@@ -93,17 +111,20 @@ class Collection:
             if "AlreadyExists" in str(e.java_exception):
                 raise Conflict(f"another writer follows {base}") from None
             raise
+        if self.version() != base:  # it was followed long ago, and its claim is gone
+            for name in (f"AFTER.{base}", version):
+                fs.delete(self._fs(f"{self.root}/{name}")[1], True)
+            raise Conflict(f"another writer followed {base}")
         at = self._fs(f"{self.root}/CURRENT.{version}")[1]
-        out = fs.create(at, True)
-        out.write(bytearray(version.encode()))
-        out.close()
+        self._put(at, version)
         options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
         options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), conf).rename(at, self._fs(f"{self.root}/CURRENT")[1], options)
-        for found in fs.listStatus(self._fs(self.root)[1]):
-            name = found.getPath().getName()
-            if name.startswith(("v-", "AFTER.")) and name.removeprefix("AFTER.") not in (version, base, "None"):
-                fs.delete(found.getPath(), True)
+
+    def _put(self, at, text: str) -> None:
+        out = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+        out.write(bytearray(text.encode()))
+        out.close()
 
     def write(self, chunks: DataFrame, policy: str = "overwrite", tries: int = 5) -> int:
         """Upsert prepared rows; returns how many were handed in, not how many are stored.

@@ -289,6 +289,11 @@ ORACLE: dict[str, str] = {
     "index_upsert_overwrite": f"WITH {_KEYS} SELECT * FROM inc UNION ALL SELECT * FROM ex WHERE id NOT IN (SELECT id FROM inc)",
     "index_upsert_skip": f"WITH {_KEYS} SELECT * FROM ex UNION ALL SELECT * FROM inc WHERE id NOT IN (SELECT id FROM ex)",
     "index_stats": "SELECT lang AS domain, count(DISTINCT text) AS stored, CAST(0 AS BIGINT) AS other FROM documents GROUP BY lang",
+    "index_merge_on_read": "SELECT DISTINCT sha256(text || chr(2) || 'domain=' || lang) AS id, lang AS domain, CASE WHEN lang = 'de' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS first FROM documents WHERE lang <> 'fr'",
+    "index_compacted": "SELECT DISTINCT sha256(text || chr(2) || 'domain=' || lang) AS id, lang AS domain, CASE WHEN lang = 'de' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS first FROM documents",
+    "cell_topk": f"""
+        WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, {_d2("e.embedding", "q.embedding")} AS d FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM p) SELECT query_id, rank, vec_id, round(d, 6) AS distance FROM r WHERE rank <= 5""",
     "incremental_scan": "SELECT event_id, user_id, event_type FROM events WHERE ts > TIMESTAMP '2024-01-15 00:00:00'",
     "stream_index": "SELECT DISTINCT sha256(text || chr(2) || 'domain=' || lang) AS id, lang AS domain FROM documents",
     "code_entities": """

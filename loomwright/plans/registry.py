@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
-from loomwright.operators import code_chunks, code_parse, crawl, embed, index, markdown, rag, retrieve
+from loomwright.operators import cells, code_chunks, code_parse, crawl, deltas, embed, index, markdown, rag, retrieve
 from loomwright.plans import fixtures
 from loomwright.plans.oracle import ORACLE
 from loomwright.schemas import CRAWL_STATE, EmbeddingSettings, RetrievalSettings
@@ -382,15 +382,46 @@ def index_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Two collections under one path: each has its own rows, and writing one twice changes nothing."""
     root = f"{scratch_root(spark)}/index-{uuid.uuid4().hex}"
     rows = _prepared(_texts(spark, sf))
-    one, other = index.Collection(spark, root, "documents"), index.Collection(spark, root, "empty")
+    one, other = deltas.DeltaCollection(spark, root, "documents"), deltas.DeltaCollection(spark, root, "empty")
     one.write(rows)
     one.write(rows)
     other.write(rows)
     other.clear()
-    by = [(r["domain"], r["stored"], other.stats()["document_count"]) for r in one.read().groupBy("domain").agg(F.count("*").alias("stored")).collect()]  # a row a language
-    one.drop()
-    other.drop()
-    return spark.createDataFrame(by, "domain string, stored long, other long")
+    return one.read().groupBy("domain").agg(F.count("*").alias("stored")).withColumn("other", F.lit(other.stats()["document_count"]).cast("long"))
+
+
+def _changed_index(spark: SparkSession, sf: str) -> deltas.DeltaCollection:
+    """Documents stored, German ones stored again with another vector, French ones deleted."""
+    own = deltas.DeltaCollection(spark, f"{scratch_root(spark)}/deltas-{uuid.uuid4().hex}", "documents", buckets=16)
+    rows = _prepared(_texts(spark, sf))
+    own.write(rows)
+    own.write(rows.where("domain = 'de'").withColumn("embedding", F.array(F.lit(1.0).cast("float"))))
+    own.delete(own.read().where("domain = 'fr'"))
+    return own
+
+
+def _stored(own: deltas.DeltaCollection) -> DataFrame:
+    return own.read().select("id", "domain", F.element_at("embedding", 1).cast("double").alias("first"))
+
+
+def index_merge_on_read(spark: SparkSession, sf: str) -> DataFrame:
+    """What an index of a base and deltas reads as."""
+    return _stored(_changed_index(spark, sf))
+
+
+def index_compacted(spark: SparkSession, sf: str) -> DataFrame:
+    """The same after compaction, and then a write that skips what is stored: the deleted documents come back."""
+    own = _changed_index(spark, sf)
+    own.compact()
+    own.write(_prepared(_texts(spark, sf)), "skip")
+    return _stored(own)
+
+
+def cell_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """vector_topk_batch from a clustered index."""
+    path = f"{scratch_root(spark)}/cells-{uuid.uuid4().hex}"
+    hits, _ = cells.CellIndex.build(_table(spark, sf, "embeddings"), path, 64, key="vec_id").nearest(_queries(spark, sf), 5, key="vec_id")
+    return _six(_long(hits, "rank"), "distance")
 
 
 def incremental_scan(spark: SparkSession, sf: str) -> DataFrame:
@@ -406,7 +437,7 @@ def stream_index(spark: SparkSession, sf: str) -> DataFrame:
     path = f"{sf}/documents.parquet"
     folder = path if not _is_file(spark, path) else f"{sf}/documents.parque[t]"
     rows = spark.readStream.schema(docs.schema).parquet(folder)
-    own = index.Collection(spark, root, "documents")
+    own = deltas.DeltaCollection(spark, root, "documents")
     incremental.index_stream(rows, _prepared, own, f"{root}/checkpoint").awaitTermination()
     return own.read().select("id", "domain")
 
@@ -564,7 +595,7 @@ _NAMES = (
     "code_python_chunks lang_detect repo_stats vector_topk vector_topk_batch vector_topk_cosine score_from_distance threshold_after_topk similarity_matrix similarity_01 embedding_stats "
     "embedding_normalize embedding_preview embed_documents filter_eq_in filter_op_tree filter_post jaccard_pairs diversity_rescore retrieval_envelope retrieval_display context_build "
     "sources_format prompt_build answer_extractive chat_format token_estimate request_validation page_meta page_links page_min_content html_markdown url_allow crawl_diff state_upsert "
-    "bfs_frontier index_upsert_overwrite index_upsert_skip index_stats incremental_scan stream_index code_entities code_imports code_docstrings entity_documents markdown_files chunk_records tree_documents tree_lookup links_by_source embed_errors retrieve_errors page_custom crawl_reports string_functions"
+    "bfs_frontier index_upsert_overwrite index_upsert_skip index_stats index_merge_on_read index_compacted cell_topk incremental_scan stream_index code_entities code_imports code_docstrings entity_documents markdown_files chunk_records tree_documents tree_lookup links_by_source embed_errors retrieve_errors page_custom crawl_reports string_functions"
 ).split()
 
 
