@@ -141,6 +141,13 @@ class DeltaCollection(Collection):
             fs, at = self._fs(f"{self.root}/{staged}")
             fs.delete(at, True)
 
+    def model(self) -> str | None:
+        """What the rows were encoded by, as `set_model` told it."""
+        return self._list(self.version()).get("model")
+
+    def set_model(self, name: str, tries: int = 5) -> None:
+        self._change(lambda listed: listed | {"model": name}, tries)
+
     def delete(self, ids: DataFrame, tries: int = 5) -> None:
         """Ids (a column `id`) are gone from now on; those that are not stored do no harm."""
         folder = f"d-{uuid.uuid4().hex}"

@@ -291,6 +291,12 @@ ORACLE: dict[str, str] = {
     "index_stats": "SELECT lang AS domain, count(DISTINCT text) AS stored, CAST(0 AS BIGINT) AS other FROM documents GROUP BY lang",
     "index_merge_on_read": "SELECT DISTINCT sha256(text || chr(2) || 'domain=' || lang) AS id, lang AS domain, CASE WHEN lang = 'de' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS first FROM documents WHERE lang <> 'fr'",
     "index_compacted": "SELECT DISTINCT sha256(text || chr(2) || 'domain=' || lang) AS id, lang AS domain, CASE WHEN lang = 'de' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS first FROM documents",
+    "refresh_index": """
+        WITH a AS (SELECT DISTINCT sha256(text || chr(2) || 'domain=' || lang) AS id, text FROM documents),
+        c AS (SELECT CASE WHEN doc_id % 100 = 0 THEN text || ' changed' ELSE text END AS text, lang FROM documents WHERE lang <> 'fr'),
+        b AS (SELECT DISTINCT sha256(text || chr(2) || 'domain=' || lang) AS id, lang AS domain, text FROM c)
+        SELECT id, domain, CAST(64 AS BIGINT) AS dimensions, (SELECT count(*) FROM c) AS chunks, (SELECT count(*) FROM b WHERE id NOT IN (SELECT id FROM a)) AS added,
+               (SELECT count(*) FROM a WHERE id NOT IN (SELECT id FROM b)) AS deleted, (SELECT count(DISTINCT text) FROM b WHERE text NOT IN (SELECT text FROM a)) AS encoded FROM b""",
     "cell_topk": f"""
         WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, {_d2("e.embedding", "q.embedding")} AS d FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM p) SELECT query_id, rank, vec_id, round(d, 6) AS distance FROM r WHERE rank <= 5""",

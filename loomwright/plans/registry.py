@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
-from loomwright.operators import cells, code_chunks, code_parse, crawl, deltas, embed, index, markdown, rag, retrieve
+from loomwright.operators import cells, code_chunks, code_parse, crawl, deltas, embed, embed_store, index, markdown, rag, retrieve
 from loomwright.plans import fixtures
 from loomwright.plans.oracle import ORACLE
 from loomwright.schemas import CRAWL_STATE, EmbeddingSettings, RetrievalSettings
@@ -417,6 +417,18 @@ def index_compacted(spark: SparkSession, sf: str) -> DataFrame:
     return _stored(own)
 
 
+def refresh_index(spark: SparkSession, sf: str) -> DataFrame:
+    """An index brought to all documents, then to them with every hundredth changed and French ones gone: what it holds, and what the second refresh did."""
+    root, settings = f"{scratch_root(spark)}/refresh-{uuid.uuid4().hex}", EmbeddingSettings(dimensions=64)
+    own, store = deltas.DeltaCollection(spark, root, "documents"), embed_store.VectorStore(spark, root, settings)
+    meta = F.create_map(F.lit("domain"), "lang").alias("metadata")
+    embed_store.refresh(own, store, _texts(spark, sf).select(F.col("text").alias("content"), meta))
+    changed = F.when(F.col("doc_id") % 100 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text"))
+    told = embed_store.refresh(own, store, _texts(spark, sf).where("lang <> 'fr'").select(changed.alias("content"), meta))
+    rows = own.read().select("id", "domain", F.size("embedding").cast("long").alias("dimensions"))
+    return rows.withColumns({k: F.lit(told[k]).cast("long") for k in ("chunks", "added", "deleted", "encoded")})
+
+
 def cell_topk(spark: SparkSession, sf: str) -> DataFrame:
     """vector_topk_batch from a clustered index."""
     path = f"{scratch_root(spark)}/cells-{uuid.uuid4().hex}"
@@ -595,7 +607,7 @@ _NAMES = (
     "code_python_chunks lang_detect repo_stats vector_topk vector_topk_batch vector_topk_cosine score_from_distance threshold_after_topk similarity_matrix similarity_01 embedding_stats "
     "embedding_normalize embedding_preview embed_documents filter_eq_in filter_op_tree filter_post jaccard_pairs diversity_rescore retrieval_envelope retrieval_display context_build "
     "sources_format prompt_build answer_extractive chat_format token_estimate request_validation page_meta page_links page_min_content html_markdown url_allow crawl_diff state_upsert "
-    "bfs_frontier index_upsert_overwrite index_upsert_skip index_stats index_merge_on_read index_compacted cell_topk incremental_scan stream_index code_entities code_imports code_docstrings entity_documents markdown_files chunk_records tree_documents tree_lookup links_by_source embed_errors retrieve_errors page_custom crawl_reports string_functions"
+    "bfs_frontier index_upsert_overwrite index_upsert_skip index_stats index_merge_on_read index_compacted refresh_index cell_topk incremental_scan stream_index code_entities code_imports code_docstrings entity_documents markdown_files chunk_records tree_documents tree_lookup links_by_source embed_errors retrieve_errors page_custom crawl_reports string_functions"
 ).split()
 
 

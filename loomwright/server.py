@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomwright import cli
 from loomwright.functions import text as T
-from loomwright.operators import index, rag
+from loomwright.operators import deltas, rag
 
 
 class Service:
@@ -25,7 +25,7 @@ class Service:
         return {"status": "healthy", "collection": self.collection}
 
     def stats(self) -> dict:
-        return index.Collection(self.spark, self.path, self.collection).stats()
+        return deltas.DeltaCollection(self.spark, self.path, self.collection).stats()
 
     def query(self, body: dict) -> tuple[int, dict]:
         question, top_k = body.get("question"), body.get("top_k", 5)
@@ -40,13 +40,13 @@ class Service:
             return 400, {"answer": "", "sources": [], "error": f"{type(e).__name__}: {e}"}
 
     def refresh(self) -> tuple[int, dict]:
-        """Rebuild from the folder of documents; a second call meanwhile is refused, and readers keep the old version."""
+        """Bring the index to the folder of documents; a second call meanwhile is refused, and readers keep the old version."""
         if not self.docs:
             return 400, {"status": "error", "message": "no folder of documents"}
         if not self._busy.acquire(blocking=False):
             return 409, {"status": "in_progress"}
         try:
-            return 200, {"status": "done", "chunks": cli.build(self.spark, self.docs, self.path, collection=self.collection)}
+            return 200, {"status": "done", **cli.build(self.spark, self.docs, self.path, collection=self.collection)}
         finally:
             self._busy.release()
 

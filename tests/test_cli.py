@@ -17,7 +17,7 @@ def built(spark, tmp_path, capsys):
         (docs / f"{name}.md").write_text(f"---\ntitle: {name}\nurl: https://x/{name}\ndomain: x\n---\n# Use\n\n" + f"The {name} is for {name} things. " * 12)
     path = f"file://{tmp_path}/index"
     assert cli.main(["index", str(docs), path], spark) == 0 and cli.main(["index", str(docs), path], spark) == 0
-    assert "2 chunks" in capsys.readouterr().out
+    assert capsys.readouterr().out.splitlines()[-2:] == ["2 chunks, 2 added, 0 deleted, 2 encoded", "2 chunks, 0 added, 0 deleted, 0 encoded"]
     return str(docs), path
 
 
@@ -45,5 +45,5 @@ def test_server(spark, built):
     code, got = call("/query", {"question": "button things", "top_k": 1})
     assert code == 200 and got["sources"][0]["title"] == "button" and len(got["sources"][0]["content"]) == 203
     assert call("/query", {"question": "", "top_k": 1})[0] == 422 and call("/query", {"question": "q", "top_k": 21})[0] == 422
-    assert call("/refresh", {})[1] == {"status": "done", "chunks": 2}
+    assert call("/refresh", {})[1] == {"status": "done", "chunks": 2, "added": 0, "deleted": 0, "encoded": 0}
     server.shutdown()
