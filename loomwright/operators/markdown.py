@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
+from loomwright.operators.scan import running
 
 #: A heading line: one to six #, white space, something.
 HEADING = r"(?mdU)^(#{1,6})[^\S\n]+(.+)$"
@@ -55,6 +56,18 @@ def sections(text: Column) -> Column:
     return F.transform(kept, lambda s, i: F.struct(i.alias("section_no"), s["heading"].alias("heading"), s["level"].alias("level"), s["content"].alias("content")))
 
 
+def section_rows(pieces: DataFrame, group: str, order: list[str], text: str = "content", tasks: int | None = None) -> DataFrame:
+    """(group, order, section_no, heading, level, content) of documents whose pieces are rows, numbered through each document.
+
+    Every piece begins with a heading and is followed by a line end, as the turns of a conversation are; then a document's sections are
+    its pieces' sections, and their numbers a running sum of how many the earlier pieces have, whatever a document's size.
+    """
+    found = pieces.select(group, *order, sections(F.concat(F.col(text), F.lit("\n"))).alias("found"))
+    numbered = running(found, group, order, {"first": F.size("found")}, tasks)
+    each = numbered.select(group, *order, "first", F.explode("found").alias("s"))
+    return each.select(group, *order, (F.col("first") + F.col("s.section_no")).alias("section_no"), "s.heading", "s.level", "s.content")
+
+
 def blocks(content: Column) -> Column:
     """Array of (type, content, start_pos): stripped text and [code] blocks in order, empty ones left out; without any, the raw content as one text."""
     kind, mark = "array<struct<type:string,content:string,start_pos:int>>", len("[code][/code]")

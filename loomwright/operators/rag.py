@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
+from loomwright.operators.scan import concatenated
 from loomwright.schemas import LLMSettings
 
 #: What the model is told around the excerpts; the subject is whatever the documents are about.
@@ -60,15 +61,12 @@ def sources(hits: DataFrame) -> DataFrame:
     return hits.select("query_id", "rank", source_name().alias("source"), T.fixed(F.col("score")).alias("score"), F.coalesce("heading", F.lit("")).alias("heading"), F.coalesce("url", F.lit("")).alias("url"))
 
 
-def chat(messages: DataFrame, key: str = "conv_id") -> DataFrame:
-    """(key, system, n_messages, conversation): system messages joined apart from the others, which follow in turn."""
+def chat(messages: DataFrame, key: str = "conv_id", tasks: int | None = None) -> DataFrame:
+    """(key, system, conversation, n_messages): system messages joined apart from the others, which follow in turn; a long conversation is many tasks."""
     is_system = F.col("role") == "system"
     line = F.concat("role", F.lit(": "), F.col("text"))
-    return messages.groupBy(key).agg(
-        ordered_concat(F.when(is_system, F.col("text")), F.col("turn"), "\n\n").alias("system"),
-        F.count_if(~is_system).alias("n_messages"),
-        ordered_concat(F.when(~is_system, line), F.col("turn"), "\n").alias("conversation"),
-    )
+    parts = {"system": (F.when(is_system, F.col("text")), "\n\n"), "conversation": (F.when(~is_system, line), "\n")}
+    return concatenated(messages, key, ["turn"], parts, {"n_messages": ~is_system}, tasks)
 
 
 def request_error(question: Column, top_k: Column, most: int = MOST_QUERY) -> Column:

@@ -271,6 +271,9 @@ ORACLE: dict[str, str] = {
     "chat_format": """
         SELECT conv_id, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (role = 'system'), '') AS system, count(*) FILTER (role <> 'system') AS n_messages,
           coalesce(string_agg(role || ': ' || text, chr(10) ORDER BY turn) FILTER (role <> 'system'), '') AS conversation FROM conversations GROUP BY conv_id""",
+    "turn_offsets": r"""
+        WITH t AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(length(text), 0) AS size, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> '')) AS n_words FROM conversations)
+        SELECT *, CAST(coalesce(sum(size + 1) OVER w, 0) AS BIGINT) AS start, CAST(coalesce(sum(n_words) OVER w, 0) AS BIGINT) AS first_word FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
     "token_estimate": "SELECT conv_id, turn, length(text) // 4 AS tokens FROM conversations",
     "request_validation": f"SELECT conv_id, turn, CASE WHEN turn = 1 OR text IS NULL OR {_strip('text')} = '' THEN 'question is empty' WHEN turn * 12 < 1 OR turn * 12 > 50 THEN 'top_k must be from 1 to 50' END AS error FROM conversations",
     "page_meta": r"""

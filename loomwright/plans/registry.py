@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
-from loomwright.operators import cells, code_chunks, code_parse, crawl, deltas, embed, embed_store, index, markdown, rag, retrieve
+from loomwright.operators import cells, code_chunks, code_parse, crawl, deltas, embed, embed_store, index, markdown, rag, retrieve, scan
 from loomwright.plans import fixtures
 from loomwright.plans.oracle import ORACLE
 from loomwright.schemas import CRAWL_STATE, EmbeddingSettings, RetrievalSettings
@@ -38,16 +38,19 @@ def _long(df: DataFrame, *names: str) -> DataFrame:
 # --- markdown and code chunks
 
 
-def _turn_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """A markdown document a conversation: a second-level heading and the text of each turn."""
-    turns = _table(spark, sf, "conversations")
+def _pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """A second-level heading and the text of each turn."""
     piece = F.concat(F.lit("## "), "role", F.lit(" "), F.col("turn").cast("string"), F.lit("\n\n"), F.coalesce("text", F.lit("")))
-    return turns.groupBy("conv_id").agg(rag.ordered_concat(piece, F.col("turn"), "\n\n").alias("content"))
+    return _table(spark, sf, "conversations").select("conv_id", "turn", piece.alias("content"))
+
+
+def _turn_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """A markdown document a conversation."""
+    return scan.concatenated(_pieces(spark, sf), "conv_id", ["turn"], {"content": (F.col("content"), "\n\n")})
 
 
 def md_sections(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _turn_documents(spark, sf).select("conv_id", F.explode(markdown.sections(F.col("content"))).alias("s")).select("conv_id", "s.*")
-    return _long(rows, "section_no", "level")
+    return _long(markdown.section_rows(_pieces(spark, sf), "conv_id", ["turn"]).drop("turn"), "section_no", "level")
 
 
 def md_chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,7 +68,7 @@ def md_blocks(spark: SparkSession, sf: str) -> DataFrame:
 def md_pack_multi(spark: SparkSession, sf: str) -> DataFrame:
     turns = _table(spark, sf, "conversations")
     piece = F.when(F.col("role") == "assistant", F.concat(F.lit("[code]"), "text", F.lit("[/code]"))).otherwise(F.col("text"))
-    docs = turns.groupBy("conv_id").agg(F.concat(F.lit("# Talk\n\n"), rag.ordered_concat(piece, F.col("turn"), "\n")).alias("content"))
+    docs = scan.concatenated(turns, "conv_id", ["turn"], {"content": (piece, "\n")}).withColumn("content", F.concat(F.lit("# Talk\n\n"), "content"))
     rows = markdown.chunk_documents(docs, source_id=None, sizes=markdown.ChunkSizes(40, 300))
     return _long(rows.select("conv_id", "chunk_no", "chunk_type", F.length("content").alias("size"), "start_index", "end_index"), "chunk_no", "size", "start_index", "end_index")
 
@@ -290,6 +293,12 @@ def chat_format(spark: SparkSession, sf: str) -> DataFrame:
     return rag.chat(_table(spark, sf, "conversations"))
 
 
+def turn_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    """Where each turn begins in its conversation, in characters and in words, by a running sum over rows."""
+    turns = _table(spark, sf, "conversations").select("conv_id", "turn", F.coalesce(F.length("text"), F.lit(0)).alias("size"), F.size(T.words(F.col("text"))).alias("n_words"))
+    return _long(scan.running(turns, "conv_id", ["turn"], {"start": F.col("size") + 1, "first_word": F.col("n_words")}), "turn", "size", "n_words")
+
+
 def token_estimate(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "conversations").select("conv_id", "turn", T.token_estimate(F.col("text")).alias("tokens"))
 
@@ -606,7 +615,7 @@ _NAMES = (
     "md_sections md_chunks md_blocks md_pack_multi chunk_fallback chunk_ids chunk_estimate chunk_samples chunk_stats doc_stats merge_small code_lines_chunks code_fence_chunks code_script_chunks "
     "code_python_chunks lang_detect repo_stats vector_topk vector_topk_batch vector_topk_cosine score_from_distance threshold_after_topk similarity_matrix similarity_01 embedding_stats "
     "embedding_normalize embedding_preview embed_documents filter_eq_in filter_op_tree filter_post jaccard_pairs diversity_rescore retrieval_envelope retrieval_display context_build "
-    "sources_format prompt_build answer_extractive chat_format token_estimate request_validation page_meta page_links page_min_content html_markdown url_allow crawl_diff state_upsert "
+    "sources_format prompt_build answer_extractive chat_format turn_offsets token_estimate request_validation page_meta page_links page_min_content html_markdown url_allow crawl_diff state_upsert "
     "bfs_frontier index_upsert_overwrite index_upsert_skip index_stats index_merge_on_read index_compacted refresh_index cell_topk incremental_scan stream_index code_entities code_imports code_docstrings entity_documents markdown_files chunk_records tree_documents tree_lookup links_by_source embed_errors retrieve_errors page_custom crawl_reports string_functions"
 ).split()
 
