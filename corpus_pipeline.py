@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm import decontamination, line_dedup, mixing, near_dedup, quality_rules
-from loomwright.llm.common import Scratch, table
+from loomwright.llm.common import Scratch, fresh, table
 from loomwright.session import ship
 
 #: No SQL states the perplexity bands, the minhash tables or the knapsack; tests compare run() with brute force.
@@ -61,14 +61,17 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with `size` in words and `copies`.
+    """Documents that the mix takes, with `size` in words, their source's `target` and `copies`, in place of columns of these names.
 
     A text without words has size 0 and is taken only where its source is taken whole.  A null source is one of its own, the last; equal
     rows are interchangeable; an empty table stays empty; other columns pass through.
     """
     ship(spark)
-    mixed = mixing.mix(docs.withColumn("size", mixing.n_words(F.col("text"))))
-    return mixed.where("copies > 0").select(*docs.columns, "size", "target", "copies")
+    results = ("size", "target", "copies")
+    kept = docs.drop(*results)
+    aside = fresh(kept, "source_size_")  # the mix has a source_size of its own
+    mixed = mixing.mix(kept.withColumnRenamed("source_size", aside).withColumn("size", mixing.n_words(F.col("text"))))
+    return mixed.where("copies > 0").select(*(F.col(aside).alias(c) if c.lower() == "source_size" else c for c in kept.columns), *results)
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("near-duplicates", near_duplicates), ("benchmark decontamination", benchmark_leaks), ("source mix", source_mix)]

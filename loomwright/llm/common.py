@@ -54,6 +54,13 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
+def fresh_prefix(df: DataFrame, stem: str) -> str:
+    """A prefix that starts with `stem` and that no column of df has, whatever the case."""
+    while any(c.lower().startswith(stem.lower()) for c in df.columns):
+        stem += "_"
+    return stem
+
+
 def broadcast_if(df: DataFrame, most: int) -> DataFrame:
     """A written table with a broadcast hint if it has at most `most` rows, else as it is, for Spark to shuffle."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

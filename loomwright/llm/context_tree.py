@@ -445,13 +445,14 @@ def score(docs: DataFrame, learn: Column, text: str = "text") -> DataFrame:
         scratch.drop(f"pass{passes - 1}")
     pairs = rows.select(rid, F.explode(F.arrays_zip(F.col(rare).alias("word"), F.col(times).alias("k"))).alias("p")).select(rid, F.col("p.word").alias("word"), F.col("p.k").alias("k"))
     found = pairs.join(words.where(F.col("c") < heavy_from), "word")
-    sums = found.groupBy(F.col(rid).alias("sum_row")).agg(F.sum("k").alias("more_known"), F.sum(F.col("k") * F.log10((F.col("c") + 0.5) / 0.5)).alias("more_gain"))
-    joined = rows.join(sums, rows[rid] == sums["sum_row"], "left")
+    sum_row, more_known, more_gain = (fresh(rows, c) for c in ("sum_row", "more_known", "more_gain"))
+    sums = found.groupBy(F.col(rid).alias(sum_row)).agg(F.sum("k").alias(more_known), F.sum(F.col("k") * F.log10((F.col("c") + 0.5) / 0.5)).alias(more_gain))
+    joined = rows.join(sums, rows[rid] == sums[sum_row], "left")
     return joined.withColumns(
         {
-            "n_known": F.col(known) + F.coalesce("more_known", F.lit(0)),
+            "n_known": F.col(known) + F.coalesce(more_known, F.lit(0)),
             "train_tokens": F.lit(int(n_train)).cast("long"),
-            "base_score": F.col("n_tokens") * F.lit(floor) + F.col(part) + F.coalesce("more_gain", F.lit(0.0)),
+            "base_score": F.col("n_tokens") * F.lit(floor) + F.col(part) + F.coalesce(more_gain, F.lit(0.0)),
             "score": F.col(tree),
             "bits_per_byte": -F.col(tree) * float(np.log2(10)) / (F.col(size) + 1),
         }

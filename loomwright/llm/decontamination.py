@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import Scratch, fresh
+from loomwright.llm.common import Scratch, fresh, fresh_prefix
 from loomwright.llm.vectext import ALNUM, U64, Words, as_bytes, blocks, fmix, lean, pair_hash
 
 WINDOW = 10
@@ -184,6 +184,9 @@ def _mark(piece: pa.RecordBatch, probe: Probe, text: str, places: str, names: li
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The documents without a hit, with their own columns."""
-    prefix = fresh(docs, "hits_")
+    """The documents without a hit, with their own columns.
+
+    Null and empty texts have none and stay, as all do without windows; repeated rows fare alike; an empty table stays empty.
+    """
+    prefix = fresh_prefix(docs, "hits_")
     return mark_hits(docs, benchmark, text, prefix).where(F.col(prefix + "n_hit") == 0).select(*docs.columns)

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import Scratch, broadcast_if, fresh
+from loomwright.llm.common import Scratch, broadcast_if, fresh, fresh_prefix
 from loomwright.llm.vectext import NON_SPACE, U64, Words, as_bytes, blocks, fmix, hash_spans, lean, pair_hash, windows
 
 #: Code points of an n-gram and bits of each; three pack into 63 bits.
@@ -385,7 +385,7 @@ def filter_quality(docs: DataFrame, text: str = "text", lang: str = "lang", widt
     A null or empty text has no words and is rejected; repeated rows fare alike;
     an empty table gives an empty one; a null language is judged among its like.
     """
-    prefix = fresh(docs, "q_")
+    prefix = fresh_prefix(docs, "q_")
     model = train(docs, text, lang)
     measured = score(docs.select(text, lang), model, text, prefix, lang, stats=False).select(lang, prefix + "nll", prefix + "n_grams")
     limits = bands(Scratch(docs.sparkSession, "quality").keep(measured, "measured"), lang, prefix + "nll", prefix + "n_grams")

@@ -127,3 +127,25 @@ def test_stages(spark, docs, stage, tmp_path, bench):
         out = stage(spark, d, str(tmp_path))
         assert out.columns[: len(plain.columns)] == plain.columns
         assert d.count() >= out.count()
+
+
+def test_columns_that_helpers_would_take(spark, docs, bench, tmp_path):
+    """Columns with the operators' own prefixes, and those used in joins, keep their values."""
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    named = plain.select("*", *(F.lit(-k).alias(c) for k, c in enumerate(["q_nll", "q_n_words", "Q_KEPT", "hits_n_hit", "hits_items", "more_gain", "more_known", "sum_row", "source_size"], 50)))
+    values = {c: -k for k, c in enumerate(named.columns[5:], 50)}
+
+    def told(df):
+        assert df.columns[: len(named.columns)] == named.columns
+        rows = df.collect()
+        assert rows and all(r[c] == v for r in rows for c, v in values.items())
+        return rows
+
+    told(quality_rules.filter_quality(named))
+    told(decontamination.drop_contaminated(named, bench))
+    scored = context_tree.score(named, F.col("doc_id") > 0)
+    assert all(r[c] == v for r in scored.collect() for c, v in values.items())
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    mixed = corpus_pipeline.source_mix(spark, named.withColumns({"size": F.lit("x"), "Target": F.lit("y"), "copies": F.lit("z")}), str(tmp_path))
+    rows = told(mixed)
+    assert mixed.columns == [*named.columns, "size", "target", "copies"] and all(r["copies"] in (1, 2) for r in rows)
