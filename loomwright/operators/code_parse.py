@@ -143,6 +143,17 @@ def snippet_docstring(source: str, language: str) -> str | None:
         return None
 
 
+def snippet_docs(rows: DataFrame, content: str = "content", language: str = "language", out: str = "doc") -> DataFrame:
+    """rows with the documentation that a snippet itself begins with, or null."""
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for sources, languages in batches:
+            yield pd.Series([None if s is None or n is None else snippet_docstring(s, n) for s, n in zip(sources, languages)], dtype=object)
+
+    return rows.withColumn(out, run(F.col(content), F.col(language)))
+
+
 class ParserRegistry:
     """Parsers by language family: (entities, imports) functions."""
 

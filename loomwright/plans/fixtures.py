@@ -1,4 +1,4 @@
-"""Source files that the code queries parse."""
+"""Source files that the code queries parse, each below a comment that holds a document."""
 
 PYTHON = '''import os
 from typing import List, Dict
@@ -45,5 +45,5 @@ export const block = z => {
 
 SOURCES = [("src/store.py", "python", PYTHON), ("src/greet.js", "javascript", JAVASCRIPT), ("src/broken.py", "python", "def broken(:\n    pass"), ("src/Main.java", "java", "class Main {}")]
 
-#: Snippets whose own documentation is asked for.
-SNIPPETS = [("python", '"""Top."""\nx = 1'), ("python", "x = (1"), ("javascript", "/**\n * Up.\n */\nfunction f() {}"), ("javascript", "let y = 1;")]
+#: Snippets whose own documentation is asked for; @ stands for a document's id.
+SNIPPETS = [("python", '"""Top @."""\nx = 1'), ("python", "x = (1"), ("javascript", "/**\n * Up @.\n */\nfunction f() {}"), ("javascript", "let y = 1;")]

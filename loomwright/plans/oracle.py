@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from loomwright.plans.fixtures import JAVASCRIPT, PYTHON
 
 _STRIP = r"regexp_replace(regexp_replace({0}, '^\s+', ''), '\s+$', '')"
 _D2 = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: (CAST({0}[i] AS DOUBLE) - CAST({1}[i] AS DOUBLE)) * (CAST({0}[i] AS DOUBLE) - CAST({1}[i] AS DOUBLE))))"
@@ -48,11 +47,6 @@ ex AS (SELECT doc_id AS id, 'document' AS kind, md5(text) AS digest FROM documen
 inc AS (SELECT conv_id AS id, 'turn' AS kind, CASE WHEN count(*) > count(text) THEN NULL ELSE min(md5(text)) END AS digest FROM conversations GROUP BY conv_id)
 """
 
-def _text(x: str) -> str:
-    """A string literal with line ends."""
-    return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-
-
 #: The prompt, written out: three parts of fixed text around the excerpts and the question.
 _PROMPTS = """
 x AS (SELECT query_id, count(*) AS n, string_agg(E'\\n---\\nSource: ' || title || E'\\nSection: ' || heading || E'\\n\\n' || content || E'\\n', '' ORDER BY rank) AS excerpts FROM hits GROUP BY query_id),
@@ -75,6 +69,15 @@ def _unescaped(x: str) -> str:
     return f"replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
 
 
+#: How many lines of comment stand above a document's sample sources.
+_LINES = "lines AS (SELECT doc_id, length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1 AS above FROM documents)"
+
+#: The files of the tree that documents are written as, without those that no reading has.
+_TREE = """k AS (SELECT *, CASE lang WHEN 'en' THEN '.py' WHEN 'de' THEN '.js' WHEN 'fr' THEN '.tsx' WHEN 'es' THEN '.java' ELSE '.go' END AS extension,
+            CASE lang WHEN 'en' THEN 'python' WHEN 'de' THEN 'javascript' WHEN 'fr' THEN 'typescript' WHEN 'es' THEN 'java' ELSE 'go' END AS language FROM documents),
+        f AS (SELECT 'src/' || coalesce(lang, 'und') || '/d' || doc_id || extension AS source_id, 'd' || doc_id || extension AS title, language, extension, text AS body, CAST(strlen(text) AS BIGINT) AS size FROM k WHERE text <> ''
+              UNION ALL SELECT 'src/o' || doc_id || '.c', 'o' || doc_id || '.c', 'c', '.c', '// café ' || doc_id || chr(10), CAST(length('// café ' || doc_id) + 1 AS BIGINT) FROM documents WHERE doc_id % 7 = 0)"""
+
 ORACLE: dict[str, str] = {
     "prompt_build": _with_hits(f"""
         , {_PROMPTS} SELECT query_id, system, prompt FROM prompts"""),
@@ -152,17 +155,21 @@ ORACLE: dict[str, str] = {
         WITH d AS (SELECT doc_id, lang, source, {_strip("text")} AS s FROM documents WHERE text IS NOT NULL)
         SELECT doc_id, doc_id || '.md_0' AS chunk_id, 'mixed' AS type, 'chunk_type=code;domain=' || lang || ';heading=' || source || ';source=' || doc_id || '.md' AS metadata,
           length('## ' || source || chr(10)) + 2 + length('```' || chr(10) || 'x = 1' || chr(10) || '```') + CASE WHEN s = '' THEN 0 ELSE 2 + length(s) END AS size FROM d""",
-    "tree_documents": """
-        WITH f AS (SELECT * FROM (VALUES
-          ('src/store.py', 'store.py', 'python', '.py', PY), ('src/greet.js', 'greet.js', 'javascript', '.js', JS), ('src/broken.py', 'broken.py', 'python', '.py', E'def broken(:\\n    pass'),
-          ('src/Main.java', 'Main.java', 'java', '.java', 'class Main {}'), ('src/Card.tsx', 'Card.tsx', 'typescript', '.tsx', E'export const Card = () => null;\\n'), ('src/old.c', 'old.c', 'c', '.c', E'// caf\u00e9\\n')) AS t(source_id, title, language, extension, body))
-        SELECT source_id, title, language, 'codebase' AS source_type, 'markdown' AS format, extension, CAST(CASE WHEN title = 'old.c' THEN length(body) ELSE strlen(body) END AS BIGINT) AS size,
-          sha256('# ' || title || E'\\n\\n**File:** `' || source_id || E'`\\n**Language:** ' || language || E'\\n\\n```' || language || E'\\n' || body || E'\\n```\\n') AS content_hash FROM f""".replace("PY", _text(PYTHON)).replace("JS", _text(JAVASCRIPT)),
-    "tree_lookup": """
-        SELECT * FROM (VALUES ('fetch', 'src/store.py'), ('ids', 'src/Card.tsx'), ('component', 'category=Implementation;component=Card;domain=components;file_type=tsx;framework=React;title=Card')) AS t(way, source_id)""",
+    "tree_documents": f"""
+        WITH {_TREE}
+        SELECT source_id, title, language, 'codebase' AS source_type, 'markdown' AS format, extension, size,
+          sha256('# ' || title || E'\\n\\n**File:** `' || source_id || E'`\\n**Language:** ' || language || E'\\n\\n```' || language || E'\\n' || body || E'\\n```\\n') AS content_hash FROM f""",
+    "tree_lookup": f"""
+        WITH {_TREE}
+        SELECT 'fetch' AS way, 'src/en/d' || min(doc_id) || '.py' AS source_id FROM documents WHERE lang = 'en' AND text <> ''
+        UNION ALL (SELECT 'ids', source_id FROM f WHERE language IN ('javascript', 'typescript') ORDER BY source_id LIMIT 10)
+        UNION ALL SELECT 'component', 'category=Implementation;component=d' || doc_id || ';domain=components;file_type=tsx;framework=React;title=d' || doc_id FROM documents WHERE lang = 'fr'""",
+    "tree_batch": f"WITH {_TREE} SELECT source_id, language, extension, size, sha256(body) AS content_hash, CAST(NULL AS VARCHAR) AS error FROM f",
+    "tree_stream": f"WITH {_TREE} SELECT source_id, language, extension, size, sha256(body) AS content_hash, CAST(NULL AS VARCHAR) AS error FROM f",
+    "filter_typed": "SELECT doc_id, n_chars FROM documents WHERE (n_chars >= 9 AND n_chars < 400 AND lang IN ('de', 'en')) OR (n_chars / 8.0 > 500.5 AND n_chars > 1000 AND coalesce(lang <> 'en', true))",
     "code_docstrings": """
-        SELECT * FROM (VALUES ('src/store.py', 'total', 'Sum of two.'), ('src/store.py', 'Store', 'Keeps rows.'), ('src/greet.js', 'greet', E'/**\\n* Says hello.\\n*/'), ('src/broken.py', NULL, 'ParseError'),
-          ('snippet.python', 'python', 'Top.'), ('snippet.python', 'python', NULL), ('snippet.javascript', 'javascript', E'/**\\n* Up.\\n*/'), ('snippet.javascript', 'javascript', NULL)) AS t(path, name, doc)""",
+        SELECT replace(path, '.', '_' || doc_id || '.') AS path, name, replace(doc, '@', CAST(doc_id AS VARCHAR)) AS doc FROM documents, (VALUES ('src/store.py', 'total', 'Sum of two.'), ('src/store.py', 'Store', 'Keeps rows.'), ('src/greet.js', 'greet', E'/**\\n* Says hello.\\n*/'), ('src/broken.py', NULL, 'ParseError'),
+          ('snippet.python', 'python', 'Top @.'), ('snippet.python', 'python', NULL), ('snippet.javascript', 'javascript', E'/**\\n* Up @.\\n*/'), ('snippet.javascript', 'javascript', NULL)) AS t(path, name, doc)""",
     "links_by_source": r"""
         SELECT page_id, 'mobile' AS source FROM pages WHERE regexp_matches(url, '^http.*://m\.')
         UNION ALL SELECT page_id, 'plain' FROM pages WHERE NOT contains(url, '?') AND NOT contains(url, '#')""",
@@ -191,8 +198,7 @@ ORACLE: dict[str, str] = {
         SELECT * FROM f WHERE NOT regexp_matches(link, '\.pdf$')""",
     "html_markdown": f"WITH {_ARTICLE} SELECT page_id, markdown FROM md",
     "page_min_content": f"WITH {_ARTICLE} SELECT page_id, length(markdown) AS size FROM md WHERE length(markdown) >= 100",
-    "entity_documents": """
-        WITH e AS (SELECT * FROM (VALUES
+    "entity_documents": "WITH " + _LINES + """, e AS (SELECT replace(s.path, '.', '_' || doc_id || '.') AS path, s.* EXCLUDE (path, a, b), a + above AS a, b + above AS b FROM lines, (VALUES
           ('src/store.py', 'total', 'function', 'def total(a, b) -> int', 'Sum of two.', ['a', 'b'], 'int', NULL, E'def total(a, b: int) -> int:\\n    \"\"\"Sum of two.\"\"\"\\n    return a + b', 'python', NULL, 5, 7),
           ('src/store.py', 'Store', 'class', 'class Store(Base)', 'Keeps rows.', NULL, NULL, 'dataclass', E'class Store(Base):\\n    \"\"\"Keeps rows.\"\"\"\\n\\n    def put(self, key, value):\\n        return {key: value}\\n\\n    async def later(self):\\n        pass', 'python', 'put', 11, 18),
           ('src/store.py', 'put', 'function', 'def put(self, key, value)', NULL, ['self', 'key', 'value'], NULL, NULL, E'    def put(self, key, value):\\n        return {key: value}', 'python', NULL, 14, 15),
@@ -200,7 +206,7 @@ ORACLE: dict[str, str] = {
           ('src/greet.js', 'Counter', 'class', 'class Counter extends Base', NULL, NULL, NULL, NULL, E'class Counter extends Base {\\n  add(x) {\\n    return x;\\n  }\\n}', 'javascript', NULL, 12, 16),
           ('src/greet.js', 'twice', 'function', 'const twice = (x, y) =>', NULL, ['x', 'y'], NULL, NULL, 'const twice = (x, y) => x * y;', 'javascript', NULL, 18, 18),
           ('src/greet.js', 'block', 'function', 'export const block = (z) =>', NULL, ['z'], NULL, NULL, E'export const block = z => {\\n  return z;\\n};', 'javascript', NULL, 19, 21)
-        ) AS t(path, name, kind, signature, doc, params, returned, deco, body, lang, methods, a, b))
+        ) AS s(path, name, kind, signature, doc, params, returned, deco, body, lang, methods, a, b))
         SELECT path || '::' || name AS source_id, upper(kind[1]) || kind[2:] || ': ' || name AS title,
           '# ' || name || E'\\n\\n**Signature:** `' || signature || E'`\\n\\n' || CASE WHEN doc IS NULL THEN '' ELSE E'## Documentation\\n\\n' || doc || E'\\n\\n' END
           || CASE WHEN params IS NULL THEN '' ELSE E'**Parameters:**\\n' || array_to_string(list_transform(params, lambda p: '- `' || p || '`'), E'\\n') || E'\\n\\n' END
@@ -305,8 +311,8 @@ ORACLE: dict[str, str] = {
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM p) SELECT query_id, rank, vec_id, round(d, 6) AS distance FROM r WHERE rank <= 5""",
     "incremental_scan": "SELECT event_id, user_id, event_type FROM events WHERE ts > TIMESTAMP '2024-01-15 00:00:00'",
     "stream_index": "SELECT DISTINCT sha256(text || chr(2) || 'domain=' || lang) AS id, lang AS domain FROM documents",
-    "code_entities": """
-        SELECT * FROM (VALUES
+    "code_entities": f"""
+        WITH {_LINES} SELECT replace(path, '.', '_' || doc_id || '.') AS path, t.* EXCLUDE (path, start_line, end_line), start_line + above AS start_line, end_line + above AS end_line FROM lines, (VALUES
           ('src/store.py', 0, 'total', 'function', 5, 7, 'def total(a, b) -> int', 'a,b', NULL),
           ('src/store.py', 1, 'Store', 'class', 11, 18, 'class Store(Base)', NULL, 'put'),
           ('src/store.py', 2, 'put', 'function', 14, 15, 'def put(self, key, value)', 'self,key,value', NULL),
@@ -316,7 +322,7 @@ ORACLE: dict[str, str] = {
           ('src/greet.js', 3, 'block', 'function', 19, 21, 'export const block = (z) =>', 'z', NULL)
         ) AS t(path, entity_no, name, entity_type, start_line, end_line, signature, parameters, methods)""",
     "code_imports": """
-        SELECT * FROM (VALUES ('src/store.py', 'import os'), ('src/store.py', 'from typing import List, Dict'), ('src/greet.js', 'import React from ''react'''), ('src/greet.js', 'const fs = require(''fs'')')) AS t(path, statement)""",
+        SELECT replace(path, '.', '_' || doc_id || '.') AS path, statement FROM documents, (VALUES ('src/store.py', 'import os'), ('src/store.py', 'from typing import List, Dict'), ('src/greet.js', 'import React from ''react'''), ('src/greet.js', 'const fs = require(''fs'')')) AS t(path, statement)""",
     "string_functions": r"""
         SELECT doc_id, upper(substr(source, 1, 1)) || lower(substr(source, 2)) AS capital, CAST((length(text) - length(replace(text, 'th', ''))) / 2 AS BIGINT) AS n_th,
           CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS cut, len(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')) AS n_words, source AS stripped,

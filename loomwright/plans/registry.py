@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import uuid
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
-from loomwright.operators import cells, code_chunks, code_parse, crawl, deltas, embed, embed_store, index, markdown, rag, retrieve, scan
+from loomwright.operators import cells, code_chunks, code_parse, crawl, deltas, embed, embed_store, index, markdown, rag, retrieve, scan, typed
 from loomwright.plans import fixtures
 from loomwright.plans.oracle import ORACLE
 from loomwright.schemas import CRAWL_STATE, EmbeddingSettings, RetrievalSettings
 from loomwright.session import scratch_root, spread
-from loomwright.sources import files
+from loomwright.sources import files, stores, tree_source
 from loomwright.sources.adapter import CodeTree
 from loomwright.streaming import incremental
 
@@ -469,8 +468,8 @@ def _is_file(spark: SparkSession, path: str) -> bool:
 
 
 def _folder(spark: SparkSession, tag: str) -> str:
-    """A new folder under the shared one, as a plain path: files are written there by name."""
-    return f"{scratch_root(spark).removeprefix('file://')}/{tag}-{uuid.uuid4().hex}"
+    """A new folder under the shared one."""
+    return f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def markdown_files(spark: SparkSession, sf: str) -> DataFrame:
@@ -479,7 +478,7 @@ def markdown_files(spark: SparkSession, sf: str) -> DataFrame:
     meta = F.create_map(F.lit("title"), F.concat(F.lit("Document: "), F.col("doc_id").cast("string")), F.lit("lang"), F.col("lang"))
     pages = _texts(spark, sf).where(F.col("text").isNotNull()).select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("url"), meta.alias("metadata"), F.col("text").alias("markdown"))
     files.write_markdown(pages, at)
-    found = files.markdown_directory(spark, f"file://{at}")
+    found = files.markdown_directory(spark, at)
     return found.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.element_at("metadata", "title").alias("title"), F.element_at("metadata", "lang").alias("lang"), F.sha2("content", 256).alias("content_hash"))
 
 
@@ -491,39 +490,85 @@ def chunk_records(spark: SparkSession, sf: str) -> DataFrame:
     return told.select("doc_id", "chunk_id", files.legacy_type(F.col("chunk_type")).alias("type"), F.array_join(F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("metadata"), F.length("content").cast("long").alias("size"))
 
 
-def _written(spark: SparkSession) -> str:
-    """The sample sources as a tree of files."""
+#: Extensions that the documents of a language are written with.
+_EXTENSIONS = {"en": ".py", "de": ".js", "fr": ".tsx", "es": ".java"}
+
+
+def _tree_files(spark: SparkSession, sf: str) -> DataFrame:
+    """(path, content, doc_id) of a tree: each document as a source file, a file to exclude, an empty one and one of another kind beside it, and some in Latin-1."""
+    name = F.col("doc_id").cast("string")
+    lang = F.coalesce("lang", F.lit("und"))
+    ending = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in _EXTENSIONS.items() for x in pair)), lang), F.lit(".go"))
+    latin = F.when(F.col("doc_id") % 7 == 0, F.encode(F.concat(F.lit("// caf\u00e9 "), name, F.lit("\n")), "ISO-8859-1"))
+    each = [(F.concat(F.lit("src/"), lang, F.lit("/d"), name, ending), F.encode(F.coalesce("text", F.lit("")), "UTF-8")), (F.concat(F.lit("build/b"), name, F.lit(".js")), F.encode(F.lit("x"), "UTF-8"))]
+    each += [(F.concat(F.lit("src/e"), name, F.lit(".py")), F.encode(F.lit(""), "UTF-8")), (F.concat(F.lit("notes/n"), name, F.lit(".txt")), F.encode(F.lit("no code"), "UTF-8")), (F.concat(F.lit("src/o"), name, F.lit(".c")), latin)]
+    rows = _table(spark, sf, "documents").select("doc_id", F.inline(F.array(*(F.struct(p.alias("path"), c.alias("content")) for p, c in each))))
+    return rows.where(F.col("content").isNotNull())
+
+
+def _written(spark: SparkSession, sf: str) -> str:
+    """The tree of documents, written."""
     at = _folder(spark, "tree")
-    for name, _, body in (*fixtures.SOURCES, ("src/Card.tsx", "typescript", "export const Card = () => null;\n"), ("build/out.js", "javascript", "x\n"), ("src/empty.py", "python", ""), ("notes.txt", "", "no code\n")):
-        target = Path(at) / name
-        target.parent.mkdir(parents=True, exist_ok=True)
-        target.write_text(body, encoding="utf-8")
-    (Path(at) / "src/old.c").write_bytes("// caf\u00e9\n".encode("latin-1"))
-    return f"file://{at}"
+    stores.write_files(_tree_files(spark, sf), at)
+    return at
 
 
 def tree_documents(spark: SparkSession, sf: str) -> DataFrame:
     """A source tree: excluded, empty and other files left out, bytes that are not UTF-8 read as Latin-1, each file as a document."""
-    rows = CodeTree(spark, _written(spark), exclude=["build/*"]).documents()
+    rows = CodeTree(spark, _written(spark, sf), exclude=["build/*"]).documents()
     return rows.select("source_id", "title", "language", "source_type", "format", "extension", F.col("size").cast("long").alias("size"), F.sha2("content", 256).alias("content_hash"))
 
 
 def tree_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    """One document by id, the first ids of a language, and the components of a folder."""
-    at = _written(spark)
+    """One document by id, the first ids of two languages, and the components of a folder."""
+    at = _written(spark, sf)
+    first = _table(spark, sf, "documents").where("lang = 'en' and text <> ''").agg(F.min("doc_id")).first()[0]
     with CodeTree(spark, at, exclude=["build/*"]) as tree:
-        one = tree.fetch("src/store.py").select(F.lit("fetch").alias("way"), "source_id")
-        ids = tree.ids(["javascript", "typescript"], 1).select(F.lit("ids").alias("way"), "source_id")
-    components = files.tsx_directory(spark, f"{at}/src").select(F.lit("component").alias("way"), F.array_join(F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("source_id"))
+        one = tree.fetch(f"src/en/d{first}.py").select(F.lit("fetch").alias("way"), "source_id")
+        ids = tree.ids(["javascript", "typescript"], 10).select(F.lit("ids").alias("way"), "source_id")
+    components = files.tsx_directory(spark, f"{at}/src/fr").select(F.lit("component").alias("way"), F.array_join(F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("source_id"))
     return one.unionByName(ids).unionByName(components)
 
 
+def _told(rows: DataFrame) -> DataFrame:
+    return rows.select("source_id", "language", "extension", "size", F.sha2("content", 256).alias("content_hash"), "error")
+
+
+def tree_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """The tree by the data source: files that are wanted, with their content's hash."""
+    return _told(tree_source.read_tree(spark, _written(spark, sf), exclude=["build/*"]))
+
+
+def tree_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as a stream that ends, is begun again when more files are there, and has every file once."""
+    at, out = _folder(spark, "tree"), _folder(spark, "stream")
+    halves = _tree_files(spark, sf)
+    for part in (0, 1):
+        stores.write_files(halves.where(F.pmod("doc_id", F.lit(2)) == part), at)
+        rows = _told(tree_source.stream_tree(spark, at, exclude=["build/*"]))
+        rows.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{out}/rows")
+
+
+def filter_typed(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents by typed metadata: numbers compare as numbers, and a text of digits is no number."""
+    said = F.struct("n_chars", "lang", (F.col("n_chars") > 1000).alias("long"), (F.col("n_chars") / 8).alias("eighth"), F.col("n_chars").cast("string").alias("digits"))
+    rows = typed.shredded(_table(spark, sf, "documents").select("doc_id", typed.as_variant(said).alias("meta")), {"n_chars": "long"})
+    at = {f: {"field": f"meta.{f}", "operator": op, "value": v} for f, op, v in (("n_chars", ">=", 9), ("eighth", ">", 500.5), ("lang", "==", "en"), ("long", "==", True), ("digits", ">=", 9))}
+    below = {"operator": "AND", "conditions": [at["n_chars"], {"field": "n_chars", "operator": "<", "value": 400}, {"field": "lang", "operator": "in", "value": ["de", "en", 5]}]}
+    wide = {"operator": "AND", "conditions": [at["eighth"], at["long"], {"operator": "NOT", "conditions": [at["lang"]]}]}
+    tree = {"operator": "OR", "conditions": [below, wide, at["digits"]]}
+    return rows.where(typed.where_typed(tree, {"n_chars": "long"})).select("doc_id", F.col("meta_n_chars").alias("n_chars"))
+
+
 def code_docstrings(spark: SparkSession, sf: str) -> DataFrame:
     """Documentation of entities, and of snippets as such; a source that does not parse has its error."""
-    parsed = code_parse.parse(_sources(spark))
+    parsed = code_parse.parse(_sources(spark, sf))
     own = parsed.select("path", F.explode("entities").alias("e")).where("e.docstring is not null").select("path", F.col("e.name").alias("name"), F.col("e.docstring").alias("doc"))
     failed = parsed.where(F.col("error").isNotNull()).select("path", F.lit(None).cast("string").alias("name"), F.substring_index("error", ":", 1).alias("doc"))
-    snippets = spark.createDataFrame([(f"snippet.{lang}", lang, code_parse.snippet_docstring(body, lang)) for lang, body in fixtures.SNIPPETS], "path string, name string, doc string")
+    number = F.col("doc_id").cast("string")
+    each = F.array(*(F.struct(F.concat(F.lit("snippet_"), number, F.lit(f".{lang}")).alias("path"), F.lit(lang).alias("name"), F.replace(F.lit(body), F.lit("@"), number).alias("content")) for lang, body in fixtures.SNIPPETS))
+    snippets = code_parse.snippet_docs(_table(spark, sf, "documents").select(F.inline(each)), language="name").drop("content")
     return own.unionByName(failed).unionByName(snippets)
 
 
@@ -577,21 +622,30 @@ def crawl_reports(spark: SparkSession, sf: str) -> DataFrame:
     return told.withColumn("state", F.lit(after.count()))
 
 
-def _sources(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(fixtures.SOURCES, "path string, language string, content string")
+def _sources(spark: SparkSession, sf: str) -> DataFrame:
+    """The sample sources once for each document, which stands above them as a comment."""
+    text, number = F.replace(F.coalesce("text", F.lit("")), F.lit("\r"), F.lit(" ")), F.col("doc_id").cast("string")
+
+    def one(path: str, language: str, body: str) -> Column:
+        stem, _, ending = path.rpartition(".")
+        mark = F.lit("# " if language == "python" else "// ")
+        above = F.concat(mark, F.replace(text, F.lit("\n"), F.concat(F.lit("\n"), mark)), F.lit("\n" + body))
+        return F.struct(F.concat(F.lit(f"{stem}_"), number, F.lit(f".{ending}")).alias("path"), F.lit(language).alias("language"), above.alias("content"))
+
+    return _texts(spark, sf).select(F.inline(F.array(*(one(*source) for source in fixtures.SOURCES))))
 
 
 def code_entities(spark: SparkSession, sf: str) -> DataFrame:
-    rows = code_parse.entities(_sources(spark))
+    rows = code_parse.entities(_sources(spark, sf))
     return _long(rows.select("path", "entity_no", "name", "entity_type", "start_line", "end_line", "signature", F.array_join("parameters", ",").alias("parameters"), F.array_join("methods", ",").alias("methods")), "entity_no", "start_line", "end_line")
 
 
 def code_imports(spark: SparkSession, sf: str) -> DataFrame:
-    return code_parse.imports(_sources(spark)).select("path", F.explode("imports").alias("statement"))
+    return code_parse.imports(_sources(spark, sf)).select("path", F.explode("imports").alias("statement"))
 
 
 def entity_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return _long(code_parse.entity_documents(code_parse.entities(_sources(spark))), "start_line", "end_line")
+    return _long(code_parse.entity_documents(code_parse.entities(_sources(spark, sf))), "start_line", "end_line")
 
 
 def string_functions(spark: SparkSession, sf: str) -> DataFrame:
@@ -616,7 +670,7 @@ _NAMES = (
     "code_python_chunks lang_detect repo_stats vector_topk vector_topk_batch vector_topk_cosine score_from_distance threshold_after_topk similarity_matrix similarity_01 embedding_stats "
     "embedding_normalize embedding_preview embed_documents filter_eq_in filter_op_tree filter_post jaccard_pairs diversity_rescore retrieval_envelope retrieval_display context_build "
     "sources_format prompt_build answer_extractive chat_format turn_offsets token_estimate request_validation page_meta page_links page_min_content html_markdown url_allow crawl_diff state_upsert "
-    "bfs_frontier index_upsert_overwrite index_upsert_skip index_stats index_merge_on_read index_compacted refresh_index cell_topk incremental_scan stream_index code_entities code_imports code_docstrings entity_documents markdown_files chunk_records tree_documents tree_lookup links_by_source embed_errors retrieve_errors page_custom crawl_reports string_functions"
+    "bfs_frontier index_upsert_overwrite index_upsert_skip index_stats index_merge_on_read index_compacted refresh_index cell_topk incremental_scan stream_index code_entities code_imports code_docstrings entity_documents markdown_files chunk_records tree_documents tree_lookup tree_batch tree_stream filter_typed links_by_source embed_errors retrieve_errors page_custom crawl_reports string_functions"
 ).split()
 
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +11,7 @@ from pyspark.sql import functions as F
 from loomwright.functions import text as T
 from loomwright.functions.udf import arrow_function
 from loomwright.schemas import DOCUMENTS, META
+from loomwright.sources.stores import write_files
 
 #: Languages of the code-tree source by extension.
 TREE_EXTENSIONS = {
@@ -38,6 +37,15 @@ def yaml_map(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield series.map(one)
 
 
+@arrow_function("string")
+def yaml_text(metas: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Maps as YAML, sorted by key; a null map is an empty one."""
+    import yaml
+
+    for series in metas:
+        yield series.map(lambda m: yaml.safe_dump(dict(m) if m is not None else {}, allow_unicode=True, sort_keys=True))
+
+
 def parse_frontmatter(files: DataFrame, value: str = "value") -> DataFrame:
     """files with `metadata` and `content`; rows without leading `---`, a second one, or a YAML mapping between are dropped.
 
@@ -109,10 +117,11 @@ def code_tree(spark: SparkSession, root: str, languages: list[str] | None = None
         kept = kept.where(~F.col("path").rlike(T.path_pattern(glob)))
     if since:
         kept = kept.where(F.col("modificationTime") > F.lit(since).cast("timestamp"))
-    base = Path(root.removeprefix("file:")).as_posix().rstrip("/")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    base = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/") + "/"
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(_latin("content"))
     shaped = kept.select(
-        F.regexp_replace("path", f"^(file:)?/*{base.lstrip('/')}/", "").alias("source_id"), "path",
+        F.when(F.col("path").startswith(base), F.substr("path", F.lit(len(base) + 1))).otherwise(F.col("path")).alias("source_id"), "path",
         F.try_element_at(F.create_map(*(x for e, lang in wanted.items() for x in (F.lit(e), F.lit(lang)))), extension).alias("language"),
         extension.alias("extension"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), text.alias("content"),
     )
@@ -136,18 +145,7 @@ def tree_stats(files: DataFrame, language: str = "language", size: str = "size")
 def write_markdown(pages: DataFrame, folder: str) -> int:
     """Write (url, metadata, markdown) rows as md5(url).md files with frontmatter, from the executors; returns how many.
 
-    `folder` has to be one that all executors share.
+    `folder` has to be one that all executors share: a local path, or a URI of a store that pyarrow reaches.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import yaml
-
-        for rows in batches:
-            for row in rows.itertuples(index=False):
-                target = Path(folder) / f"{hashlib.md5(row.url.encode()).hexdigest()}.md"
-                target.parent.mkdir(parents=True, exist_ok=True)
-                front = yaml.safe_dump(dict(row.metadata), allow_unicode=True, sort_keys=True)
-                target.write_text(f"---\n{front}---\n\n{row.markdown}", encoding="utf-8")
-            yield pd.DataFrame({"n": [len(rows)]})
-
-    return pages.select("url", "metadata", "markdown").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    front = yaml_text(F.col("metadata"))
+    return write_files(pages.select(F.concat(F.md5("url"), F.lit(".md")).alias("path"), F.concat(F.lit("---\n"), front, F.lit("---\n\n"), F.col("markdown")).alias("content")), folder)
