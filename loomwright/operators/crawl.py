@@ -111,33 +111,81 @@ def crawl(pages: DataFrame, state: DataFrame, now: Column, least_length: int = 1
     long_enough = parsed.where(F.length(T.strip(F.coalesce("markdown", F.lit("")))) >= least_length)
     hashed = long_enough.withColumn("content_hash", content_hash(F.col("markdown"), algorithm))
     stored = due(hashed, state, now, days, enabled).where("reason <> 'unchanged'")
-    fresh = stored.select("url", "content_hash", now.cast("timestamp").alias("last_crawled"), F.concat(F.md5("url"), F.lit(".md")).alias("output_file"), F.map_filter(F.map_concat(F.col("metas"), F.create_map(F.lit("crawl_domain"), F.col("domain"))), lambda k, v: v.isNotNull()).alias("metadata"))
-    return stored, upsert_state(state, fresh), links
+    return stored, upsert_state(state, _state_of(stored, now)), links
 
 
-def crawl_sources(pages: DataFrame, sources: DataFrame, state: DataFrame, now: Column, keep: Callable[[DataFrame, str], DataFrame], **how) -> tuple[DataFrame, DataFrame, list[dict]]:
+def _state_of(stored: DataFrame, now: Column) -> DataFrame:
+    """The state rows of pages that are stored now."""
+    metadata = F.map_filter(F.map_concat(F.col("metas"), F.create_map(F.lit("crawl_domain"), F.col("domain"))), lambda k, v: v.isNotNull())
+    return stored.select("url", "content_hash", now.cast("timestamp").alias("last_crawled"), F.concat(F.md5("url"), F.lit(".md")).alias("output_file"), metadata.alias("metadata"))
+
+
+#: Sources whose frontiers share a bit set; more are followed in several groups.
+BITS = 62
+
+
+def reachable_by(links: DataFrame, starts: DataFrame, depths: list[int], keep: Callable[[DataFrame, str], DataFrame], tag: str = "") -> DataFrame:
+    """(url, bits) of what each source reaches, bit k for source k: `starts` (url, bits) over links (url, target, fits), whose fits are the sources that allow them.
+
+    Breadth first, and a level is one join for all sources, each as deep as `depths` says.
+    """
+    hop = links.groupBy("url", "target").agg(F.bit_or("fits").alias("fits"))
+    seen = frontier = starts.groupBy("url").agg(F.bit_or("bits").alias("bits"))
+    for level in range(1, max(depths, default=0) + 1):
+        going = F.lit(sum(1 << k for k, depth in enumerate(depths) if depth >= level)).cast("long")
+        step = frontier.join(hop, "url").select(F.col("target").alias("url"), F.col("bits").bitwiseAND(F.col("fits")).bitwiseAND(going).alias("bits")).where("bits <> 0").groupBy("url").agg(F.bit_or("bits").alias("bits"))
+        fresh = step.join(seen.select("url", F.col("bits").alias("had")), "url", "left").select("url", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0).cast("long")))).alias("bits"))
+        frontier = keep(fresh.where("bits <> 0"), f"{tag}level{level}")
+        if frontier.isEmpty():
+            break
+        seen = keep(seen.unionByName(frontier).groupBy("url").agg(F.bit_or("bits").alias("bits")), f"{tag}seen{level}")
+    return seen
+
+
+def crawl_sources(pages: DataFrame, sources: DataFrame, state: DataFrame, now: Column, keep: Callable[[DataFrame, str], DataFrame], least_length: int = 100, days: int = 7, enabled: bool = True, selectors: dict[str, str] | None = None, removed: tuple[str, ...] = html.REMOVED, algorithm: str = "sha256") -> tuple[DataFrame, DataFrame, list[dict]]:
     """(pages stored, with the source that reached them; state afterwards; a report a source) of a crawl of all sources over fetched pages.
 
-    A source takes the pages that its start URL reaches in max_depth steps over the links it allows.  `keep` writes a table under a
-    name and reads it back; a source that fails is reported with its error and leaves the others and the state as they are.
+    A source takes the pages that its start URL reaches in max_depth steps over the links it allows.  Every page is parsed once, all sources
+    go a level in one join, and the pages due are found in one join with the state; a page that several sources reach is
+    stored by the first, for which it is new, unless all pages are forced.  `keep` writes a table under a name and reads it back; a source
+    that fails is reported with its error and leaves its pages to the others.
     """
-    spark, stored, report = pages.sparkSession, None, []
-    for number, source in enumerate(sources.collect()):  # configuration: a row a source
-        try:
-            fits = allowed(F.col("target"), source["allowed_domains"] or [], source["url_patterns"] or [], source["exclude_patterns"] or [])
-            mine, after, links = crawl(pages, state, now, **how)
-            start = spark.createDataFrame([(source["start_url"],)], "url string")
-            reached = reachable(keep(links.where(fits), f"links{number}"), start, 3 if source["max_depth"] is None else source["max_depth"])
-            here = keep(pages.join(reached.select("url"), "url", "left_semi").select(*pages.columns), f"pages{number}")
-            mine, after, _ = crawl(here, state, now, **how)
-            one = keep(mine.withColumn("source", F.lit(source["name"])), f"stored{number}")
-            state = keep(after, f"state{number}")
-            stored = one if stored is None else stored.unionByName(one)
-            report.append({"source": source["name"], "pages": here.count(), "stored": one.count(), "error": None})
-        except Exception as e:  # noqa: BLE001  one source's failure is its own
-            report.append({"source": source["name"], "pages": 0, "stored": 0, "error": f"{type(e).__name__}: {e}"})
-    empty = crawl(pages.limit(0), state, now, **how)[0].withColumn("source", F.lit(""))
-    return empty if stored is None else stored, state, report
+    spark, rows = pages.sparkSession, sources.collect()  # configuration: a row a source
+    parsed = keep(page_metadata(pages, now=now, selectors=selectors, removed=removed), "parsed")
+    links = parsed.select("url", F.explode("links").alias("target"))
+    long_enough = parsed.where(F.length(T.strip(F.coalesce("markdown", F.lit("")))) >= least_length)
+    hashed = due(long_enough.withColumn("content_hash", content_hash(F.col("markdown"), algorithm)), state, now, days, enabled)
+    stored, report, fresh = None, [], None
+    for first in range(0, len(rows), BITS):
+        group = rows[first : first + BITS]
+        tag = f"{first}-" if first else ""
+        fits = sum((F.when(allowed(F.col("target"), r["allowed_domains"] or [], r["url_patterns"] or [], r["exclude_patterns"] or []), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")) for k, r in enumerate(group)), F.lit(0).cast("long"))
+        starts = spark.createDataFrame([(r["start_url"], 1 << k) for k, r in enumerate(group)], "url string, bits long").where("url IS NOT NULL")
+        reached = reachable_by(links.withColumn("fits", fits).where("fits <> 0"), starts, [3 if r["max_depth"] is None else r["max_depth"] for r in group], keep, tag)
+        bits = "reached_by"
+        while bits in parsed.columns:
+            bits += "_"
+        found = reached.select("url", F.col("bits").alias(bits))
+        bit = [F.col(bits).bitwiseAND(F.lit(1 << k).cast("long")) != 0 for k in range(len(group))]
+        n_pages = parsed.join(found, "url").agg(*(F.count_if(b).alias(str(k)) for k, b in enumerate(bit))).first()
+        if fresh is not None and enabled:  # what earlier groups stored is known by now
+            hashed = hashed.join(fresh.select("url"), "url", "left_anti").select(*hashed.columns)
+        candidates = keep(hashed.join(found, "url").select(*hashed.columns, bits).where("reason <> 'unchanged'"), f"{tag}due")
+        done = 0
+        for k, source in enumerate(group):
+            try:
+                mine = candidates.where(bit[k])
+                if enabled:
+                    mine = mine.where(F.col(bits).bitwiseAND(F.lit(done).cast("long")) == 0)
+                one = keep(mine.drop(bits).withColumn("source", F.lit(source["name"])), f"stored{first + k}")
+                report.append({"source": source["name"], "pages": n_pages[k], "stored": one.count(), "error": None})
+                stored, done = one if stored is None else stored.unionByName(one), done | 1 << k
+            except Exception as e:  # noqa: BLE001  one source's failure is its own
+                report.append({"source": source["name"], "pages": 0, "stored": 0, "error": f"{type(e).__name__}: {e}"})
+        fresh = stored
+    if stored is None:
+        return hashed.limit(0).withColumn("source", F.lit("")), state, report
+    return stored, keep(upsert_state(state, _state_of(stored, now)), "state"), report
 
 
 def clear_state(spark: SparkSession, path: str) -> bool:

@@ -243,6 +243,7 @@ ORACLE: dict[str, str] = {
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM p)
         SELECT query_id, rank, vec_id, round(d, 6) AS distance, round(greatest(0.0, least(1.0, 1 - d / 2)), 6) AS score FROM r WHERE rank <= 5 AND greatest(0.0, least(1.0, 1 - d / 2)) >= 0.35""",
     "similarity_matrix": f"SELECT a.vec_id AS a, b.vec_id AS b, round({_cos('a.embedding', 'b.embedding')}, 6) AS cosine FROM embeddings a, embeddings b",
+    "similar_pairs": f"SELECT a, b, round(cosine, 6) AS cosine FROM (SELECT a.vec_id AS a, b.vec_id AS b, {_cos('a.embedding', 'b.embedding')} AS cosine FROM embeddings a, embeddings b) WHERE cosine >= 0.35",
     "similarity_01": f"""
         WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, {_cos("e.embedding", "q.embedding")} AS c FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS rank FROM p) SELECT query_id, vec_id, round((c + 1) / 2, 6) AS similarity FROM r WHERE rank <= 10""",

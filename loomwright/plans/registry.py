@@ -204,6 +204,11 @@ def similarity_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return _six(embed.similarity_matrix(_table(spark, sf, "embeddings")), "cosine")
 
 
+def similar_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """The pairs of at least that similarity, from tasks of a block by a block."""
+    return _six(embed.similarity_matrix(_table(spark, sf, "embeddings"), block=256, least=0.35), "cosine")
+
+
 def similarity_01(spark: SparkSession, sf: str) -> DataFrame:
     hits = retrieve.nearest(_table(spark, sf, "embeddings"), _queries(spark, sf), 10, metric="cosine", key="vec_id")
     return _six(hits.join(_table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id").join(_queries(spark, sf), "query_id").select("query_id", "vec_id", T.similarity01(F.col("embedding"), F.col("query_embedding")).alias("similarity")), "similarity")
@@ -611,7 +616,7 @@ def crawl_reports(spark: SparkSession, sf: str) -> DataFrame:
     root = f"{scratch_root(spark)}/crawl-{uuid.uuid4().hex}"
 
     def keep(df: DataFrame, name: str) -> DataFrame:
-        if name == "links1":
+        if name == "stored1":
             raise ConnectionError("unreachable")
         df.write.parquet(f"{root}/{name}")
         return spark.read.parquet(f"{root}/{name}")
@@ -667,7 +672,7 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 
 _NAMES = (
     "md_sections md_chunks md_blocks md_pack_multi chunk_fallback chunk_ids chunk_estimate chunk_samples chunk_stats doc_stats merge_small code_lines_chunks code_fence_chunks code_script_chunks "
-    "code_python_chunks lang_detect repo_stats vector_topk vector_topk_batch vector_topk_cosine score_from_distance threshold_after_topk similarity_matrix similarity_01 embedding_stats "
+    "code_python_chunks lang_detect repo_stats vector_topk vector_topk_batch vector_topk_cosine score_from_distance threshold_after_topk similarity_matrix similar_pairs similarity_01 embedding_stats "
     "embedding_normalize embedding_preview embed_documents filter_eq_in filter_op_tree filter_post jaccard_pairs diversity_rescore retrieval_envelope retrieval_display context_build "
     "sources_format prompt_build answer_extractive chat_format turn_offsets token_estimate request_validation page_meta page_links page_min_content html_markdown url_allow crawl_diff state_upsert "
     "bfs_frontier index_upsert_overwrite index_upsert_skip index_stats index_merge_on_read index_compacted refresh_index cell_topk incremental_scan stream_index code_entities code_imports code_docstrings entity_documents markdown_files chunk_records tree_documents tree_lookup tree_batch tree_stream filter_typed links_by_source embed_errors retrieve_errors page_custom crawl_reports string_functions"

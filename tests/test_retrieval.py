@@ -157,3 +157,21 @@ def test_provider_with_dimensions_of_its_own(spark):
     assert got.shape == (4, 3) and got[1].sum() == 0 and np.isclose(np.linalg.norm(got[3]), 1)
     rows = spark.createDataFrame([(2, "b"), (1, "a"), (3, "c")], "n long, content string")
     assert [r.n for r in embed.embed_sample(rows, ["n"], 2).orderBy("n").collect()] == [1, 2]
+
+
+def test_similarity_by_blocks(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(90, 5))
+    x[7] = 0
+    rows = [(int(i), v.tolist()) for i, v in enumerate(x)] + [(90, None), (91, [1.0, None, 0.0, 0.0, 0.0]), (92, [float("nan")] * 5)]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<double>")
+    norms = np.linalg.norm(x, axis=1)
+    want = {(a, b): None if 7 in (a, b) else x[a] @ x[b] / (norms[a] * norms[b]) for a in range(90) for b in range(90)}
+    for block in (1024, 20):
+        got = {(r.a, r.b): r.cosine for r in embed.similarity_matrix(df, block=block).collect()}
+        assert got.keys() == want.keys() and all((got[k] is None) == (v is None) and (v is None or abs(got[k] - v) < 1e-9) for k, v in want.items())
+        near = {(r.a, r.b) for r in embed.similarity_matrix(df, block=block, least=0.6).collect()}
+        assert near == {k for k, v in want.items() if v is not None and v >= 0.6}
+    assert embed.similarity_matrix(df.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="differ"):
+        embed.similarity_matrix(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "vec_id int, embedding array<double>"))
