@@ -24,6 +24,8 @@ from loomwright.schemas import HOT_KEYS, RetrievalSettings
 QUERY_BLOCK = 4096
 #: Bound of a product's rounding error for each dimension, relative to the squared norms, and rows whose distances are computed again at once.
 ROUNDING, EXACT = 4e-16, 1 << 14
+#: Products of a query and a row that are held at once.
+CELLS = 1 << 20
 #: Hits that are broadcast to meet their rows.
 HITS = 1 << 20
 
@@ -84,8 +86,21 @@ def best_of(q: np.ndarray, x: np.ndarray, keys: pa.Array, k: int, metric: str =
     """(query, row, distance) of each query's k best rows, ties by key.
 
     A matrix product and the bounds of its rounding errors tell which rows may be among them; their distances are computed again from the differences.
+    Queries are taken CELLS products at a time, so memory does not grow with their number.
     """
-    qq, xx, product = (q * q).sum(1), (x * x).sum(1), q @ x.T
+    place = np.empty(len(x), np.int64)
+    place[pc.sort_indices(keys, null_placement="at_start").to_numpy()] = np.arange(len(x))
+    xx, some = (x * x).sum(1), max(1, CELLS // max(1, len(x)))
+    found = []
+    for at in range(0, max(1, len(q)), some):
+        row, col, exact = _best_of_some(q[at : at + some], x, xx, place, k, metric)
+        found.append((row + at, col, exact))
+    return tuple(np.concatenate(each) for each in zip(*found))
+
+
+def _best_of_some(q: np.ndarray, x: np.ndarray, xx: np.ndarray, place: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`best_of` for queries whose products are held at once; xx are the rows' squares, place their order by key."""
+    qq, product = (q * q).sum(1), q @ x.T
     if metric == "cosine":
         lengths = np.sqrt(qq)[:, None] * np.sqrt(xx)[None, :]
         d = 1 - np.divide(product, lengths, out=np.zeros_like(product), where=lengths > 0)
@@ -97,8 +112,6 @@ def best_of(q: np.ndarray, x: np.ndarray, keys: pa.Array, k: int, metric: str =
     edge = np.partition(d + error, n - 1, axis=1)[:, n - 1 : n]
     row, col = np.nonzero(d - error <= edge)
     exact = np.concatenate([((q[row[at : at + EXACT]] - x[col[at : at + EXACT]]) ** 2).sum(1) for at in range(0, len(row), EXACT)] or [d[row, col]]) if metric == "l2sq" else d[row, col]
-    place = np.empty(len(x), np.int64)
-    place[pc.sort_indices(keys, null_placement="at_start").to_numpy()] = np.arange(len(x))
     order = np.lexsort((place[col], exact, row))
     row, col, exact = row[order], col[order], exact[order]
     best = np.arange(len(row)) - np.searchsorted(row, row) < k

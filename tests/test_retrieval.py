@@ -25,6 +25,24 @@ def test_queries_in_blocks_agree(spark):
     assert whole == parts and len(whole) == 1500
 
 
+def test_memory_of_many_queries_is_bounded():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    q, x = rng.normal(size=(3000, 8)), rng.normal(size=(4000, 8))
+    for metric in ("l2sq", "cosine"):
+        tracemalloc.start()
+        row, col, exact = retrieve.best_of(q, x, pa.array(np.arange(4000)), 5, metric)
+        assert tracemalloc.get_traced_memory()[1] < 100 << 20  # all products at once are 96 MB, and several such tables were held
+        tracemalloc.stop()
+        unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+        d = ((q[:50, None] - x[None]) ** 2).sum(2) if metric == "l2sq" else 1 - unit(q[:50]) @ unit(x).T
+        assert (row == np.repeat(np.arange(3000), 5)).all() and (col[:250].reshape(50, 5) == np.argsort(d, axis=1)[:, :5]).all()
+    assert [len(a) for a in retrieve.best_of(q[:0], x, pa.array(np.arange(4000)), 5)] == [0, 0, 0]
+
+
 def test_empty_index_and_null_vectors(spark):
     rows = spark.createDataFrame([(1, None), (2, [1.0, 0.0])], "id long, embedding array<float>")
     asked = spark.createDataFrame([(7, [0.0, 1.0]), (8, None)], "query_id long, query_embedding array<float>")
