@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -177,6 +179,26 @@ def test_provider_with_dimensions_of_its_own(spark):
     assert [r.n for r in embed.embed_sample(rows, ["n"], 2).orderBy("n").collect()] == [1, 2]
 
 
+def test_words_never_cancel():
+    from loomwright.schemas import EmbeddingSettings
+
+    model = embed.HashedWords(EmbeddingSettings(dimensions=2))
+    words = [f"w{i}" for i in range(20)]
+    pairs = [f"{a} {b}" for a in words for b in words if a < b]  # in 2 dimensions many share a cell with opposite signs
+    assert (np.abs(model.encode(pairs)).sum(1) > 0).all() and not model.encode([""]).any()
+
+
+def test_rows_are_shuffled_once_a_strip(spark):
+    rows = spark.range(4000).select(F.col("id").alias("vec_id"), F.array(*(F.sin(F.col("id") * k) for k in (1, 2, 3))).alias("embedding"))
+    pairs = embed.similarity_matrix(rows, block=16, least=0.999)
+    x = np.sin(np.arange(4000)[:, None] * np.array([1, 2, 3]))
+    x = x[1:] / np.linalg.norm(x[1:], axis=1, keepdims=True)
+    assert pairs.count() == ((x @ x.T) >= 0.999).sum()
+    dealt = pairs._jdf.queryExecution().analyzed().toString()
+    strips = int(re.search(r"sequence\(0, (\d+)", dealt)[1]) + 1
+    assert strips < 10  # 250 blocks of 16 rows, each of which every row was copied for
+
+
 def test_similarity_by_blocks(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(90, 5))
