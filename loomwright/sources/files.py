@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomwright.functions import text as T
 from loomwright.functions.udf import arrow_function
 from loomwright.schemas import DOCUMENTS, META
+from loomwright.sources import walk
 from loomwright.sources.stores import write_files
 
 #: Languages of the code-tree source by extension.
@@ -68,7 +69,12 @@ def markdown_directory(spark: SparkSession, path: str, recursive: bool = False)
 
 def tsx_directory(spark: SparkSession, path: str, domain: str = "components", framework: str = "React") -> DataFrame:
     """(path, metadata, content) of .tsx files with made-up metadata named after the file, and the given domain and framework."""
-    files = spark.read.option("pathGlobFilter", "*.tsx").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    if walk.reached(path):
+        listed = walk.walk(spark, path, recursive=False).where(F.col("source_id").endswith(".tsx"))
+        base = _qualified(spark, path).replace("file:/", "file:///", 1)
+        files = walk.contents(listed, path).select(F.concat(F.lit(base), "source_id").alias("path"), F.col("content").cast("string").alias("content"))
+    else:
+        files = spark.read.option("pathGlobFilter", "*.tsx").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     stem = F.regexp_extract("path", r"([^/]+)\.tsx$", 1)
     said = {"title": stem, "component": stem, "category": F.lit("Implementation"), "framework": F.lit(framework), "file_type": F.lit("tsx"), "domain": F.lit(domain)}
     return files.select("path", F.create_map(*(x for k, v in said.items() for x in (F.lit(k), v))).alias("metadata"), "content")
@@ -99,32 +105,48 @@ def _latin(raw: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield series.map(lambda b: None if b is None else bytes(b).decode("latin-1"))
 
 
-def code_tree(spark: SparkSession, root: str, languages: list[str] | None = None, exclude: list[str] | None = None, since: str | None = None) -> DataFrame:
-    """(source_id, path, language, extension, size, modified, content) of a tree's source files.
+def _qualified(spark: SparkSession, root: str) -> str:
+    """The folder as Spark names it, with a slash at its end."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/") + "/"
 
-    A file is taken when no exclude glob matches its path from the right and its extension
-    belongs to a wanted language.  `since` leaves files that were modified after it, strictly,
-    and prunes the listing.  Bytes that are not UTF-8 are read as Latin-1; empty files are left out.
+
+def tree_listing(spark: SparkSession, root: str, languages: list[str] | None = None, exclude: list[str] | None = None, since: str | None = None) -> DataFrame:
+    """(source_id, path, language, extension, size, modified) of the files that `code_tree` reads, none of which is opened.
+
+    Tasks list the folders.  A root that they cannot walk by name is listed by Spark on the driver, with `content` beside.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if since:
-        reader = reader.option("modifiedAfter", since)
-    files = reader.load(root)
+    base = _qualified(spark, root)
+    if walk.reached(root):
+        files = walk.walk(spark, root).withColumn("path", F.concat(F.lit(base), "source_id"))
+    else:
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        found = (reader.option("modifiedAfter", since) if since else reader).load(root)
+        name = F.when(F.col("path").startswith(base), F.substr("path", F.lit(len(base) + 1))).otherwise(F.col("path"))
+        files = found.select(name.alias("source_id"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "path", "content")
     wanted = {e: lang for e, lang in TREE_EXTENSIONS.items() if not languages or lang in languages}
     extension = F.regexp_extract("path", r"(\.[^./]+)$", 1)
-    kept = files.where(extension.isin(list(wanted)))
+    kept = files.where(extension.isin(list(wanted)) & (F.col("size") > 0))
     for glob in exclude or []:
         kept = kept.where(~F.col("path").rlike(T.path_pattern(glob)))
     if since:
-        kept = kept.where(F.col("modificationTime") > F.lit(since).cast("timestamp"))
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    base = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/") + "/"
+        kept = kept.where(F.col("modified") > F.lit(since).cast("timestamp"))
+    language = F.try_element_at(F.create_map(*(x for e, lang in wanted.items() for x in (F.lit(e), F.lit(lang)))), extension)
+    return kept.select("source_id", "path", language.alias("language"), extension.alias("extension"), "size", "modified", *(c for c in files.columns if c == "content"))
+
+
+def code_tree(spark: SparkSession, root: str, languages: list[str] | None = None, exclude: list[str] | None = None, since: str | None = None, source_id: str | None = None) -> DataFrame:
+    """(source_id, path, language, extension, size, modified, content) of a tree's source files, or of the one with that id.
+
+    A file is taken when no exclude glob matches its path from the right and its extension
+    belongs to a wanted language.  `since` leaves files that were modified after it, strictly,
+    and prunes the listing.  Bytes that are not UTF-8 are read as Latin-1; empty files are left out.
+    """
+    listed = tree_listing(spark, root, languages, exclude, since)
+    listed = listed if source_id is None else listed.where(F.col("source_id") == source_id)
+    read = listed if "content" in listed.columns else walk.contents(listed, root)
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(_latin("content"))
-    shaped = kept.select(
-        F.when(F.col("path").startswith(base), F.substr("path", F.lit(len(base) + 1))).otherwise(F.col("path")).alias("source_id"), "path",
-        F.try_element_at(F.create_map(*(x for e, lang in wanted.items() for x in (F.lit(e), F.lit(lang)))), extension).alias("language"),
-        extension.alias("extension"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), text.alias("content"),
-    )
+    shaped = read.select("source_id", "path", "language", "extension", "size", "modified", text.alias("content"))
     return shaped.where(F.col("content") != "")
 
 

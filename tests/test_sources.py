@@ -32,6 +32,20 @@ def test_code_tree(spark, tmp_path):
     assert files.code_tree(spark, str(tmp_path), since="2200-01-01T00:00:00").count() == 0
 
 
+def test_trees_are_listed_by_tasks(spark, tmp_path):
+    for name in ("a.py", "deep/er/b.js", "deep/__init__.py", "deep/c.txt", "deep/empty.py", "x/B.tsx"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("" if "empty" in name else name)
+    for root in (str(tmp_path), f"file://{tmp_path}/"):
+        tree = files.code_tree(spark, root)
+        assert {r.source_id: r.content for r in tree.collect()} == {n: n for n in ("a.py", "deep/er/b.js", "deep/__init__.py", "x/B.tsx")}
+        assert tree.inputFiles() == [] and files.tree_listing(spark, root).inputFiles() == []  # no file index, which the driver would hold
+        assert files.tsx_directory(spark, f"{root.rstrip('/')}/x").inputFiles() == []
+        assert {r.path for r in tree.where("extension = '.tsx'").collect()} == {f"file:{tmp_path}/x/B.tsx"}
+    one = files.code_tree(spark, str(tmp_path / "a.py"))  # a file is no folder to walk: Spark's own listing
+    assert [r.content for r in one.collect()] == ["a.py"]
+
+
 def test_write_markdown(spark, tmp_path):
     pages = spark.createDataFrame([("https://a/b", {"title": "T"}, "# T")], "url string, metadata map<string,string>, markdown string")
     assert files.write_markdown(pages, str(tmp_path)) == 1
