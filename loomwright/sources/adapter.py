@@ -68,9 +68,20 @@ class CodeTree(Source):
     def documents(self, languages: list[str] | None = None, since: str | None = None) -> DataFrame:
         return files.file_documents(self.files(languages, since))
 
+    def ids(self, languages: list[str] | None = None, limit: int | None = None) -> DataFrame:
+        """Ids by the listing alone; no file is opened."""
+        found = files.tree_listing(self.spark, self.root, languages, self.exclude).select("source_id").orderBy("source_id")
+        return found.limit(limit) if limit else found
+
+    def fetch(self, source_id: str) -> DataFrame:
+        found = files.file_documents(files.code_tree(self.spark, self.root, exclude=self.exclude, source_id=source_id))
+        if found.isEmpty():
+            raise NotFound(source_id)
+        return found
+
     def entities(self, languages: list[str] | None = None) -> DataFrame:
         """The functions and classes of all files as documents; files that do not parse have none."""
         return code_parse.entity_documents(code_parse.entities(self.files(languages), path="source_id"))
 
     def stats(self) -> DataFrame:
-        return files.tree_stats(self.files())
+        return files.tree_stats(files.tree_listing(self.spark, self.root, exclude=self.exclude))
