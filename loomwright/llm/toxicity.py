@@ -70,7 +70,7 @@ def fit(documents: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: n
     """Proximal Adam on the weighted log likelihood of the labels of documents (buckets, buckets in each sentence).
 
     The L1 penalty keeps weights at 0 unless more than the penalty's worth of
-    pull is left unexplained by the others.  Takes about 12 bytes a feature.
+    pull is left unexplained by the others.  Takes about 12 bytes a feature, and the list of documents, which is empty afterwards.
     """
     in_documents = np.zeros(BUCKETS, np.int32)
     for buckets, _ in documents:
@@ -79,34 +79,40 @@ def fit(documents: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: n
     frequent = np.flatnonzero(in_documents >= LEAST_DOCS)
     number = np.full(BUCKETS, -1, np.int32)
     number[frequent] = np.arange(len(frequent))
-    parts, owners, sentences_of, done = [], [], [], 0
-    for buckets, lens in documents:
+    # By feature, so that a feature's sentences lie together: those of weight 0 add nothing, and a feature's pull is one sum.
+    # A feature and its sentence are one number, sorted in place; the documents are let go of as they are taken.
+    sizes = [len(lens) for _, lens in documents]
+    pairs, done, filled = np.empty(sum(len(buckets) for buckets, _ in documents), np.uint64), 0, 0
+    for at, (buckets, lens) in enumerate(documents):
+        documents[at] = None
         index = number[buckets]
         used = index >= 0
-        parts.append(index[used])
-        owners.append(np.repeat(np.arange(done, done + len(lens), dtype=np.int32), lens)[used])
-        sentences_of.append(len(lens))
-        done += len(lens)
-    index, owner, rows = np.concatenate(parts), np.concatenate(owners), np.repeat(np.arange(len(y)), sentences_of)
-    del parts, owners
-    # By feature, so that a feature's sentences lie together: those of weight 0 add nothing, and a feature's pull is one sum.
-    order = np.argsort(index, kind="stable")
-    many = np.bincount(index, minlength=len(frequent))
-    owner, starts = owner[order], np.concatenate([[0], np.cumsum(many)])
-    del index, order
+        owner = np.repeat(np.arange(done, done + len(lens), dtype=np.uint64), lens)[used]
+        pairs[filled : filled + len(owner)] = index[used].astype(np.uint64) << np.uint64(32) | owner
+        filled, done = filled + len(owner), done + len(lens)
+    pairs = pairs[:filled]
+    pairs.sort()
+    rows = np.repeat(np.arange(len(y)), sizes)
+    owner, many = np.empty(filled, np.int32), np.zeros(len(frequent), np.int64)
+    for at in range(0, filled, PIECE):
+        piece = pairs[at : at + PIECE]
+        owner[at : at + PIECE] = piece & np.uint64(0xFFFFFFFF)
+        many += np.bincount((piece >> np.uint64(32)).astype(np.int64), minlength=len(frequent))
+    del pairs
+    starts = np.concatenate([[0], np.cumsum(many)])
     cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, starts[-1], PIECE)), len(frequent)))
     pieces = [(low, high) for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist()) if starts[high] > starts[low]]
     w, b, total = np.zeros(len(frequent)), START, weight.sum()
     penalty = min(MOST, SHARE * (y == 1).sum())
     m, v = np.zeros(len(frequent) + 1), np.zeros(len(frequent) + 1)
     for step in range(1, ROUNDS + 1):
-        z = np.full(done, b)
-        used = np.flatnonzero(w)
-        if len(used):
+        z = np.zeros(done)
+        for low, high in pieces:
+            used = low + np.flatnonzero(w[low:high])
             lens = many[used]
             place = np.repeat(starts[used] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
-            z += np.bincount(owner[place], np.repeat(w[used], lens), minlength=done)
-        z = np.clip(z, -30, 30)
+            np.add.at(z, owner[place], np.repeat(w[used], lens))
+        z = np.clip(b + z, -30, 30)
         p = 1 / (1 + np.exp(-z))
         bag = np.clip(_bag(np.log1p(-np.minimum(p, 1 - 1e-12)), rows, len(y)), 1e-6, 1 - 1e-9)
         pull = (weight * np.where(y == 1, (1 - bag) / bag, -1.0))[rows] * p
@@ -120,6 +126,7 @@ def fit(documents: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: n
         move = m / (1 - 0.9**step) * scale
         moved = w + move[:-1]
         w, b = np.sign(moved) * np.maximum(np.abs(moved) - scale[:-1] * penalty / total, 0), b + move[-1]
+    documents.clear()
     weights = np.zeros(BUCKETS, np.float32)
     weights[frequent] = w
     return NoisyOr(weights, float(b))
@@ -140,13 +147,14 @@ def train(sample: DataFrame, sizes: dict[int, int]) -> NoisyOr:
                     names=["y", "buckets", "lens"],
                 )
 
-    rows = sample.select("text", F.col("y").cast("int")).mapInArrow(lean(run), "y int, buckets binary, lens binary").toPandas()
-    y = rows["y"].to_numpy(np.int64)
+    rows = sample.select("text", F.col("y").cast("int")).mapInArrow(lean(run), "y int, buckets binary, lens binary").toArrow()
+    y = rows["y"].to_numpy().astype(np.int64)
     if len(set(y.tolist())) < 2:
         return NoisyOr(np.zeros(BUCKETS, np.float32), START)
     taken = np.bincount(y, minlength=2)
     weight = np.array([sizes.get(0, 0) / taken[0], sizes.get(1, 0) / taken[1]])[y]
-    documents = [(np.frombuffer(b, "<i4"), np.frombuffer(n, "<i4")) for b, n in zip(rows["buckets"], rows["lens"])]
+    # Views of the columns, so nothing is held twice; a chunk goes with the last document in it.
+    documents = [(np.frombuffer(b.as_buffer(), "<i4"), np.frombuffer(n.as_buffer(), "<i4")) for b, n in zip(rows["buckets"], rows["lens"])]
     del rows
     return fit(documents, y, weight / weight.mean())
 
