@@ -71,13 +71,12 @@ class DeltaCollection(Collection):
     def _last(self, listed: dict, buckets: set[int] | None = None) -> DataFrame:
         """Of each id that a delta has the last row, gone or not."""
         read = lambda d: self.spark.read.schema(DELTA).parquet(*[f"{self.root}/{d['folder']}/bucket={b}" for b in d["buckets"] if buckets is None or b in buckets])
-        each = [read(d).withColumn("turn", F.lit(turn)) for turn, d in enumerate(listed["deltas"]) if buckets is None or buckets & set(d["buckets"])]
+        each = [read(d) for d in listed["deltas"] if buckets is None or buckets & set(d["buckets"])]
         if not each:
             return self.spark.createDataFrame([], DELTA)
-        if len(each) == 1:
-            return each[0].drop("turn")
-        rows = reduce(DataFrame.unionByName, each)
-        return rows.groupBy(F.col("id").alias("own_id")).agg(F.max_by(F.struct(*(c for c in rows.columns if c != "turn")), "turn").alias("row")).select("row.*")
+        # A delta has an id once, so its rows last unless a later one has their ids; the newest is not shuffled, and only columns that are read are.
+        later = [reduce(DataFrame.unionByName, (d.select("id") for d in each[turn + 1 :])) if each[turn + 1 :] else None for turn in range(len(each))]
+        return reduce(DataFrame.unionByName, (d if ids is None else d.join(ids, "id", "left_anti") for d, ids in zip(each, later)))
 
     def _merged(self, listed: dict, buckets: set[int] | None = None) -> DataFrame:
         touched = {b for d in listed["deltas"] for b in d["buckets"]}

@@ -42,9 +42,21 @@ def check_policy(policy: str) -> None:
 
 
 def one_a_key(incoming: DataFrame, key: str = "id") -> DataFrame:
-    """Of the rows of each key the one with the smallest columns; an aggregate, which needs no sort of a hot key."""
-    plain = [c for c, kind in incoming.dtypes if not kind.startswith("map")]
-    return incoming.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*incoming.columns), F.struct(*plain)).alias("_row")).select("_row.*")
+    """Of the rows of each key the one with the smallest columns, maps last; an aggregate, which needs no sort of a hot key.
+
+    A row is in the shuffle once, and the result stays dealt by its key.
+    """
+    kinds = dict(incoming.dtypes)
+    maps = [c for c, kind in kinds.items() if kind.startswith("map")]
+    plain = [c for c in kinds if c not in maps]
+    by_key = incoming.groupBy(F.col(key).alias("_key"))
+    if any(kinds[c].count("map<") > 1 or "variant" in kinds[c] for c in maps):  # their entries have no order
+        one = by_key.agg(F.min_by(F.struct(*incoming.columns), F.struct(*plain)).alias("_row"))
+        own = {c: F.col(f"_row.`{c}`") for c in kinds}
+    else:
+        one = by_key.agg(F.min(F.struct(*plain, *(F.array_sort(F.map_entries(c)).alias(c) for c in maps))).alias("_row"))
+        own = {c: F.map_from_entries(F.col(f"_row.`{c}`")) if c in maps else F.col(f"_row.`{c}`") for c in kinds}
+    return one.select(*((F.col("_key") if c == key else own[c]).alias(c) for c in incoming.columns))
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, policy: str = "overwrite", key: str = "id") -> DataFrame:

@@ -92,3 +92,17 @@ def test_reads_prune_and_push(spark, tmp_path):
     assert "EqualTo(domain,a)" in plan and "content" not in plan.split("ReadSchema")[1]
     own.delete(own.read().where(F.col("domain") == "a"))
     assert [r.content for r in own.read().collect()] == ["b"]
+
+
+def test_a_row_is_shuffled_once(spark, tmp_path):
+    body = "".join(chr(33 + (i * 7919 + i * i) % 90) for i in range(4000))
+    chunks = spark.range(200).select(F.concat(F.lit(body), F.col("id").cast("string")).alias("content"), F.array(F.lit(0.0).cast("float")).alias("embedding"), F.create_map(F.lit("k"), F.col("id").cast("string")).alias("metadata"))
+    rows = index.prepare(chunks.unionByName(chunks))
+    one = index.one_a_key(rows)
+    assert one.count() == 200 and one.dtypes == rows.dtypes and {r.meta["k"] for r in one.collect()} == {str(i) for i in range(200)}
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_by" not in plan  # which keeps a row and its order, the same columns twice
+    own = deltas.DeltaCollection(spark, f"file://{tmp_path}", "n", buckets=2)
+    own.write(rows)
+    own.write(rows)
+    assert "max_by" not in own.read().select("id")._jdf.queryExecution().optimizedPlan().toString() and own.read().count() == 200
