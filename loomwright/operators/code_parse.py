@@ -33,6 +33,8 @@ JS_CLASS = r"(export\s+)?(default\s+)?class\s+(\w+)(\s+extends\s+\w+)?"
 JS_ARROW = r"(export\s+)?(const|let|var)\s+(\w+)\s*=\s*(\(.*?\)|[\w]+)\s*=>"
 JS_IMPORT = r"import\s+.*?from\s+[\"'].*?[\"']"
 JS_REQUIRE = r"(const|let|var)\s+.*?=\s*require\([\"'].*?[\"']\)"
+#: Words of which each declaration has one, and those that may stand before it in this order, as its pattern has them.
+JS_WORDS = {JS_FUNCTION: (("function",), ("export", "async")), JS_CLASS: (("class",), ("export", "default")), JS_ARROW: (("const", "let", "var"), ("export",))}
 
 
 def _entity(**known) -> dict:
@@ -105,6 +107,29 @@ def _js_parameters(inside: str) -> list[str] | None:
     return [n for n in names if n] or None
 
 
+def _declared(pattern: str, source: str) -> Iterator[re.Match]:
+    """The matches of re.finditer, tried only where one of the pattern's words stands, with what may stand before it."""
+    words, leads = JS_WORDS[pattern]
+    whole, done = re.compile(pattern), 0
+    places = {w: at for w in words if (at := source.find(w)) >= 0}
+    while places:
+        word = min(places, key=places.get)
+        start = at = places[word]
+        if at >= done:
+            for lead in reversed(leads):
+                end = start
+                while end > done and source[end - 1].isspace():
+                    end -= 1
+                if end < start and end - len(lead) >= done and source.endswith(lead, done, end):
+                    start = end - len(lead)
+            if found := whole.match(source, start):
+                yield found
+                done = found.end()
+        places[word] = source.find(word, max(at + 1, done))
+        if places[word] < 0:
+            del places[word]
+
+
 def javascript_entities(source: str) -> list[dict]:
     """Function declarations, then classes, then arrow functions.  An end on the first line counts as none, so such entities are left out."""
     lines, out = source.split("\n"), []
@@ -114,13 +139,13 @@ def javascript_entities(source: str) -> list[dict]:
             start = source.count("\n", 0, m.start())
             out.append(_entity(name=m[3], entity_type=kind, content="\n".join(lines[start : end + 1]), docstring=_doc_above(lines, start), start_line=start + 1, end_line=end + 1, signature=signature, parameters=parameters))
 
-    for m in re.finditer(JS_FUNCTION, source):
+    for m in _declared(JS_FUNCTION, source):
         put(m, _closing_line(source, m.end()), "function", ("export " if m[1] else "") + ("async " if m[2] else "") + f"function {m[3]}({m[4]})", _js_parameters(m[4]))
-    for m in re.finditer(JS_CLASS, source):
+    for m in _declared(JS_CLASS, source):
         put(m, _closing_line(source, m.end()), "class", ("export " if m[1] else "") + ("default " if m[2] else "") + f"class {m[3]}{m[4] or ''}", None)
-    for m in re.finditer(JS_ARROW, source):
+    for m in _declared(JS_ARROW, source):
         inside = m[4].strip("()")
-        if source[m.end() :].lstrip().startswith("{"):
+        if re.compile(r"\s*\{").match(source, m.end()):
             end = _closing_line(source, m.end())
         else:
             stop = re.compile(r"[;\n]").search(source, m.end())
@@ -167,6 +192,10 @@ class ParserRegistry:
         name = language.lower()
         return self._parsers.get(name) or self._parsers.get(FAMILIES.get(name, name))
 
+    def parsed(self) -> list[str]:
+        """All names that `get` has a parser for, in lower case."""
+        return sorted({*self._parsers, *(n for n, family in FAMILIES.items() if family in self._parsers)})
+
     def languages(self) -> list[str]:
         return sorted({*self._parsers, "typescript"})
 
@@ -184,8 +213,16 @@ def language_of(path: Column, extensions: dict[str, str] = EXTENSIONS) -> Column
     return F.try_element_at(F.create_map(*pairs), F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1)))
 
 
+def _parsable(content: str, language: str, registry: ParserRegistry) -> Column:
+    """Sources that have a parser; null for others."""
+    return F.when(F.lower(language).isin(registry.parsed()), F.col(content))
+
+
 def parse(files: DataFrame, content: str = "content", language: str = "language", registry: ParserRegistry = DEFAULT) -> DataFrame:
-    """files with `entities` and `error`: a source that does not parse has an error, an unsupported language neither."""
+    """files with `entities` and `error`: a source that does not parse has an error, an unsupported language neither.
+
+    Sources without a parser stay out of Python, and the function counts as nondeterministic, else what is asked of its result parses anew.
+    """
 
     @F.pandas_udf(PARSED)
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -199,7 +236,7 @@ def parse(files: DataFrame, content: str = "content", language: str = "language"
                     found.append(([], f"ParseError: {e}"))
             yield pd.DataFrame(found, columns=["entities", "error"])
 
-    return files.withColumn("parsed", run(content, language)).select(*files.columns, "parsed.entities", "parsed.error")
+    return files.withColumn("parsed", run.asNondeterministic()(_parsable(content, language, registry), language)).select(*files.columns, "parsed.entities", "parsed.error")
 
 
 def imports(files: DataFrame, content: str = "content", language: str = "language", registry: ParserRegistry = DEFAULT) -> DataFrame:
@@ -210,7 +247,7 @@ def imports(files: DataFrame, content: str = "content", language: str = "languag
         for sources, languages in batches:
             yield pd.Series([(registry.get(n) or (None, lambda s: []))[1](s) if n and s is not None else [] for s, n in zip(sources, languages)], dtype=object)
 
-    return files.withColumn("imports", run(content, language))
+    return files.withColumn("imports", run.asNondeterministic()(_parsable(content, language, registry), language))
 
 
 def entities(files: DataFrame, path: str = "path", **how) -> DataFrame:

@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from loomwright.operators import code_chunks as K
@@ -53,3 +55,24 @@ def test_registry():
     registry.register("Toy", lambda s: [{"name": s}])
     assert registry.get("toy")[0]("x") == [{"name": "x"}] and registry.get("tsx") is registry.get("javascript") and registry.get("java") is None
     assert registry.supports_file("a/B.java") and not registry.supports_file("a.txt")
+
+
+def test_a_source_is_parsed_once(spark):
+    rows = spark.createDataFrame([("a.py", "python", "def f(): pass"), ("b.go", "go", "func f() {}"), ("c.py", "python", "def (")], "path string, language string, content string")
+    plan = P.entities(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert [(r.path, r.name) for r in P.entities(rows).collect()] == [("a.py", "f")]
+    plan = P.imports(rows).select("path", F.explode("imports").alias("i"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_sources_without_a_parser_stay_out_of_python(spark):
+    rows = spark.createDataFrame([("JavaScript",), ("tsx",), ("go",), (None,), ("python",)], "language string").withColumn("content", F.lit("x"))
+    assert [r[0] for r in rows.select(P._parsable("content", "language", P.DEFAULT)).collect()] == ["x", "x", None, None, "x"]
+
+
+def test_declarations_as_the_patterns_find_them():
+    text = "export  async function a(x) {}\nasync export function b() {}\nexportasync function c(y)\nfunction function d(z)\n// class of class\nexport\ndefault class E extends\nF {}\nletter let constant = 3; var g =\n(a, b) => 1; export const h = i => {}; var let = let => 2"
+    for pattern in (P.JS_FUNCTION, P.JS_CLASS, P.JS_ARROW):
+        want = [(m.span(), m.groups()) for m in re.finditer(pattern, text)]
+        assert want and [(m.span(), m.groups()) for m in P._declared(pattern, text)] == want
