@@ -76,3 +76,12 @@ def test_declarations_as_the_patterns_find_them():
     for pattern in (P.JS_FUNCTION, P.JS_CLASS, P.JS_ARROW):
         want = [(m.span(), m.groups()) for m in re.finditer(pattern, text)]
         assert want and [(m.span(), m.groups()) for m in P._declared(pattern, text)] == want
+
+
+def test_docstrings_take_one_parse(spark, tmp_path):
+    from loomwright.plans import registry
+
+    spark.createDataFrame([(0, "text")], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = registry.code_docstrings(spark, str(tmp_path))
+    assert rows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 2  # sources, snippets
+    assert rows.count() == 8
