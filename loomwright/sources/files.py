@@ -21,8 +21,11 @@ TREE_EXTENSIONS = {
     ".cpp": "cpp", ".hpp": "cpp", ".cc": "cpp", ".hh": "cpp", ".cs": "csharp",
 }
 
+#: ASCII characters that are quoted in the path of a URI, the quoting sign first.
+_UNSAFE = '% "<>\\^`{|}?#[]'
 
-@arrow_function(META)
+
+@arrow_function(META, once=True)
 def yaml_map(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """YAML mappings with values as text; anything else is null."""
     import yaml
@@ -59,12 +62,21 @@ def parse_frontmatter(files: DataFrame, value: str = "value") -> DataFrame:
 
 
 def markdown_directory(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """(path, metadata, content) of the .md files of a folder; a missing folder or file has none."""
+    """(path, metadata, content) of the .md files of a folder; a missing folder or file has none.
+
+    Tasks list the folder and read files many at a time, however many there are; one that they cannot walk by name is listed by Spark on the driver.
+    """
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
         return spark.createDataFrame([], DOCUMENTS)
-    files = spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", str(recursive).lower()).text(path, wholetext=True)
-    return parse_frontmatter(files.select(F.col("_metadata.file_path").alias("path"), "value"))
+    if walk.reached(path):
+        hidden = F.col("source_id").rlike(r"(^|/)(\.|_(?![^/]*=))")  # as Spark's own readers leave out
+        listed = walk.walk(spark, path, recursive).where(F.col("source_id").endswith(".md") & ~hidden)
+        files = walk.contents(listed, path).select(_uri(_qualified(spark, path), F.col("source_id")).alias("path"), F.col("content").cast("string").alias("value"))
+    else:
+        found = spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", str(recursive).lower()).text(path, wholetext=True)
+        files = found.select(F.col("_metadata.file_path").alias("path"), "value")
+    return parse_frontmatter(files)
 
 
 def tsx_directory(spark: SparkSession, path: str, domain: str = "components", framework: str = "React") -> DataFrame:
@@ -111,6 +123,14 @@ def _qualified(spark: SparkSession, root: str) -> str:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/") + "/"
 
 
+def _uri(base: str, name: Column) -> Column:
+    """A file below a folder as `_metadata.file_path` names it: the characters that a URI's path may not have are quoted."""
+    whole = F.concat(F.lit(base), name)
+    for c in _UNSAFE:
+        whole = F.replace(whole, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    return whole
+
+
 def tree_listing(spark: SparkSession, root: str, languages: list[str] | None = None, exclude: list[str] | None = None, since: str | None = None) -> DataFrame:
     """(source_id, path, language, extension, size, modified) of the files that `code_tree` reads, none of which is opened.
 

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from loomwright.plans import fixtures
 from loomwright.sources import files
@@ -76,3 +77,17 @@ def test_adapter(spark, tmp_path):
             tree.fetch("d.py")
     with pytest.raises(NotFound), CodeTree(spark, str(tmp_path / "none")):
         pass
+
+
+def test_markdown_folder_is_listed_and_read_by_tasks(spark, tmp_path):
+    names = ["a.md", "b c#1%.md", "d\u00e9.md", "e.txt", "_f.md", "_g=1.md", ".h.md", "sub/i.md", "_sub/j.md", "sub/[k]{l}.md", "empty.md"]
+    for name in names:
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("" if name == "empty.md" else f"---\ntitle: T{names.index(name)}\n---\n\ntext \u00e9 {name}\n")
+    for recursive in (False, True):
+        read = spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", str(recursive).lower()).text(f"file://{tmp_path}", wholetext=True)
+        want = files.parse_frontmatter(read.select(F.col("_metadata.file_path").alias("path"), "value")).orderBy("path").collect()
+        got = files.markdown_directory(spark, f"file://{tmp_path}", recursive)
+        assert len(want) == (6 if recursive else 4) and got.orderBy("path").collect() == want
+        assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1  # frontmatter is read once
+        assert got.inputFiles() == []  # Spark's reader lists names on the driver, and makes a task of some 32 files
