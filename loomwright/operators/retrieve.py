@@ -22,10 +22,10 @@ from loomwright.schemas import HOT_KEYS, RetrievalSettings
 
 #: Query vectors that one pass over the index carries; more queries take more passes.
 QUERY_BLOCK = 4096
-#: Bound of a product's rounding error for each dimension, relative to the squared norms, and rows whose distances are computed again at once.
-ROUNDING, EXACT = 4e-16, 1 << 14
-#: Products of a query and a row that are held at once.
-CELLS = 1 << 20
+#: Bound of a product's rounding error for each dimension, relative to the squared norms.
+ROUNDING = 4e-16
+#: Products of a query and a row that are held at once, and elements of the rows whose distances are computed again at once.
+CELLS = 1 << 18
 #: Hits that are broadcast to meet their rows.
 HITS = 1 << 20
 
@@ -85,7 +85,8 @@ def matrix(column: pa.Array) -> np.ndarray:
 def best_of(q: np.ndarray, x: np.ndarray, keys: pa.Array, k: int, metric: str = "l2sq") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, distance) of each query's k best rows, ties by key.
 
-    A matrix product and the bounds of its rounding errors tell which rows may be among them; their distances are computed again from the differences.
+    A matrix product and the bounds of its rounding errors tell which rows may be among them; their distances are computed again from the rows alone,
+    since a product's rounding depends on the shape of the batch, and copies of a vector have to tie wherever they are.
     Queries are taken CELLS products at a time, so memory does not grow with their number.
     """
     place = np.empty(len(x), np.int64)
@@ -107,17 +108,27 @@ def _best_of_some(q: np.ndarray, x: np.ndarray, xx: np.ndarray, place: np.ndarra
     else:
         d = qq[:, None] + xx[None, :] - 2 * product
     # The product's rounding error grows with the vectors' squares, not with their distance.
-    error = ROUNDING * x.shape[1] * (qq[:, None] + xx[None, :] if metric == "l2sq" else np.ones_like(d))
+    error = ROUNDING * (x.shape[1] + 2) * (qq[:, None] + xx[None, :] if metric == "l2sq" else 1)
     n = min(k, len(x))
     edge = np.partition(d + error, n - 1, axis=1)[:, n - 1 : n]
     row, col = np.nonzero(d - error <= edge)
-    exact = np.concatenate([((q[row[at : at + EXACT]] - x[col[at : at + EXACT]]) ** 2).sum(1) for at in range(0, len(row), EXACT)] or [d[row, col]]) if metric == "l2sq" else d[row, col]
+    some = max(1, CELLS // max(1, x.shape[1]))
+    parts = [(row[at : at + some], col[at : at + some]) for at in range(0, max(1, len(row)), some)]
+    exact = np.concatenate([_measured(q[r], x[c], qq[r], xx[c], metric) for r, c in parts])
     order = np.lexsort((place[col], exact, row))
     row, col, exact = row[order], col[order], exact[order]
     best = np.arange(len(row)) - np.searchsorted(row, row) < k
     return row[best], col[best], exact[best]
 
 
+def _measured(a: np.ndarray, b: np.ndarray, aa: np.ndarray, bb: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of a's rows to b's, whose squares are aa and bb; each follows from its two rows only."""
+    if metric == "l2sq":
+        return ((a - b) ** 2).sum(1)
+    lengths = np.sqrt(aa) * np.sqrt(bb)
+    return 1 - np.divide((a * b).sum(1), lengths, out=np.zeros(len(a)), where=lengths > 0)
+
+
 def query_matrix(rows: list) -> tuple[list, np.ndarray]:
     """Ids and vectors of collected queries; ValueError where vectors differ in dimensions or are no finite numbers."""
     sizes = {len(r[1]) for r in rows}

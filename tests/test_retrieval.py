@@ -45,6 +45,37 @@ def test_memory_of_many_queries_is_bounded():
     assert [len(a) for a in retrieve.best_of(q[:0], x, pa.array(np.arange(4000)), 5)] == [0, 0, 0]
 
 
+@pytest.mark.parametrize("dimensions, rows", [(64, 10000), (1536, 682)])
+def test_memory_of_copies_is_bounded(dimensions, rows):
+    """Copies of a vector tie, so all of a batch's rows are measured for each query."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    q, x = rng.normal(size=(500, dimensions)), np.repeat(rng.normal(size=(1, dimensions)), rows, 0)
+    for metric in ("l2sq", "cosine"):
+        tracemalloc.start()
+        row, col, _ = retrieve.best_of(q, x, pa.array(np.arange(rows)[::-1]), 5, metric)
+        assert tracemalloc.get_traced_memory()[1] < 48 << 20
+        tracemalloc.stop()
+        assert (row == np.repeat(np.arange(500), 5)).all() and (col == np.tile(rows - 1 - np.arange(5), 500)).all()
+
+
+@pytest.mark.parametrize("metric", ["l2sq", "cosine"])
+def test_copies_tie_by_key_across_batches(spark, metric):
+    """A copy alone in its batch has the distance of one among many, so the smaller key is first."""
+    rng = np.random.default_rng(5)
+    vectors = [[float(x) for x in v] for v in rng.normal(size=(700, 64))]
+    schema = "id long, embedding array<double>"
+    alone = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(vectors[:60])), 60), schema)
+    many = spark.createDataFrame(spark.sparkContext.parallelize([(1000 + i, v) for i, v in enumerate(vectors)], 1), schema)
+    asked = spark.createDataFrame([(i, [x + float(e) for x, e in zip(v, rng.normal(size=64) / 10)]) for i, v in enumerate(vectors[:60])], "query_id long, query_embedding array<double>")
+    hits = retrieve.nearest(alone.union(many), asked, 2, metric=metric).orderBy("query_id", "rank").collect()
+    assert [(h.query_id, h.id) for h in hits] == [(i, i + 1000 * r) for i in range(60) for r in (0, 1)]
+    assert all(a.distance == b.distance for a, b in zip(hits[::2], hits[1::2]))
+
+
 def test_empty_index_and_null_vectors(spark):
     rows = spark.createDataFrame([(1, None), (2, [1.0, 0.0])], "id long, embedding array<float>")
     asked = spark.createDataFrame([(7, [0.0, 1.0]), (8, None)], "query_id long, query_embedding array<float>")
