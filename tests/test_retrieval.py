@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -246,3 +247,20 @@ def test_similarity_by_blocks(spark):
     assert embed.similarity_matrix(df.limit(0)).count() == 0
     with pytest.raises(ValueError, match="differ"):
         embed.similarity_matrix(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "vec_id int, embedding array<double>"))
+
+
+def test_a_matrix_holds_a_number_for_two_orders(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1203, 64))
+    x[5], x[6] = 0, -x[8]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    embed.similarity_matrix(df, block=64, digits=6).write.parquet(str(tmp_path / "out"))
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 5.5 * len(x) ** 2  # 8 bytes a row if each order has its own
+    rows = pq.read_table(tmp_path / "out")
+    got = rows.to_pandas()
+    unit = x / np.where((norms := np.linalg.norm(x, axis=1, keepdims=True)) == 0, 1, norms)
+    matrix = np.full((len(x), len(x)), np.inf)
+    matrix[got.a, got.b] = got.cosine
+    assert len(got) == len(x) ** 2 and not np.isinf(matrix).any()
+    assert (np.isnan(matrix) == ((norms == 0) | (norms == 0).T)).all() and rows["cosine"].null_count == np.isnan(matrix).sum()
+    assert matrix[6, 8] == -1 and np.nanmax(abs(matrix - unit @ unit.T)) < 5.001e-7 and (np.nan_to_num(matrix) == np.round(np.nan_to_num(matrix), 6)).all()
