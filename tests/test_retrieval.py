@@ -231,6 +231,12 @@ def test_rows_are_shuffled_once_a_strip(spark):
     assert strips < 10  # 250 blocks of 16 rows, each of which every row was copied for
 
 
+def test_strips_meet_in_tasks_of_their_own(spark):
+    rows = spark.range(600).select(F.col("id").alias("vec_id"), F.array(*(F.sin(F.col("id") * k) for k in (1, 2, 3))).alias("embedding"))
+    counts = [r["count"] for r in embed.similarity_matrix(rows, block=16).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(counts) == 600**2 and max(counts) < 0.25 * 600**2  # two strips have 8 % of the pairs
+
+
 def test_similarity_by_blocks(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(90, 5))
